@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from pyspark.sql import functions as F
+
+from . import mixing, pii, quality
 from .common import table
 
 
@@ -11,7 +13,19 @@ def op2_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality.judge(docs).select("doc_id", *counts, "base_failed", "kept", "n_removed")
+
+
+def op10_personal_data(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
