@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality
+from . import language, mixing, pii, quality, secrets
 from .common import table
 
 
@@ -13,6 +13,14 @@ def op2_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_mixture(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op4_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -25,6 +33,8 @@ def op10_personal_data(spark, sf_dir):
 
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
+    "op3_language_mixture": op3_language_mixture,
+    "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op10_personal_data": op10_personal_data,
 }
