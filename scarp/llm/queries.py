@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, mixing, pii, quality, secrets
+from . import language, mixing, pii, quality, secrets, toxicity
 from .common import table
 
 
+def op1_toxic_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op2_source_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -32,6 +37,7 @@ def op10_personal_data(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxic_spans": op1_toxic_spans,
     "op2_source_mixing": op2_source_mixing,
     "op3_language_mixture": op3_language_mixture,
     "op4_secret_scan": op4_secret_scan,
