@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, mixing, pii, quality, secrets, toxicity
+from . import language, mixing, pii, quality, secrets, toxicity, vectors, webtext
 from .common import table
 
 
@@ -32,6 +32,14 @@ def op6_quality_rules(spark, sf_dir):
     return quality.judge(docs).select("doc_id", *counts, "base_failed", "kept", "n_removed")
 
 
+def op8_voronoi_topk(spark, sf_dir):
+    return vectors.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op9_main_text(spark, sf_dir):
+    return webtext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_personal_data(spark, sf_dir):
     return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op3_language_mixture": op3_language_mixture,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op8_voronoi_topk": op8_voronoi_topk,
+    "op9_main_text": op9_main_text,
     "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
