@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, mixing, pii, quality, secrets, toxicity, vectors, webtext
+from . import jaccard, language, mixing, pii, quality, secrets, toxicity, vectors, webtext
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality.judge(docs).select("doc_id", *counts, "base_failed", "kept", "n_removed")
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_voronoi_topk(spark, sf_dir):
     return vectors.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_language_mixture": op3_language_mixture,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_voronoi_topk": op8_voronoi_topk,
     "op9_main_text": op9_main_text,
     "op10_personal_data": op10_personal_data,
