@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, pii, quality, secrets, toxicity, vectors, webtext
+from . import jaccard, language, mixing, pieces, pii, quality, secrets, toxicity, vectors, webtext
 from .common import table
 
 
@@ -26,6 +27,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_piece_encoding(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), corpus_pipeline.MODEL)
+
+
 def op6_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -49,10 +54,12 @@ def op10_personal_data(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxic_spans": op1_toxic_spans,
     "op2_source_mixing": op2_source_mixing,
     "op3_language_mixture": op3_language_mixture,
     "op4_secret_scan": op4_secret_scan,
+    "op5_piece_encoding": op5_piece_encoding,
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_voronoi_topk": op8_voronoi_topk,
