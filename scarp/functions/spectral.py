@@ -1,0 +1,73 @@
+"""Band arithmetic of pixels as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Scene classes that count as cloud, and as clear (fixed values).
+CLOUD, CLEAR = (0, 1, 8, 9, 10), (2, 4, 5, 6, 7, 11)
+
+
+def normalised_difference(a: Column, b: Column) -> Column:
+    """Null where the sum is zero."""
+    return F.try_divide(a - b, a + b)
+
+
+def ndwi(green: Column, nir: Column) -> Column:
+    return normalised_difference(green, nir)
+
+
+def mndwi(green: Column, swir: Column) -> Column:
+    return normalised_difference(green, swir)
+
+
+def ndvi(nir: Column, red: Column) -> Column:
+    return normalised_difference(nir, red)
+
+
+def brightness(*bands: Column) -> Column:
+    total = bands[0]
+    for b in bands[1:]:
+        total = total + b
+    return total / len(bands)
+
+
+def turbidity(red: Column, green: Column) -> Column:
+    return F.try_divide(red, green)
+
+
+def logistic(x: Column, centre: float, width: float) -> Column:
+    return 1 / (1 + F.exp(-(x - centre) / width))
+
+
+def decibels(v: Column) -> Column:
+    return 10 * F.log10(F.when(v > 0, v))
+
+
+def is_water(green, nir, swir, visible, scl, slope, shadow) -> Column:
+    """Water by spectral rules: by index (stricter in shadow), dark in all bands, or classed as water and dark."""
+    least = F.when(shadow, 0.45).otherwise(0.25)
+    by_index = (ndwi(green, nir) > least) & (mndwi(green, swir) > 0.1) & (nir < 0.2)
+    dark = (nir < 0.04) & (swir < 0.05) & (visible < 0.10) & ~shadow
+    classed = (scl == 6) & (nir < 0.08) & (mndwi(green, swir) > 0)
+    return F.coalesce((by_index | dark | classed) & (slope < 18), F.lit(False))
+
+
+def is_snow(green, nir, swir, water) -> Column:
+    return F.coalesce((mndwi(green, swir) > 0.4) & (nir > 0.15) & ~water, F.lit(False))
+
+
+def classified(water: Column, snow: Column, debris_prior: Column, valid: Column) -> Column:
+    return F.when(~valid, "none").when(water, "water").when(snow, "snow").when(debris_prior, "debris").otherwise("other")
+
+
+def hillshade(slope, aspect, azimuth: float, elevation: float) -> Column:
+    """Cosine of the angle between the sun and the surface (degrees in)."""
+    zenith, s = F.radians(F.lit(90.0 - elevation)), F.radians(slope)
+    return F.cos(zenith) * F.cos(s) + F.sin(zenith) * F.sin(s) * F.cos(F.radians(F.lit(azimuth) - aspect))
+
+
+def downslope(dx: Column, dy: Column, aspect: Column, resolution: float, days: Column) -> Column:
+    """Speed along the slope's direction."""
+    return (dx * F.sin(F.radians(aspect)) + dy * F.cos(F.radians(aspect))) * resolution / days
