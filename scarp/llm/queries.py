@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, pieces, pii, quality, secrets, toxicity, vectors, webtext
+from . import jaccard, language, mixing, oracles, pieces, pii, quality, secrets, toxicity, vectors, webtext
 from .common import table
 
 
@@ -66,4 +66,8 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": oracles.QUALITY,
+    "op7_jaccard_join": oracles.JACCARD,
+    "op8_voronoi_topk": oracles.TOP_K,
+}
