@@ -40,6 +40,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than keep all cores busy a few times: for results that are small beside the corpus, of
+    which every empty partition would still be a task and a file."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if ``rows``, its counted size, is within ``limit``; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

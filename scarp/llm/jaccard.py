@@ -29,14 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import narrow, saved, small
 from .graph import components
 
 WORDS = 5
 BANDS, RANGES = 16, 4
-BITS = 1024
+#: Bits of a bitmap for each element of its set, and the most bits.
+BITS_EACH, MOST_BITS = 2, 1 << 16
+#: Pairs with one representative that one task decides together.
+MEMBERS = 64
 #: A task reports shingles that so many different sets of a block hold.
-BLOCK_SETS, BLOCK_SHINGLES = 6, 4_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 3, 4_000_000
 MAX_FREQUENT = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,7 +48,7 @@ class Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -81,9 +84,11 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(h & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
+    """Which remainders the hashes leave; as many bits as a power of two that fits the set's size."""
+    size = min(MOST_BITS, max(64, 1 << (BITS_EACH * len(h) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[(h & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def lists(values: list, kind=pa.int64()) -> pa.ListArray:
@@ -131,50 +136,98 @@ def sketch(batches):
 
 
 def overlap_bound(a: str, b: str) -> Column:
-    """Most elements that two sets can share: each bit that only one has stands for an element that the other lacks."""
+    """Most elements that two sets can share: each bit that only one has stands for an element that the other lacks.
+    A bitmap twice as long as the other is folded to its length; sets whose sizes differ more are not bounded here."""
+
+    def folded(x: Column, y: Column) -> Column:
+        half = F.size(y)
+        return F.when(F.size(x) == half, x).when(F.size(x) == 2 * half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q)))
 
     def only(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
 
     x, y = F.col(f"{a}bits"), F.col(f"{b}bits")
-    return F.least(F.col(f"{a}n") - only(x, y), F.col(f"{b}n") - only(y, x))
+    short = F.size(x) < F.size(y)
+    u, v = F.when(short, x).otherwise(folded(x, y)), F.when(short, folded(y, x)).otherwise(y)
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return F.least(n, m, n - F.coalesce(only(u, v), F.lit(0)), m - F.coalesce(only(v, u), F.lit(0)))
 
 
 def linkable(shared: Column, a: str, b: str, percent: int) -> Column:
     return (100 + percent) * shared >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
+def as_sets(batches):
+    """A row for each place in which a document is wanted."""
+    hashes = Hashes()
+
+    def packed(rows):
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.binary())], ["centre", "part", "member", "node", "own"])
+
+    for batch in batches:
+        rows, size = [], 0
+        for node, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+            own = hashes.shingles(text).tobytes()
+            for x in places:
+                rows.append((x["centre"], x["part"], x["member"], node, own))
+                size += len(own)
+                if size > 16_000_000:
+                    yield packed(rows)
+                    rows, size = [], 0
+        if rows:
+            yield packed(rows)
+
+
 def intersecting(percent: int):
+    """Members follow their centre in each task's sorted rows, so one set is held at a time."""
+
     def run(batches):
+        key, centres = None, []
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if (100 + percent) * shared >= percent * (len(x) + len(y)):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            out = []
+            for centre, part, member, node, own in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(own, np.uint64)
+                if (centre, part) != key:
+                    key, centres = (centre, part), []
+                if not member:
+                    centres.append(own)
+                    continue
+                for x in centres:
+                    shared = len(np.intersect1d(x, own, assume_unique=True))
+                    if (100 + percent) * shared >= percent * (len(x) + len(own)):
+                        out.append((node, centre))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def as_sets(batches):
-    hashes = Hashes()
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes.shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "own"])
-
-
 def exact_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose sets are similar enough. Only documents of ``pairs`` are hashed again;
-    their ids go to all tasks if they are few, else texts and ids are hashed together."""
-    ids = saved(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
-    count = ids.count()
+    """The pairs (a, b) of representatives whose sets are similar enough.
+
+    b is the centre, and its members a are dealt into parts, so a centre of very many pairs takes many tasks. Only the
+    documents of ``pairs`` are hashed again, and each set is shuffled once for each part that wants it. The list of
+    wanted documents goes to all tasks if it is short, else texts are hashed by id to meet it.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("parts"))
+    dealt = pairs.join(many, "b").select("a", F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    members = dealt.select(F.col("a").alias("node"), F.struct("centre", "part", F.lit(1).cast("long").alias("member")).alias("x"))
+    heads = dealt.select("centre", "part").distinct().select(F.col("centre").alias("node"), F.struct("centre", "part", F.lit(0).cast("long").alias("member")).alias("x"))
+    wanted = saved(narrow(members.union(heads).groupBy("node").agg(F.collect_list("x").alias("places"))))
+    count = wanted.count()
     if not count:
-        return saved(pairs.select("a", "b"))
-    chosen = docs.join(small(ids, count) if count <= 1_000_000 else ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = saved(chosen.mapInArrow(as_sets, "node long, own binary"))
-    left, right = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    return saved(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(intersecting(percent), "a long, b long"))
+        return pairs.select("a", "b")
+    side = F.broadcast(wanted) if count <= 200_000 else wanted.hint("shuffle_hash")
+    sets = docs.join(side, F.col("doc_id") == F.col("node")).select("node", "text", "places").mapInArrow(as_sets, "centre long, part long, member long, node long, own binary")
+    sets = sets.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
+    return saved(sets.mapInArrow(intersecting(percent), "a long, b long"))  # as wide as the sets are
+
+
+def with_bits(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for enough overlap."""
+    x, y = (facts.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("bits").alias(f"{k}bits")) for k in "ab")
+    return saved(narrow(pairs.join(x, "a").join(y, "b").where(linkable(overlap_bound("a", "b"), "a", "b", percent)).select("a", "b")))
 
 
 def star_links(classes: DataFrame, docs: DataFrame, percent: int, rounds: int) -> DataFrame:
@@ -195,11 +248,9 @@ def star_links(classes: DataFrame, docs: DataFrame, percent: int, rounds: int) -
         centre = centre.where("lo <> hi").select(F.col("band").alias("_band"), F.col("c.node").alias("centre"), F.col("c.comp").alias("its"))
         met = own.join(centre, F.col("band") == F.col("_band")).where(F.col("comp") != F.col("its")).groupBy("node", "centre").agg(F.count("*").alias("k"))
         best = met.groupBy("node").agg(F.max(F.struct("k", "centre")).alias("c")).select(F.col("node").alias("a"), F.col("c.centre").alias("b"))
-        x = facts.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
-        y = facts.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
-        pairs = saved(best.join(x, "a").join(y, "b").where(linkable(overlap_bound("a", "b"), "a", "b", percent)).select("a", "b"))
+        pairs = with_bits(best, facts, percent)
         found = exact_links(pairs, docs, percent)
-        links = found if links is None else saved(links.union(found))
+        links = found if links is None else links.union(found)
     return links
 
 
@@ -230,26 +281,27 @@ def live_links(classes: DataFrame, named: DataFrame, docs: DataFrame, frequent:
     facts = saved(facts)
     first = prefixes(docs, frequent, percent)
     first = saved(first.join(facts.select("node", "n", "comp"), F.col("doc_id") == F.col("node")).select("node", "n", "comp", "prefix"))
-    tokens = first.select("comp", F.explode("prefix").alias("shingle"))
-    live = saved(tokens.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("shingle").alias("_shingle")))
-    count = live.count()
-    listed = first.select("node", "n", "comp", F.posexplode("prefix").alias("place", "shingle")).join(small(live, count), F.col("shingle") == F.col("_shingle"))
+    tokens = first.select("node", "comp", F.explode("prefix").alias("shingle"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "node") for f in (F.min, F.max)]
+    live = saved(tokens.groupBy("shingle").agg(F.count("*").alias("k"), *ends).where("min_comp <> max_comp").select(F.col("shingle").alias("_shingle"), "k", F.col("min_node").alias("a"), F.col("max_node").alias("b")))
+    two = live.where("k = 2").select("a", "b").distinct()  # a list of two is its only pair
+    live = live.where("k > 2").select("_shingle")
+    listed = first.select("node", "n", "comp", F.posexplode("prefix").alias("place", "shingle")).join(small(live, live.count()), F.col("shingle") == F.col("_shingle"))
     listed = saved(listed.select("shingle", "node", "n", "comp", "place"))
-    most = listed.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
-    band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    with_bits = listed.join(facts.select("node", "bits"), "node").withColumn("tile", band)
-    few = with_bits.join(most, "shingle").where(F.col("comp") != F.col("main"))
+    most = listed.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("comp", "k").alias("main"))
+    listed = listed.withColumn("tile", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    few = listed.join(most, "shingle").where(F.col("comp") != F.col("main"))
     few = few.withColumn("tile", F.explode(F.array(*[F.col("tile") + d for d in (-1, 0, 1)])))
-    x = few.select("shingle", "tile", *[F.col(c).alias(f"a{c}") for c in ("node", "n", "comp", "place", "bits")])
-    y = with_bits.select("shingle", "tile", *[F.col(c).alias(f"b{c}") for c in ("node", "n", "comp", "place", "bits")])
+    x = few.select("shingle", "tile", *[F.col(c).alias(f"a{c}") for c in ("node", "n", "comp", "place")])
+    y = listed.select("shingle", "tile", *[F.col(c).alias(f"b{c}") for c in ("node", "n", "comp", "place")])
     placed = F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
-    pairs = x.join(y, ["shingle", "tile"]).where((F.col("acomp") != F.col("bcomp")) & linkable(placed, "a", "b", percent))
-    pairs = pairs.where(linkable(overlap_bound("a", "b"), "a", "b", percent))
-    pairs = saved(pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct())
+    fits = (F.col("acomp") != F.col("bcomp")) & linkable(placed, "a", "b", percent)
+    pairs = x.join(y, ["shingle", "tile"]).where(fits).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
+    pairs = with_bits(two.union(pairs).distinct(), facts, percent)
     return exact_links(pairs, docs, percent)
 
 
-def linked(table: DataFrame, percent: int = 75, rounds: int = 2) -> DataFrame:
+def linked(table: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
     """One row per row of ``table`` (doc_id, text): doc_id, n_shingles, component_id."""
     docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = saved(docs.mapInArrow(sketch, SKETCH))
@@ -259,10 +311,9 @@ def linked(table: DataFrame, percent: int = 75, rounds: int = 2) -> DataFrame:
     order = np.argsort(known)
     frequent = known[order], sums["k"].to_numpy(np.int64)[order]
     some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    heads = rows.where(some).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    classes = rows.where(some).select("doc_id", "n", "bands", "bits", F.col("d1").alias("e1"), F.col("d2").alias("e2"))
-    classes = classes.join(heads, (F.col("doc_id") == F.col("node")) & (F.col("e1") == F.col("d1")) & (F.col("e2") == F.col("d2")))
-    classes = saved(classes.select("node", "d1", "d2", "n", "bands", "bits").dropDuplicates(["node", "d1", "d2"]))
+    # Equal sets have equal sketches.
+    classes = rows.where(some).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bits")])
+    classes = saved(classes)
     stars = star_links(classes, docs, percent, rounds)
     named = components(stars)
     more = live_links(classes, named, docs, frequent, percent)
