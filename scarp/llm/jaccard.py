@@ -36,6 +36,8 @@ WORDS = 5
 BANDS, RANGES = 16, 4
 #: Bits of a bitmap for each element of its set, and the most bits.
 BITS_EACH, MOST_BITS = 2, 1 << 16
+#: Bits of the coarse bitmap that each row of a list carries.
+COARSE_BITS = 256
 #: Pairs with one representative that one task decides together.
 MEMBERS = 64
 #: A task reports shingles that so many different sets of a block hold.
@@ -83,9 +85,9 @@ def band_keys(h: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[b].tobytes(), seed=b) - (1 << 63) for b in np.flatnonzero(held.reshape(BANDS, RANGES).any(1)).tolist()]
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    """Which remainders the hashes leave; as many bits as a power of two that fits the set's size."""
-    size = min(MOST_BITS, max(64, 1 << (BITS_EACH * len(h) - 1).bit_length()))
+def bitmap(h: np.ndarray, size: int | None = None) -> np.ndarray:
+    """Which remainders the hashes leave; as many bits as a power of two that fits the set's size, or ``size``."""
+    size = size or min(MOST_BITS, max(64, 1 << (BITS_EACH * len(h) - 1).bit_length()))
     bits = np.zeros(size, bool)
     bits[(h & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.int64)
@@ -97,7 +99,7 @@ def lists(values: list, kind=pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64), kind))
 
 
-SKETCH = "doc_id long, n long, d1 long, d2 long, bands array<long>, bits array<long>, shingle long, sets long"
+SKETCH = "doc_id long, n long, d1 long, d2 long, bands array<long>, bits array<long>, coarse array<long>, shingle long, sets long"
 
 
 def sketch(batches):
@@ -107,13 +109,13 @@ def sketch(batches):
     def frequent():
         found, n = np.unique(np.concatenate(held), return_counts=True)
         found, n = found[n >= BLOCK_SETS], n[n >= BLOCK_SETS]
-        none = [pa.nulls(len(found), t) for t in (*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2)]
+        none = [pa.nulls(len(found), t) for t in (*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3)]
         return pa.RecordBatch.from_arrays([*none, pa.array(found.view(np.int64)), pa.array(n)], names)
 
-    names = ["doc_id", "n", "d1", "d2", "bands", "bits", "shingle", "sets"]
+    names = ["doc_id", "n", "d1", "d2", "bands", "bits", "coarse", "shingle", "sets"]
     for batch in batches:
         ids = batch.column(0)
-        n, d1, d2, bands, bits = [], [], [], [], []
+        n, d1, d2, bands, bits, coarse = [], [], [], [], [], []
         for text in batch.column(1).to_pylist():
             h = hashes.shingles(text)
             n.append(len(h))
@@ -122,6 +124,7 @@ def sketch(batches):
             d2.append(int.from_bytes(digest[8:], "little", signed=True))
             bands.append(band_keys(h) if len(h) else [])
             bits.append(bitmap(h))
+            coarse.append(bitmap(h, COARSE_BITS))
             if len(h) and digest not in seen:
                 seen.add(digest)
                 held.append(h)
@@ -130,7 +133,7 @@ def sketch(batches):
                     yield frequent()
                     held, size, seen = [], 0, set()
         rest = [pa.nulls(len(n), pa.int64())] * 2
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(bands), lists(bits), *rest], names)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(bands), lists(bits), lists(coarse), *rest], names)
     if held:
         yield frequent()
 
@@ -277,7 +280,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
 
 def live_links(classes: DataFrame, named: DataFrame, docs: DataFrame, frequent: tuple, percent: int) -> DataFrame:
     """All links (a, b) between different components of ``named``."""
-    facts = classes.select("node", "n", "bits").join(named, "node", "left").select("node", "n", "bits", F.coalesce("label", "node").alias("comp"))
+    facts = classes.select("node", "n", "bits", "coarse").join(named, "node", "left").select("node", "n", "bits", "coarse", F.coalesce("label", "node").alias("comp"))
     facts = saved(facts)
     first = prefixes(docs, frequent, percent)
     first = saved(first.join(facts.select("node", "n", "comp"), F.col("doc_id") == F.col("node")).select("node", "n", "comp", "prefix"))
@@ -290,12 +293,13 @@ def live_links(classes: DataFrame, named: DataFrame, docs: DataFrame, frequent:
     listed = saved(listed.select("shingle", "node", "n", "comp", "place"))
     most = listed.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("comp", "k").alias("main"))
     listed = listed.withColumn("tile", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    listed = listed.join(facts.select("node", "coarse"), "node")
     few = listed.join(most, "shingle").where(F.col("comp") != F.col("main"))
     few = few.withColumn("tile", F.explode(F.array(*[F.col("tile") + d for d in (-1, 0, 1)])))
-    x = few.select("shingle", "tile", *[F.col(c).alias(f"a{c}") for c in ("node", "n", "comp", "place")])
-    y = listed.select("shingle", "tile", *[F.col(c).alias(f"b{c}") for c in ("node", "n", "comp", "place")])
+    x = few.select("shingle", "tile", *[F.col(c).alias(f"a{c}") for c in ("node", "n", "comp", "place")], F.col("coarse").alias("abits"))
+    y = listed.select("shingle", "tile", *[F.col(c).alias(f"b{c}") for c in ("node", "n", "comp", "place")], F.col("coarse").alias("bbits"))
     placed = F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
-    fits = (F.col("acomp") != F.col("bcomp")) & linkable(placed, "a", "b", percent)
+    fits = (F.col("acomp") != F.col("bcomp")) & linkable(placed, "a", "b", percent) & linkable(overlap_bound("a", "b"), "a", "b", percent)
     pairs = x.join(y, ["shingle", "tile"]).where(fits).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
     pairs = with_bits(two.union(pairs).distinct(), facts, percent)
     return exact_links(pairs, docs, percent)
@@ -312,7 +316,7 @@ def linked(table: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
     frequent = known[order], sums["k"].to_numpy(np.int64)[order]
     some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     # Equal sets have equal sketches.
-    classes = rows.where(some).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bits")])
+    classes = rows.where(some).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bits", "coarse")])
     classes = saved(classes)
     stars = star_links(classes, docs, percent, rounds)
     named = components(stars)
