@@ -4,8 +4,10 @@ Each piece of text belongs to the path of tags (with class and id) from the root
 punctuation are summed over the page and divided by the number of pieces; the two ratios, smoothed along the page over
 neighbouring paths, are fused into one score, and paths above a threshold (a share of the spread over the page) are content.
 Links count against a path. Paths through elements that never hold an article's text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, comments, by tag, role, class or id) are never content, whatever their score; inside an
-``article`` or ``main`` element the other block paths are content, as their short paragraphs belong to it.
+notices, adverts, forms, scripts, comments, by tag, role, class or id) are never content, whatever their score. Being inside
+an ``article`` or ``main`` element is a prior, not a rule: with the share of the page's text that those elements hold, the
+score of their paths grows up to twofold and their links count down to half; if the share is at least half, only the score
+decides on their lists of links. Text outside them counts by the same threshold.
 
 Text is cut into blocks at block-level tags and line breaks; character references are decoded, white space inside a block
 becomes one space, and the blocks of content paths are joined by newlines in page order.
@@ -149,11 +151,12 @@ def content(blocks: list, threshold: float) -> list[str]:
         count[k] += 1
         linked[k] += min(links, len(text))
         article[k] |= inside
-    text_ratio, point_ratio = (length - linked) / count, points / count
-    fused = smoothed(text_ratio) * (1 + smoothed(point_ratio)) * (1 - linked / np.maximum(length, 1))
-    chosen = (fused >= threshold * fused.std()) & (linked <= 0.5 * length)
-    if article.any():
-        chosen = article & (linked < 0.8 * length)
+    share = (length - linked)[article].sum() / max((length - linked).sum(), 1.0)
+    prior = np.where(article, 1 + share, 1.0)
+    links = linked / prior
+    text_ratio, point_ratio = (length - links) / count, points / count
+    fused = smoothed(text_ratio) * (1 + smoothed(point_ratio)) * (1 - links / np.maximum(length, 1))
+    chosen = (prior * fused >= threshold * fused.std()) & ((linked <= 0.5 * length) | article & (share >= 0.5))
     return [b[0] for b in own if chosen[place[b[1]]]]
 
 

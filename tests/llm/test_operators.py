@@ -308,6 +308,20 @@ def test_webtext(spark):
     assert webtext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_webtext_score_decides_beside_articles(spark):
+    body = [f"Sentence {k} of the body, which is long enough to count; it goes on, and it ends here." for k in range(6)]
+    inside = "".join(f"<p>{x}</p>" for x in body)
+    cards = "".join(f"<article><h2><a href=/{k}>Teaser {k}</a></h2></article>" for k in range(4))
+    references = [f"Author {k}, A long title of a reference, 2019." for k in range(3)]
+    listed = "".join(f"<li><a href=/{k}>{x}</a></li>" for k, x in enumerate(references))
+    rows = [(1, "u", f"<body><div id=text>{inside}</div>{cards}</body>"), (2, "u", f"<body><article>{inside}<ol>{listed}</ol></article></body>")]
+    rows.append((3, "u", f"<body><div class=lead><p>{body[0]} {body[1]}</p></div><article>{inside}</article><ul>{listed}</ul></body>"))
+    got = {r.page_id: r.text.split("\n") for r in webtext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == body
+    assert got[2] == body + references
+    assert got[3] == [f"{body[0]} {body[1]}", *body]
+
+
 def test_pieces(spark, texts):
     sentencepiece = pytest.importorskip("sentencepiece")
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
