@@ -1,6 +1,8 @@
 """Secret scan: fixed patterns, and novelty by a dictionary-primed zstandard compressor.
 
-A candidate is a long string with digits that stands in a sensitive context (a word such as ``secret`` shortly before it).
+A candidate is a long string with digits, or of letters that mix both cases as no name does, that stands in a sensitive
+context (a word such as ``secret`` shortly before it, the name of ``name=value`` included; only the value is measured).
+Letters of one case without a digit can't be told from a word and are no candidate.
 Its novelty is the number of bytes that it adds to the compressed code around it, once the compressor knows a dictionary
 of the corpus's common identifiers. Ordinary identifiers and repeated values cost little; a random string costs nearly
 its entropy, and is reported as a span of kind ``novel`` unless a base span already covers it.
@@ -15,6 +17,7 @@ Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -31,8 +34,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Each match of ASSIGN holds one of these in lower case.
 HEADS = ("passw", "secret", "token", "apikey", "api_key")
 SENSITIVE = re.compile(r"pass|secret|token|api_?key|credential|private|auth|bearer|pwd|signature|access", re.I | re.A)
-STRING = re.compile(r"[0-9][A-Za-z0-9+/_=.-]*")
-PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
+PART = r"[A-Za-z0-9+/_.-]"
+#: Letters of one word of a name: a capital and small letters, or capitals.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+DIGIT = re.compile(r"[0-9]")
+#: Random letters of both cases change case so often that the words they seem to make are this short on average.
+SHORT_WORD = 3.5
 CONTEXT, AROUND = 48, 160
 
 
@@ -48,21 +55,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+@functools.cache
+def value_pattern(least: int) -> re.Pattern:
+    """A run of the characters of a string. An ``=`` between two runs parts a name from its value; at the end it is padding."""
+    return re.compile(rf"(?<!{PART})(?={PART[:-1]}=]{{{least}}}){PART}++(?:=++(?!{PART}))?")
+
+
+def irregular(value: str) -> bool:
+    """Whether a string holds a digit or, where it has none, mixes both cases as no name does."""
+    if DIGIT.search(value):
+        return True
+    found = WORD.findall(value)
+    return value.lower() != value != value.upper() and sum(map(len, found)) <= SHORT_WORD * len(found)
+
+
 def strings(text: str, least: int) -> list[tuple[int, int]]:
-    """Places of strings of at least ``least`` characters that hold a digit: each runs as far as it can either way."""
-    found, end = [], 0
-    for m in STRING.finditer(text):
-        start = m.start()
-        while start > end and text[start - 1] in PART:
-            start -= 1
-        end = m.end()
-        if end - start >= least:
-            found.append((start, end))
-    return found
+    """Places of irregular strings of at least ``least`` characters: each runs as far as it can either way, up to an ``=``."""
+    return [m.span() for m in value_pattern(least).finditer(text) if m.end() - m.start() >= least and irregular(m[0])]
 
 
 def contexts(docs: DataFrame, least: int) -> DataFrame:
-    """(string, context) of all strings with digits in the corpus; context is a hash of what stands before."""
+    """(string, context) of all irregular strings in the corpus; context is a hash of what stands before."""
 
     def emit(batches):
         for batch in batches:

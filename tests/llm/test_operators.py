@@ -223,6 +223,20 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_secrets_of_names_without_spaces(spark):
+    rng = random.Random(16)
+    secret = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24)) for _ in range(7)]
+    names = ["aws_secret_access_key=", "private_key=", "auth=", "db.private-key=", "private_key = ", "A=1;client_credential="]
+    rows = [(i, f"set {n}{secret[i]}== now") for i, n in enumerate(names)]
+    rows += [(20, "auth=qWzRtYxIoPaSdFgHjKlZxCv now"), (21, "auth=SomeLongProviderNameOfAccess now"), (22, "auth=some/long/path/of/words now"), (23, f"size={secret[6]} now")]
+    got = {r.doc_id: r.spans for r in secrets.scan(frame(spark, rows)).collect()}
+    for i, n in enumerate(names):
+        assert got[i] == f"novel:{4 + len(n)}:{4 + len(n) + 26}"
+    assert got[20] == "novel:5:28" and got[21] == got[22] == got[23] == ""
+    masked = {r.doc_id: r.text for r in secrets.scan(frame(spark, rows), mask="[X]").collect()}
+    assert masked[1] == "set private_key=[X] now"
+
+
 def test_language(spark):
     rng = random.Random(7)
     kinds = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
