@@ -4,7 +4,9 @@ Each piece of text belongs to the path of tags (with class and id) from the root
 punctuation are summed over the page and divided by the number of pieces; the two ratios, smoothed along the page over
 neighbouring paths, are fused into one score, and paths above a threshold (a share of the spread over the page) are content.
 Links count against a path. Paths through elements that never hold an article's text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, comments, by tag, role, class or id) are never content, whatever their score. Being inside
+notices, adverts, forms, scripts, comments, by tag, role, class or id) are never content, whatever their score. A name such
+as ``no-sidebar`` or ``has-sidebar`` is of the layout and marks nothing, and an outermost ``article`` or ``main`` is not bound
+by the names of the elements around it. Being inside
 an ``article`` or ``main`` element is a prior, not a rule: with the share of the page's text that those elements hold, the
 score of their paths grows up to twofold and their links count down to half; if the share is at least half, only the score
 decides on their lists of links. Text outside them counts by the same threshold.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +32,17 @@ from pyspark.sql import DataFrame
 #: A comment, a declaration, a tag, or text up to the next tag.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-NAME = re.compile(r"[A-Za-z]+")
+NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟।]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
 RAW = frozenset("script style textarea title xmp noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
-NEVER = frozenset("nav header footer aside form script style noscript template iframe textarea title head button select option menu dialog svg canvas object embed audio video figure figcaption input label".split())
+NEVER = frozenset("nav header footer aside form script style noscript template iframe textarea title head button select option menu dialog svg canvas object embed audio video input label".split())
 #: A new one of the key ends an open one of the values.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+CLOSES_P = frozenset("address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words of a class, id or role that mark what is not an article's text.
 NOISE = frozenset(
     "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus"
@@ -47,22 +50,31 @@ NOISE = frozenset(
     " recommend recommended reply replies search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert"
     " contentinfo complementary".split()
 )
+#: A name with one of these tells what the page has or lacks, or how it is laid out, not what the element is.
+LAYOUT = frozenset("no not non without hide has have with layout grid columns cols".split())
+#: How an element stands to content: it may hold some; its names, or those of one around it, speak against it; it can't.
+OPEN, NAMED, SHUT = range(3)
 SMOOTHING = (0.25, 0.5, 0.25)
 
 
-def is_noise(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element can't hold content, and what its class and id add to the path."""
+def names_noise(value: str) -> bool:
+    """Whether one of the names in a class, id or role says that the element holds no content."""
+    return any(not NOISE.isdisjoint(words) and LAYOUT.isdisjoint(words) for words in map(NAME.findall, value.lower().split()))
+
+
+def noise_of(tag: str, attributes: str) -> tuple[int, str]:
+    """Whether an element can hold content, by itself, and what its class and id add to the path."""
+    noise, label = SHUT if tag in NEVER else OPEN, ""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag in NEVER, ""
-    label, bad = "", tag in NEVER
+        return noise, label
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden":
-            bad = bad or name == "hidden" or value.lower() == "true"
+            noise = SHUT if name == "hidden" or value.lower() == "true" else noise
             continue
         label += "." + value
-        bad = bad or any(w.lower() in NOISE for w in NAME.findall(value))
-    return bad and tag not in ("html", "body", "article", "main"), label
+        noise = max(noise, NAMED if names_noise(value) else OPEN)
+    return noise, label
 
 
 class Page:
@@ -73,7 +85,8 @@ class Page:
         self.parts: list[str] = []
         self.linked = 0
         self.owner = ("", False, False)
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        stack: list[tuple[str, str, int, bool]] = [("", "", OPEN, False)]
+        opened: Counter[str] = Counter()
         open_links, at, size = 0, 0, len(source)
         lower = None
         for_text = self.parts.append
@@ -82,7 +95,7 @@ class Page:
             at = m.end()
             if (text := m[4]) is not None:
                 if not self.parts or not "".join(self.parts[-1:]).strip():
-                    self.owner = stack[-1][1:]
+                    self.owner = (stack[-1][1], stack[-1][2] != OPEN, stack[-1][3])
                 for_text(text)
                 if open_links:
                     self.linked += len(text)
@@ -95,10 +108,10 @@ class Page:
             if tag == "a":
                 open_links = max(0, open_links + (-1 if closing else 1))
             if closing:
-                if any(x[0] == tag for x in reversed(stack[-64:])):
+                if opened[tag]:
                     while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
+                        opened[stack.pop()[0]] -= 1
+                    opened[stack.pop()[0]] -= 1
                 continue
             if tag in RAW:
                 lower = source.lower() if lower is None or len(lower) != size else lower
@@ -111,14 +124,21 @@ class Page:
             if ended:
                 for k in range(len(stack) - 1, max(0, len(stack) - 8), -1):
                     if stack[k][0] in ended:
+                        opened.subtract(x[0] for x in stack[k:])
                         del stack[k:]
                         break
                     if stack[k][0] not in INLINE:
                         break
-            bad, label = is_noise(tag, m[3])
+            own, label = noise_of(tag, m[3])
             _, path, noise, article = stack[-1]
-            inside = tag in INLINE and not bad
-            stack.append((tag, path if inside or len(path) > 2000 else f"{path}/{tag}{label}", noise or bad, article or tag in ("article", "main")))
+            inside = tag in INLINE and own == OPEN
+            if tag in ("article", "main"):
+                # The names around an outermost one say nothing of it, unless its own say the same.
+                noise = OPEN if noise == NAMED and own == OPEN and not article else noise
+            elif tag not in ("html", "body"):
+                noise = max(noise, own)
+            opened[tag] += 1
+            stack.append((tag, path if inside or len(path) > 2000 else f"{path}/{tag}{label}", noise, article or tag in ("article", "main")))
         self.close()
 
     def close(self) -> None:

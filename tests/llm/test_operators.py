@@ -336,6 +336,22 @@ def test_webtext_score_decides_beside_articles(spark):
     assert got[3] == [f"{body[0]} {body[1]}", *body]
 
 
+def test_webtext_noise_names(spark):
+    body = [f"Sentence {k} of the body, which is long enough to count; it goes on, and it ends here." for k in range(4)]
+    inside = "".join(f"<p>{x}</p>" for x in body)
+    pages = [
+        f'<div class="page no-sidebar"><article>{inside}</article></div>',
+        f'<div class="layout has-sidebar"><div>{inside}</div></div>',
+        f'<div id="search-page"><main>{inside}</main></div>',
+        f"<nav>{'<div>' * 100}menu</nav><article>{inside}</article>",
+        f"<article>{inside}<figure><img src=x><figcaption>A caption.</figcaption></figure></article>",
+        f'<article>{inside}</article><div class="post-comments"><article class="comment"><p>{body[0]}</p></article></div><aside><article><p>{body[0]}</p></article></aside>',
+        f'<main>{inside}<div class="comments"><article><p>{body[0]}</p></article></div><div class="cookie-banner main"><p>{body[0]}</p></div></main>',
+    ]
+    got = {r.page_id: r.text.split("\n") for r in webtext.extract(spark.createDataFrame([(k, "u", x) for k, x in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert got == {k: [*body, "A caption."] if k == 4 else body for k in range(len(pages))}
+
+
 def test_pieces(spark, texts):
     sentencepiece = pytest.importorskip("sentencepiece")
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
