@@ -8,7 +8,9 @@ of the corpus's common identifiers. Ordinary identifiers and repeated values cos
 its entropy, and is reported as a span of kind ``novel`` unless a base span already covers it.
 
 The dictionary counts identifiers over all documents, by the number of different contexts that they stand in, so copies of
-one document don't make its secret an identifier. Its size is a parameter (``dictionary_bytes``).
+one document don't make its secret an identifier. A string in a sensitive context is counted only if it reads as a name,
+so a random key stays novel in however many places it leaked; a secret that reads as a name can't be told from one. The
+least number of contexts grows with the documents (``min_share``), the dictionary's size is fixed (``dictionary_bytes``).
 
 Nulls, ties, repeats: null text counts as empty; a null id is kept; equal starts are ordered by kind as listed; ties for a
 place in the dictionary go to the smaller string; repeated rows get equal results; an empty table gives an empty result.
@@ -38,6 +40,8 @@ PART = r"[A-Za-z0-9+/_.-]"
 #: Letters of one word of a name: a capital and small letters, or capitals.
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGIT = re.compile(r"[0-9]")
+RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+BESIDE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 #: Random letters of both cases change case so often that the words they seem to make are this short on average.
 SHORT_WORD = 3.5
 CONTEXT, AROUND = 48, 160
@@ -74,24 +78,41 @@ def strings(text: str, least: int) -> list[tuple[int, int]]:
     return [m.span() for m in value_pattern(least).finditer(text) if m.end() - m.start() >= least and irregular(m[0])]
 
 
+def named(value: str) -> bool:
+    """Whether a string reads as a name: of words and numbers that are long on average, with few digits beside letters."""
+    found = RUN.findall(value)
+    return sum(map(len, found)) > SHORT_WORD * len(found) and 12 * len(BESIDE.findall(value)) <= len(value)
+
+
+def sensitive(text: str, at: int) -> bool:
+    return SENSITIVE.search(text, max(0, at - CONTEXT), at) is not None
+
+
 def contexts(docs: DataFrame, least: int) -> DataFrame:
-    """(string, context) of all irregular strings in the corpus; context is a hash of what stands before."""
+    """(string, whole, context) of all irregular strings in the corpus that may be identifiers there: not of those in
+    sensitive contexts that don't read as names. ``whole`` is a hash of the string, of which 256 characters are kept, and
+    ``context`` a hash of what stands before it."""
 
     def emit(batches):
         for batch in batches:
             out = {}
             for text in batch.column(0).to_pylist():
                 for a, b in strings(text, least) if text else ():
-                    out[text[a:b][:256], zlib.crc32(text[max(0, a - 24) : a].encode("utf-8", "replace"))] = None
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64())], ["string", "context"])
+                    value = text[a:b]
+                    if named(value) or not sensitive(text, a):
+                        whole = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big", signed=True)
+                        out[value[:256], whole, zlib.crc32(text[max(0, a - 24) : a].encode("utf-8", "replace"))] = None
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["string", "whole", "context"])
 
-    return docs.select("text").mapInArrow(emit, "string string, context long")
+    return docs.select("text").mapInArrow(emit, "string string, whole long, context long")
 
 
-def identifiers(docs: DataFrame, least: int, min_contexts: int, dictionary_bytes: int) -> bytes:
-    """The dictionary: the identifiers with the most contexts, the most frequent last, where the compressor looks first."""
-    counted = contexts(docs, least).groupBy("string", "context").agg(F.lit(1).alias("one")).groupBy("string").agg(F.count("*").alias("n"))
-    top = counted.where(F.col("n") >= min_contexts).orderBy(F.desc("n"), "string").limit(dictionary_bytes // least).collect()
+def identifiers(docs: DataFrame, least: int, min_contexts: int, dictionary_bytes: int, min_share: float = 0.0001) -> bytes:
+    """The dictionary: the identifiers with the most contexts, the most frequent last, where the compressor looks first.
+    They have ``min_contexts`` contexts at least, and ``min_share`` of the number of documents."""
+    counted = contexts(docs, least).distinct().groupBy("string", "whole").agg(F.count("*").alias("n"))
+    bound = max(min_contexts, min_share * docs.count())
+    top = counted.where(F.col("n") >= bound).orderBy(F.desc("n"), "string", "whole").limit(dictionary_bytes // least).collect()
     words = " = \"' : ; password secret token api_key apikey credential authorization Bearer private access signature\n".encode()
     body = b""
     for row in top:
@@ -105,7 +126,7 @@ def identifiers(docs: DataFrame, least: int, min_contexts: int, dictionary_bytes
 def novel_spans(text: str, base: list, compressor, least: int, min_bytes: float) -> list[tuple[int, int, int]]:
     found = []
     for a, b in strings(text, least):
-        if any(s <= a and b <= e for s, _, e in base) or not SENSITIVE.search(text, max(0, a - CONTEXT), a):
+        if any(s <= a and b <= e for s, _, e in base) or not sensitive(text, a):
             continue
         before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
         rest = len(compressor.compress((before + after).encode("utf-8", "replace")))
@@ -119,13 +140,13 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, least: int = 16, min_bytes: float = 0.5, min_contexts: int = 5, dictionary_bytes: int = 32768, mask: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, least: int = 16, min_bytes: float = 0.5, min_contexts: int = 5, dictionary_bytes: int = 32768, mask: str | None = None, min_share: float = 0.0001) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel.
 
     ``min_bytes`` is the least growth of the compressed text for each character of a novel string. With ``mask``, all
     columns of ``docs`` are returned instead, each span in ``text`` replaced by ``mask``.
     """
-    dictionary = identifiers(docs, least, min_contexts, dictionary_bytes)
+    dictionary = identifiers(docs, least, min_contexts, dictionary_bytes, min_share)
 
     def spans_of(text: str, compressor) -> tuple[list, list]:
         base = base_spans(text)

@@ -237,6 +237,19 @@ def test_secrets_of_names_without_spaces(spark):
     assert masked[1] == "set private_key=[X] now"
 
 
+def test_secrets_that_leaked_often(spark):
+    rng = random.Random(17)
+    key, other, head, *tails = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)) for n in (32, 32, 256, *[40] * 8))
+    before = ["".join(rng.choice("ghijklm") for _ in range(12)) for _ in range(30)]
+    rows = [(i, f"{before[i]} auth bearer {key} end") for i in range(9)] + [(20 + i, f"{before[i]} plain {head}{tails[i]} end") for i in range(7)]
+    rows += [(40, f"auth bearer {head}{tails[7]} end"), (41, f"auth bearer {other} end")] + [(50 + i, f"{before[i]} plain {other} end") for i in range(6)]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.n_novel for r in secrets.scan(docs).collect()}
+    assert all(got[i] == 1 for i in range(9))
+    assert got[40] == 1 and got[41] == 0
+    assert next(r.n_novel for r in secrets.scan(docs, min_share=0.5).collect() if r.doc_id == 41) == 1
+
+
 def test_language(spark):
     rng = random.Random(7)
     kinds = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
