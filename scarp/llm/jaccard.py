@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, saved, small
+from .common import narrow, saved, slices, small
 from .graph import components
 
 WORDS = 5
@@ -41,7 +41,7 @@ COARSE_BITS = 256
 #: Pairs with one representative that one task decides together.
 MEMBERS = 64
 #: A task reports shingles that so many different sets of a block hold.
-BLOCK_SETS, BLOCK_SHINGLES = 3, 4_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 3, 2_000_000
 MAX_FREQUENT = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,7 +50,7 @@ class Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -113,7 +113,7 @@ def sketch(batches):
         return pa.RecordBatch.from_arrays([*none, pa.array(found.view(np.int64)), pa.array(n)], names)
 
     names = ["doc_id", "n", "d1", "d2", "bands", "bits", "coarse", "shingle", "sets"]
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column(0)
         n, d1, d2, bands, bits, coarse = [], [], [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -168,14 +168,14 @@ def as_sets(batches):
         columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.binary())], ["centre", "part", "member", "node", "own"])
 
-    for batch in batches:
+    for batch in slices(batches):
         rows, size = [], 0
         for node, text, places in zip(*(c.to_pylist() for c in batch.columns)):
             own = hashes.shingles(text).tobytes()
             for x in places:
                 rows.append((x["centre"], x["part"], x["member"], node, own))
                 size += len(own)
-                if size > 16_000_000:
+                if size > 4_000_000:
                     yield packed(rows)
                     rows, size = [], 0
         if rows:
@@ -187,7 +187,7 @@ def intersecting(percent: int):
 
     def run(batches):
         key, centres = None, []
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for centre, part, member, node, own in zip(*(c.to_pylist() for c in batch.columns)):
                 own = np.frombuffer(own, np.uint64)
@@ -263,7 +263,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
 
     def run(batches):
         hashes = Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 h = hashes.shingles(text)

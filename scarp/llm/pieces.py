@@ -4,14 +4,16 @@ A text, its spaces marked, falls into marked words that no piece crosses. The di
 sorted, which is a depth-first walk of their trie: between two neighbours only the letters after their common prefix are
 new, and the forward states of the prefix are reused.
 
-Unigram models: a state is the best score of a prefix with its last piece, as in Viterbi's algorithm. BPE models define no
-sum of scores, and the best sum is not their segmentation; there a state is the last piece of the prefix's own encoding,
-which is the one piece that ends there and could stand beside the state at its start without being merged with it. Whether
-two pieces can stand side by side is decided by the order of the merges at their border, and remembered. So the walk, the
-trie and the reuse are the same, and the ids are those of the model.
+Both walks are Viterbi's algorithm; the scores differ. Unigram models: a path scores the sum of its pieces, and a state is
+the best score of a prefix with its last piece. BPE models give pieces ranks, not scores to be summed, and the best sum is
+not their segmentation; there each step from one piece to the next scores 0 if the two can stand side by side without
+being merged and minus infinity if not, which is decided by the order of the merges at their border and remembered. One
+path to each prefix scores 0, so a state is its last piece. Words that begin with several marks are merged by definition,
+with a heap, as the pieces of runs of marks have equal ranks. Ids are those of the model.
 
 Characters that no piece holds become their bytes. Decoding joins the pieces' bytes, and each text is decoded again and
-compared. The model file's place is a parameter; every task reads the vocabulary from the job, not from a file.
+compared. The model file's place is a parameter; every task reads the vocabulary from the job, not from a file. A task holds
+words and blocks of bounded size; a longer text is encoded in parts that end between words.
 
 Nulls, ties, repeats: null text counts as empty and has no pieces; equal scores go to the longer piece; repeated rows get
 equal results; an empty table gives an empty result. A "▁" in a text is a space, as the model has it. Other columns
@@ -20,6 +22,7 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 
@@ -27,10 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Characters of the texts that are encoded together, and distinct words that are remembered.
-BLOCK_CHARS, MEMORY_WORDS = 4_000_000, 800_000
+#: Characters of the texts that are encoded together.
+BLOCK_CHARS = 1_000_000
+#: Distinct words, their characters, and pairs of pieces that are remembered.
+MEMORY_WORDS, MEMORY_CHARS, MEMORY_PAIRS = 500_000, 8_000_000, 300_000
 UNKNOWN = -1
 
 
@@ -64,19 +71,37 @@ class Vocabulary:
                     del self.usable[piece]  # merging its own letters leads elsewhere: it is in no encoding
                     continue
                 self.left[i], self.right[i] = self.side(piece, halves, 0), self.side(piece, halves, 1)
+        by_end: dict[str, set[int]] = {}
+        for piece in self.usable:
+            if len(piece) > 2:
+                by_end.setdefault(piece[-3:], set()).add(len(piece))
+        #: Lengths of the pieces that end with three letters, longest first.
+        self.lengths = {end: (*sorted(n, reverse=True), 2, 1) for end, n in by_end.items()}
 
     def merged(self, word: str, halves: dict | None = None) -> list[str]:
         """The model's segmentation by its definition: the best pair of neighbours is merged, again and again."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = max(((self.score[p], -k) for k in range(len(parts) - 1) if (p := parts[k] + parts[k + 1]) in self.score), default=None)
-            if best is None:
-                break
-            k = -best[1]
+        parts: list[str] = list(word)
+        after, before = [*range(1, len(parts) + 1)], [*range(-1, len(parts) - 1)]
+        due: list[tuple[float, int, str, str]] = []
+
+        def offer(a: int, b: int) -> None:
+            if a >= 0 and b < len(parts) and (v := self.score.get(parts[a] + parts[b])) is not None:
+                heapq.heappush(due, (-v, a, parts[a], parts[b]))
+
+        for k in range(len(parts) - 1):
+            offer(k, k + 1)
+        while due:
+            _, a, x, y = heapq.heappop(due)
+            b = after[a]
+            if parts[a] != x or b >= len(parts) or parts[b] != y:
+                continue  # one of the two was merged since
             if halves is not None:
-                halves[parts[k] + parts[k + 1]] = (parts[k], parts[k + 1])
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+                halves[x + y] = (x, y)
+            parts[a], parts[b], after[a] = x + y, "", after[b]
+            if after[a] < len(parts):
+                before[after[a]] = a
+            offer(before[a], a), offer(a, after[a])
+        return [p for p in parts if p]
 
     def derivation(self, piece: str) -> dict | None:
         halves: dict = {}
@@ -99,7 +124,7 @@ class Neighbours(dict):
         self.v = vocabulary
 
     def __missing__(self, key: int) -> bool:
-        if len(self) > 2_000_000:
+        if len(self) > MEMORY_PAIRS:
             self.clear()
         a, b = key >> 20, key & 0xFFFFF
         value = self[key] = a < 0 or self.apart(self.v.right[a], self.v.left[b])
@@ -134,6 +159,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.start, self.size = array("i"), array("q"), array("q")
 
     def add(self, words: set[str]) -> None:
@@ -141,6 +167,7 @@ class Encoder:
         walk = self.walk_bpe if self.v.kind == "bpe" else self.walk_unigram
         for word, ids in walk(sorted(words)):
             self.known[word] = len(self.start)
+            self.chars += len(word)
             self.start.append(len(self.flat))
             self.size.append(len(ids))
             self.flat.extend(ids)
@@ -162,11 +189,11 @@ class Encoder:
         return out
 
     def walk_bpe(self, words: list[str]):
-        get, near, longest = self.v.usable.get, self.near, self.v.longest
+        get, near, lengths, short = self.v.usable.get, self.near, self.v.lengths.get, (2, 1)
         last, begin = [UNKNOWN], [0]
         before = ""
         for word in words:
-            if word.startswith(MARK + MARK):  # runs of spaces have equal scores; they are rare
+            if word.startswith(MARK + MARK):
                 yield word, [i for p in self.v.merged(word) for i in ([self.v.ids[p]] if p in self.v.ids else self.fallback(p))]
                 continue
             size, k = len(word), 0
@@ -175,7 +202,10 @@ class Encoder:
                 k += 1
             del last[k + 1 :], begin[k + 1 :]
             for i in range(k + 1, size + 1):
-                for j in range(i - longest if i > longest else 0, i):
+                for n in lengths(word[i - 3 : i], short) if i > 2 else short:
+                    j = i - n
+                    if j < 0:
+                        continue
                     t = get(word[j:i])
                     if t is not None and (j == 0 or near[(last[j] << 20) + t]):
                         last.append(t)
@@ -210,9 +240,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's end."""
-        segments = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        return self.encode_marked([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+
+    def encode_marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK_CHARS:
+            found = [self.encode_marked([t])[0] for t in parts_of(texts[0])]
+            return np.concatenate(found), np.array([sum(map(len, found))])
+        segments = [SEGMENT.findall(t) for t in texts]
         new = {w for s in segments for w in s} - self.known.keys()
-        if len(new) + len(self.known) > MEMORY_WORDS:
+        if len(new) + len(self.known) > MEMORY_WORDS or self.chars > MEMORY_CHARS:
             self.forget()
             new = {w for s in segments for w in s}
         self.add(new)
@@ -232,6 +268,18 @@ def decoded(ids: list[int], text: list[bytes]) -> str:
     return found[1:] if found.startswith(" ") else found
 
 
+def parts_of(text: str):
+    """A marked text in parts of about BLOCK_CHARS, cut before a mark that follows another character."""
+    at = 0
+    while at < len(text):
+        end = at + BLOCK_CHARS
+        while 0 < end < len(text) and not (text[end] == MARK != text[end - 1]):
+            end = text.find(MARK, end + 1)
+        end = end if 0 < end < len(text) else len(text)
+        yield text[at:end]
+        at = end
+
+
 def blocks(texts: list[str]):
     """Ranges of texts of about BLOCK_CHARS."""
     start, size = 0, 0
@@ -251,7 +299,7 @@ def encode(docs: DataFrame, model_file: str, kind: str = "bpe") -> DataFrame:
 
     def run(batches):
         encoder = Encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts):
                 ids, ends = encoder.encode(texts[a:b])
