@@ -322,6 +322,26 @@ def test_vectors(spark):
     assert vectors.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_discard_blocks_of_clusters(spark):
+    rng = np.random.default_rng(19)
+    centres = rng.normal(size=(12, 8)) * 5
+    rows = [(i, [float(x) for x in centres[i % 12] * (1 + 0.1 * (i % 3)) + rng.normal(size=8) * 0.05]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fine = np.floor(1024 * np.array([v for _, v in rows]))
+    got = {}
+    for r in vectors.nearest(table).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q in range(0, 3000, 100):
+        scores = fine @ fine[q]
+        best = sorted((-int(s), j) for j, s in enumerate(scores) if j != q)[:10]
+        assert [got[q][k + 1] for k in range(10)] == [(j, -s) for s, j in best]
+    counts = vectors.discarded(table).first()
+    assert counts.compared + counts.passed < 30 * 48 and counts.compared < 30 * 20
+    lists = [rng.integers(-9, 9, size=(n, 4)).astype(float) for n in (700, 5000)]
+    out, compared, passed = vectors.solved(np.arange(700), lists[0], np.full(700, -np.inf), lists[1], np.arange(5000), 5)
+    assert len(out) == 3500 and compared + passed == 700 * 5
+
+
 def test_webtext(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style></head><body><nav><ul><li><a href="/a">A</a></ul></nav><div class="cookie-banner">Accept all.</div>
     <article><h1>Head &amp; line</h1><p>One  <b>two</b>
