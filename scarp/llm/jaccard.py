@@ -9,7 +9,7 @@ all else works on classes.
 2. The exact join. In one order of all shingles, rare before frequent, two sets with enough overlap share a shingle in
    their prefixes. A prefix shingle held by a single component cannot add a link; those held by two or more are live. In a
    live shingle's list, members outside its largest component meet the members whose size band is theirs or the next (a
-   tile); sizes, places in the prefixes and the bit counts of hashed bitmaps bound the overlap from above; what passes is
+   tile; long lists make several tiles of bounded size); sizes, places in the prefixes and the bit counts of hashed bitmaps bound the overlap from above; what passes is
    decided by intersecting the sorted hash arrays. Every pair in different components that could link passes here, so no
    link between components is lost.
 
@@ -23,6 +23,8 @@ an empty table gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,6 +45,8 @@ MEMBERS = 64
 #: A task reports shingles that so many different sets of a block hold.
 BLOCK_SETS, BLOCK_SHINGLES = 3, 2_000_000
 MAX_FREQUENT = 1 << 18
+#: Members of a tile's list that one task compares, and places of documents in a list that is sent to all tasks.
+TILE_ROWS, MAX_WANTED = 2048, 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,23 +210,45 @@ def intersecting(percent: int):
     return run
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+class Texts:
+    """The documents, to be joined with lists of ids. A short list goes to where the texts are, and they don't move. For
+    the first longer one the texts are laid out by id in a bucketed table, so from then on only the lists move."""
+
+    def __init__(self, docs: DataFrame, most_ids: int = MAX_WANTED) -> None:
+        self.docs, self.most, self.table = docs, most_ids, ""
+
+    def of(self, wanted: DataFrame, places: int) -> DataFrame:
+        """(node, text, places) of ``wanted`` (node, places), which holds that many places in all."""
+        if places <= self.most:
+            return self.docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("node"))
+        spark = self.docs.sparkSession
+        if not self.table:
+            self.table = f"scarp_{uuid.uuid4().hex}"
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.docs.rdd.getNumPartitions())
+            by_id = self.docs.where(F.col("doc_id").isNotNull()).repartition(buckets, "doc_id")
+            by_id.write.bucketBy(buckets, "doc_id").saveAsTable(self.table)
+        return spark.table(self.table).join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
+
+    def drop(self) -> None:
+        if self.table:
+            self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def exact_links(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """The pairs (a, b) of representatives whose sets are similar enough.
 
     b is the centre, and its members a are dealt into parts, so a centre of very many pairs takes many tasks. Only the
-    documents of ``pairs`` are hashed again, and each set is shuffled once for each part that wants it. The list of
-    wanted documents goes to all tasks if it is short, else texts are hashed by id to meet it.
+    documents of ``pairs`` are hashed again, and each set is shuffled once for each part that wants it.
     """
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("parts"))
     dealt = pairs.join(many, "b").select("a", F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     members = dealt.select(F.col("a").alias("node"), F.struct("centre", "part", F.lit(1).cast("long").alias("member")).alias("x"))
     heads = dealt.select("centre", "part").distinct().select(F.col("centre").alias("node"), F.struct("centre", "part", F.lit(0).cast("long").alias("member")).alias("x"))
     wanted = saved(narrow(members.union(heads).groupBy("node").agg(F.collect_list("x").alias("places"))))
-    count = wanted.count()
-    if not count:
+    places = wanted.agg(F.sum(F.size("places"))).first()[0]
+    if not places:
         return pairs.select("a", "b")
-    side = F.broadcast(wanted) if count <= 200_000 else wanted.hint("shuffle_hash")
-    sets = docs.join(side, F.col("doc_id") == F.col("node")).select("node", "text", "places").mapInArrow(as_sets, "centre long, part long, member long, node long, own binary")
+    sets = texts.of(wanted, places).select("node", "text", "places").mapInArrow(as_sets, "centre long, part long, member long, node long, own binary")
     sets = sets.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
     return saved(sets.mapInArrow(intersecting(percent), "a long, b long"))  # as wide as the sets are
 
@@ -233,7 +259,7 @@ def with_bits(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return saved(narrow(pairs.join(x, "a").join(y, "b").where(linkable(overlap_bound("a", "b"), "a", "b", percent)).select("a", "b")))
 
 
-def star_links(classes: DataFrame, docs: DataFrame, percent: int, rounds: int) -> DataFrame:
+def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int) -> DataFrame:
     """Links (a, b) found in the buckets of the bands."""
     held = classes.select("node", F.explode("bands").alias("band"))
     often = held.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select(F.col("band").alias("_band"))
@@ -252,7 +278,7 @@ def star_links(classes: DataFrame, docs: DataFrame, percent: int, rounds: int) -
         met = own.join(centre, F.col("band") == F.col("_band")).where(F.col("comp") != F.col("its")).groupBy("node", "centre").agg(F.count("*").alias("k"))
         best = met.groupBy("node").agg(F.max(F.struct("k", "centre")).alias("c")).select(F.col("node").alias("a"), F.col("c.centre").alias("b"))
         pairs = with_bits(best, facts, percent)
-        found = exact_links(pairs, docs, percent)
+        found = exact_links(pairs, texts, percent)
         links = found if links is None else links.union(found)
     return links
 
@@ -278,11 +304,36 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
     return docs.mapInArrow(run, "doc_id long, prefix array<long>")
 
 
-def live_links(classes: DataFrame, named: DataFrame, docs: DataFrame, frequent: tuple, percent: int) -> DataFrame:
+def tile_pairs(few: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in each (shingle, tile) that sizes, places and coarse bitmaps don't rule out.
+
+    The list of a very frequent shingle is cut into chunks on either side, and each pair of chunks is a key of its own, so
+    no task compares more than TILE_ROWS members with as many.
+    """
+    key = ["shingle", "tile"]
+    x_size, y_size = (df.groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") > TILE_ROWS).select(*key, F.ceil(F.col("k") / TILE_ROWS).cast("int").alias(c)) for df, c in ((few, "xs"), (listed, "ys")))
+    hot = saved(narrow(x_size.join(y_size, key, "full").select(F.col("shingle").alias("_s"), F.col("tile").alias("_t"), F.coalesce("xs", F.lit(1)).alias("xs"), F.coalesce("ys", F.lit(1)).alias("ys"))))
+    side = small(hot, hot.count())
+
+    def chunked(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        found = df.join(side, (F.col("shingle") == F.col("_s")) & (F.col("tile") == F.col("_t")), "left")
+        return found.withColumn(mine, F.pmod(F.hash("node"), F.coalesce(own, F.lit(1)))).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+
+    carried = ("node", "n", "comp", "place", "main")
+    key = [*key, "i", "j"]
+    x = chunked(few, "xs", "ys", "i", "j").select(*key, *[F.col(c).alias(f"a{c}") for c in carried], F.col("coarse").alias("abits"))
+    y = chunked(listed, "ys", "xs", "j", "i").select(*key, *[F.col(c).alias(f"b{c}") for c in carried], F.col("coarse").alias("bbits"))
+    placed = F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
+    once = F.col("bmain") | (F.col("anode") < F.col("bnode"))
+    fits = once & (F.col("acomp") != F.col("bcomp")) & linkable(placed, "a", "b", percent) & linkable(overlap_bound("a", "b"), "a", "b", percent)
+    return x.join(y, key).where(fits).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
+
+
+def live_links(classes: DataFrame, named: DataFrame, texts: Texts, frequent: tuple, percent: int) -> DataFrame:
     """All links (a, b) between different components of ``named``."""
     facts = classes.select("node", "n", "bits", "coarse").join(named, "node", "left").select("node", "n", "bits", "coarse", F.coalesce("label", "node").alias("comp"))
     facts = saved(facts)
-    first = prefixes(docs, frequent, percent)
+    first = prefixes(texts.docs, frequent, percent)
     first = saved(first.join(facts.select("node", "n", "comp"), F.col("doc_id") == F.col("node")).select("node", "n", "comp", "prefix"))
     tokens = first.select("node", "comp", F.explode("prefix").alias("shingle"))
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "node") for f in (F.min, F.max)]
@@ -294,19 +345,16 @@ def live_links(classes: DataFrame, named: DataFrame, docs: DataFrame, frequent:
     most = listed.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("comp", "k").alias("main"))
     listed = listed.withColumn("tile", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
     listed = listed.join(facts.select("node", "coarse"), "node")
-    few = listed.join(most, "shingle").where(F.col("comp") != F.col("main"))
-    few = few.withColumn("tile", F.explode(F.array(*[F.col("tile") + d for d in (-1, 0, 1)])))
-    x = few.select("shingle", "tile", *[F.col(c).alias(f"a{c}") for c in ("node", "n", "comp", "place")], F.col("coarse").alias("abits"))
-    y = listed.select("shingle", "tile", *[F.col(c).alias(f"b{c}") for c in ("node", "n", "comp", "place")], F.col("coarse").alias("bbits"))
-    placed = F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
-    fits = (F.col("acomp") != F.col("bcomp")) & linkable(placed, "a", "b", percent) & linkable(overlap_bound("a", "b"), "a", "b", percent)
-    pairs = x.join(y, ["shingle", "tile"]).where(fits).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
+    listed = listed.join(most, "shingle").withColumn("main", F.col("comp") == F.col("main"))
+    few = listed.where("not main").withColumn("tile", F.explode(F.array(*[F.col("tile") + d for d in (-1, 0, 1)])))
+    pairs = tile_pairs(few, listed, percent)
     pairs = with_bits(two.union(pairs).distinct(), facts, percent)
-    return exact_links(pairs, docs, percent)
+    return exact_links(pairs, texts, percent)
 
 
-def linked(table: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
-    """One row per row of ``table`` (doc_id, text): doc_id, n_shingles, component_id."""
+def linked(table: DataFrame, percent: int = 75, rounds: int = 2, most_ids: int = MAX_WANTED) -> DataFrame:
+    """One row per row of ``table`` (doc_id, text): doc_id, n_shingles, component_id. ``most_ids`` is how many places of
+    documents are sent to all tasks at once; it changes the plan only."""
     docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = saved(docs.mapInArrow(sketch, SKETCH))
     rows = sketches.where(F.col("n").isNotNull())
@@ -318,11 +366,13 @@ def linked(table: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
     # Equal sets have equal sketches.
     classes = rows.where(some).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bits", "coarse")])
     classes = saved(classes)
-    stars = star_links(classes, docs, percent, rounds)
+    texts = Texts(docs, most_ids)
+    stars = star_links(classes, texts, percent, rounds)
     named = components(stars)
-    more = live_links(classes, named, docs, frequent, percent)
+    more = live_links(classes, named, texts, frequent, percent)
     edges = named.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
     final = components(edges)
+    texts.drop()
     of_class = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "node").join(final, "node", "left").select("_d1", "_d2", F.coalesce("label", "node").alias("component"))
     of_class = saved(of_class.groupBy("_d1", "_d2").agg(F.min("component").alias("component")))
     out = rows.select("doc_id", "n", "d1", "d2").join(of_class, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & F.col("doc_id").isNotNull(), "left")
@@ -330,9 +380,9 @@ def linked(table: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
 
 
 def representatives(table: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``table`` that stand for their component (its smallest id), all columns, repeated rows once."""
+    """The rows of ``table`` whose id stands for its component, the smallest one: all columns, and of rows that share that
+    id all of them. The columns may have any names: they stand in one struct meanwhile."""
     found = linked(table.select("doc_id", "text"), percent)
-    gone = saved(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct())
-    count = gone.count()
-    side = F.broadcast(gone) if count <= 1_000_000 else gone.hint("shuffle_hash")
-    return table.join(side, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = saved(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct())
+    rows = table.select(F.struct(*table.columns).alias("row"))
+    return rows.join(small(gone, gone.count()), F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")

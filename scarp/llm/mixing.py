@@ -8,7 +8,7 @@ flies again in the next level, until one bucket a source is left. That bucket la
 that the token total is nearest, and a few swaps of a taken for an untaken document close the remaining gap.
 
 Nulls, ties, repeats: a null source is a source of its own (last in order); null text has size 0 and is never taken;
-repeated rows are separate documents; a source without words has target 0; an empty table gives an empty result. Other
+repeated rows are separate documents, numbered so that they fly in different buckets; a source without words has target 0; an empty table gives an empty result. Other
 columns of the input are ignored. Reruns agree: the random numbers are seeded by source, bucket and level.
 """
 
@@ -27,6 +27,8 @@ from .common import WORD, null_safe, saved, small
 
 #: Documents that fly together.
 BUCKET_ROWS = 4096
+#: Repeated rows that are numbered together.
+DRAWS = 65_536
 #: Closer to 0 or 1 than this, a probability is decided.
 EPS = 1e-9
 
@@ -115,7 +117,7 @@ def land(sizes: list[float], p: list[float], left: list[int], goal: float, swaps
 
 def _flown(level: int, seed: int):
     def fly(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("draw", "ascending")])
         sizes, p = [float(x) for x in rows["size"].to_pylist()], rows["p"].to_pylist()
         source, bucket, buckets = (k.as_py() for k in key)
         goal = sum(s * x for s, x in zip(sizes, p))
@@ -138,8 +140,13 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3),
     counted = sources.agg(F.count("*").alias("n"), F.max("_n").alias("most")).first()
     keyed = sources.withColumnRenamed("source", "_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    same = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_same"))
+    last = F.col("_same") - 1
+    drawn = same.withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / DRAWS)))).select(
+        "doc_id", "source", "size", F.explode(F.sequence(F.col("_hi") * DRAWS, F.least(last, F.col("_hi") * DRAWS + DRAWS - 1))).alias("draw")
+    )
     units = (
-        sizes.join(small(keyed, counted["n"]), null_safe(sizes, keyed, [("source", "_source")]))
+        drawn.join(small(keyed, counted["n"]), null_safe(drawn, keyed, [("source", "_source")]))
         .drop("_source")
         .withColumn("_r", ratio)
         .withColumn("whole", F.floor(F.col("_r") + EPS))
@@ -150,7 +157,7 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3),
     done, level = [], 0
     most = -(-(counted["most"] or 0) // bucket_rows)
     while True:
-        units = units.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, size, {seed + level}), buckets)"))
+        units = units.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "draw", F.lit(seed + level)), F.col("buckets")))
         flown = units.groupBy("source", "bucket", "buckets").applyInArrow(_flown(level, seed), units.schema)
         if most <= 1:
             done.append(flown)
@@ -171,21 +178,20 @@ def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its words are taken, rows not taken gone.
 
     ``mixed`` comes from ``mix(docs)``. Rows with one doc_id and size share their takings, in no particular order. The
-    taken ids are sent to the executors if there are few, else both sides are hashed by id.
+    taken ids are sent to the executors if there are few, else both sides are hashed by id. The columns of ``docs`` may
+    have any names: they stand in one struct meanwhile.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    times = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
-        F.sort_array(F.collect_list((F.col("taken") / F.col("size")).cast("int")), asc=False).alias("_times")
+    times = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(
+        F.sort_array(F.collect_list((F.col("taken") / F.col("size")).cast("int")), asc=False).alias("times")
     )
     times = saved(times)
-    from pyspark.sql import Window as W
-
     side = small(times, times.count())
-    joined = docs.withColumn("_own", size).join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
-    repeated = times.where(F.size("_times") > 1).limit(1).count() > 0
-    if repeated:
-        place = F.row_number().over(W.partitionBy("_id", "_size").orderBy("_id"))
-        joined = joined.withColumn("_k", F.get("_times", place - 1)).where("_k > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), size.alias("own"))
+    joined = rows.join(side, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("words")))
+    if times.where(F.size("times") > 1).limit(1).count():
+        place = F.row_number().over(Window.partitionBy("id", "words").orderBy("id"))
+        joined = joined.withColumn("k", F.get("times", place - 1)).where("k > 0")
     else:
-        joined = joined.withColumn("_k", F.col("_times")[0])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*docs.columns)
+        joined = joined.withColumn("k", F.get("times", F.lit(0)))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("k")))).select("row.*")

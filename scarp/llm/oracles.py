@@ -11,7 +11,7 @@ QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source AS host
  dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY 1),
  norm AS (SELECT doc_id, host, t, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS x, len(regexp_extract_all(line, '{WORD}')) AS nw FROM lw),
  f AS (SELECT host, x, count(DISTINCT t) AS n, arg_min(t, doc_id) AS first FROM norm GROUP BY 1, 2), hosts AS (SELECT host, count(DISTINCT t) AS k FROM d GROUP BY 1),
- rem AS (SELECT doc_id, sum(nw) AS n FROM norm JOIN f ON norm.host IS NOT DISTINCT FROM f.host AND norm.x = f.x JOIN hosts ON norm.host IS NOT DISTINCT FROM hosts.host WHERE f.n > 10 AND f.n > 0.05 * k AND t <> first GROUP BY 1),
+ rem AS (SELECT doc_id, sum(nw) AS n FROM norm JOIN f ON norm.host IS NOT DISTINCT FROM f.host AND norm.x = f.x JOIN hosts ON norm.host IS NOT DISTINCT FROM hosts.host WHERE f.n > 10 AND f.n > least(0.05 * k, 1000) AND t <> first GROUP BY 1),
  m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(rem.n, 0)::BIGINT AS n_removed FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rem USING (doc_id)),
  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)

@@ -240,12 +240,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's end."""
-        return self.encode_marked([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        if len(marked) == 1 and len(marked[0]) > 2 * BLOCK_CHARS:
+            found = [self.encode_marked([t])[0] for t in parts_of(marked[0])]
+            return np.concatenate(found), np.array([sum(map(len, found))])
+        return self.encode_marked(marked)
 
     def encode_marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK_CHARS:
-            found = [self.encode_marked([t])[0] for t in parts_of(texts[0])]
-            return np.concatenate(found), np.array([sum(map(len, found))])
         segments = [SEGMENT.findall(t) for t in texts]
         new = {w for s in segments for w in s} - self.known.keys()
         if len(new) + len(self.known) > MEMORY_WORDS or self.chars > MEMORY_CHARS:

@@ -2,9 +2,12 @@
 
 The base patterns (email, ip, card, phone) give seed entities. The two words before a seed are a lexical pattern; other
 identifier-like strings, and the words before them, make up the rest of the graph of patterns and instances. In each
-round a pattern's score is the summed confidence of its instances over their number, if enough different instances
-support it, and an instance that is no seed is as sure as 1 - prod(1 - score) of its patterns. Instances that end above
-the threshold are reported as spans of kind ``context``, unless they overlap a base span.
+round a pattern's score is the summed confidence of its instances over that sum and the evidence against it, if enough
+different instances support it; an instance that is no seed is as sure as 1 - prod(1 - score) of its patterns. Evidence
+against a pattern are instances that also stand after an ordinary pattern, one with enough instances of which none is a
+seed. An instance seen nowhere else speaks neither for nor against, so sure patterns find unseen identifiers, and these
+support further patterns. Rounds go on until no pattern changes. Instances that end above the threshold are reported as
+spans of kind ``context``, unless they overlap a base span.
 
 Spans come from two native calls on one pattern: the pieces between matches and the matches; their lengths summed up
 give the places, in code points. The regular expressions have no loops over groups, so no text can exhaust the stack:
@@ -24,16 +27,19 @@ from .common import saved, small
 JOINT, DOT = "\ue000", "\ue001"
 LOCAL = r"A-Za-z0-9._%+\-" + DOT
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]+{DOT}[A-Za-z0-9{DOT}-]+"
-IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9][0-9{JOINT}]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Strings that look like identifiers: a few capitals, then digits and what may follow them.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Z]{0,4}[0-9][A-Za-z0-9._-]{4,}+"
+#: Strings that look like identifiers: up to eight letters, then a digit, at least five characters in all after them.
+CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,8}[0-9][A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++){0,8}"
+CANDIDATE_CHARS = 5
 OCTET = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT_CHARS = 80
+#: The two words before an instance, in reversed text.
+BEFORE = r"^[\x20\x09-\x0D\"'(=:]*+([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)"
 BLOCK = 64
-ROUNDS = 3
+#: More rounds than any graph has needed.
+ROUNDS = 20
 
 
 def let(value: Column, body) -> Column:
@@ -45,28 +51,34 @@ def summed(x: Column) -> Column:
 
 
 def before(lengths: Column, sums: Column, i: Column) -> Column:
-    """Sum of ``lengths`` before place i; ``sums`` are those of whole blocks, so that a text with very many matches
+    """Sum of ``lengths`` before place i; ``sums`` are those before each block, so that a text with very many matches
     doesn't take the square of their number."""
     block = F.floor(i / BLOCK).cast("int")
-    return summed(F.slice(sums, F.lit(1), block)) + summed(F.slice(lengths, block * BLOCK + 1, i % BLOCK))
+    return F.get(sums, block) + summed(F.slice(lengths, block * BLOCK + 1, i % BLOCK))
+
+
+def pattern_of(left: Column) -> Column:
+    """Hash of the last two words of the piece before an instance, in lower case; null if there are none."""
+    two = F.regexp_extract(F.reverse(left), BEFORE, 1)
+    return F.when(two != "", F.xxhash64(F.lower(two)))
 
 
 def found(text: Column, pattern: str, order: int) -> Column:
-    """Array of (start, end, kind, value, left) of the matches of ``pattern``; left is the end of the piece before."""
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string,left:string>>)")
+    """Array of (start, end, kind, value, pattern) of the matches of ``pattern``."""
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string,pattern:bigint>>)")
 
     def placed(x: Column) -> Column:
         matches, gaps = x["m"], x["g"]
         lengths = F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
 
         def spans(n: Column) -> Column:
-            sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda b: summed(F.slice(n, b * BLOCK + 1, F.lit(BLOCK))))
+            each = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda b: summed(F.slice(n, b * BLOCK + 1, F.lit(BLOCK))))
+            sums = F.aggregate(each, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
 
             def one(s: Column) -> Column:
                 def span(m: Column, i: Column) -> Column:
                     start = before(n, s, i) + F.length(F.get(gaps, i))
-                    left = F.concat(F.when(i > 0, "\n").otherwise(""), F.get(gaps, i))
-                    return F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + F.length(m)).alias("end"), m.alias("value"), F.substring(left, -CONTEXT_CHARS, CONTEXT_CHARS).alias("left"))
+                    return F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + F.length(m)).alias("end"), m.alias("value"), pattern_of(F.get(gaps, i)).alias("pattern"))
 
                 return F.transform(matches, span)
 
@@ -121,15 +133,11 @@ def written(spans: Column) -> Column:
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, base, other): the base spans and the other identifier-like strings of each row."""
     text = F.coalesce("text", F.lit(""))
-    other = F.when(text.rlike("[0-9]"), found(text, CANDIDATE, 4)).otherwise(F.slice(found(F.lit(""), IP, 0), 1, 1))
+    none = F.slice(found(F.lit(""), IP, 0), 1, 1)
+    other = F.when(text.rlike("[0-9]"), F.filter(found(text, CANDIDATE, 4), lambda x: (F.length(x["value"]) >= CANDIDATE_CHARS) & x["pattern"].isNotNull())).otherwise(none)
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), other.alias("other"))
 
 
-def pattern_of(left: Column) -> Column:
-    """The last two words before an instance, in lower case; null if there are none."""
-    return F.nullif(F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D\"'(=:]*$", 1)), F.lit(""))
-
-
 def contextual(marks: DataFrame, support: int, least: float, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_hash, start, end) of strings outside the base patterns whose contexts are those of seeds.
 
@@ -137,26 +145,32 @@ def contextual(marks: DataFrame, support: int, least: float, rounds: int = ROUND
     above the threshold are joined back; they are few, and sent to all executors if they are counted to be.
     """
     mentions = marks.select("doc_id", "text_hash", F.explode(F.concat("base", "other")).alias("x")).select(
-        "doc_id", "text_hash", "x.start", "x.end", (F.col("x.kind") < 4).alias("seed"), F.xxhash64("x.value").alias("instance"), pattern_of(F.col("x.left")).alias("pattern")
+        "doc_id", "text_hash", "x.start", "x.end", (F.col("x.kind") < 4).alias("seed"), F.xxhash64("x.value").alias("instance"), F.col("x.pattern").alias("pattern")
     )
     mentions = mentions.where(F.col("pattern").isNotNull())
     edges = saved(mentions.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    sure = edges.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("p"))
-    good = None
+    known = edges.groupBy("instance").agg(F.max("seed").alias("known")).where("known").select(F.col("instance").alias("_instance"))
+    edges = edges.join(known, F.col("instance") == F.col("_instance"), "left").select("pattern", "instance", F.col("_instance").isNotNull().alias("seed"))
+    plain = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("k")).where((F.col("n") >= support) & (F.col("k") == 0)).select(F.col("pattern").alias("_pattern"))
+    contrary = edges.where(~F.col("seed")).join(plain, F.col("pattern") == F.col("_pattern"), "left_semi").select(F.col("instance").alias("_instance")).distinct()
+    edges = saved(edges.join(contrary, F.col("instance") == F.col("_instance"), "left").select("pattern", "instance", "seed", F.col("_instance").isNotNull().alias("against")))
+    sure = edges.select("*", F.col("seed").cast("double").alias("p"))
+    good, before = None, None
     for _ in range(rounds):
         good = (
             sure.groupBy("pattern")
-            .agg(F.sum("p").alias("s"), F.count("*").alias("n"), F.sum((F.col("p") >= least).cast("int")).alias("k"))
-            .where((F.col("k") >= support) & (F.col("s") / F.col("n") >= least))
-            .select("pattern", (F.col("s") / (F.col("n") + 1)).alias("score"))
+            .agg(F.sum(F.when(~F.col("against"), F.col("p")).otherwise(0.0)).alias("s"), F.count_if("against").alias("c"), F.count_if(F.col("p") >= least).alias("k"))
+            .where((F.col("k") >= support) & (F.col("s") >= least * (F.col("s") + F.col("c"))))
+            .select("pattern", (F.col("s") / (F.col("s") + F.col("c") + 1)).alias("score"))
         )
         good = saved(good)
-        scored = edges.join(small(good, good.count()), "pattern", "left")
-        one = scored.groupBy("instance").agg(
-            F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("score", F.lit(0.0))))))).alias("q")
-        )
-        one = saved(one.where("seed or q > 0").select(F.col("instance").alias("_instance"), F.when(F.col("seed"), 1.0).otherwise(F.col("q")).alias("q")))
-        sure = edges.join(small(one, one.count()), F.col("instance") == F.col("_instance"), "left").select("pattern", "instance", "seed", F.coalesce("q", F.lit(0.0)).alias("p"))
+        now = tuple(good.agg(F.count("*"), F.sum(F.xxhash64("pattern").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+        one = edges.join(small(good, now[0]), "pattern").groupBy("instance", "against").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("q"))
+        one = saved(one.select(F.col("instance").alias("_instance"), F.when(F.col("seed"), 1.0).when(F.col("against"), 0.0).otherwise(F.col("q")).alias("q")))
+        sure = edges.join(small(one, one.count()), F.col("instance") == F.col("_instance"), "left").select(*edges.columns, F.coalesce("q", F.col("seed").cast("double")).alias("p"))
     new = saved(sure.where(~F.col("seed") & (F.col("p") >= least)).select(F.col("instance").alias("_instance")).distinct())
     fine = small(good.select(F.col("pattern").alias("_pattern")), good.count())
     return (
@@ -169,13 +183,14 @@ def contextual(marks: DataFrame, support: int, least: float, rounds: int = ROUND
 
 
 def detect(docs: DataFrame, support: int = 5, least: float = 0.8) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): counts by kind, base_sha256, spans, and n_context."""
+    """One row per row of ``docs`` (doc_id, text): counts by kind, base_sha256, spans, n_context, and n_spans, the
+    number of all."""
     marks = saved(marked(docs.select("doc_id", "text")))
     new = contextual(marks, support, least)
     new = saved(new.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t")).agg(F.collect_list(F.struct("start", "end")).alias("new")))
     joined = marks.join(small(new, new.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_t")), "left")
     clear = F.filter(F.col("new"), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    extra = F.transform(clear, lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind"), c["end"].alias("end"), F.lit("").alias("value"), F.lit("").alias("left")))
+    extra = F.transform(clear, lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind"), c["end"].alias("end"), F.lit("").alias("value"), F.lit(None).cast("long").alias("pattern")))
     joined = joined.withColumn("extra", F.coalesce(extra, F.slice("base", 1, 0)))
 
     def n(k: int) -> Column:
@@ -187,4 +202,5 @@ def detect(docs: DataFrame, support: int = 5, least: float = 0.8) -> DataFrame:
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.sort_array(F.concat("base", "extra"))).alias("spans"),
         F.size("extra").cast("long").alias("n_context"),
+        (F.size("base") + F.size("extra")).cast("long").alias("n_spans"),
     )

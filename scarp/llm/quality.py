@@ -1,7 +1,7 @@
 """Quality rules: per-document counts, and line frequency across the documents of a host. DataFrame functions only.
 
 A line's frequency is the number of different texts of its host that hold it (exact copies of a text count once). A line
-above the limit, a share of the host's texts with a floor, is removed from every document but the first that has it
+above the limit, a share of the host's texts but at least ``least`` and at most ``most`` of them, is removed from every document but the first that has it
 (and that one's exact copies), so that a group of copies keeps one whole member. A document is rejected if the base
 rules reject it, or if what is left of it is too little: under ``min_words`` words, or under ``min_left`` of its words.
 
@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, small
+from .common import saved, small
 
-SPACES = r"[\x20\x09-\x0D]+"
-SYMBOLS = r"[^#*$%&|<>]+"
+#: Characters between words, and symbols (fixed values).
+SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MIN_WORDS = 10
 #: Words in repeated 5-word windows, of 100 words, above which the base rule fails.
 MAX_REPEATED = 20
@@ -57,58 +57,52 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 5, 0).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda wh: let(hashed(wh), counted)))
 
 
-def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+def words_of(x: Column) -> Column:
+    return F.filter(F.split(F.translate(x, "\t\n\x0b\x0c\r", " " * 5), " "), lambda w: w != "")
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` (with doc_id, host, text) without text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, and text_hash."""
+def facts(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, host, text) without text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    text_hash, and ``lines``, the hash (of the words in lower case) and number of words of each line that has a word. The
+    text is read and split once."""
     text = F.coalesce("text", F.lit(""))
-    words = let(
-        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeated_words(w).cast("long").alias("n_repeat_words"),
-        ),
-    )
-    lines = let(lines_with_words(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    return docs.select(
+
+    def counted(lines: Column) -> Column:
+        raw = F.transform(lines, lambda x: x["raw"])
+        words = F.flatten(F.transform(lines, lambda x: x["w"]))
+        return F.struct(
+            F.transform(lines, lambda x: F.struct(F.xxhash64(F.lower(F.array_join(x["w"], " "))).alias("h"), F.size(x["w"]).alias("w"))).alias("lines"),
+            (F.size(raw) - F.size(F.array_distinct(raw))).cast("long").alias("n_dup_lines"),
+            let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+        )
+
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("raw"), words_of(x).alias("w"))), lambda x: F.size(x["w"]) > 0)
+    found = docs.select(
         "doc_id",
         "host",
         F.xxhash64(text).alias("text_hash"),
-        words.alias("w"),
-        F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
-        lines.alias("n_dup_lines"),
-    ).select(
-        "doc_id",
-        "host",
-        "text_hash",
-        "w.n_words",
-        "w.word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "w.n_repeat_words",
-        ((F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEATED * F.col("w.n_words"))).alias("base_failed"),
+        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(lines, counted).alias("x"),
     )
+    n, repeated = F.col("x.w.n_words"), F.col("x.w.n_repeat_words")
+    return found.select(
+        "doc_id", "host", "text_hash", n.alias("n_words"), "word_chars", "n_symbols", "x.n_dup_lines", repeated.alias("n_repeat_words"),
+        ((n < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n)).alias("base_failed"), "x.lines",
+    )
 
 
-def line_hash(line: Column) -> Column:
-    """Of the line in lower case with its white space reduced to single spaces."""
-    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACES, " "))))
-
-
-def frequent_lines(docs: DataFrame, share: float, least: int) -> DataFrame:
-    """(host, line, first_hash) of lines in more than ``share`` of their host's texts, and in more than ``least``.
+def frequent_lines(known: DataFrame, share: float, least: int, most: int) -> DataFrame:
+    """(host, line, first_hash) of lines in more than ``share`` of their host's texts, or in more than ``most``, and in more
+    than ``least``.
 
     What moves is a hash and an id for each distinct line of a document, summed up before each shuffle. A null line
     stands for the document itself, so its count is the number of texts of the host. A text has few lines, so at most
-    lines-per-text / share lines of a host can be frequent: the result is small beside the corpus.
+    lines-per-text / share lines of a host, or all its lines / ``most``, can be frequent: the result is small beside the
+    corpus.
     """
-    text = F.coalesce("text", F.lit(""))
-    hashes = F.array_distinct(F.transform(lines_with_words(text), line_hash))
-    held = docs.select("host", "doc_id", F.xxhash64(text).alias("text_hash"), F.explode(F.concat(hashes, F.array(F.lit(None).cast("long")))).alias("line"))
+    hashes = F.array_distinct(F.transform("lines", lambda x: x["h"]))
+    held = known.select("host", "doc_id", "text_hash", F.explode(F.concat(hashes, F.array(F.lit(None).cast("long")))).alias("line"))
     texts = held.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     counted = texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
     counted = saved(counted.where((F.col("n") > least) | F.col("line").isNull()))
@@ -116,30 +110,28 @@ def frequent_lines(docs: DataFrame, share: float, least: int) -> DataFrame:
     return (
         counted.where(F.col("line").isNotNull())
         .join(small(hosts, hosts.count()), F.col("host").eqNullSafe(F.col("_host")))
-        .where((F.col("n") > least) & (F.col("n") > F.col("_texts") * F.lit(float(share))))
+        .where((F.col("n") > least) & (F.col("n") > F.least(F.col("_texts") * F.lit(float(share)), F.lit(float(most)))))
         .select("host", "line", F.col("first.text_hash").alias("first_hash"))
     )
 
 
-def removed_words(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def removed_words(known: DataFrame, frequent: DataFrame) -> DataFrame:
     """(doc_id, host, text_hash, n_removed) of documents that lose lines."""
     frequent = saved(frequent)
     marks = small(frequent.select(F.col("host").alias("_host"), F.col("line").alias("_line"), "first_hash"), frequent.count())
-    text = F.coalesce("text", F.lit(""))
-    lines = F.transform(lines_with_words(text), lambda x, i: F.struct(i.alias("i"), line_hash(x).alias("h"), F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("w")))
-    held = docs.select("doc_id", "host", F.xxhash64(text).alias("text_hash"), F.explode(lines).alias("x")).select("doc_id", "host", "text_hash", "x.i", "x.h", "x.w")
+    held = known.select("doc_id", "host", "text_hash", F.posexplode("lines").alias("i", "x")).select("doc_id", "host", "text_hash", "i", "x.h", "x.w")
     gone = held.join(marks, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_line")) & (F.col("text_hash") != F.col("first_hash")))
     taken = gone.groupBy("doc_id", "host", "text_hash").agg(F.collect_set(F.struct("i", "w")).alias("x"))  # a set: repeated rows count once
     return taken.select("doc_id", "host", "text_hash", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("n_removed"))
 
 
-def judge(docs: DataFrame, share: float = 0.05, least: int = 10, min_words: int = MIN_WORDS, min_left: float = 0.4) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.05, least: int = 10, most: int = 1000, min_words: int = MIN_WORDS, min_left: float = 0.4) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, host): the base counts, base_failed, n_removed, kept, and the
     host and text_hash that tell rows of one doc_id apart."""
-    docs = docs.select("doc_id", "text", "host")
-    removed = saved(removed_words(docs, frequent_lines(docs, share, least)))
+    known = saved(facts(docs.select("doc_id", "text", "host")))
+    removed = saved(removed_words(known, frequent_lines(known, share, least, most)))
     side = removed.select(F.col("doc_id").alias("_id"), F.col("host").alias("_h"), F.col("text_hash").alias("_t"), "n_removed")
-    base = base_counts(docs)
+    base = known.drop("lines")
     joined = base.join(
         small(side, removed.count()),
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("host").eqNullSafe(F.col("_h")) & (F.col("text_hash") == F.col("_t")),
@@ -151,10 +143,9 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, min_words: int
 
 
 def accepted(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever the names."""
     verdict = judge(docs.select("doc_id", "text", F.col(host).alias("host")), **limits)
-    bad = saved(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("host").alias("_h"), F.col("text_hash").alias("_t")).distinct())
-    count = bad.count()
-    side = F.broadcast(bad) if count <= 1_000_000 else bad.hint("shuffle_hash")
-    same = docs["doc_id"].eqNullSafe(side["_id"]) & docs[host].eqNullSafe(side["_h"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == side["_t"])
-    return docs.join(side, same, "left_anti")
+    bad = saved(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("host").alias("h"), F.col("text_hash").alias("t")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col(f"row.{host}").eqNullSafe(F.col("h")) & (F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))) == F.col("t"))
+    return rows.join(small(bad, bad.count()), same, "left_anti").select("row.*")

@@ -23,12 +23,16 @@ import functools
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -94,7 +98,7 @@ def contexts(docs: DataFrame, least: int) -> DataFrame:
     ``context`` a hash of what stands before it."""
 
     def emit(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {}
             for text in batch.column(0).to_pylist():
                 for a, b in strings(text, least) if text else ():
@@ -125,8 +129,10 @@ def identifiers(docs: DataFrame, least: int, min_contexts: int, dictionary_bytes
 
 def novel_spans(text: str, base: list, compressor, least: int, min_bytes: float) -> list[tuple[int, int, int]]:
     found = []
+    starts, ends = [s for s, _, _ in base], [*accumulate((e for _, _, e in base), max)]
     for a, b in strings(text, least):
-        if any(s <= a and b <= e for s, _, e in base) or not sensitive(text, a):
+        before = bisect_right(starts, a)
+        if before and ends[before - 1] >= b or not sensitive(text, a):
             continue
         before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
         rest = len(compressor.compress((before + after).encode("utf-8", "replace")))
@@ -157,7 +163,7 @@ def scan(docs: DataFrame, least: int = 16, min_bytes: float = 0.5, min_contexts:
 
     def report(batches):
         compressor = primed()
-        for batch in batches:
+        for batch in slices(batches):
             rows = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")}
             for text in batch.column("text").to_pylist():
                 base, new = spans_of(text or "", compressor)
@@ -172,7 +178,7 @@ def scan(docs: DataFrame, least: int = 16, min_bytes: float = 0.5, min_contexts:
 
     def masked(batches):
         compressor = primed()
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text in batch.column("text").to_pylist():
                 base, new = spans_of(text or "", compressor)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, saved
+from .common import held_out, saved, slices, small
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows learned from, by class (0, 1): those with the smallest hashes of their ids.
@@ -35,7 +35,12 @@ SAMPLE_ROWS = (5000, 2500)
 HEAD, LONGEST = 4, 8
 #: Lower ends of the classes of evidence, in log-odds.
 CLASSES = (1.5, 2.5, 3.5, 5.0)
-MAX_FEATURES = 50_000
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(v if len(v := c.lower()) == 1 else c for c in text)
 
 
 def features(word: str) -> list[str]:
@@ -54,13 +59,14 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: tuple[int, int]) -> DataF
 
 
 def evidence(sample: DataFrame, sizes: tuple[int, int]) -> dict[str, float]:
-    """Log-odds by feature. Only beginnings that are well attested in toxic texts, and what refines them, are kept."""
+    """Log-odds by feature. Only beginnings that are well attested in toxic texts, and what refines them, are kept: all of
+    them, as they are features of the bounded sample."""
 
     def count(batches):
         sums: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for f in {f for w in set(WORD.findall(text.lower())) for f in features(w)}:
+                for f in {f for w in set(WORD.findall(lowered(text))) for f in features(w)}:
                     sums.setdefault(f, [0, 0])[y] += 1
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()]), pa.array([v[1] for v in sums.values()])], ["f", "n0", "n1"])
@@ -71,8 +77,8 @@ def evidence(sample: DataFrame, sizes: tuple[int, int]) -> dict[str, float]:
         sample.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= 3).withColumn("odds", odds)
     )
     head = F.substring(F.regexp_replace("f", "^=", ""), 1, HEAD)
-    heads = counted.where((F.col("n1") >= least) & (F.col("odds") >= 2.0)).select(head.alias("head")).distinct().orderBy("head").limit(MAX_FEATURES)
-    near = counted.withColumn("head", head).join(F.broadcast(heads), "head", "left_semi").orderBy(F.desc(F.col("n0") + F.col("n1")), "f").limit(MAX_FEATURES)
+    heads = saved(counted.where((F.col("n1") >= least) & (F.col("odds") >= 2.0)).select(head.alias("head")).distinct())
+    near = counted.withColumn("head", head).join(small(heads, heads.count()), "head", "left_semi")
     found = {r["f"]: (r["odds"], r["n1"], r["n0"]) for r in near.collect()}
     strong = {f for f, (v, n1, _) in found.items() if n1 >= least and v >= 2.0}
 
@@ -102,7 +108,7 @@ class Tagger:
 
     def active(self, text: str) -> tuple[int, list[tuple[int, int]]]:
         """Number of words, and (place, class) of those that aren't plain."""
-        words, heads = WORD.findall(text.lower()), self.heads
+        words, heads = WORD.findall(lowered(text)), self.heads
         return len(words), [(i, k) for i, w in enumerate(words) if w[:HEAD] in heads and (k := self.class_of(w))]
 
 
@@ -122,7 +128,7 @@ class Chain:
 
     def power(self, n: int) -> tuple[float, float, float, float]:
         """Matrix of n plain words, divided by the n-th power of its largest eigenvalue."""
-        r = self.ratio**n if n < 4096 else 0.0
+        r = self.ratio**n
         x = self.first + r * self.rest
         return x[0, 0], x[0, 1], x[1, 0], x[1, 1]
 
@@ -163,37 +169,42 @@ class Chain:
 def fit_chain(rows: list[tuple[int, int, list]]) -> Chain:
     """Newton's method on the tags' likelihood; derivatives by differences, all texts at once.
 
-    A text is padded to runs: before each active word a power of the plain matrix, then its own matrix."""
+    A text is a list of runs: before each active word a power of the plain matrix, then its own matrix. Texts are in order
+    of their active words, so the j-th words of all texts that have one are the first rows."""
     k = len(CLASSES)
-    width = max((len(r[2]) for r in rows), default=0)
-    gaps, kinds = np.zeros((len(rows), width), int), np.full((len(rows), width), -1)
+    rows = sorted(rows, key=lambda r: -len(r[2]))
+    count = np.array([len(r[2]) for r in rows])
+    first = np.cumsum(count) - count
+    gaps, kinds = np.zeros(count.sum(), int), np.zeros(count.sum(), int)
     tails = np.zeros(len(rows), int)
     gold = np.zeros(k + 2)
     for d, (y, n, active) in enumerate(rows):
         last = -1
         for j, (i, c) in enumerate(active):
-            gaps[d, j], kinds[d, j] = i - last - 1, c
+            gaps[first[d] + j], kinds[first[d] + j] = i - last - 1, c
             if y:
                 gold[c] += 1
                 gold[k + 1] += j > 0 and i == last + 1
             last = i
         tails[d] = n - 1 - last
+    plain = np.array([n - len(a) for _, n, a in rows])
+    longer = np.searchsorted(-count, -np.arange(count.max(initial=0)), side="left")  # texts with more than j active words
 
     def value(x: np.ndarray) -> float:
         chain = Chain(x[: k + 1], x[k + 1])
         log_big, e = math.log(chain.big), math.exp(x[k + 1])
 
         def run(o, t, n):
-            r = np.where(n < 4096, chain.ratio ** np.minimum(n, 4096), 0.0)
+            r = chain.ratio ** n.astype(float)
             p = [chain.first[i, j] + r * chain.rest[i, j] for i in (0, 1) for j in (0, 1)]
             return o * p[0] + t * p[2], o * p[1] + t * p[3]
 
-        o, t, logs = np.ones(len(rows)), np.zeros(len(rows)), (gaps.sum(1) + tails) * log_big
+        o, t, logs = np.ones(len(rows)), np.zeros(len(rows)), plain * log_big
         weights = np.exp(np.append(x[: k + 1], 0.0))
-        for j in range(width):
-            on = np.flatnonzero(kinds[:, j] >= 0)
-            a, b = run(o[on], t[on], gaps[on, j])
-            a, b = a + b, (a + b * e) * weights[kinds[on, j]]
+        for j, m in enumerate(longer):
+            on, at = slice(0, m), first[:m] + j
+            a, b = run(o[on], t[on], gaps[at])
+            a, b = a + b, (a + b * e) * weights[kinds[at]]
             s = a + b
             o[on], t[on] = a / s, b / s
             logs[on] += np.log(s)
@@ -259,13 +270,14 @@ def learn(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROW
 
     def encode(batches):
         tagger = Tagger(odds)
-        for batch in batches:
+        for batch in slices(batches):
             found = [tagger.active(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([[x for pair in a for x in pair] for _, a in found], pa.list_(pa.int64()))], ["toxic", "n", "active"]
             )
 
-    rows_ = [(r["toxic"], r["n"], list(zip(r["active"][::2], r["active"][1::2]))) for r in sample.mapInArrow(encode, "toxic int, n long, active array<long>").orderBy("toxic", "n", "active").collect()]
+    rows_ = [(r["toxic"], r["n"], list(zip(r["active"][::2], r["active"][1::2]))) for r in sample.mapInArrow(encode, "toxic int, n long, active array<long>").collect()]
+    rows_.sort()
     chain = fit_chain(rows_)
     x = np.array([summary(n, chain.marginals(n, a) if a else []) for _, n, a in rows_])
     y = np.array([r[0] for r in rows_], float)
@@ -274,19 +286,19 @@ def learn(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROW
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPLE_ROWS, threshold: float = 0.7) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted, and ``offsets``, the offending
-    words as start:end in code points of the lower-cased text."""
+    words as start:end in code points of the text."""
     model = learn(docs, labels, sample_rows)
 
     def predict(batches):
         tagger = Tagger(model.odds if model else {})
-        for batch in batches:
+        for batch in slices(batches):
             scores, offsets = [], []
             for text in batch.column(1).to_pylist():
                 n, active = tagger.active(text or "")
                 marginals = model.chain.marginals(n, active) if active else []
                 scores.append(model.score(n, marginals) if model else 0.0)
                 bad = {i for (i, _), p in zip(active, marginals) if p >= 0.5}
-                offsets.append(",".join(f"{m.start()}:{m.end()}" for i, m in enumerate(WORD.finditer(text.lower())) if i in bad) if bad else "")
+                offsets.append(",".join(f"{m.start()}:{m.end()}" for i, m in enumerate(WORD.finditer(lowered(text))) if i in bad) if bad else "")
             predicted = [int(s >= threshold) for s in scores]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(offsets, pa.string())], ["doc_id", "held_out", "score", "predicted", "offsets"]

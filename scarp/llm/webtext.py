@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: A comment, a declaration, a tag, or text up to the next tag.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -45,9 +47,9 @@ ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words of a class, id or role that mark what is not an article's text.
 NOISE = frozenset(
-    "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus"
+    "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus"
     " footer header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related"
-    " recommend recommended reply replies search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert"
+    " recommend recommended reply replies search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget alert"
     " contentinfo complementary".split()
 )
 #: A name with one of these tells what the page has or lacks, or how it is laid out, not what the element is.
@@ -78,14 +80,17 @@ def noise_of(tag: str, attributes: str) -> tuple[int, str]:
 
 
 class Page:
-    """Blocks of a page with the path of each: (text, path, in a noise element, in an article, characters in links)."""
+    """Blocks of a page with the path of each: (text, path, in a noise element, in an article, characters in links). A
+    path is the number that its last element got under its parent's path, so deep nesting takes no more room."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, str, bool, bool, int]] = []
+        self.blocks: list[tuple[str, int, bool, bool, int]] = []
+        paths: dict[tuple[int, str], int] = {}
         self.parts: list[str] = []
         self.linked = 0
-        self.owner = ("", False, False)
-        stack: list[tuple[str, str, int, bool]] = [("", "", OPEN, False)]
+        self.owner = (0, False, False)
+        #: Tag, path, how it stands to content, whether in an article, and the place of the innermost element not inline.
+        stack: list[tuple[str, int, int, bool, int]] = [("", 0, OPEN, False, 0)]
         opened: Counter[str] = Counter()
         open_links, at, size = 0, 0, len(source)
         lower = None
@@ -121,16 +126,11 @@ class Page:
             if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
                 continue
             ended = ENDS.get(tag) or ({"p"} if tag in CLOSES_P else ())
-            if ended:
-                for k in range(len(stack) - 1, max(0, len(stack) - 8), -1):
-                    if stack[k][0] in ended:
-                        opened.subtract(x[0] for x in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+            if ended and stack[k := stack[-1][4]][0] in ended:
+                opened.subtract(x[0] for x in stack[k:])
+                del stack[k:]
             own, label = noise_of(tag, m[3])
-            _, path, noise, article = stack[-1]
+            _, path, noise, article, block = stack[-1]
             inside = tag in INLINE and own == OPEN
             if tag in ("article", "main"):
                 # The names around an outermost one say nothing of it, unless its own say the same.
@@ -138,7 +138,8 @@ class Page:
             elif tag not in ("html", "body"):
                 noise = max(noise, own)
             opened[tag] += 1
-            stack.append((tag, path if inside or len(path) > 2000 else f"{path}/{tag}{label}", noise, article or tag in ("article", "main")))
+            path = path if inside else paths.setdefault((path, tag + label), len(paths) + 1)
+            stack.append((tag, path, noise, article or tag in ("article", "main"), block if tag in INLINE else len(stack)))
         self.close()
 
     def close(self) -> None:
@@ -184,7 +185,7 @@ def extract(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 128):
             texts = ["\n".join(content(Page(h).blocks, threshold)) if h else "" for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

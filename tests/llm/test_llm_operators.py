@@ -80,6 +80,19 @@ def test_jaccard(spark, texts):
     assert jaccard.linked(frame(spark, [])).count() == 0
 
 
+def test_jaccard_plans_agree(spark, texts, monkeypatch):
+    """Texts laid out by id, and lists cut into tiles of few rows, give the same result."""
+    rng = random.Random(12)
+    common = words(rng, 40, "stuvw")
+    rows = list(enumerate(texts)) + [(500 + i, " ".join(common + words(rng, 11))) for i in range(60)]
+    docs = frame(spark, rows)
+    label = linked_by_hand(rows)
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 4)
+    got = {r.doc_id: r.component_id for r in jaccard.linked(docs, rounds=1, most_ids=0).collect()}
+    assert got == label
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("scarp_")]
+
+
 def test_jaccard_bridges_a_large_group(spark):
     """A chain in which only neighbours link, and a group with more members than any bucket looks at."""
     rng = random.Random(2)
@@ -400,6 +413,76 @@ def test_pieces(spark, texts):
     assert pieces.encode(frame(spark, []), MODEL).count() == 0
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    v = pieces.Vocabulary(MODEL)
+    ids, _ = pieces.Encoder(v).encode([" " * 100_000 + "end"])
+    assert pieces.decoded(ids.tolist(), v.text) == " " * 100_000 + "end"
+    text = "token = abcdef0123456789abcd " * 20_000
+    base = secrets.base_spans(text)
+    assert len(base) == 20_000 and not secrets.novel_spans(text, base, None, 16, 0.5)
+    blocks = webtext.Page("<b>" * 20_000 + "<p>x</p>" * 20_000 + "<div>" * 20_000 + "deep").blocks
+    assert len(blocks) == 20_001 and len({b[1] for b in blocks}) == 2
+    assert time.time() - began < 10
+
+
+def test_long_text_is_encoded_in_parts(monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 40)
+    text = "some words,  and runs   of spaces " * 30 + "x" * 200 + "  end"
+    ids, ends = pieces.Encoder(pieces.Vocabulary(MODEL)).encode([text])
+    assert ids.tolist() == model.encode(text) and ends.tolist() == [len(ids)]
+
+
+def test_many_numbers(spark):
+    import time
+
+    text = "12 1.2.3.4 " * 25_000 + "1" * 50_000
+    began = time.time()
+    r = pii.detect(frame(spark, [(1, text)])).first()
+    assert r.n_ip == 25_000 and r.spans.startswith("ip:3:10,ip:14:21,") and time.time() - began < 60
+
+
+def test_bootstrapped_contexts(spark):
+    local = [f"555-{k:04d}" for k in range(12)]
+    rows = [(i, f"then call me {f'+1 555 123 45{i:02d}'} today") for i in range(20)] + [(100 + i, f"then call me {x} today") for i, x in enumerate(local)]
+    rows += [(200 + i, f"as of {1990 + i}-01 we {'saw page' if i % 2 else 'left room'} 12{i:03d} here") for i in range(40)]
+    rows += [(300 + i, f"please message user{i:03d}x today") for i in range(3)] + [(400, "then call me jdoe42 today")]
+    got = {r.doc_id: r.spans for r in pii.detect(frame(spark, rows)).collect()}
+    assert all(got[100 + i] == f"context:13:{13 + len(x)}" for i, x in enumerate(local)) and got[400] == "context:13:19"
+    assert all(got[i].startswith("phone:") and "context" not in got[i] for i in range(20))
+    assert not any(got[i] for i in [*range(200, 240), 300, 301, 302])
+
+
+def test_clashing_names(spark):
+    """Tables whose other columns have names that operators use inside."""
+    names = ["row", "id", "k", "gone", "own", "times", "_id", "_k", "h", "t", "_size", "_copy"]
+    rng = random.Random(20)
+    rows = [(i, " ".join(words(rng, 30)), "s", *[str(i)] * len(names)) for i in range(30)]
+    rows += [(40, rows[3][1], "s", *["40"] * len(names)), rows[5], (41, None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted([*range(30), 5, 41])
+    assert sorted(r.doc_id for r in quality.accepted(docs).collect()) == sorted([*range(30), 5, 40])
+    mixed = mixing.copies(docs, mixing.mix(docs))
+    assert mixed.columns == docs.columns and all(r._k == str(r.doc_id) for r in mixed.collect())
+    masked = secrets.scan(docs, mask="[X]")
+    assert masked.columns == docs.columns and masked.count() == len(rows)
+
+
+def test_repeated_rows_fly_apart(spark):
+    rows = [(1, "one two three", None, "a")] * 500 + [(2, "four five", None, "b")] * 40
+    mixed = mixing.mix(frame(spark, rows), bucket_rows=32).collect()
+    taken, target = Counter(), {}
+    for r in mixed:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(mixed) == 540 and all(abs(taken[s] - target[s]) <= 6 for s in "ab")
+
+
 def test_unigram_walk_is_the_best_path():
     v = object.__new__(pieces.Vocabulary)
     v.kind, v.score = "unigram", {"▁a": -1.0, "b": -2.0, "ab": -2.5, "▁ab": -3.5, "bc": -1.5, "c": -3.0, "▁": -2.0, "a": -3.0}
