@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import risk
 from ..streaming import jobs
+from .lifecycle import fold_sql
 
 
 def _stream(spark, sf):
@@ -62,5 +63,7 @@ ORACLES = {
     "stream_sliding": "WITH d AS (SELECT ts::DATE AS d, value FROM events UNION ALL SELECT ts::DATE - 1, value FROM events) SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n, round(max(value), 6) AS top FROM d GROUP BY 1",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), c AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), n AS (SELECT user_id, k, count(*) AS n FROM c GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY 1",
     "stream_first": "SELECT event_id, event_type FROM events",
+    "stream_alerts": f"""WITH RECURSIVE sc AS (SELECT event_id, user_id, ts, event_id % 10 AS d, greatest(0, least(1, (value - 20) / 60::DOUBLE)) AS s FROM events), src AS (SELECT event_id AS assessment_id, user_id AS site_id, epoch_us(ts) AS "at", round(s, 6) AS score, CASE WHEN s >= 0.6 THEN 'high' WHEN s >= 0.35 THEN 'medium' ELSE 'low' END AS level, d::DOUBLE / 10 AS dynamic, event_id % 4 = 0 AS needs_confirmation FROM sc), {fold_sql("src")}
+ SELECT assessment_id, site_id, level, kind, previous_level, superseded, status FROM decided""",
     "stream_latest": "SELECT user_id, event_type, max(event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1, 2",
 }
