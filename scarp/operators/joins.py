@@ -28,12 +28,16 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float, on: Column | None = None) -> DataFrame:
-    """Pairs of boxes that overlap or touch; columns of either side get the prefixes l_ and r_. ``on`` may narrow further."""
+def box_join(left: DataFrame, right: DataFrame, size: float, on: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of boxes that overlap or touch; columns of either side get the prefixes l_ and r_. ``keys`` are equal on both
+    sides and part of the join's key; ``on`` may narrow further."""
     a, b = in_buckets(prefixed(left, "l_"), size, "l_"), in_buckets(prefixed(right, "r_"), size, "r_")
     x, y = F.greatest("l_x0", "r_x0"), F.greatest("l_y0", "r_y0")
     meets = (x <= F.least("l_x1", "r_x1")) & (y <= F.least("l_y1", "r_y1")) & (F.col("bx") == bucket(x, size)) & (F.col("by") == bucket(y, size))
-    return a.join(b, ["bx", "by"]).where(meets if on is None else meets & on).drop("bx", "by")
+    for k in keys:
+        a, b = a.withColumn(f"_{k}", F.col(f"l_{k}")), b.withColumn(f"_{k}", F.col(f"r_{k}"))
+    same = ["bx", "by", *[f"_{k}" for k in keys]]
+    return a.join(b, same).where(meets if on is None else meets & on).drop(*same)
 
 
 def overlap_area() -> Column:
@@ -56,17 +60,32 @@ def km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.hypot((lon1 - lon2) * KM_LON * F.cos(F.radians(lat1)), (lat1 - lat2) * KM_LAT)
 
 
-def nearest(left: DataFrame, right: DataFrame, max_km: float, left_id: str, right_id: str, max_lat: float = 60.0) -> DataFrame:
-    """For each left point the nearest right point closer than ``max_km``; ties to the smaller id. A left point looks at
-    the nine buckets around it; buckets are as wide as ``max_km`` at ``max_lat``."""
-    import math
+def close_pairs(left: DataFrame, right: DataFrame, max_km: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points closer than ``max_km`` (l_, r_, km), with equal ``keys``. Latitudes fall into bands as high as the
+    distance, and the longitudes of a band into buckets as wide as the distance where the band and its neighbours are
+    narrowest, so a left point looks at nine buckets at any latitude."""
+    high = max_km / KM_LAT
+
+    def across(lon: Column, band: Column) -> Column:
+        far = F.least(F.lit(89.9), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * F.lit(high))
+        return F.floor(lon * F.cos(F.radians(far)) / F.lit(max_km / KM_LON)).cast("long")
+
+    a, b = prefixed(left, "l_"), prefixed(right, "r_")
+    near = lambda c: F.explode(F.array(*[c + d for d in (-1, 0, 1)]))
+    a = a.withColumn("by", near(bucket(F.col("l_lat"), high)))
+    a = a.withColumn("bx", near(across(F.col("l_lon"), F.col("by"))))
+    b = b.withColumn("by", bucket(F.col("r_lat"), high))
+    b = b.withColumn("bx", across(F.col("r_lon"), F.col("by")))
+    for k in keys:
+        a, b = a.withColumn(f"_{k}", F.col(f"l_{k}")), b.withColumn(f"_{k}", F.col(f"r_{k}"))
+    same = ["bx", "by", *[f"_{k}" for k in keys]]
+    pairs = a.join(b, same).drop(*same)
+    return pairs.withColumn("km", km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("km") < max_km)
+
 
-    size = max_km / KM_LON / math.cos(math.radians(max_lat))
-    a = prefixed(left, "l_")
-    for axis, name in (("lon", "bx"), ("lat", "by")):
-        a = a.withColumn(name, F.explode(F.array(*[bucket(F.col(f"l_{axis}"), size) + d for d in (-1, 0, 1)])))
-    b = prefixed(right, "r_").withColumn("bx", bucket(F.col("r_lon"), size)).withColumn("by", bucket(F.col("r_lat"), size))
-    pairs = a.join(b, ["bx", "by"]).withColumn("km", km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("km") < max_km)
+def nearest(left: DataFrame, right: DataFrame, max_km: float, left_id: str, right_id: str) -> DataFrame:
+    """For each left point the nearest right point closer than ``max_km``; ties to the smaller id."""
+    pairs = close_pairs(left, right, max_km)
     return pairs.groupBy(F.col(f"l_{left_id}").alias(left_id)).agg(F.min(F.struct(F.round("km", 9).alias("km"), F.col(f"r_{right_id}").alias("id"))).alias("m")).select(left_id, F.col("m.id").alias("nearest"), F.col("m.km").alias("km"))
 
 
@@ -97,10 +116,23 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
 
 
 def newest_before(history: DataFrame, keys: list[str], at: str, row_id: str, lo_days: float, hi_days: float, most: int) -> DataFrame:
-    """For each row its ``most`` newest predecessors of the same keys, ``lo_days`` to ``hi_days`` before it."""
-    pairs = interval_join(history.select(*keys, at, row_id), history.select(*keys, at, row_id), keys, at, lo_days, hi_days)
-    place = Window.partitionBy(f"l_{row_id}").orderBy(F.col(f"r_{at}").desc(), f"r_{row_id}")
-    return pairs.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select(F.col(f"l_{row_id}").alias(row_id), F.col(f"r_{row_id}").alias("reference"), "place", "age_days")
+    """For each row its ``most`` newest predecessors of the same keys, ``lo_days`` to ``hi_days`` before it; ties to the
+    smaller id. No pairs are formed: each time of a key keeps its first ``most`` ids, and a range window over the times,
+    newest first, finds those of the first times in reach."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = history.select(*keys, row_id, micros.alias("_t"))
+    first = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(row_id))
+    times = rows.withColumn("_k", first).where(F.col("_k") <= most).groupBy(*keys, "_t").agg(F.sort_array(F.collect_list(row_id)).alias("_ids"))
+    day = 86_400_000_000
+    reach = Window.partitionBy(*keys).orderBy(F.desc("_t")).rangeBetween(int(lo_days * day), int(hi_days * day))
+
+    def of(x: Column) -> Column:
+        return F.coalesce(F.transform(x["_ids"], lambda i: F.struct(i.alias("id"), x["_t"].alias("t"))), F.array())
+
+    found = F.flatten(F.array(*[of(F.nth_value(F.struct("_t", "_ids"), k).over(reach)) for k in range(1, most + 1)]))
+    known = times.select(*keys, "_t", F.slice(found, 1, most).alias("_found")).where(F.size("_found") > 0)
+    out = rows.join(known, [*keys, "_t"]).select(row_id, "_t", F.posexplode("_found").alias("place", "x"))
+    return out.select(row_id, F.col("x.id").alias("reference"), (F.col("place") + 1).alias("place"), ((F.col("_t") - F.col("x.t")) / F.lit(86400e6)).alias("age_days"))
 
 
 def consecutive(df: DataFrame, keys: list[str], at: str, row_id: str, lo_days: float, hi_days: float) -> DataFrame:
@@ -110,13 +142,20 @@ def consecutive(df: DataFrame, keys: list[str], at: str, row_id: str, lo_days: f
     return df.select(*keys, F.col(row_id).alias("first"), F.lead(row_id).over(by).alias("second"), gap.alias("gap_days")).where(F.col("gap_days").between(lo_days, hi_days))
 
 
+def events_before(events: DataFrame, size: float, within_days: float, keys: tuple[str, ...], on: Column) -> DataFrame:
+    """Pairs of events (id, at, box) of which the right one is at most ``within_days`` before the left and meets its box, with
+    equal ``keys``. Time is part of the join's key: slots as long as the reach, of which a left event looks at two."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = F.floor(micros("at") / F.lit(within_days * 86400e6)).cast("long")
+    now, past = events.withColumn("slot", F.explode(F.array(slot, slot - 1))), events.withColumn("slot", slot)
+    age = (micros("l_at") - micros("r_at")) / F.lit(86400e6)
+    return box_join(now, past, size, on & (F.col("l_id") != F.col("r_id")) & age.between(0, within_days), (*keys, "slot"))
+
+
 def confirmations(events: DataFrame, size: float, within_days: float) -> DataFrame:
     """Events (id, aoi, kind, orbit, at, box) that another orbit confirms: an earlier event, at most ``within_days``
     before, of the same area and kind, from another orbit, whose box meets theirs. (id, confirmed_by), one row an event."""
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    age = (micros("l_at") - micros("r_at")) / F.lit(86400e6)
-    same = (F.col("l_aoi") == F.col("r_aoi")) & (F.col("l_kind") == F.col("r_kind")) & (F.col("l_orbit") != F.col("r_orbit")) & (F.col("l_id") != F.col("r_id"))
-    pairs = box_join(events, events, size, same & age.between(0, within_days))
+    pairs = events_before(events, size, within_days, ("aoi", "kind"), F.col("l_orbit") != F.col("r_orbit"))
     return pairs.groupBy(F.col("l_id").alias("id")).agg(F.min("r_id").alias("confirmed_by"))
 
 
@@ -138,10 +177,17 @@ def recipients(alerts: DataFrame, subscribers: DataFrame) -> DataFrame:
     return some.select("alert_id", "sub_id", "language").union(asked.join(anywhere, "_rank").select("alert_id", "sub_id", "language"))
 
 
-def exposed_assets(path: DataFrame, assets: DataFrame, corridor_km: float, speed: float, max_km: float = 150.0) -> DataFrame:
-    """Assets near a flow path (path_id, lon, lat, along_km, z): the nearest vertex within the corridor, height above it
-    below max(15, 60 - along / 2) m unless the asset stands at the channel, and minutes of travel at ``speed`` m/s."""
-    near = nearest(assets.select("asset_id", "lon", "lat"), path.withColumn("vertex", F.struct("along_km", "path_id", "z")).select("vertex", "lon", "lat"), corridor_km, "asset_id", "vertex")
-    joined = near.join(assets, "asset_id").select("asset_id", "kind", "at_channel", F.col("nearest.path_id").alias("path_id"), F.col("nearest.along_km").alias("along_km"), "km", F.when(F.col("at_channel"), 0.0).otherwise(F.col("height_m") - F.col("nearest.z")).alias("above_m"))
-    fits = (F.col("along_km") <= max_km) & (F.col("above_m") <= F.greatest(F.lit(15.0), 60 - 0.5 * F.col("along_km")))
-    return joined.where(fits).withColumn("minutes", F.col("along_km") * 1000 / speed / 60)
+def exposed_assets(paths: DataFrame, assets: DataFrame, corridor_km: float, speed: Column | float, max_km: float = 150.0) -> DataFrame:
+    """Assets near flow paths (path_id, lon, lat, along_km, z), by path: the nearest vertex within the corridor, height above
+    it below max(15, 60 - along / 2) m unless the asset stands at the channel, and minutes of travel at ``speed`` m/s."""
+    pairs = close_pairs(assets.select("asset_id", "lon", "lat"), paths, corridor_km)
+    best = pairs.groupBy(F.col("l_asset_id").alias("asset_id"), F.col("r_path_id").alias("path_id")).agg(F.min(F.struct(F.round("km", 9).alias("km"), F.col("r_along_km").alias("along_km"), F.col("r_z").alias("z"))).alias("m"))
+    joined = best.join(assets.select("asset_id", "kind", "name", "at_channel", "height_m"), "asset_id")
+    above = F.when(F.col("at_channel"), 0.0).otherwise(F.col("height_m") - F.col("m.z"))
+    fits = (F.col("m.along_km") <= max_km) & (above <= height_limit(F.col("m.along_km")))
+    return joined.where(fits).select("path_id", "asset_id", "kind", "name", F.col("m.along_km").alias("along_km"), (F.col("m.km") * 1000).alias("offset_m"), F.greatest(above, F.lit(0.0)).alias("above_m"), (F.col("m.along_km") * 1000 / speed / 60).alias("minutes"))
+
+
+def height_limit(along_km: Column) -> Column:
+    """Metres above the channel that a flood may reach."""
+    return F.greatest(F.lit(15.0), 60 - 0.5 * along_km)

@@ -1,7 +1,13 @@
-"""Features by site and time, and the risk model: noisy-OR of ramped indicators, gated, combined with exposure."""
+"""Features by site and time, and the risk model: noisy-OR of ramped indicators, gated, combined with exposure.
+
+Feature functions take observations with a column ``age`` (days before the time of assessment) and key columns, so one plan
+scores a site at one time (``aged``) or all sites at all times (``as_of_rows``). They give one row a key.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,85 +17,201 @@ from .stats import MAD_SCALE, age_days, newest_run, speedup, weighted_mean
 RADAR_SHARE = 0.5
 
 
+@dataclass(frozen=True)
+class Windows:
+    """Ages in days of what is compared, and what counts (the defaults are fixed values)."""
+
+    recent: float = 16
+    compare: tuple[float, float] = (20, 75)
+    annual: tuple[float, float] = (330, 400)
+    glacier: float = 400
+    season: tuple[float, float] = (335, 395)
+    fallback: tuple[float, float] = (30, 150)
+    event: float = 30
+    history: float = 365
+    min_quality: float = 0.8
+    min_z: float = 3.0
+    min_speed: float = 0.05
+    min_base: int = 3
+    fracture_z: float = 3.0
+    fracture_floor: float = 50.0
+
+    @property
+    def reach(self) -> float:
+        """The oldest age that any feature looks at."""
+        return max(self.annual[1], self.season[1], self.fallback[1], self.history, self.glacier)
+
+
 def in_window(at: Column, as_of: Column, lo: float, hi: float) -> Column:
     """Age in days from lo to hi, both ends included."""
     return age_days(at, as_of).between(lo, hi)
 
 
+def aged(obs: DataFrame, as_of: Column) -> DataFrame:
+    """Observations up to a time, with their ages."""
+    return obs.withColumn("age", age_days(F.col("observed_at"), as_of)).where(F.col("age") >= 0)
+
+
+def as_of_rows(obs: DataFrame, times: DataFrame, keys: list[str], reach_days: float) -> DataFrame:
+    """``obs`` once for each of their site's ``times`` (keys, as_of) that sees them, with their ages. Slots of time as long
+    as the reach are part of the join's key, so a time meets two slots, not a site's whole history."""
+    width = reach_days * 86400e6
+    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width)).cast("long")
+    a = times.withColumn("_slot", F.explode(F.array(slot("as_of"), slot("as_of") - 1)))
+    pairs = a.join(obs.withColumn("_slot", slot("observed_at")), [*keys, "_slot"]).drop("_slot")
+    return pairs.withColumn("age", age_days(F.col("observed_at"), F.col("as_of"))).where(F.col("age").between(0, reach_days))
+
+
 def trustworthy(sensor: Column, area: Column, reference: Column) -> Column:
     return (sensor != "S1") | F.coalesce(reference, F.lit(0.0)).eqNullSafe(F.lit(0.0)) | (area >= RADAR_SHARE * reference)
 
 
-def lake_features(obs: DataFrame, as_of: Column, recent=(0, 16), compare=(20, 75), annual=(330, 400), quality=0.8) -> DataFrame:
-    """Growth of lakes by site: sensors are never mixed within a comparison; the optical one goes first."""
-    good = obs.where((F.col("kind") == "lake_area") & (F.col("quality") >= quality) & F.col("v").isNotNull() & (F.col("observed_at") <= as_of))
+def good_areas(rows: DataFrame, min_quality: float) -> DataFrame:
+    fine = (F.col("kind") == "lake_area") & (F.col("quality") >= min_quality) & F.col("v").isNotNull()
+    return rows.where(fine & trustworthy(F.col("sensor"), F.col("v"), F.col("reference"))) if "reference" in rows.columns else rows.where(fine)
 
-    def med(sensor: str, window) -> Column:
-        return F.median(F.when((F.col("sensor") == sensor) & in_window(F.col("observed_at"), as_of, *window), F.col("v")))
 
-    named = {f"{w}_{s.lower()}": med(s, x) for s in ("S1", "S2") for w, x in (("now", recent), ("cmp", compare), ("ann", annual))}
-    wide = good.groupBy("site_id").agg(
-        *[c.alias(k) for k, c in named.items()],
-        F.max_by("v", F.struct("observed_at", "event_id")).alias("latest"),
-        F.avg("quality").alias("mean_quality"),
-    )
+def lake_features(rows: DataFrame, keys: list[str], w: Windows) -> DataFrame:
+    """Growth in percent, area, distance to ice, rise of turbidity and confidence. Sensors are never mixed within a
+    comparison, the optical one goes first, and zeros count as missing. The area is that of the optical sensor, else of the
+    one seen last."""
+    good = good_areas(rows, w.min_quality)
+    age = F.col("age")
+    spans = {"now": (0, w.recent), "cmp": w.compare, "ann": w.annual}
 
-    def growth(to: str) -> Column:
-        per = [F.try_divide(100 * (F.col(f"now_{s}") - F.col(f"{to}_{s}")), F.nullif(F.col(f"{to}_{s}"), F.lit(0.0))) for s in ("s2", "s1")]
-        return F.coalesce(*per)
+    def med(value: str, sensor: str, span) -> Column:
+        return F.median(F.when((F.col("sensor") == sensor) & age.between(*span), F.col(value)))
 
-    confidence = 0.2 + F.when(F.coalesce("now_s2", "now_s1").isNotNull(), 0.35).otherwise(0.0) + F.when(growth("cmp").isNotNull(), 0.25).otherwise(0.0) + 0.2 * F.col("mean_quality")
-    return wide.select(
-        "site_id", growth("cmp").alias("growth_pct"), growth("ann").alias("annual_growth_pct"), F.coalesce("now_s2", "now_s1", "latest").alias("area"), F.least(F.lit(1.0), confidence).alias("confidence")
-    )
+    def last(sensor: str) -> Column:
+        return F.max(F.when(F.col("sensor") == sensor, F.struct(-age, F.col("event_id"), F.col("v").alias("v"))))
 
-
-def event_features(obs: DataFrame, as_of: Column, kind: str, recent_days=30, history=(30, 365), min_history=4, min_recent=2, z=3.0, offset=50.0) -> DataFrame:
-    """Summed and largest recent area, and persistence: at least two recent values far above a history of enough rows."""
-    rows = obs.where((F.col("kind") == kind) & (F.col("observed_at") <= as_of)).withColumn("_age", age_days(F.col("observed_at"), as_of))
-    past = F.when(F.col("_age").between(*history), F.col("v"))
-    now = F.when(F.col("_age") <= recent_days, F.col("v"))
-    mid = rows.groupBy("site_id").agg(F.median(past).alias("_mid"))
-    wide = rows.join(mid, "site_id").groupBy("site_id").agg(
-        F.sum(now).alias("area_sum"), F.max(now).alias("area_max"), F.count(now).alias("n_recent"), F.count(past).alias("n_history"), F.max("_mid").alias("mid"),
-        (MAD_SCALE * F.median(F.abs(past - F.col("_mid"))) + offset).alias("scale"), F.sort_array(F.collect_list(now)).alias("_now"),
-    )
-    high = F.size(F.filter("_now", lambda x: (x - F.col("mid")) / F.col("scale") > z))
-    enough = (F.col("n_history") >= min_history) & (F.col("n_recent") >= min_recent) & (high >= 2)
-    return wide.select("site_id", "area_sum", "area_max", "n_recent", F.when(enough, F.col("area_max") - F.col("mid")).otherwise(0.0).alias("new_length"))
-
-
-def ice_features(obs: DataFrame, as_of: Column, recent=(0, 8), base=(8, 30), z=3.0, speed=0.05, min_quality=0.2) -> DataFrame:
-    """Speed-up of velocities by site: ratio only where it is significant, and the newest run of fast values."""
-    rows = obs.where((F.col("kind") == "velocity") & (F.col("quality") >= min_quality) & F.col("v").isNotNull() & (F.col("observed_at") <= as_of))
-    age = age_days(F.col("observed_at"), as_of)
-    rows = rows.withColumn("period", F.when(age.between(*recent), "recent").when((age > base[0]) & (age <= base[1]), "base"))
-    test = speedup(rows, ["site_id"], "period", "orbit")
-    sure = F.coalesce((F.col("z") >= z) & (F.col("v_recent") >= speed), F.lit(False))
-    facts = test.select("site_id", "v_base", "se_base", "floor")
-    runs = newest_run(rows.join(facts, "site_id"), ["site_id"], "observed_at", F.coalesce(F.col("v") - F.col("v_base") > 2 * F.greatest("se", "floor"), F.lit(False)))
-    return test.join(runs, "site_id", "left").select(
-        "site_id", "v_recent", "v_base", "z", F.when(sure, F.col("v_recent") / F.greatest(F.col("v_base"), F.lit(0.05))).otherwise(F.when(F.col("z").isNotNull(), 1.0)).alias("ratio"),
-        F.when(sure, F.coalesce("run", F.lit(0))).otherwise(F.lit(0)).alias("trend"),
+    more = {"ice": med("glacier_m", "S2", (0, w.glacier)), "dirt": med("turbidity", "S2", spans["now"]), "dirt0": med("turbidity", "S2", spans["cmp"])} if "turbidity" in rows.columns else {}
+    wide = good.groupBy(*keys).agg(
+        *[F.nullif(med("v", s, x), F.lit(0.0)).alias(f"{k}_{s}") for s in ("S1", "S2") for k, x in spans.items()],
+        *[last(s).alias(f"last_{s}") for s in ("S1", "S2")],
+        *[c.alias(k) for k, c in more.items()],
+        F.avg(F.when(age <= w.recent, F.col("quality"))).alias("seen"),
     )
 
-
-def line_of_sight_features(obs: DataFrame, as_of: Column, recent_days=8, min_quality=0.3, z=1.0, least=5e-4) -> DataFrame:
-    """Recent and earlier means of signed line-of-sight speeds by site, their z, and the ratio of sizes where significant."""
-    rows = obs.where((F.col("kind") == "insar_los") & (F.col("quality") >= min_quality) & (F.col("observed_at") <= as_of))
-    rows = rows.withColumn("period", F.when(age_days(F.col("observed_at"), as_of) <= recent_days, "recent").otherwise("base"))
-    each = weighted_mean(rows, ["site_id", "period"], min_error=1e-6)
-    wide = each.groupBy("site_id").agg(*[F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{c}_{p}") for p in ("recent", "base") for c in ("mean", "error", "n")]).where("n_base >= 2 and n_recent is not null")
+    def growth(to: str) -> Column:
+        return F.coalesce(*[100 * (F.col(f"now_{s}") - F.col(f"{to}_{s}")) / F.col(f"{to}_{s}") for s in ("S2", "S1")])
+
+    def area_of(s: str) -> Column:
+        return F.coalesce(f"now_{s}", F.nullif(F.col(f"last_{s}.v"), F.lit(0.0)))
+
+    area = F.when(F.col("last_S2").isNotNull(), area_of("S2")).otherwise(area_of("S1"))
+    sure = 0.2 + F.when(F.col("seen").isNotNull(), 0.35 + 0.2 * F.col("seen")).otherwise(0.0) + F.when(growth("cmp").isNotNull(), 0.25).otherwise(0.0)
+    extra = [F.col("ice").alias("glacier_m"), ((F.col("dirt") - F.col("dirt0")) / F.abs(F.nullif(F.col("dirt0"), F.lit(0.0)))).alias("turbidity_rise")] if more else []
+    return wide.select(*keys, growth("cmp").alias("growth_pct"), growth("ann").alias("annual_growth_pct"), area.alias("area"), *extra, F.least(F.lit(1.0), sure).alias("confidence"))
+
+
+def event_features(rows: DataFrame, keys: list[str], w: Windows, kind: str = "sar_change") -> DataFrame:
+    """Sum, largest and number of the recent values of a kind of change."""
+    now = F.when((F.col("kind") == kind) & (F.col("age") <= w.event), F.col("v"))
+    return rows.groupBy(*keys).agg(F.sum(now).alias("area_sum"), F.max(now).alias("area_max"), F.count(now).alias("n_recent"))
+
+
+def fracture_features(rows: DataFrame, keys: list[str], w: Windows, kind: str = "surface_change") -> DataFrame:
+    """Length by which new cracks exceed a site's own history, if at least two recent values stand far above it."""
+    rows = rows.where(F.col("kind") == kind)
+    past, now = F.when(F.col("age").between(w.event, w.history), F.col("v")), F.when(F.col("age") <= w.event, F.col("v"))
+    mid = rows.groupBy(*keys).agg(F.median(past).alias("mid"), F.count(past).alias("n_history"), F.count(now).alias("n_recent"))
+    spread = rows.join(mid, keys).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("mid", "n_history", "n_recent")], (MAD_SCALE * F.median(F.abs(past - F.col("mid"))) + w.fracture_floor).alias("scale"), F.collect_list(now).alias("now"))
+    high = F.filter("now", lambda x: F.try_divide(x - F.col("mid"), F.col("scale")) > w.fracture_z)
+    enough = (F.col("n_history") >= 4) & (F.col("n_recent") >= 2) & (F.size(high) >= 2)
+    return spread.select(*keys, F.when(enough, F.array_max(high) - F.col("mid")).alias("new_length"))
+
+
+def baseline(rows: DataFrame, keys: list[str], w: Windows, min_season: int = 2) -> DataFrame:
+    """``rows`` with ``period``: recent, or base: the same season a year before if it has enough rows, else the recent past."""
+    from pyspark.sql import Window
+
+    seasonal = F.count(F.when(F.col("age").between(*w.season), 1)).over(Window.partitionBy(*keys)) >= min_season
+    base = F.when(F.col("seasonal"), F.col("age").between(*w.season)).otherwise(F.col("age").between(*w.fallback))
+    return rows.withColumn("seasonal", seasonal).withColumn("is_base", base)
+
+
+def ice_features(rows: DataFrame, keys: list[str], w: Windows) -> DataFrame:
+    """Speed, its z against the baseline, the ratio where that is significant (else 1), the run of fast values back from the
+    newest, the speed again where it is sure on steep ground (column ``slope``), and confidence."""
+    from pyspark.sql import Window
+
+    se = F.coalesce(F.nullif(F.col("se"), F.lit(0.0)), F.lit(0.05))
+    fine = (F.col("kind") == "velocity") & F.col("v").isNotNull() & (F.col("coverage") >= 0.2) & (F.col("n_points") >= 4)
+    vel = baseline(rows.where(fine).withColumn("se", se), keys, w)
+    by = Window.partitionBy(*keys)
+    enough = F.count(F.when(F.col("is_base"), 1)).over(by) >= F.when(F.col("seasonal"), 2).otherwise(w.min_base)
+    recent = F.col("age") <= w.recent
+    vel = vel.withColumn("period", F.when(recent, "recent").when(F.col("is_base") & enough, "base"))
+    test = speedup(vel, keys, "period", "observed_at")
+    tested = F.col("v_base").isNotNull() & F.col("v_recent").isNotNull()
+    # Without a baseline the speed is the plain mean of the recent rows; with one it is that of the test.
+    plain = weighted_mean(vel.where("period = 'recent'"), keys).select(*keys, F.col("mean").alias("plain_v"), F.col("error").alias("plain_se"))
+    held = vel.groupBy(*keys).agg(F.max("seasonal").alias("seasonal"), F.max("slope").alias("slope"), F.avg(F.when(recent, F.col("coverage"))).alias("seen"))
+    facts = test.where(tested).select(*keys, "v_recent", "se_recent", "v_base", "floor", "z")
+    run = newest_run(vel.join(facts.select(*keys, "v_base", "floor"), keys), keys, "observed_at", F.col("v") - F.col("v_base") > 2 * F.greatest("se", "floor"))
+    out = held.join(plain, keys, "left").join(facts, keys, "left").join(run, keys, "left")
+    speed, error = F.coalesce("v_recent", "plain_v"), F.coalesce("se_recent", "plain_se")
+    sure = (F.col("z") >= w.min_z) & (speed >= w.min_speed)
+    return out.select(
+        *keys, F.col("seasonal").cast("double").alias("seasonal"), speed.alias("speed"), F.when((F.coalesce("slope", F.lit(0.0)) >= 25) & (speed > 3 * error), speed).alias("steep_speed"), "z",
+        F.when(sure, speed / F.greatest(F.col("v_base"), F.lit(0.03))).when(F.col("z").isNotNull(), 1.0).alias("ratio"), F.when(sure, F.coalesce("run", F.lit(0)).cast("double")).when(F.col("z").isNotNull(), 0.0).alias("trend"),
+        F.least(F.lit(1.0), 0.2 + F.when(F.col("seen").isNotNull(), 0.3 + 0.2 * F.col("seen")).otherwise(0.0) + F.when(F.col("v_base").isNotNull(), 0.3).otherwise(0.0)).alias("confidence"),
+    )
+
+
+def line_of_sight_features(rows: DataFrame, keys: list[str], w: Windows, least=5e-4) -> DataFrame:
+    """Recent and earlier means of signed line-of-sight speeds, their z, and the ratio of sizes where significant."""
+    rows = baseline(rows.where((F.col("kind") == "insar_los") & (F.col("coverage") >= 0.3)), keys, w)
+    rows = rows.withColumn("period", F.explode(F.array_compact(F.array(F.when(F.col("age") <= 2 * w.recent, "recent"), F.when(F.col("is_base"), "base")))))
+    each = weighted_mean(rows, [*keys, "period"], min_error=1e-6)
+    wide = each.groupBy(*keys).agg(*[F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{c}_{p}") for p in ("recent", "base") for c in ("mean", "error", "n")]).where("n_base >= 2 and n_recent is not null")
     size = F.abs(F.col("mean_recent") - F.col("mean_base")) / F.hypot("error_recent", "error_base")
-    sure = (F.col("z") >= z) & (F.abs("mean_recent") >= least)
-    return wide.withColumn("z", size).select("site_id", "z", (F.abs("mean_recent") * 30000).alias("mm_per_month"), F.when(sure, F.abs("mean_recent") / F.greatest(F.abs("mean_base"), F.lit(3e-4))).alias("ratio"))
+    sure = (F.col("z") >= w.min_z) & (F.abs("mean_recent") >= least)
+    return wide.withColumn("z", size).select(*keys, "z", (F.abs("mean_recent") * 30000).alias("mm_per_month"), F.when(sure, F.abs("mean_recent") / F.greatest(F.abs("mean_base"), F.lit(3e-4))).alias("los_ratio"))
 
 
-def landslide_features(obs: DataFrame, as_of: Column, days=30) -> DataFrame:
+def landslide_features(rows: DataFrame, keys: list[str], w: Windows) -> DataFrame:
     """Largest recent area, and confidence by how many and how good the observations are."""
-    rows = obs.where((F.col("kind") == "sar_change") & in_window(F.col("observed_at"), as_of, 0, days))
-    wide = rows.groupBy("site_id").agg(F.max("v").alias("area"), F.count("*").alias("n"), F.max("quality").alias("best"))
-    return wide.select("site_id", "area", F.least(F.lit(0.8), 0.3 + 0.2 * F.least(F.col("n"), F.lit(2)) + F.when(F.col("best") >= 0.8, 0.1).otherwise(0.0)).alias("confidence"))
+    wide = rows.where((F.col("kind") == "sar_change") & (F.col("age") <= w.event)).groupBy(*keys).agg(F.max("v").alias("area"), F.count("*").alias("n"), F.max("quality").alias("best"))
+    return wide.select(*keys, "area", F.least(F.lit(0.8), 0.3 + 0.2 * F.least(F.col("n"), F.lit(2)) + F.when(F.col("best") >= 0.8, 0.1).otherwise(0.0)).alias("confidence"))
+
+
+LAKES, ICE, SLIDES = ("glacial_lake", "barrier_lake"), ("glacier", "slope"), ("landslide",)
+
+
+def site_features(rows: DataFrame, times: DataFrame, sites: DataFrame, w: Windows) -> DataFrame:
+    """Features of all (site_id, as_of) of ``times`` by the kind of their site: long rows (site_id, as_of, site_kind, feature,
+    x), and ``confidence`` on each. ``rows`` come from ``as_of_rows``; ``sites``: site_id, site_kind, and what is known of
+    the site itself (slope, walls, glacier_m, area; null if unknown). Lakes without a good area have nothing but that."""
+    keys = ["site_id", "as_of"]
+    known = times.join(sites.select("site_id", "site_kind", F.col("slope").alias("own_slope"), "walls", F.col("glacier_m").alias("own_glacier_m"), F.col("area").alias("own_area")), "site_id")
+    rows = rows.join(sites.select("site_id", "site_kind", "slope"), "site_id")
+    of = lambda kinds: rows.where(F.col("site_kind").isin(*kinds))
+    km2 = lambda c: F.col(c) / 1e6
+
+    changes = event_features(rows, keys, w).select(*keys, F.col("area_sum").alias("changed"))
+    cracks = fracture_features(rows, keys, w)
+    lake = lake_features(of(LAKES), keys, w).join(changes, keys, "left").join(cracks, keys, "left")
+    lake = known.where(F.col("site_kind").isin(*LAKES)).join(lake, keys, "left")
+    lake_x = {
+        "steep_walls_deg": F.col("walls"), "glacier_contact_m": F.coalesce("glacier_m", "own_glacier_m"), "barrier_lake": F.when(F.col("site_kind") == "barrier_lake", 1.0), "lake_growth_recent_pct": F.col("growth_pct"),
+        "lake_growth_annual_pct": F.col("annual_growth_pct"), "lake_area_km2": F.when(F.col("confidence").isNull(), F.nullif(F.col("own_area"), F.lit(0.0))).otherwise(F.col("area")) / 1e6, "turbidity_rise": F.col("turbidity_rise"),
+        "sar_change_km2": F.when(F.col("confidence").isNotNull(), km2("changed")), "new_fractures_m": F.when(F.col("confidence").isNotNull(), F.col("new_length")),
+    }
+    ice = ice_features(of(ICE), keys, w).join(line_of_sight_features(of(ICE), keys, w).drop("z"), keys, "full")
+    ice = known.where(F.col("site_kind").isin(*ICE)).join(ice, keys, "left").join(changes, keys, "left").join(cracks, keys, "left")
+    ice_x = {
+        "source_slope_deg": F.col("own_slope"), "velocity_m_day": F.col("speed"), "velocity_steep_m_day": F.col("steep_speed"), "velocity_z": F.col("z"), "velocity_ratio": F.col("ratio"), "velocity_trend": F.col("trend"),
+        "insar_mm_month": F.col("mm_per_month"), "insar_ratio": F.col("los_ratio"), "sar_change_km2": km2("changed"), "new_fractures_m": F.col("new_length"),
+    }
+    slide = known.where(F.col("site_kind").isin(*SLIDES)).join(landslide_features(of(SLIDES), keys, w).withColumnRenamed("area", "slid"), keys, "left")
+
+    def long(df: DataFrame, features: dict[str, Column], default: float) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), c.cast("double").alias("x")) for k, c in features.items()]))
+        return df.select(*keys, "site_kind", F.coalesce("confidence", F.lit(default)).alias("confidence"), each.alias("f")).select(*keys, "site_kind", "confidence", "f.*")
+
+    return long(lake, lake_x, 0.1).union(long(ice, ice_x, 0.15)).union(long(slide, {"landslide_area_km2": km2("slid")}, 0.3))
 
 
 def ramp(x: Column, x0: Column, x1: Column) -> Column:
@@ -101,11 +223,42 @@ def ramp(x: Column, x0: Column, x1: Column) -> Column:
 #: Columns of an indicator table: name, feature, x0, x1, weight, dynamic, gate (an indicator's name or null), floor.
 INDICATORS = "name string, feature string, x0 double, x1 double, weight double, dynamic boolean, gate string, floor double, place int"
 
+#: The model's indicators: feature, x at score 0, x at score 1, weight, dynamic, the gating indicator, its floor, kinds of
+#: sites (fixed values).
+MODEL = (
+    ("lake_area_km2", 0.02, 0.60, 0.35, False, None, 0.0, LAKES),
+    ("lake_growth_recent_pct", 5.0, 30.0, 0.55, True, "lake_area_km2", 0.3, LAKES),
+    ("lake_growth_annual_pct", 5.0, 50.0, 0.30, True, "lake_area_km2", 0.3, ("glacial_lake",)),
+    ("glacier_contact_m", 1000.0, 50.0, 0.25, False, "lake_area_km2", 0.0, ("glacial_lake",)),
+    ("steep_walls_deg", 25.0, 45.0, 0.25, False, "lake_area_km2", 0.0, LAKES),
+    ("turbidity_rise", 0.10, 0.50, 0.20, True, "lake_area_km2", 0.3, ("glacial_lake",)),
+    ("barrier_lake", 0.0, 1.0, 0.80, True, None, 0.0, ("barrier_lake",)),
+    ("velocity_ratio", 1.5, 4.0, 0.70, True, None, 0.0, ICE),
+    ("velocity_steep_m_day", 0.3, 2.0, 0.40, True, None, 0.0, ICE),
+    ("velocity_trend", 2.0, 4.0, 0.30, True, None, 0.0, ICE),
+    ("new_fractures_m", 100.0, 1000.0, 0.00, True, None, 0.0, ICE),
+    ("sar_change_km2", 0.10, 0.60, 0.50, True, None, 0.0, (*ICE, "glacial_lake")),
+    ("source_slope_deg", 25.0, 40.0, 0.20, False, None, 0.0, ICE),
+    ("insar_ratio", 2.0, 5.0, 0.55, True, None, 0.0, ICE),
+    ("insar_mm_month", 30.0, 150.0, 0.25, True, None, 0.0, ICE),
+    ("landslide_area_km2", 0.05, 0.60, 0.60, True, None, 0.0, SLIDES),
+)
+#: Speed of a flood's front by kind of site (metres a second), and weights of assets (fixed values).
+WAVE_SPEED = {"glacial_lake": 8.0, "barrier_lake": 8.0, "glacier": 25.0, "slope": 25.0, "landslide": 10.0}
+ASSET_WEIGHT = {"town": 8.0, "settlement": 3.0, "hydropower": 6.0, "dam": 3.0, "border_crossing": 5.0, "bridge": 1.5, "school": 3.0, "health": 3.0, "tourism": 1.5, "police": 1.0, "government": 1.0}
+
+
+def model_table(spark) -> DataFrame:
+    """The indicators as a table, a row for each kind of site."""
+    rows = [(f, f, a, b, w, d, g, fl, k, kind) for k, (f, a, b, w, d, g, fl, kinds) in enumerate(MODEL) for kind in kinds]
+    return spark.createDataFrame(rows, INDICATORS + ", site_kind string")
+
 
 def scores(features: DataFrame, indicators: DataFrame, keys: list[str]) -> DataFrame:
     """One row a key and indicator from long features (keys, feature, x): score, gated. The indicator table is a
     configuration of a few rows, so it goes to all tasks."""
-    own = features.join(F.broadcast(indicators), "feature").where(F.col("x").isNotNull()).withColumn("score", ramp(F.col("x"), F.col("x0"), F.col("x1")))
+    on = ["feature", *(["site_kind"] if "site_kind" in indicators.columns else [])]
+    own = features.join(F.broadcast(indicators), on).where(F.col("x").isNotNull()).withColumn("score", ramp(F.col("x"), F.col("x0"), F.col("x1")))
     gates = own.select(*keys, F.col("name").alias("gate"), F.col("score").alias("_open"))
     gated = own.join(gates, [*keys, "gate"], "left")
     through = F.when(F.col("gate").isNull(), F.col("score")).otherwise(F.col("score") * F.greatest(F.coalesce("floor", F.lit(0.0)), F.coalesce("_open", F.lit(0.0))))
@@ -118,18 +271,30 @@ def level_for(score: Column, medium=0.35, high=0.60) -> Column:
 
 def assess(scored: DataFrame, context: DataFrame, keys: list[str], min_confidence=0.30, min_dynamic=0.15, min_reason=0.05) -> DataFrame:
     """Risk by key: hazard = 1 - prod(1 - weight * score), the same over dynamic indicators, score with exposure, level
-    with its two vetoes on high, whether it may alert, and the reasons by contribution. ``context``: exposure, confidence."""
+    with its two vetoes on high, whether it may alert, and the reasons by contribution. ``context``: exposure, confidence; a key without indicators has
+    no hazard."""
     part = F.col("weight") * F.col("score")
     reasons = F.sort_array(F.collect_list(F.when(part >= min_reason, F.struct((-F.round(part, 6)).alias("less"), "name"))))
     hazards = scored.groupBy(*keys).agg((1 - F.product(1 - part)).alias("hazard"), (1 - F.product(F.when(F.col("dynamic"), 1 - part).otherwise(1.0))).alias("dynamic"), F.array_join(F.transform(reasons, lambda r: r["name"]), ",").alias("reasons"))
-    out = hazards.join(context, keys).withColumn("score", F.col("hazard") * (0.4 + 0.6 * F.col("exposure")))
+    out = context.join(hazards, keys, "left").fillna(0.0, ["hazard", "dynamic"]).fillna("", ["reasons"])
+    out = out.withColumn("score", F.col("hazard") * (0.4 + 0.6 * F.col("exposure")))
     raw = level_for(F.col("score"))
     unsure = (raw == "high") & (F.col("confidence") < min_confidence)
     level = F.when((raw == "high") & ((F.col("dynamic") < min_dynamic) | unsure), "medium").otherwise(raw)
     return out.withColumn("level", level).withColumn("needs_confirmation", unsure & (F.col("dynamic") >= min_dynamic)).withColumn("alertable", F.col("dynamic") >= min_dynamic)
 
 
-def exposure_score(exposed: DataFrame, weights: dict[str, float], keys: list[str], scale=12.0, decay=180.0, default=1.0) -> DataFrame:
-    """1 - exp(-sum(weight * exp(-minutes / decay)) / scale) by key, and how many assets."""
+def exposure_score(exposed: DataFrame, keys: list[str], weights: dict[str, float] = ASSET_WEIGHT, scale=12.0, decay=180.0, default=1.0) -> DataFrame:
+    """1 - exp(-sum(weight * exp(-minutes / decay)) / scale) by key, the sum, and how many assets."""
     by_kind = F.coalesce(F.create_map(*[F.lit(x) for p in weights.items() for x in p])[F.col("kind")], F.lit(default))
-    return exposed.groupBy(*keys).agg((1 - F.exp(-F.sum(by_kind * F.exp(-F.col("minutes") / decay)) / scale)).alias("exposure"), F.count("*").alias("assets"))
+    total = F.sum(by_kind * F.exp(-F.col("minutes") / decay))
+    return exposed.groupBy(*keys).agg((1 - F.exp(-total / scale)).alias("exposure"), total.alias("weighted"), F.count("*").alias("assets"))
+
+
+def assessed(obs: DataFrame, times: DataFrame, sites: DataFrame, exposure: DataFrame, w: Windows) -> DataFrame:
+    """Every (site_id, as_of) of ``times`` scored in one plan: features by kind as of then, gated indicators, hazard, and the
+    site's exposure (0 if it has none)."""
+    keys = ["site_id", "as_of"]
+    long = site_features(as_of_rows(obs, times, ["site_id"], w.reach), times, sites, w)
+    context = long.groupBy(*keys).agg(F.max("confidence").alias("confidence")).join(exposure.select("site_id", "exposure"), "site_id", "left").withColumn("exposure", F.coalesce("exposure", F.lit(0.0)))
+    return assess(scores(long.drop("confidence"), model_table(obs.sparkSession), keys), context, keys)

@@ -56,7 +56,7 @@ def opened_masks(spark, sf):
 def cell_clusters(spark, sf):
     """Suppliers' cells on a lattice, strong ones clustered where no site covers them."""
     s = views.sites(spark, sf).select((F.col("site_id") % 1).alias("aoi"), F.floor(F.col("site_id") / 12).cast("int").alias("row"), (F.col("site_id") % 12).cast("int").alias("col"), "z", "kind")
-    out = detection.cell_clusters(s.where("z > 2000").drop("kind"), s.where("kind = 'lake'"), ["aoi"])
+    out = detection.cell_clusters(s.where("z > 2000").drop("kind"), s.where("kind = 'glacial_lake'"), ["aoi"])
     return out.select("label", "cells", F.round("z", 4).alias("z"), "row0", "row1", "col0", "col1")
 
 
@@ -95,6 +95,6 @@ ORACLES = {
  SELECT scene, label, pixels, round(z, 6) AS z, round(z_range, 6) AS z_range, round(quality, 6) AS quality, round(elongation, 6) AS elongation FROM f WHERE pixels >= 4 AND elongation <= 7""",
     "opened_masks": f"""WITH {views.PIXELS}, m AS (SELECT scene, row, col FROM px WHERE v > -0.05), e AS (SELECT a.scene, a.row, a.col FROM m a JOIN m b ON a.scene = b.scene AND abs(a.row - b.row) + abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3 HAVING count(*) = 5),
  d(r, c) AS (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) SELECT scene, count(*) AS pixels FROM (SELECT DISTINCT scene, row + r, col + c FROM e, d) GROUP BY 1""",
-    "cell_clusters": f"""WITH RECURSIVE {views.SITES}, b AS (SELECT 0 AS scene, (site_id // 12)::INTEGER AS row, (site_id % 12)::INTEGER AS col, z, (site_id // 12)::BIGINT * 1048576 + site_id % 12 AS id FROM site WHERE z > 2000 AND kind <> 'lake'), {_LABELS}
+    "cell_clusters": f"""WITH RECURSIVE {views.SITES}, b AS (SELECT 0 AS scene, (site_id // 12)::INTEGER AS row, (site_id % 12)::INTEGER AS col, z, (site_id // 12)::BIGINT * 1048576 + site_id % 12 AS id FROM site WHERE z > 2000 AND kind <> 'glacial_lake'), {_LABELS}
  SELECT label, count(*) AS cells, round(max(z), 4) AS z, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1 FROM l JOIN b USING (scene, row, col) GROUP BY 1""",
 }

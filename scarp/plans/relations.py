@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, tables
@@ -39,13 +40,12 @@ def cross_orbit_confirm(spark, sf):
 def after_snow_semi(spark, sf):
     """Events with a meeting event of the other kind in the 45 days before."""
     ev = _events(spark, sf)
-    age = F.timestamp_diff("MICROSECOND", F.col("r_at"), F.col("l_at")) / F.lit(86400e6)
-    pairs = joins.box_join(ev, ev, 0.1, (F.col("l_aoi") == F.col("r_aoi")) & (F.col("l_kind") != F.col("r_kind")) & age.between(0, 45))
+    pairs = joins.events_before(ev, 0.1, 45, ("aoi",), F.col("l_kind") != F.col("r_kind"))
     return ev.join(pairs.select(F.col("l_id").alias("id")), "id", "left_semi").select("id", "kind")
 
 
 def consecutive_pairs(spark, sf):
-    return joins.consecutive(views.acquisitions(spark, sf).where("key % 50 = orbit"), ["sensor", "orbit"], "acquired_at", "key", 5, 24).select("sensor", "orbit", "first", "second", F.round("gap_days", 6).alias("gap_days"))
+    return joins.consecutive(views.acquisitions(spark, sf), ["sensor", "orbit"], "acquired_at", "key", 1, 24).select("sensor", "orbit", "first", "second", F.round("gap_days", 6).alias("gap_days"))
 
 
 def reference_topk(spark, sf):
@@ -73,17 +73,38 @@ def recipients_theta(spark, sf):
 
 
 def site_exposures(spark, sf):
-    """Assets by site through the area of interest, nearest first: three a site."""
-    sites, assets = views.sites(spark, sf).select("site_id", "aoi", F.col("lon").alias("slon"), F.col("lat").alias("slat")), views.assets(spark, sf).where("kind = 'hydropower'")
-    d = joins.km(F.col("slon"), F.col("slat"), F.col("lon"), F.col("lat"))
-    return tables.top_by(sites.join(assets, "aoi").withColumn("km", F.round(d, 6)), ["site_id"], 3, F.col("km"), F.col("asset_id")).select("site_id", "asset_id", "place", "km")
+    """Hydropower of a site's area of interest within 40 km, nearest first: three a site."""
+    sites, assets = views.sites(spark, sf).select("site_id", "aoi", "lon", "lat"), views.assets(spark, sf).where("kind = 'hydropower'").select("asset_id", "aoi", "lon", "lat")
+    near = joins.close_pairs(sites, assets, 40.0, ("aoi",)).select(F.col("l_site_id").alias("site_id"), F.col("r_asset_id").alias("asset_id"), F.round("km", 6).alias("km"))
+    return tables.top_by(near, ["site_id"], 3, F.col("km"), F.col("asset_id")).select("site_id", "asset_id", "place", "km")
+
+
+def flow_paths_of_areas(spark, sf):
+    """A path through the sites of each area of interest, in order of their ids: twenty vertices from one to the next."""
+    by = Window.partitionBy("aoi").orderBy("site_id")
+    to = lambda c: F.lead(c).over(by)
+    legs = views.sites(spark, sf).select("aoi", "site_id", "lon", "lat", "z", to("lon").alias("lon1"), to("lat").alias("lat1"), to("z").alias("z1")).where("lon1 is not null")
+    legs = legs.withColumn("leg_km", joins.km(F.col("lon"), F.col("lat"), F.col("lon1"), F.col("lat1")))
+    legs = legs.withColumn("start_km", F.sum("leg_km").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("leg_km"))
+    f = F.col("i") / 20.0
+    part = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * f
+    return legs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19)))).select(F.col("aoi").alias("path_id"), part("lon", "lon1").alias("lon"), part("lat", "lat1").alias("lat"), part("z", "z1").alias("z"), (F.col("start_km") + F.col("leg_km") * f).alias("along_km"))
+
+
+_km = "sqrt(pow(({a}.lon - {b}.lon) * 111.32::DOUBLE * cos(radians({a}.lat)), 2) + pow(({a}.lat - {b}.lat) * 110.57::DOUBLE, 2))"
+PATHS_SQL = f"""{views.SITES}, {views.ASSETS}, leg0 AS (SELECT aoi, site_id, lon, lat, z, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1, lead(z) OVER w AS z1 FROM site WINDOW w AS (PARTITION BY aoi ORDER BY site_id)),
+ leg1 AS (SELECT *, sqrt(pow((lon - lon1) * 111.32::DOUBLE * cos(radians(lat)), 2) + pow((lat - lat1) * 110.57::DOUBLE, 2)) AS leg_km FROM leg0 WHERE lon1 IS NOT NULL),
+ leg2 AS (SELECT *, sum(leg_km) OVER (PARTITION BY aoi ORDER BY site_id ROWS UNBOUNDED PRECEDING) - leg_km AS start_km FROM leg1),
+ path AS (SELECT aoi AS path_id, lon + (lon1 - lon) * (i / 20.0::DOUBLE) AS lon, lat + (lat1 - lat) * (i / 20.0::DOUBLE) AS lat, z + (z1 - z) * (i / 20.0::DOUBLE) AS z, start_km + leg_km * (i / 20.0::DOUBLE) AS along_km FROM leg2, range(0, 20) t(i)),
+ ex0 AS (SELECT a.asset_id, p.path_id, min((round({_km.format(a='a', b='p')}, 9), along_km, p.z)) AS m FROM asset a JOIN path p ON {_km.format(a='a', b='p')} < 1.5 GROUP BY 1, 2),
+ ex1 AS (SELECT path_id, asset_id, kind, name, m[2] AS along_km, m[1] * 1000 AS offset_m, CASE WHEN at_channel THEN 0 ELSE height_m - m[3] END AS above FROM ex0 JOIN asset USING (asset_id)),
+ exposed AS (SELECT path_id, asset_id, kind, name, along_km, offset_m, greatest(above, 0) AS above_m, along_km * 1000 / 8 / 60 AS minutes FROM ex1 WHERE along_km <= 150 AND above <= greatest(15, 60 - 0.5::DOUBLE * along_km))"""
 
 
 def path_exposure(spark, sf):
-    """Exposure of assets along a straight path."""
-    path = spark.range(0, 401).select(F.lit(1).alias("path_id"), (85.2 + F.col("id") * 0.0015).alias("lon"), (27.6 + F.col("id") * 0.001).alias("lat"), (F.col("id") * 0.185).alias("along_km"), F.lit(2000.0).alias("z"))
-    out = joins.exposed_assets(path, views.assets(spark, sf), 1.5, 8.0)
-    return out.select("asset_id", "kind", F.round("along_km", 6).alias("along_km"), F.round("above_m", 6).alias("above_m"), F.round("minutes", 6).alias("minutes"))
+    """Assets along the flow path of each area of interest, by path."""
+    out = joins.exposed_assets(flow_paths_of_areas(spark, sf), views.assets(spark, sf), 1.5, 8.0)
+    return out.select("path_id", "asset_id", "kind", F.round("along_km", 5).alias("along_km"), F.round("offset_m", 3).alias("offset_m"), F.round("above_m", 5).alias("above_m"), F.round("minutes", 5).alias("minutes"))
 
 
 def group_acquisitions(spark, sf):
@@ -119,10 +140,10 @@ UPSERT_SQL = f"""WITH {views.OBS}, old AS (SELECT site_id, kind, arg_max(observe
 
 
 def roster_status(spark, sf):
-    """Roster import: customers of even keys known before, balances changed for some, keys above a bound missing."""
+    """Roster import: customers of even keys known before, balances changed for some, those deep in debt missing."""
     c = views.table(spark, sf, "customer").select("c_name", F.round("c_acctbal", 2).alias("balance"), "c_custkey")
     old = c.where("c_custkey % 2 = 0").select("c_name", "balance")
-    new = c.where("c_custkey <= 1200").select("c_name", F.when(F.col("c_custkey") % 6 == 0, F.col("balance") + 1).otherwise(F.col("balance")).alias("balance"))
+    new = c.where("balance >= -500 or c_custkey % 6 = 0").select("c_name", F.when(F.col("c_custkey") % 6 == 0, F.col("balance") + 1).otherwise(F.col("balance")).alias("balance"))
     return tables.changed(old, new, ["c_name"], ["balance"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -170,7 +191,7 @@ def interval_pairs(spark, sf):
 def sites_in_box(spark, sf):
     """Active sites of some kinds in a box, by level rank; unknown levels pass when low ones do."""
     s = views.sites(spark, sf)
-    box = F.col("lon").between(85.2, 85.8) & F.col("lat").between(27.6, 28.2) & F.col("kind").isin("glacier", "lake")
+    box = F.col("lon").between(85.2, 85.8) & F.col("lat").between(27.6, 28.2) & F.col("kind").isin("glacier", "glacial_lake")
     return s.where(box & (joins.rank(F.col("level")) <= 1)).select("site_id", "kind", "level", joins.rank(F.col("level")).alias("rank"))
 
 
@@ -185,7 +206,6 @@ def cumulative_path(spark, sf):
     return tables.cumulative(path, ["aoi"], "site_id", "lon", "lat").select("site_id", F.round("along", 6).alias("along"))
 
 
-_km = "sqrt(pow(({a}.lon - {b}.lon) * 111.32::DOUBLE * cos(radians({a}.lat)), 2) + pow(({a}.lat - {b}.lat) * 110.57::DOUBLE, 2))"
 QUERIES = {f.__name__: f for f in (spatial_match, nearest_place, cross_orbit_confirm, after_snow_semi, consecutive_pairs, reference_topk, asof_level, pending_anti, recipients_theta, site_exposures, path_exposure, group_acquisitions, latest_observation, latest_clear_composite, upsert_latest, roster_status, next_codes, newest_alerts, assessment_history, union_sources, set_operations, interval_pairs, sites_in_box, retention, cumulative_path)}
 ORACLES = {
     "spatial_match": f"""WITH {views.SITES}, {views.ASSETS}, p AS (SELECT s.site_id, a.asset_id, (least(s.lon, a.lon) + 0.004::DOUBLE - greatest(s.lon, a.lon) + 0.004::DOUBLE) * (least(s.lat, a.lat) + 0.004::DOUBLE - greatest(s.lat, a.lat) + 0.004::DOUBLE) AS area FROM site s JOIN asset a ON abs(s.lon - a.lon) < 0.008 AND abs(s.lat - a.lat) < 0.008 AND s.kind <> a.kind)
@@ -193,27 +213,25 @@ ORACLES = {
     "nearest_place": f"WITH {views.SITES}, {views.ASSETS} SELECT site_id, round(min({_km.format(a='s', b='a')}), 6) AS km FROM site s JOIN asset a ON a.kind = 'town' AND {_km.format(a='s', b='a')} < 6 GROUP BY 1",
     "cross_orbit_confirm": f"WITH {EVENTS} SELECT a.id, min(b.id) AS confirmed_by FROM ev a JOIN ev b ON a.aoi = b.aoi AND a.kind = b.kind AND a.orbit <> b.orbit AND a.id <> b.id AND b.at <= a.at AND b.at >= a.at - INTERVAL 60 DAYS AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 GROUP BY 1",
     "after_snow_semi": f"WITH {EVENTS} SELECT a.id, a.kind FROM ev a WHERE EXISTS (SELECT 1 FROM ev b WHERE a.aoi = b.aoi AND a.kind <> b.kind AND b.at <= a.at AND b.at >= a.at - INTERVAL 45 DAYS AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)",
-    "consecutive_pairs": f"WITH {views.ACQ}, p AS (SELECT sensor, orbit, key AS first, lead(key) OVER w AS second, date_diff('microsecond', acquired_at, lead(acquired_at) OVER w) / 86400e6::DOUBLE AS gap_days FROM acq WHERE key % 50 = orbit WINDOW w AS (PARTITION BY sensor, orbit ORDER BY acquired_at, key)) SELECT sensor, orbit, first, second, round(gap_days, 6) AS gap_days FROM p WHERE gap_days BETWEEN 5 AND 24",
+    "consecutive_pairs": f"WITH {views.ACQ}, p AS (SELECT sensor, orbit, key AS first, lead(key) OVER w AS second, date_diff('microsecond', acquired_at, lead(acquired_at) OVER w) / 86400e6::DOUBLE AS gap_days FROM acq WINDOW w AS (PARTITION BY sensor, orbit ORDER BY acquired_at, key)) SELECT sensor, orbit, first, second, round(gap_days, 6) AS gap_days FROM p WHERE gap_days BETWEEN 1 AND 24",
     "reference_topk": f"WITH {views.ACQ}, p AS (SELECT a.key, b.key AS reference, row_number() OVER (PARTITION BY a.key ORDER BY b.acquired_at DESC, b.key) AS place, date_diff('microsecond', b.acquired_at, a.acquired_at) / 86400e6::DOUBLE AS age_days FROM acq a JOIN acq b ON a.sensor = b.sensor AND a.orbit = b.orbit AND b.acquired_at <= a.acquired_at - INTERVAL 5 DAYS AND b.acquired_at >= a.acquired_at - INTERVAL 12 DAYS) SELECT key, reference, place::INTEGER AS place, round(age_days, 6) AS age_days FROM p WHERE place <= 3",
     "asof_level": f"WITH {views.OBS}, t AS (SELECT site_id, observed_at, CASE WHEN v >= 60 THEN 'high' WHEN v >= 30 THEN 'medium' ELSE 'low' END AS level FROM obs WHERE kind = 'sar_change') SELECT o.event_id, coalesce(t.level, 'unknown') AS level FROM (SELECT * FROM obs WHERE kind = 'insar_los') o ASOF LEFT JOIN t ON o.site_id = t.site_id AND o.observed_at >= t.observed_at",
     "pending_anti": f"WITH {views.ACQ} SELECT key, sensor, status FROM acq WHERE acquired_at >= TIMESTAMP '2000-01-01' AND status <> 'processed' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = key AND l_quantity >= 45)",
     "recipients_theta": f"WITH {views.SITES}, {views.SUBS}, r(level, rk) AS (VALUES ('unknown', -1), ('low', 0), ('medium', 1), ('high', 2)) SELECT s.site_id AS alert_id, language, count(*) AS n FROM site s JOIN r ON r.level = s.level JOIN sub ON active JOIN r m ON m.level = min_level WHERE s.level IN ('medium', 'high') AND r.rk >= m.rk AND (len(aois) = 0 OR list_contains(aois, s.aoi)) GROUP BY 1, 2",
-    "site_exposures": f"WITH {views.SITES}, {views.ASSETS}, p AS (SELECT site_id, asset_id, round({_km.format(a='s', b='a')}, 6) AS km FROM site s JOIN asset a ON s.aoi = a.aoi AND a.kind = 'hydropower') SELECT * FROM (SELECT site_id, asset_id, row_number() OVER (PARTITION BY site_id ORDER BY km, asset_id)::INTEGER AS place, km FROM p) WHERE place <= 3",
-    "path_exposure": f"""WITH {views.ASSETS}, path AS (SELECT 85.2::DOUBLE + i * 0.0015::DOUBLE AS lon, 27.6::DOUBLE + i * 0.001::DOUBLE AS lat, i * 0.185::DOUBLE AS along_km FROM range(0, 401) t(i)),
- p AS (SELECT a.asset_id, arg_min(along_km, (round({_km.format(a='a', b='p')}, 9), along_km)) AS along_km FROM asset a JOIN path p ON {_km.format(a='a', b='p')} < 1.5 GROUP BY 1), q AS (SELECT asset_id, kind, along_km, CASE WHEN at_channel THEN 0 ELSE height_m - 2000 END AS above_m FROM p JOIN asset USING (asset_id))
- SELECT asset_id, kind, round(along_km, 6) AS along_km, round(above_m, 6) AS above_m, round(along_km * 1000 / 8 / 60, 6) AS minutes FROM q WHERE above_m <= greatest(15, 60 - 0.5::DOUBLE * along_km) AND along_km <= 150""",
+    "site_exposures": f"WITH {views.SITES}, {views.ASSETS}, p AS (SELECT site_id, asset_id, round({_km.format(a='s', b='a')}, 6) AS km FROM site s JOIN asset a ON s.aoi = a.aoi AND a.kind = 'hydropower' AND {_km.format(a='s', b='a')} < 40) SELECT * FROM (SELECT site_id, asset_id, row_number() OVER (PARTITION BY site_id ORDER BY km, asset_id)::INTEGER AS place, km FROM p) WHERE place <= 3",
+    "path_exposure": f"WITH {PATHS_SQL} SELECT path_id, asset_id, kind, round(along_km, 5) AS along_km, round(offset_m, 3) AS offset_m, round(above_m, 5) AS above_m, round(minutes, 5) AS minutes FROM exposed",
     "group_acquisitions": f"WITH {views.ACQ} SELECT sensor, orbit, count(*) AS items, min(key) AS first, CAST((epoch_us(min(acquired_at)) + epoch_us(max(acquired_at))) / 2 AS BIGINT) AS middle, round(avg(area_m2), 4) AS area, sensor || '_' || strftime(acquired_at::DATE, '%Y%m%d') || '_' || printf('R%03d', orbit) AS code FROM acq GROUP BY sensor, acquired_at::DATE, orbit",
     "latest_observation": f"WITH {views.OBS} SELECT site_id, sensor, arg_max(event_id, (observed_at, event_id)) AS event_id, round(arg_max(v, (observed_at, event_id)), 6) AS v FROM obs GROUP BY 1, 2",
     "latest_clear_composite": f"WITH {views.PIXELS} SELECT label, row, col, round(arg_max(v, scene), 6) AS v, max(scene) AS scene FROM px WHERE v >= -1 GROUP BY 1, 2, 3",
     "upsert_latest": UPSERT_SQL,
-    "roster_status": "WITH o AS (SELECT c_name, round(c_acctbal, 2) AS b FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_name, CASE WHEN c_custkey % 6 = 0 THEN round(c_acctbal, 2) + 1 ELSE round(c_acctbal, 2) END AS b FROM customer WHERE c_custkey <= 1200) SELECT CASE WHEN o.b IS NULL THEN 'created' WHEN n.b IS NULL THEN 'missing' WHEN o.b = n.b THEN 'unchanged' ELSE 'updated' END AS status, count(*) AS n FROM o FULL JOIN n USING (c_name) GROUP BY 1",
+    "roster_status": "WITH o AS (SELECT c_name, round(c_acctbal, 2) AS b FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_name, CASE WHEN c_custkey % 6 = 0 THEN round(c_acctbal, 2) + 1 ELSE round(c_acctbal, 2) END AS b FROM customer WHERE round(c_acctbal, 2) >= -500 OR c_custkey % 6 = 0) SELECT CASE WHEN o.b IS NULL THEN 'created' WHEN n.b IS NULL THEN 'missing' WHEN o.b = n.b THEN 'unchanged' ELSE 'updated' END AS status, count(*) AS n FROM o FULL JOIN n USING (c_name) GROUP BY 1",
     "next_codes": f"WITH {views.SITES} SELECT site_id, upper(kind[1:2]) || printf('%04d', row_number() OVER (PARTITION BY upper(kind[1:2]) ORDER BY site_id) + 7) AS code FROM site",
     "newest_alerts": f"WITH {views.ACQ} SELECT key, strftime(acquired_at, '%Y-%m-%d %H:%M:%S') AS at, sensor FROM acq WHERE status = 'processed' ORDER BY acquired_at DESC, key DESC LIMIT 50",
     "assessment_history": f"WITH {views.OBS} SELECT site_id, event_id, place::INTEGER AS place, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY observed_at DESC, event_id DESC) AS place FROM obs) WHERE place <= 20",
     "union_sources": f"WITH {views.SITES}, {views.ASSETS}, b AS (SELECT 'osm:' || asset_id AS external_id, name, kind, 0 AS o FROM asset UNION ALL SELECT 'osm:' || site_id * 3, code, kind, 1 FROM site) SELECT external_id, arg_max(name, o)[1:200] AS name, arg_max(kind, o) AS kind, split_part(external_id, ':', 1) AS source FROM b GROUP BY external_id",
     "set_operations": f"WITH {views.OBS}, h AS (SELECT DISTINCT site_id FROM obs WHERE v > 75), c AS (SELECT DISTINCT site_id FROM obs WHERE kind = 'velocity' AND v > 60) SELECT site_id, 'both' AS part FROM h WHERE site_id IN (FROM c) UNION ALL SELECT site_id, 'hot' FROM h WHERE site_id NOT IN (FROM c) UNION ALL SELECT site_id, 'covered' FROM c WHERE site_id NOT IN (FROM h)",
     "interval_pairs": f"WITH {views.OBS} SELECT a.event_id, b.event_id AS before, round(date_diff('microsecond', b.observed_at, a.observed_at) / 86400e6::DOUBLE, 6) AS age_days FROM obs a JOIN obs b ON a.site_id = b.site_id AND a.kind = 'velocity' AND b.kind = 'sar_change' AND b.observed_at <= a.observed_at AND b.observed_at >= a.observed_at - INTERVAL 12 HOURS",
-    "sites_in_box": f"WITH {views.SITES}, r(level, rank) AS (VALUES ('unknown', -1), ('low', 0), ('medium', 1), ('high', 2)) SELECT site_id, kind, site.level, rank FROM site JOIN r ON r.level = site.level WHERE lon BETWEEN 85.2 AND 85.8 AND lat BETWEEN 27.6 AND 28.2 AND kind IN ('glacier', 'lake') AND rank <= 1",
+    "sites_in_box": f"WITH {views.SITES}, r(level, rank) AS (VALUES ('unknown', -1), ('low', 0), ('medium', 1), ('high', 2)) SELECT site_id, kind, site.level, rank FROM site JOIN r ON r.level = site.level WHERE lon BETWEEN 85.2 AND 85.8 AND lat BETWEEN 27.6 AND 28.2 AND kind IN ('glacier', 'glacial_lake') AND rank <= 1",
     "retention": f"WITH {views.CELLS} SELECT count(*) AS removed FROM cellv WHERE pair_end < TIMESTAMP '2000-06-01' - INTERVAL 400 DAYS",
     "cumulative_path": f"WITH {views.SITES}, d AS (SELECT site_id, aoi, coalesce(sqrt(pow(lon - lag(lon) OVER w, 2) + pow(lat - lag(lat) OVER w, 2)), 0) AS s FROM site WINDOW w AS (PARTITION BY aoi ORDER BY site_id)) SELECT site_id, round(sum(s) OVER (PARTITION BY aoi ORDER BY site_id ROWS UNBOUNDED PRECEDING), 6) AS along FROM d",
 }

@@ -20,6 +20,10 @@ INDICATOR_ROWS = [
 ]
 
 
+#: Windows for a table of one month.
+MONTH = risk.Windows(recent=8, compare=(9, 20), annual=(20, 29), glacier=29, season=(22, 26), fallback=(9, 21), event=10, history=29, min_z=1.0, fracture_z=1.0, fracture_floor=5.0)
+
+
 def as_of(text=AS_OF):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -113,56 +117,109 @@ def trusted_lake_area(spark, sf):
 
 
 def lake_growth(spark, sf):
-    out = risk.lake_features(views.observations(spark, sf), as_of(), (0, 10), (12, 29), (20, 29))
-    return out.select("site_id", *six("growth_pct", "annual_growth_pct", "area", "confidence"))
+    out = risk.lake_features(_aged(spark, sf), ["site_id"], MONTH)
+    return out.select("site_id", *six("growth_pct", "annual_growth_pct", "area", "glacier_m", "turbidity_rise", "confidence"))
+
+
+def lake_sql(rows: str, keys: str) -> str:
+    """CTEs ending in ``lake``."""
+    med = lambda value, sensor, lo, hi: f"median(CASE WHEN sensor = '{sensor}' AND age BETWEEN {lo} AND {hi} THEN {value} END)"
+    w = MONTH
+    return f"""good AS (SELECT * FROM {rows} WHERE kind = 'lake_area' AND quality >= 0.8 AND v IS NOT NULL AND (sensor <> 'S1' OR coalesce(reference, 0) = 0 OR v >= 0.5::DOUBLE * reference)),
+ lw AS (SELECT {keys}, nullif({med("v", "S2", 0, w.recent)}, 0) AS n2, nullif({med("v", "S2", *w.compare)}, 0) AS c2, nullif({med("v", "S2", *w.annual)}, 0) AS a2, nullif({med("v", "S1", 0, w.recent)}, 0) AS n1, nullif({med("v", "S1", *w.compare)}, 0) AS c1, nullif({med("v", "S1", *w.annual)}, 0) AS a1,
+ arg_max(CASE WHEN sensor = 'S2' THEN v END, CASE WHEN sensor = 'S2' THEN (observed_at, event_id) END) AS l2, arg_max(CASE WHEN sensor = 'S1' THEN v END, CASE WHEN sensor = 'S1' THEN (observed_at, event_id) END) AS l1, count(CASE WHEN sensor = 'S2' THEN 1 END) AS k2,
+ {med("glacier_m", "S2", 0, w.glacier)} AS glacier_m, {med("turbidity", "S2", 0, w.recent)} AS t1, {med("turbidity", "S2", *w.compare)} AS t0, avg(CASE WHEN age <= {w.recent} THEN quality END) AS seen FROM good GROUP BY {keys}),
+ lg AS (SELECT *, coalesce(100 * (n2 - c2) / c2, 100 * (n1 - c1) / c1) AS growth_pct, coalesce(100 * (n2 - a2) / a2, 100 * (n1 - a1) / a1) AS annual_growth_pct, CASE WHEN k2 > 0 THEN coalesce(n2, nullif(l2, 0)) ELSE coalesce(n1, nullif(l1, 0)) END AS area, (t1 - t0) / abs(nullif(t0, 0)) AS turbidity_rise FROM lw),
+ lake AS (SELECT {keys}, growth_pct, annual_growth_pct, area, glacier_m, turbidity_rise, least(1::DOUBLE, 0.2::DOUBLE + CASE WHEN seen IS NOT NULL THEN 0.35::DOUBLE + 0.2::DOUBLE * seen ELSE 0 END + CASE WHEN growth_pct IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END) AS confidence FROM lg)"""
+
 
+AGED_SQL = f"aged AS (SELECT *, date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE AS age FROM obs WHERE observed_at <= TIMESTAMP '{AS_OF}')"
+LAKE_SQL = f"{AGED_SQL}, {lake_sql('aged', 'site_id')}"
 
-LAKE_SQL = f"""good AS (SELECT *, date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE AS age FROM obs WHERE kind = 'lake_area' AND quality >= 0.8 AND v IS NOT NULL AND observed_at <= TIMESTAMP '{AS_OF}'),
- lw AS (SELECT site_id, median(CASE WHEN sensor = 'S2' AND age BETWEEN 0 AND 10 THEN v END) AS n2, median(CASE WHEN sensor = 'S2' AND age BETWEEN 12 AND 29 THEN v END) AS c2, median(CASE WHEN sensor = 'S2' AND age BETWEEN 20 AND 29 THEN v END) AS a2,
- median(CASE WHEN sensor = 'S1' AND age BETWEEN 0 AND 10 THEN v END) AS n1, median(CASE WHEN sensor = 'S1' AND age BETWEEN 12 AND 29 THEN v END) AS c1, median(CASE WHEN sensor = 'S1' AND age BETWEEN 20 AND 29 THEN v END) AS a1,
- arg_max(v, (observed_at, event_id)) AS latest, avg(quality) AS mq FROM good GROUP BY 1),
- lake AS (SELECT site_id, coalesce(100 * (n2 - c2) / nullif(c2, 0), 100 * (n1 - c1) / nullif(c1, 0)) AS growth_pct, coalesce(100 * (n2 - a2) / nullif(a2, 0), 100 * (n1 - a1) / nullif(a1, 0)) AS annual_growth_pct, coalesce(n2, n1, latest) AS area,
- least(1::DOUBLE, 0.2::DOUBLE + CASE WHEN coalesce(n2, n1) IS NOT NULL THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN coalesce(100 * (n2 - c2) / nullif(c2, 0), 100 * (n1 - c1) / nullif(c1, 0)) IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + 0.2::DOUBLE * mq) AS confidence FROM lw)"""
+
+def _aged(spark, sf):
+    return risk.aged(views.observations(spark, sf), as_of())
 
 
 def event_area_sum(spark, sf):
-    out = risk.event_features(views.observations(spark, sf), as_of(), "surface_change", 10, (10, 30), 4, 2, 1.0, 0.0)
+    rows = _aged(spark, sf)
+    out = risk.event_features(rows, ["site_id"], MONTH, "surface_change").join(risk.fracture_features(rows, ["site_id"], MONTH), "site_id", "left")
     return out.select("site_id", *six("area_sum", "area_max", "new_length"), "n_recent")
 
 
-EVENT_SQL = f"""ev AS (SELECT *, date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE AS age FROM obs WHERE kind = 'surface_change' AND observed_at <= TIMESTAMP '{AS_OF}'),
- evm AS (SELECT site_id, median(CASE WHEN age BETWEEN 10 AND 30 THEN v END) AS mid FROM ev GROUP BY 1),
- evs AS (SELECT e.site_id, sum(CASE WHEN age <= 10 THEN v END) AS area_sum, max(CASE WHEN age <= 10 THEN v END) AS area_max, count(CASE WHEN age <= 10 THEN v END) AS n_recent, count(CASE WHEN age BETWEEN 10 AND 30 THEN v END) AS n_history,
- max(mid) AS mid, 1.4826::DOUBLE * median(CASE WHEN age BETWEEN 10 AND 30 THEN abs(v - mid) END) AS scale FROM ev e JOIN evm USING (site_id) GROUP BY 1),
- evh AS (SELECT e.site_id, count(*) AS high FROM ev e JOIN evs s USING (site_id) WHERE age <= 10 AND (v - mid) / scale > 1.0 GROUP BY 1),
- event_ AS (SELECT site_id, area_sum, area_max, n_recent, CASE WHEN n_history >= 4 AND n_recent >= 2 AND coalesce(high, 0) >= 2 THEN area_max - mid ELSE 0 END AS new_length FROM evs LEFT JOIN evh USING (site_id))"""
+def event_sql(rows: str, keys: str, kind: str, name: str) -> str:
+    return f"{name} AS (SELECT {keys}, sum(CASE WHEN kind = '{kind}' AND age <= {MONTH.event} THEN v END) AS area_sum, max(CASE WHEN kind = '{kind}' AND age <= {MONTH.event} THEN v END) AS area_max, count(CASE WHEN kind = '{kind}' AND age <= {MONTH.event} THEN v END) AS n_recent FROM {rows} GROUP BY {keys})"
+
+
+def fracture_sql(rows: str, keys: str) -> str:
+    """CTEs ending in ``crack``."""
+    w = MONTH
+    past = f"age BETWEEN {w.event} AND {w.history}"
+    return f"""cm AS (SELECT {keys}, median(CASE WHEN {past} THEN v END) AS mid, count(CASE WHEN {past} THEN v END) AS nh, count(CASE WHEN age <= {w.event} THEN v END) AS nr FROM {rows} WHERE kind = 'surface_change' GROUP BY {keys}),
+ cs AS (SELECT {keys}, max(mid) AS mid, max(nh) AS nh, max(nr) AS nr, 1.4826::DOUBLE * median(CASE WHEN {past} THEN abs(v - mid) END) + {w.fracture_floor}::DOUBLE AS scale FROM {rows} JOIN cm USING ({keys}) WHERE kind = 'surface_change' GROUP BY {keys}),
+ ch AS (SELECT {keys}, count(*) AS high, max(v) AS top FROM {rows} JOIN cs USING ({keys}) WHERE kind = 'surface_change' AND age <= {w.event} AND (v - mid) / scale > {w.fracture_z} GROUP BY {keys}),
+ crack AS (SELECT {keys}, CASE WHEN nh >= 4 AND nr >= 2 AND high >= 2 THEN top - mid END AS new_length FROM cs LEFT JOIN ch USING ({keys}))"""
+
+
+EVENT_SQL = f"{event_sql('aged', 'site_id', 'surface_change', 'evs')}, {fracture_sql('aged', 'site_id')}, event_ AS (SELECT site_id, area_sum, area_max, n_recent, new_length FROM evs LEFT JOIN crack USING (site_id))"
+
+
+def _facts(spark, sf):
+    return views.site_facts(spark, sf)
 
 
 def ice_speed(spark, sf):
-    out = risk.ice_features(views.observations(spark, sf), as_of(), z=0.3)
-    return out.select("site_id", *six("v_recent", "v_base", "z", "ratio"), "trend")
+    rows = risk.aged(views.monitored(spark, sf), as_of()).join(_facts(spark, sf).select("site_id", "slope"), "site_id")
+    return risk.ice_features(rows, ["site_id"], MONTH).select("site_id", *six("seasonal", "speed", "steep_speed", "z", "ratio", "trend", "confidence"))
+
+
+def ice_sql(rows: str, keys: str) -> str:
+    """CTEs ending in ``ice``; ``rows`` hold the slope of the site."""
+    w = MONTH
+    return f"""vel0 AS (SELECT *, count(CASE WHEN age BETWEEN {w.season[0]} AND {w.season[1]} THEN 1 END) OVER (PARTITION BY {keys}) >= 2 AS seasonal FROM {rows} WHERE kind = 'velocity' AND v IS NOT NULL AND coverage >= 0.2 AND n_points >= 4),
+ vel1 AS (SELECT *, CASE WHEN seasonal THEN age BETWEEN {w.season[0]} AND {w.season[1]} ELSE age BETWEEN {w.fallback[0]} AND {w.fallback[1]} END AS is_base FROM vel0),
+ vel2 AS (SELECT *, CASE WHEN age <= {w.recent} THEN 'recent' WHEN is_base AND count(CASE WHEN is_base THEN 1 END) OVER (PARTITION BY {keys}) >= CASE WHEN seasonal THEN 2 ELSE {w.min_base} END THEN 'base' END AS period FROM vel1),
+ vmid AS (SELECT {keys}, median(v) AS m, count(*) AS c FROM vel2 WHERE period = 'base' GROUP BY {keys}),
+ vflo AS (SELECT {keys}, CASE WHEN max(c) >= 4 THEN 1.4826::DOUBLE * median(abs(v - m)) ELSE 0::DOUBLE END AS flo FROM vel2 JOIN vmid USING ({keys}) WHERE period = 'base' GROUP BY {keys}),
+ vrow AS (SELECT vel2.*, coalesce(flo, 0) AS flo, greatest(0.001::DOUBLE, coalesce(flo, 0)) AS least_ FROM vel2 LEFT JOIN vflo USING ({keys}) WHERE period IS NOT NULL),
+ veach AS ({wm_sql("vrow", f"{keys}, period", least="least_", extra=", count(DISTINCT observed_at) AS acq, max(flo) AS flo")}),
+ vwide AS (SELECT {keys}, max(CASE WHEN period = 'recent' THEN mean END) AS vr, max(CASE WHEN period = 'recent' THEN error * sqrt(n / acq) END) AS sr, max(CASE WHEN period = 'base' THEN mean END) AS vb, max(CASE WHEN period = 'base' THEN error * sqrt(n / acq) END) AS sb, max(flo) AS flo FROM veach GROUP BY {keys}),
+ vtest AS (SELECT *, (vr - vb) / sqrt(sr * sr + sb * sb) AS z FROM vwide WHERE vr IS NOT NULL AND vb IS NOT NULL),
+ vplain AS ({wm_sql("(SELECT * FROM vel2 WHERE period = 'recent')", keys)}),
+ vheld AS (SELECT {keys}, max(CASE WHEN seasonal THEN 1.0::DOUBLE ELSE 0 END) AS seasonal, max(slope) AS slope, avg(CASE WHEN age <= {w.recent} THEN coverage END) AS seen FROM vel2 GROUP BY {keys}),
+ vrun AS (SELECT {keys}, count(CASE WHEN miss = 0 THEN 1 END) AS run FROM (SELECT {keys}, sum(CASE WHEN v - vb > 2 * greatest(se, flo) THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY observed_at DESC) AS miss FROM vel2 JOIN vtest USING ({keys})) GROUP BY {keys}),
+ vall AS (SELECT {keys}, seasonal, slope, seen, coalesce(vr, mean) AS speed, coalesce(sr, error) AS err, z, vb, run FROM vheld LEFT JOIN vplain USING ({keys}) LEFT JOIN vtest USING ({keys}) LEFT JOIN vrun USING ({keys})),
+ ice AS (SELECT {keys}, seasonal, speed, CASE WHEN slope >= 25 AND speed > 3 * err THEN speed END AS steep_speed, z, CASE WHEN z >= {w.min_z} AND speed >= {w.min_speed} THEN speed / greatest(vb, 0.03) WHEN z IS NOT NULL THEN 1 END AS ratio,
+ CASE WHEN z >= {w.min_z} AND speed >= {w.min_speed} THEN coalesce(run, 0)::DOUBLE WHEN z IS NOT NULL THEN 0 END AS trend, least(1::DOUBLE, 0.2::DOUBLE + CASE WHEN seen IS NOT NULL THEN 0.3::DOUBLE + 0.2::DOUBLE * seen ELSE 0 END + CASE WHEN vb IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END) AS confidence FROM vall)"""
+
+
+MON_AGED = f"{views.MONITORED}, {views.SITES}, {views.FACTS}, maged AS (SELECT mon.*, slope, date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE AS age FROM mon JOIN fact USING (site_id) WHERE observed_at <= TIMESTAMP '{AS_OF}')"
 
 
 def insar_speedup(spark, sf):
-    return risk.line_of_sight_features(views.observations(spark, sf), as_of()).select("site_id", *six("z", "mm_per_month", "ratio"))
+    rows = risk.aged(views.monitored(spark, sf), as_of()).join(_facts(spark, sf).select("site_id"), "site_id")
+    return risk.line_of_sight_features(rows, ["site_id"], MONTH).select("site_id", *six("z", "mm_per_month", "los_ratio"))
 
 
-INSAR_SQL = f"""WITH {views.OBS}, rows_ AS (SELECT *, CASE WHEN date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE <= 8 THEN 'recent' ELSE 'base' END AS period FROM obs
- WHERE kind = 'insar_los' AND quality >= 0.3 AND observed_at <= TIMESTAMP '{AS_OF}'), each_ AS ({wm_sql("rows_", "site_id, period", least="1e-6")}),
- wide AS (SELECT site_id, max(CASE WHEN period = 'recent' THEN mean END) AS mr, max(CASE WHEN period = 'recent' THEN error END) AS er, max(CASE WHEN period = 'recent' THEN n END) AS nr,
- max(CASE WHEN period = 'base' THEN mean END) AS mb, max(CASE WHEN period = 'base' THEN error END) AS eb, max(CASE WHEN period = 'base' THEN n END) AS nb FROM each_ GROUP BY 1),
- done AS (SELECT site_id, abs(mr - mb) / sqrt(er * er + eb * eb) AS z, abs(mr) * 30000 AS mm_per_month, mr, mb FROM wide WHERE nb >= 2 AND nr IS NOT NULL)
- SELECT site_id, round(z, 6) AS z, round(mm_per_month, 6) AS mm_per_month, round(CASE WHEN z >= 1 AND abs(mr) >= 5e-4 THEN abs(mr) / greatest(abs(mb), 3e-4) END, 6) AS ratio FROM done"""
+def insar_sql(rows: str, keys: str) -> str:
+    """CTEs ending in ``los``."""
+    w = MONTH
+    return f"""los0 AS (SELECT *, count(CASE WHEN age BETWEEN {w.season[0]} AND {w.season[1]} THEN 1 END) OVER (PARTITION BY {keys}) >= 2 AS seasonal FROM {rows} WHERE kind = 'insar_los' AND coverage >= 0.3),
+ los1 AS (SELECT *, 'recent' AS period FROM los0 WHERE age <= {2 * w.recent} UNION ALL SELECT *, 'base' FROM los0 WHERE CASE WHEN seasonal THEN age BETWEEN {w.season[0]} AND {w.season[1]} ELSE age BETWEEN {w.fallback[0]} AND {w.fallback[1]} END),
+ los2 AS ({wm_sql("los1", f"{keys}, period", least="1e-6")}),
+ los3 AS (SELECT {keys}, max(CASE WHEN period = 'recent' THEN mean END) AS mr, max(CASE WHEN period = 'recent' THEN error END) AS er, max(CASE WHEN period = 'recent' THEN n END) AS nr, max(CASE WHEN period = 'base' THEN mean END) AS mb, max(CASE WHEN period = 'base' THEN error END) AS eb, max(CASE WHEN period = 'base' THEN n END) AS nb FROM los2 GROUP BY {keys}),
+ los4 AS (SELECT *, abs(mr - mb) / sqrt(er * er + eb * eb) AS z FROM los3 WHERE nb >= 2 AND nr IS NOT NULL),
+ los AS (SELECT {keys}, z, abs(mr) * 30000 AS mm_per_month, CASE WHEN z >= {w.min_z} AND abs(mr) >= 5e-4 THEN abs(mr) / greatest(abs(mb), 3e-4) END AS los_ratio FROM los4)"""
 
 
 def landslide_latest(spark, sf):
-    return risk.landslide_features(views.observations(spark, sf), as_of()).select("site_id", *six("area", "confidence"))
+    return risk.landslide_features(_aged(spark, sf), ["site_id"], MONTH).select("site_id", *six("area", "confidence"))
 
 
 def _features(spark, sf):
-    obs = views.observations(spark, sf)
-    lake = risk.lake_features(obs, as_of(), (0, 10), (12, 29), (20, 29))
-    event = risk.event_features(obs, as_of(), "surface_change", 10, (10, 30), 4, 2, 1.0, 0.0)
+    obs, rows = views.observations(spark, sf), _aged(spark, sf)
+    lake = risk.lake_features(rows, ["site_id"], MONTH)
+    event = risk.event_features(rows, ["site_id"], MONTH, "surface_change")
     speed = stats.speedup(_periods(spark, sf).where("kind = 'velocity'"), ["site_id"], "period", "orbit").select("site_id", (F.col("v_recent") / F.greatest("v_base", F.lit(0.05))).alias("ratio"))
     run = stats.newest_run(obs.where("kind = 'velocity'"), ["site_id"], "event_id", F.col("v") > 40).select("site_id", F.col("run").cast("double").alias("trend"))
     wide = lake.join(event, "site_id", "full").join(speed, "site_id", "full").join(run, "site_id", "full")
@@ -237,10 +294,11 @@ ORACLES = {
     "acceleration_run": f"WITH {views.OBS} SELECT site_id, count(CASE WHEN miss = 0 THEN 1 END) AS run FROM (SELECT site_id, sum(CASE WHEN v > 40 THEN 0 ELSE 1 END) OVER (PARTITION BY site_id ORDER BY event_id DESC) AS miss FROM obs) GROUP BY 1",
     "obs_in_window": f"WITH {views.OBS} SELECT event_id, site_id, kind, round(v, 6) AS v FROM obs WHERE date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE BETWEEN 2 AND 5",
     "trusted_lake_area": f"WITH {views.OBS} SELECT event_id, site_id, sensor, round(v, 6) AS v FROM obs WHERE kind = 'lake_area' AND quality >= 0.8 AND v IS NOT NULL AND (sensor <> 'S1' OR coalesce(k, 0) = 0 OR v >= 0.5::DOUBLE * k)",
-    "lake_growth": f"WITH {views.OBS}, {LAKE_SQL} SELECT site_id, {r6('growth_pct, annual_growth_pct, area, confidence')} FROM lake",
-    "event_area_sum": f"WITH {views.OBS}, {EVENT_SQL} SELECT site_id, {r6('area_sum, area_max, new_length')}, n_recent FROM event_",
-    "insar_speedup": INSAR_SQL,
-    "landslide_latest": f"WITH {views.OBS} SELECT site_id, round(max(v), 6) AS area, round(least(0.8::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * least(count(*), 2) + CASE WHEN max(quality) >= 0.8 THEN 0.1::DOUBLE ELSE 0 END), 6) AS confidence FROM obs WHERE kind = 'sar_change' AND date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE BETWEEN 0 AND 30 GROUP BY 1",
+    "lake_growth": f"WITH {views.OBS}, {LAKE_SQL} SELECT site_id, {r6('growth_pct, annual_growth_pct, area, glacier_m, turbidity_rise, confidence')} FROM lake",
+    "event_area_sum": f"WITH {views.OBS}, {AGED_SQL}, {EVENT_SQL} SELECT site_id, {r6('area_sum, area_max, new_length')}, n_recent FROM event_",
+    "ice_speed": f"WITH {MON_AGED}, {ice_sql('maged', 'site_id')} SELECT site_id, {r6('seasonal, speed, steep_speed, z, ratio, trend, confidence')} FROM ice",
+    "insar_speedup": f"WITH {MON_AGED}, {insar_sql('maged', 'site_id')} SELECT site_id, {r6('z, mm_per_month, los_ratio')} FROM los",
+    "landslide_latest": f"WITH {views.OBS} SELECT site_id, round(max(v), 6) AS area, round(least(0.8::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * least(count(*), 2) + CASE WHEN max(quality) >= 0.8 THEN 0.1::DOUBLE ELSE 0 END), 6) AS confidence FROM obs WHERE kind = 'sar_change' AND date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE BETWEEN 0 AND 10 GROUP BY 1",
     "noisy_or_risk": RISK_SQL,
     "risk_level": f"WITH {views.OBS}, r AS (SELECT event_id, v, greatest(0, least(1, (v - 10) / 80::DOUBLE)) AS up, greatest(0, least(1, (v - 90) / -80::DOUBLE)) AS down FROM obs) SELECT event_id, round(up, 6) AS up, round(down, 6) AS down, CASE WHEN v >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS step, CASE WHEN up >= 0.6 THEN 'high' WHEN up >= 0.35 THEN 'medium' ELSE 'low' END AS level FROM r",
     "confusion_iou": "WITH c AS (SELECT quality AS truth, toxic AS predicted, count(*) AS n FROM labels WHERE quality <> 255 GROUP BY 1, 2) SELECT truth, predicted, n, round(CASE WHEN truth = predicted THEN n / (sum(n) OVER (PARTITION BY truth) + sum(n) OVER (PARTITION BY predicted) - n) END, 6) AS iou FROM c",

@@ -25,8 +25,18 @@ def radar_items(items: DataFrame) -> DataFrame:
 
 
 def elevation_href(assets: Column) -> Column:
-    """The data asset, else the first by name."""
-    return F.coalesce(assets["data"], F.get(F.map_values(F.map_from_entries(F.array_sort(F.map_entries(assets)))), F.lit(0)))
+    """The data asset, else the first."""
+    return F.coalesce(assets["data"], F.get(F.map_values(assets), F.lit(0)))
+
+
+#: Names of bands in catalogues, and those that the engine uses (fixed values).
+BAND_NAMES = {"B02": "blue", "B03": "green", "B04": "red", "B08": "nir", "B11": "swir16", "SCL": "scl", "blue": "blue", "green": "green", "red": "red", "nir": "nir", "swir16": "swir16", "scl": "scl"}
+
+
+def search_slc(scenes: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Scenes in an interval with their ``place`` in time within orbit and frame, so neighbours are one apart."""
+    by = Window.partitionBy("orbit", "frame").orderBy("at", "key")
+    return scenes.where(F.col("at").between(start, end)).withColumn("place", F.row_number().over(by))
 
 
 def newest_year(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,9 +51,22 @@ def normalised(items: DataFrame) -> DataFrame:
     )
 
 
-def without_reprocessed(items: DataFrame) -> DataFrame:
-    """Of products that differ only in the time that ends their id, the last."""
-    return items.groupBy(F.regexp_replace("id", r"_\d{8}T\d{6}$", "").alias("tile_id")).agg(F.max("id").alias("id"), F.count("*").alias("versions"))
+def without_reprocessed(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Of products of one key that differ only in the time that ends their id, the last; all columns."""
+    tile = F.regexp_replace("id", r"_\d{8}T\d{6}$", "").alias("_tile")
+    return items.groupBy(*keys, tile).agg(F.max_by(F.struct(*items.columns), "id").alias("r")).select("r.*")
+
+
+def acquisitions(items: DataFrame) -> DataFrame:
+    """Items (sensor, platform, at, orbit, id, cloud) of one sensor, platform, day and orbit as one acquisition: without
+    reprocessed products, its middle time, mean cloud cover of the items that tell it, and key."""
+    rows = items.withColumn("day", F.to_date("at"))
+    by = ["sensor", "platform", "day", "orbit"]
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    out = without_reprocessed(rows, by).groupBy(*by).agg(F.count("*").alias("items"), F.avg("cloud").alias("cloud"), F.floor((F.min(micros) + F.max(micros)) / 2).cast("long").alias("middle"))
+    orbit = F.coalesce(F.format_string("R%03d", F.col("orbit")), F.lit("Rxxx"))
+    stamp = F.date_format(F.timestamp_micros("middle"), "yyyyMMdd'T'HHmm")
+    return out.withColumn("key", F.concat_ws("_", "sensor", "platform", stamp, F.when(F.col("orbit").isNull(), F.lit("Rxxx")).otherwise(orbit)))
 
 
 def product_times(name: Column) -> tuple[Column, Column]:
@@ -52,26 +75,49 @@ def product_times(name: Column) -> tuple[Column, Column]:
     return F.least(*times), F.greatest(*times)
 
 
-#: Tag, value (null: any) and kind, in order: the first that fits decides (fixed values).
+#: Kinds of assets in the order in which they are tried, by tag and its values (none: any value). A power plant counts by
+#: its source (fixed values).
 ASSET_RULES = (
-    ("power", "plant", "hydropower"), ("waterway", "dam", "dam"), ("barrier", "border_control", "border_crossing"), ("amenity", "hospital", "hospital"), ("amenity", "school", "school"),
-    ("man_made", "bridge", "bridge"), ("bridge", None, "bridge"), ("place", "town", "town"), ("place", "village", "village"), ("place", "hamlet", "hamlet"), ("highway", "trunk", "road"),
+    ("town", "place", ("city", "town")),
+    ("settlement", "place", ("village", "hamlet", "isolated_dwelling", "locality")),
+    ("hydropower", "power", ("plant", "generator")),
+    ("dam", "waterway", ("dam", "weir")),
+    ("border_crossing", "barrier", ("border_control",)),
+    ("bridge", "bridge", ("yes",)),
+    ("school", "amenity", ("school",)),
+    ("health", "amenity", ("hospital", "clinic")),
+    ("health", "healthcare", ()),
+    ("police", "amenity", ("police",)),
+    ("government", "amenity", ("townhall",)),
+    ("tourism", "tourism", ("alpine_hut", "guest_house", "hotel", "hostel", "camp_site")),
 )
+SOURCE_TAGS, SOURCE = ("plant:source", "generator:source"), "hydro"
 
 
 def asset_kind(tags: Column) -> Column:
-    kind = F.lit(None).cast("string")
-    for tag, value, name in reversed(ASSET_RULES):
-        fits = F.map_contains_key(tags, tag) if value is None else F.coalesce(tags[tag] == value, F.lit(False))
-        kind = F.when(fits, name).otherwise(kind)
-    return kind
+    """The first kind whose rule fits a map of tags; null if none does."""
+    source = F.concat(*[F.coalesce(tags[t], F.lit("")) for t in SOURCE_TAGS])
+    tried = []
+    for kind, tag, values in ASSET_RULES:
+        fits = tags[tag].isin(*values) if values else F.coalesce(tags[tag], F.lit("")) != ""
+        fits = fits & source.contains(SOURCE) if kind == "hydropower" else fits
+        tried.append(F.when(fits, kind))
+    return F.coalesce(*tried)
 
 
 def map_features(elements: DataFrame) -> DataFrame:
-    """Point features of map elements (type, id, lon, lat, centre, tags): the first of an id, its kind and name."""
-    key = F.concat_ws("/", "type", "id")
-    rows = elements.select(key.alias("external_id"), F.coalesce("lon", F.col("centre")["lon"]).alias("lon"), F.coalesce("lat", F.col("centre")["lat"]).alias("lat"), asset_kind(F.col("tags")).alias("kind"), F.coalesce(F.col("tags")["name:en"], F.col("tags")["name"], F.lit("")).alias("name"))
-    return rows.where(F.col("kind").isNotNull()).groupBy("external_id").agg(F.min(F.struct("kind", "lon", "lat", "name")).alias("r")).select("external_id", "r.*")
+    """Point features of map elements (place, type, id, lon, lat, centre, tags): of an id the one that comes first by
+    ``place``, its kind, and its names; what is not a node stands at its centre, or nowhere."""
+    tags, text = F.col("tags"), lambda t: F.nullif(F.col("tags")[t], F.lit(""))
+    node = F.col("type") == "node"
+    at = lambda c: F.when(node, F.col(c)).otherwise(F.col("centre")[c])
+    local = F.coalesce(text("name:ne"), F.when(text("name").rlike(r"[\x{0900}-\x{097F}]"), text("name")), F.lit(""))
+    rows = elements.select(
+        "place", F.concat(F.lit("osm:"), "type", F.lit("/"), "id").alias("external_id"), at("lon").alias("lon"), at("lat").alias("lat"), asset_kind(tags).alias("kind"),
+        F.coalesce(text("name:en"), text("name"), text("int_name"), F.lit("")).alias("name"), local.alias("name_ne"),
+    )
+    found = rows.where(F.col("kind").isNotNull() & F.col("lon").isNotNull())
+    return found.groupBy("external_id").agg(F.min_by(F.struct("kind", "lon", "lat", "name", "name_ne"), "place").alias("r")).select("external_id", "r.*")
 
 
 def ring_area_km2(ring: Column, lat: Column) -> Column:

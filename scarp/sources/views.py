@@ -31,13 +31,19 @@ def observations(spark, sf_dir) -> DataFrame:
         chosen(ORBITS, F.col("event_id") % 3).alias("orbit"),
         (0.5 + (F.col("event_id") % 50) / 100.0).alias("quality"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.get_json_object("props", "$.k").cast("double").alias("reference"),
+        (F.col("event_id") % 1200).cast("double").alias("glacier_m"),
+        (0.2 + F.col("event_id") % 40 / 100.0).alias("turbidity"),
+        (F.col("event_id") % 100 / 100.0).alias("coverage"),
+        (F.col("event_id") % 40).cast("int").alias("n_points"),
     )
 
 
 OBS = """obs AS (SELECT event_id, user_id AS site_id, CASE event_type WHEN 'view' THEN 'lake_area' WHEN 'click' THEN 'velocity' WHEN 'purchase' THEN 'sar_change'
  WHEN 'signup' THEN 'surface_change' WHEN 'error' THEN 'insar_los' END AS kind, CASE WHEN event_id % 2 = 0 THEN 'S1' ELSE 'S2' END AS sensor, ts AS observed_at, value AS v,
  0.5::DOUBLE + 0.25::DOUBLE * (event_id % 7) AS se, CASE event_id % 3 WHEN 0 THEN 19 WHEN 1 THEN 85 ELSE 121 END AS orbit,
- 0.5::DOUBLE + (event_id % 50)::DOUBLE / 100::DOUBLE AS quality, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
+ 0.5::DOUBLE + (event_id % 50)::DOUBLE / 100::DOUBLE AS quality, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS reference, (event_id % 1200)::DOUBLE AS glacier_m,
+ 0.2::DOUBLE + (event_id % 40)::DOUBLE / 100::DOUBLE AS turbidity, (event_id % 100)::DOUBLE / 100::DOUBLE AS coverage, (event_id % 40)::INTEGER AS n_points FROM events)"""
 
 
 def cell_velocities(spark, sf_dir) -> DataFrame:
@@ -70,8 +76,8 @@ def acquisitions(spark, sf_dir) -> DataFrame:
 ACQ = """acq AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'S1' ELSE 'S2' END AS sensor, o_orderkey AS key, o_orderdate AS acquired_at, o_custkey % 7 AS orbit,
  CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'P' THEN 'failed' ELSE 'pending' END AS status, o_totalprice AS area_m2 FROM orders)"""
 
-SITE_KINDS = ("glacier", "lake", "slope", "landslide")
-ASSET_KINDS = ("town", "bridge", "hydropower", "road")
+SITE_KINDS = ("glacier", "glacial_lake", "slope", "landslide", "barrier_lake")
+ASSET_KINDS = ("town", "bridge", "hydropower", "settlement")
 
 
 def _placed(key: str) -> tuple[Column, Column]:
@@ -82,11 +88,33 @@ def _placed(key: str) -> tuple[Column, Column]:
 def sites(spark, sf_dir) -> DataFrame:
     level = F.when(F.col("s_acctbal") >= 6000, "high").when(F.col("s_acctbal") >= 3000, "medium").when(F.col("s_acctbal") >= 0, "low").otherwise("unknown")
     return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("site_id"), F.col("s_name").alias("code"), chosen(SITE_KINDS, F.col("s_suppkey") % 4).alias("kind"), *_placed("s_suppkey"), F.col("s_nationkey").alias("aoi"), level.alias("level"), F.col("s_acctbal").alias("z")
+        F.col("s_suppkey").alias("site_id"), F.col("s_name").alias("code"), chosen(SITE_KINDS, F.col("s_suppkey") % 5).alias("kind"), *_placed("s_suppkey"), F.col("s_nationkey").alias("aoi"), level.alias("level"), F.col("s_acctbal").alias("z")
     )
 
 
-SITES = """site AS (SELECT s_suppkey AS site_id, s_name AS code, CASE s_suppkey % 4 WHEN 0 THEN 'glacier' WHEN 1 THEN 'lake' WHEN 2 THEN 'slope' ELSE 'landslide' END AS kind,
+#: Factors that give each kind of observation the size of its unit.
+UNITS = {"lake_area": 1e4, "velocity": 0.02, "sar_change": 1e4, "surface_change": 10.0, "insar_los": 1e-5}
+
+
+def monitored(spark, sf_dir) -> DataFrame:
+    """Observations in the units of their kinds: square metres, metres, metres a day."""
+    unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])[F.col("kind")]
+    return observations(spark, sf_dir).withColumns({"v": F.col("v") * unit, "se": F.col("se") * unit, "reference": F.col("reference") * 1e4})
+
+
+MONITORED = f"""{OBS}, mon AS (SELECT event_id, site_id, kind, sensor, observed_at, v * u AS v, se * u AS se, orbit, quality, reference * 1e4::DOUBLE AS reference, glacier_m, turbidity, coverage, n_points FROM obs
+ JOIN (VALUES ('lake_area', 1e4::DOUBLE), ('velocity', 0.02::DOUBLE), ('sar_change', 1e4::DOUBLE), ('surface_change', 10::DOUBLE), ('insar_los', 1e-5::DOUBLE)) u(kind, u) USING (kind))"""
+
+
+def site_facts(spark, sf_dir) -> DataFrame:
+    """What is known of sites themselves."""
+    k = F.col("site_id")
+    return sites(spark, sf_dir).select("site_id", F.col("kind").alias("site_kind"), "aoi", (15.0 + k % 25).alias("slope"), (20.0 + k % 30).alias("walls"), (k * 37 % 1500).cast("double").alias("glacier_m"), (k % 7 * 100_000).cast("double").alias("area"))
+
+
+FACTS = """fact AS (SELECT site_id, kind AS site_kind, aoi, 15::DOUBLE + site_id % 25 AS slope, 20::DOUBLE + site_id % 30 AS walls, (site_id * 37 % 1500)::DOUBLE AS glacier_m, (site_id % 7 * 100000)::DOUBLE AS area FROM site)"""
+
+SITES = """site AS (SELECT s_suppkey AS site_id, s_name AS code, CASE s_suppkey % 5 WHEN 0 THEN 'glacier' WHEN 1 THEN 'glacial_lake' WHEN 2 THEN 'slope' WHEN 3 THEN 'landslide' ELSE 'barrier_lake' END AS kind,
  85::DOUBLE + (s_suppkey * 37 % 1000)::DOUBLE / 1000::DOUBLE AS lon, 27.5::DOUBLE + (s_suppkey * 91 % 1000)::DOUBLE / 1000::DOUBLE AS lat, s_nationkey AS aoi,
  CASE WHEN s_acctbal >= 6000 THEN 'high' WHEN s_acctbal >= 3000 THEN 'medium' WHEN s_acctbal >= 0 THEN 'low' ELSE 'unknown' END AS level, s_acctbal AS z FROM supplier)"""
 
@@ -97,7 +125,7 @@ def assets(spark, sf_dir) -> DataFrame:
     )
 
 
-ASSETS = """asset AS (SELECT c_custkey AS asset_id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'town' WHEN 1 THEN 'bridge' WHEN 2 THEN 'hydropower' ELSE 'road' END AS kind,
+ASSETS = """asset AS (SELECT c_custkey AS asset_id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'town' WHEN 1 THEN 'bridge' WHEN 2 THEN 'hydropower' ELSE 'settlement' END AS kind,
  85::DOUBLE + (c_custkey * 37 % 1000)::DOUBLE / 1000::DOUBLE AS lon, 27.5::DOUBLE + (c_custkey * 91 % 1000)::DOUBLE / 1000::DOUBLE AS lat, c_custkey % 5 = 0 AS at_channel,
  c_nationkey AS aoi, c_acctbal AS height_m FROM customer)"""
 
