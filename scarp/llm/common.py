@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table is sent to every executor only if it has at most this many rows (of a few numbers each).
 BROADCAST_ROWS = 1_000_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there and a lost executor costs nothing."""
+    """``df`` written to the shared folder and read again: its lineage ends there and a lost executor costs nothing. Python
+    workers get few rows at a time meanwhile, as texts may be long."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scarp-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), 1000)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -260,25 +260,38 @@ def with_bits(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
 
 def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int) -> DataFrame:
-    """Links (a, b) found in the buckets of the bands."""
+    """Links (a, b) found in the buckets of the bands.
+
+    A node's hub score is the summed size of its buckets: of near copies of one text, the text itself shares more buckets
+    with the others than any two of these share. In each round a bucket's centre is the best hub of its largest component
+    that was no centre before, so first the text, then those that it linked and that others may link with.
+    """
     held = classes.select("node", F.explode("bands").alias("band"))
-    often = held.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select(F.col("band").alias("_band"))
-    held = saved(held.join(often, F.col("band") == F.col("_band")).drop("_band"))
+    often = held.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select(F.col("band").alias("_band"), "k")
+    held = saved(held.join(often, F.col("band") == F.col("_band")).select("node", "band", "k"))
+    hubs = saved(narrow(held.groupBy("node").agg(F.sum("k").alias("hub"))))
+    held = saved(held.join(hubs, "node").select("node", "band", "hub"))
     facts = classes.select("node", "n", "bits")
-    links = None
-    for r in range(rounds):
-        own = held
+    links, tried = None, None
+    for _ in range(rounds):
+        own = held.withColumn("comp", F.col("node")).withColumn("size", F.lit(1).cast("long"))
         if links is not None:
             named = components(links)
-            own = held.join(named, "node", "left").select("band", "node", F.coalesce("label", "node").alias("comp"))
-        else:
-            own = own.withColumn("comp", F.col("node"))
-        centre = own.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        centre = centre.where("lo <> hi").select(F.col("band").alias("_band"), F.col("c.node").alias("centre"), F.col("c.comp").alias("its"))
-        met = own.join(centre, F.col("band") == F.col("_band")).where(F.col("comp") != F.col("its")).groupBy("node", "centre").agg(F.count("*").alias("k"))
-        best = met.groupBy("node").agg(F.max(F.struct("k", "centre")).alias("c")).select(F.col("node").alias("a"), F.col("c.centre").alias("b"))
-        pairs = with_bits(best, facts, percent)
-        found = exact_links(pairs, texts, percent)
+            sizes = named.groupBy("label").agg(F.count("*").alias("size"))
+            named = named.join(sizes, "label")
+            own = held.join(named, "node", "left").select("band", "node", "hub", F.coalesce("label", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+        if tried is not None:
+            own = own.join(small(tried, tried.count()), F.col("node") == F.col("_tried"), "left")
+        fresh = F.col("_tried").isNull() if tried is not None else F.lit(True)
+        order = F.struct("size", "hub", F.xxhash64("node").alias("h"), "node", "comp")
+        centre = own.groupBy("band").agg(F.max(F.when(fresh, order)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and c is not null")
+        centre = centre.select(F.col("band").alias("_band"), F.col("c.node").alias("centre"), F.col("c.comp").alias("its"), F.col("c.hub").alias("rank"))
+        met = own.join(centre, F.col("band") == F.col("_band")).where(F.col("comp") != F.col("its")).groupBy("node", "centre").agg(F.count("*").alias("k"), F.max("rank").alias("rank"))
+        best = met.groupBy("node").agg(F.max(F.struct("rank", "k", "centre")).alias("c")).select(F.col("node").alias("a"), F.col("c.centre").alias("b"))
+        best = saved(narrow(best))
+        used = best.select(F.col("b").alias("_tried")).distinct()
+        tried = saved(narrow(used if tried is None else used.union(tried).distinct()))
+        found = exact_links(with_bits(best, facts, percent), texts, percent)
         links = found if links is None else links.union(found)
     return links
 
