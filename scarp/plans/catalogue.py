@@ -133,10 +133,10 @@ ORACLES = {
  kd AS (SELECT *, CASE WHEN place = 'city' THEN 'town' WHEN place = 'hamlet' THEN 'settlement' WHEN power AND k % 4 = 2 THEN 'hydropower' WHEN weir THEN 'dam' WHEN border THEN 'border_crossing' WHEN bridge THEN 'bridge' WHEN amenity = 'school' THEN 'school' WHEN amenity = 'clinic' OR care THEN 'health' WHEN amenity = 'police' THEN 'police' WHEN amenity = 'townhall' THEN 'government' WHEN hostel THEN 'tourism' END AS kind FROM c),
  fe AS (SELECT k, 'osm:' || ty || '/' || k // 2 AS external_id, kind, CASE WHEN ty = 'node' THEN 85.0::DOUBLE + k % 7 WHEN k % 8 <> 0 THEN 84.0::DOUBLE + k % 7 END AS lon, CASE WHEN ty = 'node' THEN 27.0::DOUBLE + k % 5 WHEN k % 8 <> 0 THEN 26.0::DOUBLE + k % 5 END AS lat, CASE WHEN k % 11 = 0 THEN 'Bridge' ELSE p_name END AS name, CASE WHEN k % 11 = 0 THEN 'पुल' ELSE '' END AS name_ne FROM kd)
  SELECT external_id, arg_min(kind, k) AS kind, round(arg_min(lon, k), 4) AS lon, round(arg_min(lat, k), 4) AS lat, arg_min(name, k) AS name, arg_min(name_ne, k) AS name_ne FROM fe WHERE kind IS NOT NULL AND lon IS NOT NULL GROUP BY 1""",
-    "item_acquisitions": """WITH i AS (SELECT o_orderkey AS key, 'S2' || substr('ABC', (o_orderkey % 3)::INTEGER + 1, 1) AS platform, o_orderdate AS at, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 4 END AS orbit, 'S2A_T' || o_custkey % 50 || printf('_R%03d_', o_orderkey % 143) AS base, strftime(o_orderdate, '%Y%m%dT%H%M%S') AS tail, CASE WHEN o_orderkey % 6 <> 0 THEN (floor(o_totalprice)::BIGINT % 100)::DOUBLE END AS cloud FROM orders),
- u AS (SELECT key, platform, at, orbit, base || tail AS id, base, cloud FROM i UNION ALL SELECT key, platform, at, orbit, base || tail[:9] || '120000', base, 50.0 FROM i WHERE key % 3 = 0),
- d AS (SELECT platform, at::DATE AS day, orbit, rtrim(base, '_') AS tile, arg_max(cloud, id) AS c0, list(CASE WHEN cloud IS NULL THEN -1 ELSE cloud END ORDER BY id DESC)[1] AS cloud, arg_max(at, id) AS at FROM u GROUP BY 1, 2, 3, 4),
- a AS (SELECT platform, day, orbit, count(*) AS items, avg(CASE WHEN cloud >= 0 THEN cloud END) AS cloud, ((epoch_us(min(at)) + epoch_us(max(at))) // 2)::BIGINT AS middle FROM d GROUP BY 1, 2, 3)
+    "item_acquisitions": """WITH i AS (SELECT o_orderkey AS key, 'S2' || substr('ABC', (o_orderkey % 3)::INTEGER + 1, 1) AS platform, o_orderdate AS "at", CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 4 END AS orbit, 'S2A_T' || o_custkey % 50 || printf('_R%03d_', o_orderkey % 143) AS base, strftime(o_orderdate, '%Y%m%dT%H%M%S') AS tail, CASE WHEN o_orderkey % 6 <> 0 THEN (floor(o_totalprice)::BIGINT % 100)::DOUBLE END AS cloud FROM orders),
+ u AS (SELECT key, platform, "at", orbit, base || tail AS id, base, cloud FROM i UNION ALL SELECT key, platform, "at", orbit, base || tail[:9] || '120000', base, 50.0 FROM i WHERE key % 3 = 0),
+ d AS (SELECT platform, "at"::DATE AS day, orbit, rtrim(base, '_') AS tile, arg_max(cloud, id) AS c0, list(CASE WHEN cloud IS NULL THEN -1 ELSE cloud END ORDER BY id DESC)[1] AS cloud, arg_max("at", id) AS "at" FROM u GROUP BY 1, 2, 3, 4),
+ a AS (SELECT platform, day, orbit, count(*) AS items, avg(CASE WHEN cloud >= 0 THEN cloud END) AS cloud, ((epoch_us(min("at")) + epoch_us(max("at"))) // 2)::BIGINT AS middle FROM d GROUP BY 1, 2, 3)
  SELECT 'S2_' || platform || '_' || strftime(make_timestamp(middle), '%Y%m%dT%H%M') || '_' || CASE WHEN orbit IS NULL THEN 'Rxxx' ELSE printf('R%03d', orbit) END AS code, items, round(cloud, 6) AS cloud, middle FROM a""",
     "elevation_hrefs": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'd' || o_orderkey ELSE 't' || o_orderkey END AS href FROM orders",
     "named_bands": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'red,nir' ELSE 'red,swir16' END AS bands FROM orders".replace("'red,nir'", "'nir,red'"),

@@ -47,18 +47,6 @@ def site_timelines(spark, sf):
     return out.select("site_id", "n", *six("top"), "top_at", "high", "medium")
 
 
-def alert_messages(spark, sf):
-    """Messages of alerts with the nearest assets as places, and what a validator finds in them."""
-    found = alerts.fold(_assessments(spark, sf))
-    sites = views.sites(spark, sf).select("site_id", F.col("code").alias("site"), "aoi")
-    exposures = views.assets(spark, sf).where("asset_id <= 500").select("aoi", F.col("kind").alias("asset_kind"), F.col("name").alias("asset_name"), (F.col("asset_id") / 8.0).alias("minutes")).join(sites, "aoi")
-    sheet = alerts.fact_sheets(found.join(sites, "site_id"), exposures).withColumn("hotline", F.lit("1155"))
-    for name, c in alerts.message(F.when(F.col("assessment_id") % 2 == 0, "ne").otherwise("en")).items():
-        sheet = sheet.withColumn(name, c)
-    wrong = alerts.issues(F.col("body"), F.array(F.lit("1155")), F.col("site"), F.col("level"), F.lit("1155"), F.get("places", F.lit(0))["name"])
-    return sheet.select("assessment_id", "title", "sms", F.length("body").alias("n"), F.array_join(wrong, ",").alias("issues"))
-
-
 def warnings_feed(spark, sf):
     s = views.sites(spark, sf)
     uid = F.concat(F.lit("w-"), F.col("site_id"))
@@ -100,7 +88,7 @@ def run_health(spark, sf):
     return out.select(F.date_format("last", "yyyy-MM-dd").alias("last"), "runs", "stale")
 
 
-QUERIES = {f.__name__: f for f in (reassessed, reassess_sites, alert_decisions, site_timelines, alert_messages, warnings_feed, site_features, pending_deliveries, status_moves, event_evaluation, run_health)}
+QUERIES = {f.__name__: f for f in (reassessed, reassess_sites, alert_decisions, site_timelines, warnings_feed, site_features, pending_deliveries, status_moves, event_evaluation, run_health)}
 _ASSESSED = f"{views.OBS}, a AS (SELECT event_id AS assessment_id, site_id, epoch_us(observed_at) AS \"at\", greatest(0, least(1, (avg(v) OVER (PARTITION BY site_id ORDER BY event_id ROWS 4 PRECEDING) - 20) / 60)) AS s FROM obs), asd AS (SELECT assessment_id, site_id, \"at\", round(s, 6) AS score, CASE WHEN s >= 0.6 THEN 'high' WHEN s >= 0.35 THEN 'medium' ELSE 'low' END AS level FROM a)"
 #: The fold as a recursion over each site's rows: the live alert of a row decides, and what it decides becomes the next.
 def fold_sql(rows: str, automatic: str = "'high'") -> str:
