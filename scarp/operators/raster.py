@@ -36,7 +36,10 @@ def lee_filter(px: DataFrame, keys: list[str], reach: int = 2) -> DataFrame:
     return local.join(whole, keys).withColumn("filtered", 10 * F.log10(F.col("mean") + F.coalesce(w, F.lit(0.0)) * (F.col("v") - F.col("mean")))).drop("_all", "v")
 
 
-def log_ratio(pre: DataFrame, post: DataFrame, keys: list[str]) -> DataFrame:
+def log_ratio(pre: DataFrame, post: DataFrame, keys: list[str], reach: int = 0) -> DataFrame:
+    """Change of decibels, of both sides without speckle if ``reach`` is not 0."""
+    if reach:
+        pre, post = (lee_filter(x, keys, reach).withColumnRenamed("filtered", "v") for x in (pre, post))
     a, b = pre.select(*keys, "row", "col", F.col("v").alias("_a")), post.select(*keys, "row", "col", F.col("v").alias("_b"))
     return a.join(b, [*keys, "row", "col"]).withColumn("change", F.col("_b") - F.col("_a")).drop("_a", "_b")
 
@@ -63,27 +66,86 @@ def seasonal_bands(px: DataFrame, keys: list[str], z: str, band_m: float, thresh
     return banded.join(each, [*keys, "band"]).withColumn("seasonal", flag).drop("_n", "_up", "_down")
 
 
-def regions(px: DataFrame, keys: list[str], most: int = 4096) -> DataFrame:
-    """Labels of 8-connected pixels: the smallest (row * 2**20 + col) of the region. Labels spread along all places that a
-    pixel touches, with the label's own label looked up in each round, so rounds grow with the log of a region's length.
-    Each round is written to the shared folder."""
+#: Pixels a side of the blocks that are labelled at once.
+BLOCK = 256
+
+
+def blocks_labelled(batches):
+    """Labels within blocks, of rows (block, row, col) sorted by them: all blocks of a batch at once; the rows of a block
+    that a batch cuts wait for the next. Pixels of one block are found by their place in the sorted rows, and labels
+    spread to the smallest along edges, with each label's own label looked up in each round."""
+
+    def labels(block: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        at = (np.cumsum(np.diff(block, prepend=block[:1]) != 0) << 20) + row % BLOCK * 1024 + col % BLOCK + 1
+        label = np.arange(len(at))
+        edges = []
+        for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            inside = (row % BLOCK + dr < BLOCK) & (col % BLOCK + dc >= 0) & (col % BLOCK + dc < BLOCK)
+            want = at + dr * 1024 + dc
+            k = np.minimum(np.searchsorted(at, want), len(at) - 1)
+            hit = inside & (at[k] == want)
+            edges.append(np.stack([np.flatnonzero(hit), k[hit]]))
+        u, v = np.concatenate(edges, axis=1)
+        while len(u):
+            low = np.minimum(label[u], label[v])
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[v], low)
+            while (label[label] != label).any():  # roots only are hooked, or links would be lost
+                label = label[label]
+            left = label[u] != label[v]
+            u, v = u[left], v[left]
+        return row[label] * (1 << 20) + col[label]
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        block = table["_block"].to_numpy()
+        ended = np.flatnonzero(block != block[-1]) if len(block) else block
+        cut = int(ended[-1]) + 1 if len(ended) else 0
+        held = table.slice(cut)
+        yield from labelled_part(table.slice(0, cut), labels)
+    if held is not None:
+        yield from labelled_part(held, labels)
+
+
+def labelled_part(table: pa.Table, labels):
+    if table.num_rows:
+        found = labels(*(table[c].to_numpy().astype(np.int64) for c in ("_block", "row", "col")))
+        yield from table.drop_columns(["_block"]).append_column("label", pa.array(found)).combine_chunks().to_batches()
+
+
+def regions(px: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
+    """Labels of 8-connected pixels: the smallest (row * 2**20 + col) of the region.
+
+    Blocks of BLOCK x BLOCK pixels are labelled one by one; pixels on their borders then give edges between labels, and
+    labels take the smallest that they meet, and its own label, until none changes. Only these edges are iterated.
+    """
     from ..sources.shared import saved
 
-    place = F.col("row").cast("long") * (1 << 20) + F.col("col")
-    own = saved(px.select(*keys, "row", "col", place.alias("label")))
-    changed = -1
+    size = F.lit(BLOCK)
+    block = F.xxhash64(*keys, F.floor(F.col("row") / size), F.floor(F.col("col") / size)).alias("_block")
+    rows = px.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), block)
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "_block")
+    own = saved(rows.repartition("_block").sortWithinPartitions("_block", "row", "col").mapInArrow(blocks_labelled, f"{kinds}, label long"))
+    rim = lambda c: (F.col(c) % BLOCK == 0) | (F.col(c) % BLOCK == BLOCK - 1)
+    border = own.where(rim("row") | rim("col"))
+    near = shifted(border, keys, 1, "label").where("dr <> 0 or dc <> 0").join(border, [*keys, "row", "col"]).where(F.col("_n") != F.col("label"))
+    edges = saved(near.select(*keys, F.col("label").alias("a"), F.col("_n").alias("b")).distinct())
+    if edges.isEmpty():
+        return own
+    to = saved(edges.select(*keys, F.col("a").alias("label")).distinct().withColumn("to", F.col("label")))
+    changed = None
     for _ in range(most):
-        near = shifted(own, keys, 1, "label").groupBy(*keys, "row", "col").agg(F.min("_n").alias("_m"))
-        step = own.join(near, [*keys, "row", "col"])
-        up = own.select(*keys, (F.col("row").cast("long") * (1 << 20) + F.col("col")).alias("_m"), F.col("label").alias("_up"))
-        new = step.join(up, [*keys, "_m"], "left").select(*keys, "row", "col", F.least("label", "_m", "_up").alias("label"))
-        new = saved(new)
-        total = new.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        own = new
+        b = to.select(*keys, F.col("label").alias("b"), F.col("to").alias("_b"))
+        least = edges.join(b, [*keys, "b"]).groupBy(*keys, F.col("a").alias("label")).agg(F.min("_b").alias("_m"))
+        step = to.join(least, [*keys, "label"]).withColumn("to", F.least("to", "_m")).drop("_m")
+        up = to.select(*keys, F.col("label").alias("to"), F.col("to").alias("_up"))
+        to = saved(step.join(up, [*keys, "to"], "left").select(*keys, "label", F.least("to", F.coalesce("_up", "to")).alias("to")))
+        total = to.agg(F.sum(F.col("to").cast("decimal(38,0)"))).first()[0]
         if total == changed:
-            return own
+            return own.join(to, [*keys, "label"], "left").select(*keys, "row", "col", F.coalesce("to", "label").alias("label"))
         changed = total
-    return own
+    raise RuntimeError(f"regions did not settle in {most} rounds")
 
 
 def region_shapes(labelled: DataFrame, keys: list[str]) -> DataFrame:

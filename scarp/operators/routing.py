@@ -24,40 +24,42 @@ def receivers(px: DataFrame, keys: list[str], resolution: float) -> DataFrame:
     return px.join(best, [*keys, "row", "col"], "left").select(*keys, "row", "col", "b.to_row", "b.to_col", "b.drop")
 
 
+AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+
+
 def escape(z: np.ndarray, pit: tuple[int, int], visited: set, most: int) -> list[tuple[int, int]]:
-    """Route from a pit to the first lower unvisited cell, or the edge, by flooding the lowest neighbours first."""
-    level, queue, origin = z[pit], [(z[pit], pit)], {pit: None}
-    while queue and len(origin) < most:
-        height, at = heapq.heappop(queue)
-        edge = at[0] in (0, z.shape[0] - 1) or at[1] in (0, z.shape[1] - 1)
-        if at != pit and at not in visited and (height < level or edge):
-            route = []
-            while at != pit:
-                route.append(at)
-                at = origin[at]
-            return route[::-1]
-        for dr in (-1, 0, 1):
-            for dc in (-1, 0, 1):
-                to = (at[0] + dr, at[1] + dc)
-                if to not in origin and 0 <= to[0] < z.shape[0] and 0 <= to[1] < z.shape[1]:
-                    origin[to] = at
-                    heapq.heappush(queue, (z[to], to))
+    """Route out of a pit: its surroundings are flooded, lowest first, and the first cell that the flood touches and that
+    is an edge cell, or lower than the pit and new to the walk, is the way out."""
+    rows, cols = z.shape
+    queue, origin = [(z[pit], pit)], {pit: pit}
+    for _ in range(most):
+        if not queue:
+            break
+        _, at = heapq.heappop(queue)
+        for dr, dc in AROUND:
+            to = (at[0] + dr, at[1] + dc)
+            if to in origin or not (0 <= to[0] < rows and 0 <= to[1] < cols):
+                continue
+            origin[to] = at
+            if to[0] in (0, rows - 1) or to[1] in (0, cols - 1) or (z[to] < z[pit] and to not in visited):
+                route = []
+                while to != pit:
+                    route.append(to)
+                    to = origin[to]
+                return route[::-1]
+            heapq.heappush(queue, (z[to], to))
     return []
 
 
 def descend(z: np.ndarray, start: tuple[int, int], resolution: float, max_km: float, most: int = 200_000) -> list[tuple[int, int, float]]:
-    """Cells and kilometres of the walk down the steepest unvisited neighbour; it ends at the edge or after ``max_km``."""
+    """Cells and kilometres of the walk down the steepest unvisited neighbour, out of pits by ``escape``; it ends at the edge
+    or after ``max_km``."""
+    rows, cols = z.shape
     at, along, out, visited = start, 0.0, [(*start, 0.0)], {start}
-    while along < max_km and 0 < at[0] < z.shape[0] - 1 and 0 < at[1] < z.shape[1] - 1:
-        best, to = 0.0, None
-        for dr in (-1, 0, 1):
-            for dc in (-1, 0, 1):
-                n = (at[0] + dr, at[1] + dc)
-                if n not in visited and n != at:
-                    drop = (z[at] - z[n]) / (DIAGONAL if dr and dc else 1.0)
-                    if drop > best:
-                        best, to = drop, n
-        route = [to] if to else escape(z, at, visited, most)
+    while along < max_km and 0 < at[0] < rows - 1 and 0 < at[1] < cols - 1:
+        drops = [((z[at] - z[n]) / (DIAGONAL if dr and dc else 1.0), -k, n) for k, (dr, dc) in enumerate(AROUND) if (n := (at[0] + dr, at[1] + dc)) not in visited]
+        best = max(drops, default=(0.0, 0, at))
+        route = [best[2]] if best[0] > 0 else escape(z, at, visited, most)
         if not route:
             break
         for n in route:
@@ -68,6 +70,13 @@ def descend(z: np.ndarray, start: tuple[int, int], resolution: float, max_km: fl
     return out
 
 
+def snapped_starts(px: DataFrame, keys: list[str], starts: DataFrame, reach: int = 3) -> DataFrame:
+    """``starts`` (keys, start_id, row, col) moved to the lowest cell within ``reach``; ties to the smaller place."""
+    near = starts.select(*keys, "start_id", F.explode(F.sequence(F.col("row") - reach, F.col("row") + reach)).alias("row"), "col").withColumn("col", F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach)))
+    low = near.join(px, [*keys, "row", "col"]).groupBy(*keys, "start_id").agg(F.min(F.struct("v", "row", "col")).alias("m"))
+    return low.select(*keys, "start_id", "m.row", "m.col")
+
+
 def paths(tiles: DataFrame, starts: DataFrame, rows: int, cols: int, resolution: float, max_km: float) -> DataFrame:
     """(start_id, step, row, col, along_km) from ``starts`` (start_id, tile, row, col) on ``tiles`` (tile, z: flat array).
     Each start is a row with its tile, so starts spread over all tasks."""

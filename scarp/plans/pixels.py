@@ -41,7 +41,7 @@ def scene_medians(spark, sf):
 
 
 def median_filtered(spark, sf):
-    out = raster.median_filter(views.pixels(spark, sf).where("scene % 4 = label % 4").select("scene", "row", "col", "v"), ["scene"])
+    out = raster.median_filter(views.pixels(spark, sf).select("scene", "row", "col", "v"), ["scene"])
     return out.select("scene", "row", "col", F.round("median", 6).alias("median"))
 
 
@@ -109,7 +109,7 @@ QUERIES = {f.__name__: f for f in (band_indices, surface_classes, scene_medians,
 ORACLES = {
     "band_indices": f"WITH {BANDS} SELECT scene, row, col, round((v - w) / (v + w), 6) AS ndwi, round((v + w) / 2, 6) AS bright, round(v / w, 6) AS turbidity, round(1 / (1 + exp(-(v - 3) / 0.5::DOUBLE)), 6) AS p, round(10 * log10(v), 6) AS db FROM b",
     "scene_medians": f"WITH {RAW} SELECT scene, count(v) AS n, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, round(0.1::DOUBLE / sqrt(greatest(1, count(v) / 16)), 6) AS se FROM raw GROUP BY 1",
-    "median_filtered": f"WITH {views.PIXELS}, p AS (SELECT * FROM px WHERE scene % 4 = label % 4) SELECT a.scene, a.row, a.col, round(median(b.v), 6) AS median FROM p a JOIN p b ON a.scene = b.scene AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3",
+    "median_filtered": f"WITH {views.PIXELS} SELECT a.scene, a.row, a.col, round(median(b.v), 6) AS median FROM px a JOIN px b ON a.scene = b.scene AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3",
     "lee_filtered": f"WITH {views.PIXELS}, l AS (SELECT *, pow(10, v / 10) AS x FROM px), f AS (SELECT a.scene, a.row, a.col, any_value(a.x) AS x, avg(b.x) AS m, var_pop(b.x) AS s FROM l a JOIN l b ON a.scene = b.scene AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY 1, 2, 3), w AS (SELECT *, avg(s) OVER (PARTITION BY scene) AS t FROM f) SELECT scene, row, col, round(10 * log10(m + s / (s + t) * (x - m)), 5) AS filtered FROM w",
     "slopes": f"""WITH {views.PIXELS}, n AS (SELECT *, lag(v) OVER r AS r0, lead(v) OVER r AS r1, lag(v) OVER c AS c0, lead(v) OVER c AS c1 FROM px WINDOW r AS (PARTITION BY scene, col ORDER BY row), c AS (PARTITION BY scene, row ORDER BY col)),
  g AS (SELECT *, CASE WHEN r0 IS NULL THEN r1 - v WHEN r1 IS NULL THEN v - r0 ELSE (r1 - r0) / 2 END AS y, CASE WHEN c0 IS NULL THEN c1 - v WHEN c1 IS NULL THEN v - c0 ELSE (c1 - c0) / 2 END AS x FROM n)
