@@ -28,6 +28,69 @@ def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     return EASTING + SCALE * radius * x, SCALE * radius * y + F.when(lat < 0, SOUTH).otherwise(0.0)
 
 
+def lonlat(x: Column, y: Column, zone: Column, north: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of easting and northing, by the inverse series."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    back = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = (y - F.when(north, 0.0).otherwise(SOUTH)) / (SCALE * radius), (x - EASTING) / (SCALE * radius)
+    a, b = xi, eta
+    for k, c in enumerate(series, 1):
+        a = a - c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        b = b - c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    lat = chi
+    for k, c in enumerate(back, 1):
+        lat = lat + c * F.sin(2 * k * chi)
+    return F.degrees(F.atan2(F.sinh(b), F.cos(a))) + zone * 6 - 183, F.degrees(lat)
+
+
+def grid_around(box: Column, zone: Column, resolution: float) -> Column:
+    """Grid (x0, y1, width, height) that covers a box of degrees (x0, y0, x1, y1): its corners' box, snapped outward."""
+    corners = [utm(box[a], box[b], zone) for a in ("x0", "x1") for b in ("y0", "y1")]
+    xs, ys = F.array(*[c[0] for c in corners]), F.array(*[c[1] for c in corners])
+    x0, x1 = snapped(F.array_min(xs), resolution, False), snapped(F.array_max(xs), resolution, True)
+    y0, y1 = snapped(F.array_min(ys), resolution, False), snapped(F.array_max(ys), resolution, True)
+    return F.struct(x0.alias("x0"), y1.alias("y1"), ((x1 - x0) / resolution).cast("int").alias("width"), ((y1 - y0) / resolution).cast("int").alias("height"))
+
+
+def grid_bounds(grid: Column, resolution: float) -> Column:
+    """Extent of a grid in metres."""
+    return F.struct(grid["x0"].alias("x0"), (grid["y1"] - grid["height"] * resolution).alias("y0"), (grid["x0"] + grid["width"] * resolution).alias("x1"), grid["y1"].alias("y1"))
+
+
+def degrees_box(bounds_m: Column, zone: Column, north: Column) -> Column:
+    """Box in degrees of an extent in metres."""
+    corners = [lonlat(bounds_m[a], bounds_m[b], zone, north) for a in ("x0", "x1") for b in ("y0", "y1")]
+    lon, lat = F.array(*[c[0] for c in corners]), F.array(*[c[1] for c in corners])
+    return F.struct(F.array_min(lon).alias("x0"), F.array_min(lat).alias("y0"), F.array_max(lon).alias("x1"), F.array_max(lat).alias("y1"))
+
+
+def window(grid: Column, row: Column, col: Column, height: Column, width: Column, resolution: float) -> Column:
+    """Part of a grid, clipped to it."""
+    r, c = F.greatest(row, F.lit(0)), F.greatest(col, F.lit(0))
+    h, w = F.least(row + height, grid["height"]) - r, F.least(col + width, grid["width"]) - c
+    return F.struct((grid["x0"] + c * resolution).alias("x0"), (grid["y1"] - r * resolution).alias("y1"), F.greatest(w, F.lit(0)).alias("width"), F.greatest(h, F.lit(0)).alias("height"))
+
+
+def cell_box(cell: Column, grid: Column, cell_m: float) -> Column:
+    """Extent in metres of a cell named row_col."""
+    row, col = (F.split_part(cell, F.lit("_"), F.lit(k)).cast("int") for k in (1, 2))
+    x, y = grid["x0"] + col * cell_m, grid["y1"] - row * cell_m
+    return F.struct(x.alias("x0"), (y - cell_m).alias("y0"), (x + cell_m).alias("x1"), y.alias("y1"))
+
+
+def contains_rc(grid: Column, row: Column, col: Column) -> Column:
+    return row.between(F.lit(0), grid["height"] - 1) & col.between(F.lit(0), grid["width"] - 1)
+
+
+def box_ring(box: Column) -> Column:
+    """A box as a closed ring."""
+    p = lambda a, b: F.struct(box[a].alias("lon"), box[b].alias("lat"))
+    return F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"), p("x0", "y0"))
+
+
 def snapped(x: Column, resolution: float, up: bool) -> Column:
     """An edge moved outward to a multiple of the resolution."""
     return (F.ceil(x / resolution) if up else F.floor(x / resolution)) * resolution
