@@ -60,11 +60,14 @@ def platform_code(s: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The object in a model's answer: thoughts and fences dropped, then from the first brace to the last."""
-    clean = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    fenced = F.regexp_extract(clean, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
-    braces = F.regexp_extract(clean, r"(?s)\{.*\}", 0)
-    return F.nullif(F.when(fenced != "", fenced).otherwise(braces), F.lit(""))
+    """The object in a model's answer: what stands between its thoughts and their end goes, then all from the first brace to
+    the last; null without both."""
+    thought = F.instr(text, "</think>")
+    said = F.when(thought > 0, F.substring(text, thought + F.lit(8), F.length(text))).otherwise(text)
+    inner = F.concat(F.lit("{"), F.substring(said, F.instr(said, "{") + 1, F.length(said)))
+    upto = F.concat(F.substring_index(inner, "}", -1), F.lit(""))
+    whole = F.substring(inner, F.lit(1), F.length(inner) - F.length(upto))
+    return F.when((F.instr(said, "{") > 0) & (F.instr(inner, "}") > 0), whole)
 
 
 def split_list(text: Column) -> Column:
@@ -74,6 +77,13 @@ def split_list(text: Column) -> Column:
     return F.when(F.trim(text).startswith("["), listed).otherwise(parts)
 
 
+def instant(text: Column) -> Column:
+    """A time as catalogues write it: with Z or an offset, or without either, then in UTC."""
+    plain = F.regexp_replace(F.trim(text), "Z$", "+00:00")
+    zoned = F.when(plain.rlike(r"[+-]\d{2}:?\d{2}$"), plain).otherwise(F.concat(plain, F.lit("+00:00")))
+    return F.try_to_timestamp(F.replace(zoned, F.lit(" "), F.lit("T")))
+
+
 def local_time(at: Column) -> Column:
     """Nepal time as text; a dash for null."""
     return F.coalesce(F.concat(F.date_format(F.from_utc_timestamp(at, "Asia/Kathmandu"), "yyyy-MM-dd HH:mm"), F.lit(" NPT")), F.lit("–"))
