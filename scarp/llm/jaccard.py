@@ -50,31 +50,94 @@ TILE_ROWS, MAX_WANTED = 2048, 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes of the word shingles of a text; with fewer words, of the whole sequence."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both work on ASCII letters and spaces only
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < WORDS:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-        own = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        h = own[: len(own) - WORDS + 1].copy()
+#: Bytes that are hashed at once, about.
+PART = 1 << 18
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+class Shingles:
+    """Sorted distinct 64-bit hashes of the word shingles of texts, from arrays of their bytes.
+
+    A word's hash is a sum over its bytes, each a random number of its value times a power of its place, taken from running
+    sums over the whole part; the power of the word's start is divided out, as it is odd and has an inverse.
+    """
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(20240611)
+        self.table = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.grow(PART)
+
+    def grow(self, size: int) -> None:
+        inverse = pow(int(MULTIPLIER), -1, 1 << 64)
+        self.power, self.inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, m, np.uint64)])) for m in (MULTIPLIER, np.uint64(inverse)))
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the words of a part."""
+        x = np.frombuffer(data, np.uint8)
+        if len(x) > len(self.power):
+            self.grow(len(x))
+        word = np.concatenate([[False], ~SPACES[x], [False]])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.table[x] * self.power[: len(x)])])
+        return mixed((sums[ends] - sums[starts]) * self.inverse[starts]), starts
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The set of each text: with fewer words than a shingle has, the whole sequence is one."""
+        out, own, size = [], [], 0
+        for t in texts:
+            data = (t or "").encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
+            if len(data) > PART:
+                out += self.sets(own)
+                out.append(self.shingles(np.concatenate([self.words(p)[0] for p in cut(data)])))
+                own, size = [], 0
+                continue
+            own.append(data)
+            size += len(data)
+            if size >= PART:
+                out += self.sets(own)
+                own, size = [], 0
+        return out + self.sets(own)
+
+    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        words, starts = self.words(b" ".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        bounds = np.append(0, np.searchsorted(starts, ends))
+        return [self.shingles(words[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def shingles(self, words: np.ndarray) -> np.ndarray:
+        n = len(words)
+        if n < WORDS:
+            h = np.full(min(n, 1), n, np.uint64)
+            for k in range(n):
+                h = h * MULTIPLIER + words[k]
+            return mixed(h)
+        h = words[: n - WORDS + 1].copy()
         for k in range(1, WORDS):
             h *= MULTIPLIER
-            h += own[k : len(own) - WORDS + 1 + k]
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(33)
-        return np.unique(h)
+            h += words[k : n - WORDS + 1 + k]
+        return np.unique(mixed(h))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def cut(data: bytes):
+    """A long text in parts that end between words."""
+    at = 0
+    while at < len(data):
+        end = at + PART
+        while end < len(data) and not SPACES[data[end]]:
+            end += 1
+        yield data[at:end]
+        at = end
 
 
 EDGES = np.arange(BANDS * RANGES, dtype=np.uint64) << np.uint64(64 - (BANDS * RANGES).bit_length() + 1)
@@ -108,7 +171,7 @@ SKETCH = "doc_id long, n long, d1 long, d2 long, bands array<long>, bits array<l
 
 def sketch(batches):
     """A row for each document, and rows (shingle, sets) of shingles that many sets of a block hold."""
-    hashes, seen, held, size = Hashes(), set(), [], 0
+    hashes, seen, held, size = Shingles(), set(), [], 0
 
     def frequent():
         found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -120,8 +183,7 @@ def sketch(batches):
     for batch in slices(batches):
         ids = batch.column(0)
         n, d1, d2, bands, bits, coarse = [], [], [], [], [], []
-        for text in batch.column(1).to_pylist():
-            h = hashes.shingles(text)
+        for h in hashes.of(batch.column(1).to_pylist()):
             n.append(len(h))
             digest = xxhash.xxh3_128_digest(h.tobytes())
             d1.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -166,7 +228,7 @@ def linkable(shared: Column, a: str, b: str, percent: int) -> Column:
 
 def as_sets(batches):
     """A row for each place in which a document is wanted."""
-    hashes = Hashes()
+    hashes = Shingles()
 
     def packed(rows):
         columns = list(zip(*rows))
@@ -174,8 +236,9 @@ def as_sets(batches):
 
     for batch in slices(batches):
         rows, size = [], 0
-        for node, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-            own = hashes.shingles(text).tobytes()
+        nodes, texts, wanted = (c.to_pylist() for c in batch.columns)
+        for node, own, places in zip(nodes, hashes.of(texts), wanted):
+            own = own.tobytes()
             for x in places:
                 rows.append((x["centre"], x["part"], x["member"], node, own))
                 size += len(own)
@@ -301,11 +364,10 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
     known, counts = frequent
 
     def run(batches):
-        hashes = Hashes()
+        hashes = Shingles()
         for batch in slices(batches):
             out = []
-            for text in batch.column(1).to_pylist():
-                h = hashes.shingles(text)
+            for h in hashes.of(batch.column(1).to_pylist()):
                 if len(h) and len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     n = np.where(known[at] == h, counts[at], 0)
