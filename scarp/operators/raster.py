@@ -194,21 +194,6 @@ def region_summary(nodes: DataFrame, keys: list[str], noise: float) -> DataFrame
     return g.select(*keys, "n", *[F.when(~few, F.col(c)).alias(c) for c in ("median", "mean", "p90")], F.when(~few, noise / F.sqrt(F.greatest(F.lit(1.0), F.col("n") / 16))).alias("se"))
 
 
-def tiles(rows: int, cols: int, size: int, overlap: int) -> list[tuple[int, int, int, int, int, int, int, int]]:
-    """Tiles (row, col, height, width) of a grid with the part that is theirs alone (first and last row and column)."""
-    step = size - overlap
-    out = []
-    starts = lambda n: range(0, max(n - overlap, 1), step)
-    for r in starts(rows):
-        for c in starts(cols):
-            h, w = min(size, rows - r), min(size, cols - c)
-            half = overlap // 2
-            r0, c0 = (r + half if r else 0), (c + half if c else 0)
-            r1, c1 = (rows if r + size >= rows else r + size - half), (cols if c + size >= cols else c + size - half)
-            out.append((r, c, h, w, r0, c0, r1, c1))
-    return out
-
-
 def peak_offset(reference: np.ndarray, secondary: np.ndarray) -> tuple[float, float, float]:
     """Shift of a chip by cross-correlation of windowed, standardised chips, to a fraction of a pixel, and the peak."""
     window = np.outer(np.hanning(reference.shape[0]), np.hanning(reference.shape[1]))

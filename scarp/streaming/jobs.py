@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,19 +74,56 @@ def each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], chec
     return stream.writeStream.outputMode(mode).foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class KeyedTable:
+    """A table of one row a key in the shared folder, dealt into ``buckets`` by the keys' hash. A micro-batch reads and writes
+    again only the buckets that its rows fall into, each in a folder of its own number, so a batch that runs twice writes the
+    same folders. Which batch wrote a bucket last is read from a small table beside it: nothing is kept on the driver, and a
+    restart goes on from there."""
+
+    def __init__(self, spark: SparkSession, base: str, keys: list[str], schema, buckets: int = 32) -> None:
+        self.spark, self.base, self.keys, self.schema, self.buckets = spark, base, keys, schema, buckets
+
+    def paths(self, before: int | None = None) -> dict[int, str]:
+        """The newest folder of each bucket: as many rows as buckets reach the driver."""
+        try:
+            written = self.spark.read.schema("bucket int, number long").parquet(f"{self.base}/written/*")
+        except AnalysisException:  # nothing was written yet
+            return {}
+        known = written if before is None else written.where(F.col("number") < before)
+        return {r.bucket: f"{self.base}/rows/{r.number}/bucket={r.bucket}" for r in known.groupBy("bucket").agg(F.max("number").alias("number")).collect()}
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        found = [p for b, p in self.paths(before).items() if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        return [r.b for r in rows.select(self.bucket().alias("b")).distinct().collect()]
+
+    def bucket(self):
+        return F.pmod(F.hash(*self.keys), F.lit(self.buckets))
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        """``rows`` hold all rows of the buckets that they touch."""
+        path = f"{self.base}/rows/{number}"
+        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        written = self.spark.read.parquet(path).select(F.col("bucket").cast("int").alias("bucket"), F.lit(number).cast("long").alias("number")).distinct()
+        written.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/written/{number}")
+
+    def merge(self, new: DataFrame, number: int) -> None:
+        """Rows of ``new`` in place of those with equal keys."""
+        self.write(upsert(self.read(number, self.touched(new)), new, self.keys), number)
+
+
 def merged(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """A table of the latest row of each key, merged batch by batch. Each batch writes the next version, so a batch that
-    is run again overwrites its own version only."""
+    """A table of the latest row of each key, merged batch by batch."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/scarp-merge-{uuid.uuid4().hex}"
-    versions = {}
+    table = KeyedTable(spark, base, keys, stream.schema)
 
     def merge(df: DataFrame, batch: int) -> None:
         new = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
-        old = versions.get(max((v for v in versions if v < batch), default=-1))
-        path = f"{base}/v{batch}"
-        (upsert(spark.read.schema(df.schema).parquet(old), new, keys) if old else new).write.mode("overwrite").parquet(path)
-        versions[batch] = path
+        if not new.isEmpty():
+            table.merge(new, batch)
 
     each_batch(stream, merge, f"{base}/state").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[max(versions)])
+    return table.read()

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from scarp.functions import scalars
-from scarp.operators import alerts, joins, raster, risk, routing, stats, tables
+from scarp.functions import scalars as S
+from scarp.operators import alerts, joins, raster, risk, routing, stats, tables, terrain
 from scarp.sources import catalogue
 
 HOUR = 3600_000_000
@@ -101,7 +102,15 @@ def test_alert_decisions_follow_the_table(spark):
     assert d(prev, "high", 0.7, 0.5, HOUR) == "alert" and d(prev | {"level": "high"}, "medium", 0.5, 0.5, HOUR) == "update"
     assert d(prev, "medium", 0.7, 0.5, HOUR) is None and d(prev, "medium", 0.7, 0.5, 72 * HOUR) == "update" and d(prev, "medium", 0.55, 0.5, 72 * HOUR) is None
     assert d(prev, "low", 0.1, 0.5, HOUR) == "all_clear" and d(prev | {"status": "pending_review"}, "low", 0.1, 0.5, HOUR) is None
-    assert d(prev, "medium", 0.5, 0.5, 169 * HOUR) == "alert" and d(prev | {"level": "high"}, "high", 0.7, 0.5, 500 * HOUR) == "update"
+    assert alerts.live(prev, 169 * HOUR) is None and alerts.live(prev, 168 * HOUR) == prev and d(None, "medium", 0.5, 0.5, 169 * HOUR) == "alert"
+    high = prev | {"level": "high"}
+    assert alerts.live(high, 500 * HOUR) == high and d(high, "high", 0.7, 0.5, 500 * HOUR) == "update"
+    assert d(prev, "unknown", 0.0, 0.0, HOUR) == "all_clear" and d(None, "unknown", 0.0, 0.0, 0) is None
+    # What has expired is not linked to what comes after it.
+    site = alerts.Site()
+    row = {"assessment_id": 1, "site_id": 1, "at": 0, "level": "medium", "score": 0.5, "dynamic": 0.5, "needs_confirmation": False}
+    first, second = site.see(row, ("high",)), site.see(row | {"assessment_id": 2, "at": 1000 * HOUR}, ("high",))
+    assert first["kind"] == second["kind"] == "alert" and second["previous_level"] is None and second["superseded"] is None
     assert d(prev | {"kind": "all_clear"}, "medium", 0.4, 0.5, HOUR) == "alert"
 
 
@@ -158,12 +167,111 @@ def test_offsets_find_a_shift():
     assert abs(dr - 3) < 0.3 and abs(dc + 2) < 0.3 and corr > 0.5
 
 
-def test_tiles_cover_each_pixel_once():
-    seen = np.zeros((530, 470), int)
-    for _, _, _, _, r0, c0, r1, c1 in raster.tiles(530, 470, 200, 32):
-        seen[r0:r1, c0:c1] += 1
-    assert (seen == 1).all()
-    assert scalars.window_starts(500, 224, 160) == [0, 160, 276]
+def test_tiles_cover_each_pixel_once(spark):
+    areas = [(0, 530, 470), (1, 100, 40), (2, 200, 201), (3, 368, 369)]
+    seen = {a: np.zeros((h, w), int) for a, h, w in areas}
+    for t in terrain.tiles_of(spark.createDataFrame(areas, "area int, height int, width int"), 200, 32).collect():
+        seen[t.area][t.core_r0 : t.core_r1, t.core_c0 : t.core_c1] += 1
+        assert t.row <= t.core_r0 and t.core_r1 <= t.row + t.rows and t.col <= t.core_c0 and t.core_c1 <= t.col + t.cols
+    assert all((x == 1).all() for x in seen.values())
+
+
+def test_regions_across_blocks(spark, monkeypatch):
+    """A long winding line, and noise, over many small blocks."""
+    rng = random.Random(5)
+    line = [(0, r, c) for r in range(0, 40, 2) for c in range(40)] + [(0, r, 39 if r % 4 == 1 else 0) for r in range(1, 39, 2)]
+    noise = [(1, r, c) for r in range(40) for c in range(40) if rng.random() < 0.42]
+    on = sorted({*line, *noise})
+    plain = {tuple(r) for r in raster.regions(spark.createDataFrame(on, "s int, row int, col int"), ["s"]).collect()}
+    assert {x[3] for x in plain if x[0] == 0} == {0}
+    monkeypatch.setattr(raster, "BLOCK", 8)
+    assert {tuple(r) for r in raster.regions(spark.createDataFrame(on, "s int, row int, col int"), ["s"]).collect()} == plain
+
+
+def test_ways_out_of_pits():
+    """The walk against one written step by step: floods from pits stop at the first way out that they touch."""
+    import heapq
+
+    def plain(z, start, most_km):
+        h, w = z.shape
+        r, c = start
+        path, seen, km = [(r, c)], {(r, c)}, 0.0
+        around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+        while km < most_km and 0 < r < h - 1 and 0 < c < w - 1:
+            options = [((z[r, c] - z[r + a, c + b]) / (1.4142135 if a and b else 1), (r + a, c + b)) for a, b in around if (r + a, c + b) not in seen]
+            top = max((d for d, _ in options), default=0)
+            step = [next(p for d, p in options if d == top)] if top > 0 else []
+            if not step:
+                queue, back, out = [(z[r, c], (r, c))], {(r, c): None}, None
+                while queue and out is None:
+                    _, at = heapq.heappop(queue)
+                    for a, b in around:
+                        to = (at[0] + a, at[1] + b)
+                        if to in back or not (0 <= to[0] < h and 0 <= to[1] < w):
+                            continue
+                        back[to] = at
+                        if to[0] in (0, h - 1) or to[1] in (0, w - 1) or z[to] < z[r, c] and to not in seen:
+                            out = to
+                            break
+                        heapq.heappush(queue, (z[to], to))
+                while out is not None and out != (r, c):
+                    step.insert(0, out)
+                    out = back[out]
+            if not step:
+                break
+            for p in step:
+                km += 0.03 * (1.4142135 if p[0] != r and p[1] != c else 1)
+                r, c = p
+                path.append(p)
+                seen.add(p)
+        return path
+
+    rng = np.random.default_rng(6)
+    for k in range(30):
+        z = rng.normal(size=(14, 12)).round(1 if k % 2 else 3)
+        start = (int(rng.integers(1, 13)), int(rng.integers(1, 11)))
+        assert [(r, c) for r, c, _ in routing.descend(z, start, 30.0, 2.0)] == plain(z, start, 2.0)
+
+
+def test_nearest_at_any_latitude(spark):
+    rng = random.Random(7)
+    left = [(i, rng.uniform(-1, 1), rng.choice([-1, 1]) * rng.uniform(60, 89)) for i in range(120)]
+    right = [(i, rng.uniform(-1, 1), rng.choice([-1, 1]) * rng.uniform(60, 89)) for i in range(400)]
+    got = {r.a: r.nearest for r in joins.nearest(spark.createDataFrame(left, "a long, lon double, lat double"), spark.createDataFrame(right, "b long, lon double, lat double"), 20.0, "a", "b").collect()}
+    for i, x, y in left:
+        near = [(np.hypot((x - u) * 111.32 * np.cos(np.radians(y)), (y - v) * 110.57), j) for j, u, v in right]
+        assert got.get(i) == (min(near)[1] if min(near)[0] < 20 else None)
+
+
+def test_an_asset_on_two_paths(spark):
+    path = spark.createDataFrame([(p, 85.0 + 0.001 * p, 27.0, 3.0 * p, 100.0) for p in (1, 2)], "path_id long, lon double, lat double, along_km double, z double")
+    asset = spark.createDataFrame([(7, 85.0, 27.0, "town", "T", False, 110.0), (8, 85.0, 27.0, "town", "U", False, 900.0)], "asset_id long, lon double, lat double, kind string, name string, at_channel boolean, height_m double")
+    got = sorted((r.path_id, r.asset_id, r.above_m) for r in joins.exposed_assets(path, asset, 1.5, 8.0).collect())
+    assert got == [(1, 7, 10.0), (2, 7, 10.0)]
+
+
+def test_keyed_table_goes_on_after_a_restart(spark, tmp_path):
+    from scarp.streaming.jobs import KeyedTable
+
+    schema = "k long, v long"
+    of = lambda rows: spark.createDataFrame(rows, schema)
+    make = lambda: KeyedTable(spark, str(tmp_path / "t"), ["k"], schema, 4)
+    assert make().read().count() == 0
+    make().merge(of([(i, 0) for i in range(20)]), 0)
+    make().merge(of([(3, 1), (50, 1)]), 1)
+    make().merge(of([(3, 1), (50, 1)]), 1)  # the batch runs again
+    rows = {r.k: r.v for r in make().read().collect()}
+    assert rows == {**{i: 0 for i in range(20)}, 3: 1, 50: 1}
+    assert len(make().paths()) == 4 and len(list((tmp_path / "t/rows/1").glob("bucket=*"))) <= 2
+
+
+def test_answers_and_times(spark):
+    texts = ['<think>{"no": 1}</think>Here: ```json\n{"a": {"b": 1}}\n``` end', "{} x", "none", "} {", '{"a": 1'  ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.j for r in df.select(S.json_object(F.col("t")).alias("j")).collect()] == ['{"a": {"b": 1}}', "{}", None, None, None]
+    times = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02 08:49:05+05:45",), ("2024-01-02 03:04:05",), ("soon",)], "t string")
+    got = [r.m for r in times.select(F.unix_seconds(S.instant(F.col("t"))).alias("m")).collect()]
+    assert got == [1704164645] * 3 + [None]
 
 
 def test_scalars(spark):
@@ -191,7 +299,7 @@ def test_catalogue(spark):
     got = names.select(first.alias("a"), second.alias("b")).collect()
     assert got[0].a < got[0].b and got[1].a is None
     tags = spark.createDataFrame([({"place": "town", "amenity": "school"},), ({"bridge": "yes"},), ({"x": "y"},)], "t map<string,string>")
-    assert [r.k for r in tags.select(catalogue.asset_kind(F.col("t")).alias("k")).collect()] == ["school", "bridge", None]
+    assert [r.k for r in tags.select(catalogue.asset_kind(F.col("t")).alias("k")).collect()] == ["town", "bridge", None]
 
 
 def test_robust_sd(spark):
