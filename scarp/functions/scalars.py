@@ -123,6 +123,7 @@ def utm_zone(lon: Column, lat: Column) -> Column:
     return F.when(lat >= 0, 32600).otherwise(32700) + F.floor((lon + 180) / 6).cast("int") + 1
 
 
-def window_starts(length: int, size: int, stride: int) -> list[int]:
+def window_starts(length: Column, size: int, stride: int) -> Column:
     """Starts of sliding windows that cover a length, the last one at the end."""
-    return sorted({*range(0, max(length - size, 0) + 1, stride), max(length - size, 0)})
+    last = F.greatest(length - size, F.lit(0))
+    return F.array_sort(F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))

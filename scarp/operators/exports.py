@@ -21,21 +21,21 @@ def atom_entries(alerts: DataFrame, most: int = 50) -> DataFrame:
     return top(alerts, most, F.col("at").desc(), F.col("uid")).select("at", "uid", entry.alias("entry"))
 
 
-def atom_feed(alerts: DataFrame, title: str, most: int = 50) -> str:
-    """The feed's text; at most ``most`` entries reach the driver."""
-    rows = atom_entries(alerts, most).orderBy(F.col("at").desc(), "uid").collect()
-    return f'<feed xmlns="http://www.w3.org/2005/Atom"><title>{title}</title>{"".join(r.entry for r in rows)}</feed>'
-
-
 def table_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows as lines of a Markdown table; a dash for null."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("–")) for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def report(title: str, sections: list[tuple[str, DataFrame, list[str], int]]) -> str:
-    """A Markdown report of small tables: (heading, rows in order, columns, most rows)."""
-    out = [f"# {title}", ""]
-    for heading, df, columns, most in sections:
-        out += [f"## {heading}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *[r.line for r in table_lines(df.limit(most), columns).collect()], ""]
-    return "\n".join(out)
+def documents(lines: DataFrame, key: str) -> DataFrame:
+    """Reports by key from lines (key, section, place, line): one text each. Sections are bounded lists, so a report is
+    small."""
+    listed = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("section", "place", "line"))).alias("_l"))
+    return listed.select(key, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
+
+
+def section(rows: DataFrame, key: str, number: int, heading: str, columns: list[str]) -> DataFrame:
+    """A heading and a table of rows (key, place, columns), as lines of a report."""
+    head = rows.select(key).distinct().select(key, F.lit(number).alias("section"), F.explode(F.array(*[F.struct(F.lit(k - 9).alias("place"), F.lit(t).alias("line")) for k, t in enumerate([f"## {heading}", "", f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)])])).alias("x")).select(key, "section", "x.place", "x.line")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("–")) for c in columns]
+    return head.unionByName(rows.select(key, F.lit(number).alias("section"), F.col("place").cast("int").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
