@@ -177,6 +177,23 @@ def recipients(alerts: DataFrame, subscribers: DataFrame) -> DataFrame:
     return some.select("alert_id", "sub_id", "language").union(asked.join(anywhere, "_rank").select("alert_id", "sub_id", "language"))
 
 
+def matched_recipients(alerts: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """(alert_id, sub_id, language) as ``recipients``, by all that a subscriber may ask for: ``sites`` (ids or codes as text,
+    empty: all), a ``box`` (null: everywhere) that one of the alert's ``points`` stands in; an all-clear goes to whatever
+    level they take. Subscribers with site or area lists are joined on these, the others on level."""
+    asked = alerts.select("alert_id", "aoi", F.array(F.col("site_id").cast("string"), "code").alias("_keys"), "points", F.when(F.col("kind") == "all_clear", 2).otherwise(rank(F.col("level"))).alias("_rank"))
+    active = subscribers.where("active").select("sub_id", "language", rank(F.col("min_level")).alias("_least"), "aois", "sites", "box")
+    by_site = asked.withColumn("_key", F.explode("_keys")).join(active.where(F.size("sites") > 0).withColumn("_key", F.explode(F.array_distinct("sites"))), "_key").where((F.size("aois") == 0) | F.array_contains("aois", F.col("aoi").cast("int"))).drop("_key")
+    rest = active.where(F.size("sites") == 0)
+    by_area = asked.join(rest.where(F.size("aois") > 0).withColumn("aoi", F.explode(F.array_distinct("aois"))), "aoi")
+    by_level = asked.join(rest.where(F.size("aois") == 0).withColumn("_rank", F.explode(F.sequence(F.col("_least"), F.lit(2)))), "_rank")
+    columns = ["alert_id", "sub_id", "language", "_rank", "_least", "box", "points"]
+    both = by_site.select(*columns).unionByName(by_area.select(*columns)).unionByName(by_level.select(*columns)).where(F.col("_rank") >= F.col("_least"))
+    b = F.col("box")
+    inside = F.exists("points", lambda p: p["lon"].between(b["x0"], b["x1"]) & p["lat"].between(b["y0"], b["y1"]))
+    return both.where(b.isNull() | inside).select("alert_id", "sub_id", "language").distinct()
+
+
 def exposed_assets(paths: DataFrame, assets: DataFrame, corridor_km: float, speed: Column | float, max_km: float = 150.0) -> DataFrame:
     """Assets near flow paths (path_id, lon, lat, along_km, z), by path: the nearest vertex within the corridor, height above
     it below max(15, 60 - along / 2) m unless the asset stands at the channel, and minutes of travel at ``speed`` m/s."""

@@ -124,7 +124,7 @@ ORACLES = {
     "normalised_items": "SELECT (o_orderkey % 143)::INTEGER AS orbit, count(*) AS n, sum(CASE WHEN o_orderkey % 6 >= 4 THEN -1000.0::DOUBLE ELSE 0 END) AS offsets, round(sum(CASE WHEN o_orderkey % 3 <> 0 THEN 40 ELSE 90 - o_custkey % 90 END), 4)::DOUBLE AS sun FROM orders GROUP BY 1",
     "radar_scenes": "SELECT o_orderkey AS key, 'VH,VV' AS assets FROM orders WHERE o_orderkey % 4 <> 0",
     "newest_covers": "WITH o AS (SELECT (o_orderkey % 20)::INTEGER AS tile, year(o_orderdate)::INTEGER AS y FROM orders), m AS (SELECT *, max(y) OVER (PARTITION BY tile) AS top FROM o) SELECT tile, count(*) AS n, max(y) AS year FROM m WHERE y = top GROUP BY 1",
-    "product_pairs": "SELECT l_orderkey, strftime(least(l_shipdate, o_orderdate), '%Y-%m-%d %H:%M:%S') AS reference, strftime(greatest(l_shipdate, o_orderdate), '%Y-%m-%d %H:%M:%S') AS secondary FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1",
+    "product_pairs": "SELECT l_orderkey, strftime(least(l_shipdate, o_orderdate), '%Y-%m-%d %H:%M:%S') AS reference, strftime(greatest(l_shipdate, o_orderdate), '%Y-%m-%d %H:%M:%S') AS secondary FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
     "map_assets": f"""WITH t(i, k, v) AS (VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_TAGS))}),
  e AS (SELECT p_partkey AS k, p_name, CASE WHEN p_partkey % 4 = 0 THEN 'way' ELSE 'node' END AS ty, a.k AS k1, a.v AS v1, CASE WHEN b.k <> a.k THEN b.k END AS k2, b.v AS v2 FROM part JOIN t a ON a.i = p_partkey % 14 JOIN t b ON b.i = (p_partkey // 14 + p_partkey * 3) % 14),
  g AS (SELECT *, list_filter([{{'k': k1, 'v': v1}}, {{'k': k2, 'v': v2}}], lambda x: x.k IS NOT NULL) AS tg FROM e),

@@ -51,7 +51,9 @@ def warnings_feed(spark, sf):
     s = views.sites(spark, sf)
     uid = F.concat(F.lit("w-"), F.col("site_id"))
     kind = F.when(F.col("site_id") % 5 == 0, "all_clear").when(F.col("site_id") % 3 == 0, "update").otherwise("alert")
-    text = alerts.warning_xml(uid, F.col("level"), kind, F.lit("2024-01-30T00:00:00+00:00"), F.concat(F.col("kind"), F.lit(" & "), F.col("code")), F.col("code"))
+    sent = S.feed_time(F.timestamp_seconds(1706000000 + F.col("site_id") * 3600))
+    headlines = {"en": F.concat(F.col("kind"), F.lit(" & "), F.col("code")), "ne": F.concat(F.lit("ठाउँ < "), F.col("code"))}
+    text = alerts.warning_xml(uid, F.col("level"), kind, sent, headlines, F.col("code"))
     return s.select("site_id", text.alias("xml"))
 
 
@@ -67,6 +69,32 @@ def pending_deliveries(spark, sf):
     return alerts.deliveries(a, todo, todo.where("sub_id % 3 = 0")).groupBy("alert_id").agg(F.count("*").alias("n"), F.min("sub_id").alias("first"))
 
 
+def dispatched_deliveries(spark, sf):
+    """One more attempt at the deliveries of the high alerts by each channel: what was sent before is not sent again, and an
+    alert counts as dispatched even if none of its deliveries is sent."""
+    a = views.sites(spark, sf).where("level = 'high'").select(F.col("site_id").alias("alert_id"), "aoi", "level")
+    wanted = joins.recipients(a, views.subscribers(spark, sf)).withColumn("channel", F.explode(F.array(F.lit("sms"), F.lit("email"))))
+    k = F.col("sub_id") + F.col("alert_id")
+    known = wanted.where(k % 3 == 0).select("alert_id", "sub_id", "channel", (k % 4 + 1).cast("int").alias("attempts"), F.when(k % 2 == 0, "sent").otherwise("failed").alias("status"))
+    out = alerts.dispatched(wanted.unionByName(wanted.where(k % 5 == 0)), known, (k % 7 != 0) & ~((F.col("channel") == "sms") & (F.col("alert_id") % 6 == 0)))
+    return out.groupBy("alert_id", "channel").agg(F.sum("attempts").alias("attempts"), F.count_if(F.col("status") == "sent").alias("sent"), F.count_if(F.col("status") == "failed").alias("failed")).withColumn("alert_status", F.lit("dispatched"))
+
+
+def matched_recipients(spark, sf):
+    """Subscribers by level (not for an all-clear), areas, sites by id or code, and a box of their own that the site or one of
+    its exposed assets stands in."""
+    k = F.col("site_id")
+    s = views.sites(spark, sf)
+    near = joins.close_pairs(s.select("site_id", "lon", "lat"), views.assets(spark, sf).where("kind = 'hydropower'").select("asset_id", "lon", "lat"), 2.0)
+    exposed = near.groupBy(F.col("l_site_id").alias("site_id")).agg(F.collect_list(F.struct(F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"))).alias("_p"))
+    a = s.join(exposed, "site_id", "left").select(k.alias("alert_id"), "site_id", "code", "aoi", "level", F.when(k % 9 == 0, "all_clear").otherwise("alert").alias("kind"), F.concat(F.array(F.struct("lon", "lat")), F.coalesce("_p", F.array().cast("array<struct<lon:double,lat:double>>"))).alias("points"))
+    n = F.col("sub_id")
+    own = F.when(n % 5 == 0, F.array((n % 97).cast("string"), F.concat(F.lit("Supplier#"), F.lpad((n % 89).cast("string"), 9, "0")))).otherwise(F.array().cast("array<string>"))
+    box = F.when(n % 4 == 0, F.struct((85 + n % 8 / 10.0).alias("x0"), (27.5 + n % 6 / 10.0).alias("y0"), (85.3 + n % 8 / 10.0).alias("x1"), (27.8 + n % 6 / 10.0).alias("y1")))
+    out = joins.matched_recipients(a, views.subscribers(spark, sf).withColumn("sites", own).withColumn("box", box))
+    return out.groupBy("alert_id", "language").agg(F.count("*").alias("n"), F.min("sub_id").alias("first"))
+
+
 def status_moves(spark, sf):
     acq = views.acquisitions(spark, sf).select(F.col("key").alias("alert_id"), F.when(F.col("status") == "pending", "pending_review").otherwise(F.col("status")).alias("status"))
     ids = acq.where("alert_id % 3 = 0")
@@ -88,7 +116,7 @@ def run_health(spark, sf):
     return out.select(F.date_format("last", "yyyy-MM-dd").alias("last"), "runs", "stale")
 
 
-QUERIES = {f.__name__: f for f in (reassessed, reassess_sites, alert_decisions, site_timelines, warnings_feed, site_features, pending_deliveries, status_moves, event_evaluation, run_health)}
+QUERIES = {f.__name__: f for f in (reassessed, reassess_sites, alert_decisions, site_timelines, warnings_feed, site_features, pending_deliveries, dispatched_deliveries, matched_recipients, status_moves, event_evaluation, run_health)}
 _ASSESSED = f"{views.OBS}, a AS (SELECT event_id AS assessment_id, site_id, epoch_us(observed_at) AS \"at\", greatest(0, least(1, (avg(v) OVER (PARTITION BY site_id ORDER BY event_id ROWS 4 PRECEDING) - 20) / 60)) AS s FROM obs), asd AS (SELECT assessment_id, site_id, \"at\", round(s, 6) AS score, CASE WHEN s >= 0.6 THEN 'high' WHEN s >= 0.35 THEN 'medium' ELSE 'low' END AS level FROM a)"
 #: The fold as a recursion over each site's rows: the live alert of a row decides, and what it decides becomes the next.
 def fold_sql(rows: str, automatic: str = "'high'") -> str:
@@ -113,9 +141,13 @@ ORACLES = {
     "alert_decisions": f"""WITH RECURSIVE {_ASSESSED}, src AS (SELECT *, (assessment_id % 10)::DOUBLE / 10 AS dynamic, assessment_id % 4 = 0 AS needs_confirmation FROM asd), {fold_sql("src")}
  SELECT assessment_id, site_id, level, kind, previous_level, superseded, status FROM decided""",
     "warnings_feed": f"""WITH {views.SITES}, t(level, s, c, u) AS (VALUES ('high', 'Severe', 'Likely', 'Immediate'), ('medium', 'Moderate', 'Possible', 'Expected'), ('low', 'Minor', 'Unlikely', 'Future'), ('unknown', 'Unknown', 'Unknown', 'Unknown'))
- SELECT site_id, '<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>w-' || site_id || '</identifier><sent>2024-01-30T00:00:00+00:00</sent><msgType>' || CASE WHEN site_id % 5 = 0 THEN 'Cancel' WHEN site_id % 3 = 0 THEN 'Update' ELSE 'Alert' END ||
- '</msgType><info><language>en</language><urgency>' || u || '</urgency><severity>' || s || '</severity><certainty>' || c || '</certainty><headline>' || kind || ' &amp; ' || code || '</headline><area><areaDesc>' || code || '</areaDesc></area></info></alert>' AS xml FROM site JOIN t USING (level)""",
+ SELECT site_id, '<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>w-' || site_id || '</identifier><sent>' || strftime(make_timestamp((1706000000 + site_id * 3600) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '</sent><msgType>' || CASE WHEN site_id % 5 = 0 THEN 'Cancel' WHEN site_id % 3 = 0 THEN 'Update' ELSE 'Alert' END ||
+ '</msgType><info><language>en</language><urgency>' || u || '</urgency><severity>' || s || '</severity><certainty>' || c || '</certainty><headline>' || kind || ' &amp; ' || code || '</headline><area><areaDesc>' || code || '</areaDesc></area></info><info><language>ne</language><urgency>' || u || '</urgency><severity>' || s || '</severity><certainty>' || c || '</certainty><headline>ठाउँ &lt; ' || code || '</headline><area><areaDesc>' || code || '</areaDesc></area></info></alert>' AS xml FROM site JOIN t USING (level)""",
     "pending_deliveries": f"WITH {views.SITES}, {views.SUBS} SELECT site_id AS alert_id, count(*) AS n, min(sub_id) AS first FROM site JOIN sub ON active AND (len(aois) = 0 OR list_contains(aois, aoi)) WHERE level = 'high' AND sub_id % 3 <> 0 GROUP BY 1",
+    "dispatched_deliveries": f"WITH {views.SITES}, {views.SUBS}, w AS (SELECT site_id AS alert_id, sub_id, channel, sub_id + site_id AS k FROM site JOIN sub ON active AND (len(aois) = 0 OR list_contains(aois, aoi)) CROSS JOIN (VALUES ('sms'), ('email')) c(channel) WHERE level = 'high'), d AS (SELECT *, CASE WHEN k % 3 = 0 THEN k % 4 + 1 ELSE 0 END AS a, k % 3 = 0 AND k % 2 = 0 AS was, k % 7 <> 0 AND NOT (channel = 'sms' AND alert_id % 6 = 0) AS ok FROM w) SELECT alert_id, channel, sum(a + CASE WHEN was THEN 0 ELSE 1 END)::BIGINT AS attempts, count(CASE WHEN was OR ok THEN 1 END) AS sent, count(CASE WHEN NOT (was OR ok) THEN 1 END) AS failed, 'dispatched' AS alert_status FROM d GROUP BY 1, 2",
+    "matched_recipients": f"""WITH {views.SITES}, {views.ASSETS}, {views.SUBS}, r(level, rk) AS (VALUES ('unknown', -1), ('low', 0), ('medium', 1), ('high', 2)), pt AS (SELECT site_id, lon, lat FROM site UNION ALL SELECT s.site_id, a.lon, a.lat FROM site s JOIN asset a ON a.kind = 'hydropower' AND sqrt(pow((s.lon - a.lon) * 111.32::DOUBLE * cos(radians(s.lat)), 2) + pow((s.lat - a.lat) * 110.57::DOUBLE, 2)) < 2)
+ SELECT s.site_id AS alert_id, language, count(*) AS n, min(sub_id) AS first FROM site s JOIN r ON r.level = s.level JOIN sub ON active JOIN r m ON m.level = min_level WHERE (s.site_id % 9 = 0 OR r.rk >= m.rk) AND (len(aois) = 0 OR list_contains(aois, s.aoi)) AND (sub_id % 5 <> 0 OR s.site_id = sub_id % 97 OR s.code = 'Supplier#' || lpad((sub_id % 89)::VARCHAR, 9, '0'))
+ AND (sub_id % 4 <> 0 OR EXISTS (SELECT 1 FROM pt WHERE pt.site_id = s.site_id AND pt.lon BETWEEN 85 + (sub_id % 8)::DOUBLE / 10 AND 85.3::DOUBLE + (sub_id % 8)::DOUBLE / 10 AND pt.lat BETWEEN 27.5::DOUBLE + (sub_id % 6)::DOUBLE / 10 AND 27.8::DOUBLE + (sub_id % 6)::DOUBLE / 10)) GROUP BY 1, 2""",
     "status_moves": f"WITH {views.ACQ} SELECT CASE WHEN key % 7 = 0 THEN 'cancelled' WHEN status = 'pending' AND key % 3 = 0 THEN 'approved' WHEN status = 'pending' THEN 'pending_review' ELSE status END AS status, count(*) AS n FROM acq GROUP BY 1",
     "event_evaluation": """WITH e AS (SELECT o_custkey AS event_id, arg_max(o_orderdate, (o_totalprice, o_orderkey)) AS event_at FROM orders GROUP BY 1), a AS (SELECT event_id, o_orderkey % 9 = 0 AS clear_, CASE WHEN o_totalprice >= 300000 THEN 'high' ELSE 'x' END AS level,
  date_diff('microsecond', o_orderdate, event_at) / 86400e6::DOUBLE * 24 AS lead, o_orderkey % 11 <> 0 AND o_orderkey % 5 <= 2 AS near FROM orders JOIN e ON o_custkey = event_id)

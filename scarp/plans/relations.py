@@ -37,6 +37,13 @@ def cross_orbit_confirm(spark, sf):
     return joins.confirmations(_events(spark, sf), 0.1, 60)
 
 
+def confirmed_both_ways(spark, sf):
+    """Events that another orbit confirms, the earlier as well as the later one of a pair."""
+    pairs = joins.events_before(_events(spark, sf), 0.1, 60, ("aoi", "kind"), F.col("l_orbit") != F.col("r_orbit")).select("l_id", "r_id")
+    both = pairs.unionByName(pairs.select(F.col("r_id").alias("l_id"), F.col("l_id").alias("r_id")))
+    return both.groupBy(F.col("l_id").alias("id")).agg(F.min("r_id").alias("confirmed_by"), F.count_distinct("r_id").alias("n"))
+
+
 def after_snow_semi(spark, sf):
     """Events with a meeting event of the other kind in the 45 days before."""
     ev = _events(spark, sf)
@@ -206,12 +213,13 @@ def cumulative_path(spark, sf):
     return tables.cumulative(path, ["aoi"], "site_id", "lon", "lat").select("site_id", F.round("along", 6).alias("along"))
 
 
-QUERIES = {f.__name__: f for f in (spatial_match, nearest_place, cross_orbit_confirm, after_snow_semi, consecutive_pairs, reference_topk, asof_level, pending_anti, recipients_theta, site_exposures, path_exposure, group_acquisitions, latest_observation, latest_clear_composite, upsert_latest, roster_status, next_codes, newest_alerts, assessment_history, union_sources, set_operations, interval_pairs, sites_in_box, retention, cumulative_path)}
+QUERIES = {f.__name__: f for f in (spatial_match, nearest_place, cross_orbit_confirm, confirmed_both_ways, after_snow_semi, consecutive_pairs, reference_topk, asof_level, pending_anti, recipients_theta, site_exposures, path_exposure, group_acquisitions, latest_observation, latest_clear_composite, upsert_latest, roster_status, next_codes, newest_alerts, assessment_history, union_sources, set_operations, interval_pairs, sites_in_box, retention, cumulative_path)}
 ORACLES = {
     "spatial_match": f"""WITH {views.SITES}, {views.ASSETS}, p AS (SELECT s.site_id, a.asset_id, (least(s.lon, a.lon) + 0.004::DOUBLE - greatest(s.lon, a.lon) + 0.004::DOUBLE) * (least(s.lat, a.lat) + 0.004::DOUBLE - greatest(s.lat, a.lat) + 0.004::DOUBLE) AS area FROM site s JOIN asset a ON abs(s.lon - a.lon) < 0.008 AND abs(s.lat - a.lat) < 0.008 AND s.kind <> a.kind)
  SELECT site_id, arg_min(asset_id, (-round(area, 9), asset_id)) AS match, round(1e6 * arg_min(area, (-round(area, 9), asset_id)), 3) AS area FROM p WHERE area > 0 GROUP BY 1""",
     "nearest_place": f"WITH {views.SITES}, {views.ASSETS} SELECT site_id, round(min({_km.format(a='s', b='a')}), 6) AS km FROM site s JOIN asset a ON a.kind = 'town' AND {_km.format(a='s', b='a')} < 6 GROUP BY 1",
     "cross_orbit_confirm": f"WITH {EVENTS} SELECT a.id, min(b.id) AS confirmed_by FROM ev a JOIN ev b ON a.aoi = b.aoi AND a.kind = b.kind AND a.orbit <> b.orbit AND a.id <> b.id AND b.at <= a.at AND b.at >= a.at - INTERVAL 60 DAYS AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 GROUP BY 1",
+    "confirmed_both_ways": f"WITH {EVENTS}, p AS (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON a.aoi = b.aoi AND a.kind = b.kind AND a.orbit <> b.orbit AND a.id <> b.id AND b.at <= a.at AND b.at >= a.at - INTERVAL 60 DAYS AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1), u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) SELECT a AS id, min(b) AS confirmed_by, count(DISTINCT b) AS n FROM u GROUP BY 1",
     "after_snow_semi": f"WITH {EVENTS} SELECT a.id, a.kind FROM ev a WHERE EXISTS (SELECT 1 FROM ev b WHERE a.aoi = b.aoi AND a.kind <> b.kind AND b.at <= a.at AND b.at >= a.at - INTERVAL 45 DAYS AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)",
     "consecutive_pairs": f"WITH {views.ACQ}, p AS (SELECT sensor, orbit, key AS first, lead(key) OVER w AS second, date_diff('microsecond', acquired_at, lead(acquired_at) OVER w) / 86400e6::DOUBLE AS gap_days FROM acq WINDOW w AS (PARTITION BY sensor, orbit ORDER BY acquired_at, key)) SELECT sensor, orbit, first, second, round(gap_days, 6) AS gap_days FROM p WHERE gap_days BETWEEN 1 AND 24",
     "reference_topk": f"WITH {views.ACQ}, p AS (SELECT a.key, b.key AS reference, row_number() OVER (PARTITION BY a.key ORDER BY b.acquired_at DESC, b.key) AS place, date_diff('microsecond', b.acquired_at, a.acquired_at) / 86400e6::DOUBLE AS age_days FROM acq a JOIN acq b ON a.sensor = b.sensor AND a.orbit = b.orbit AND b.acquired_at <= a.acquired_at - INTERVAL 5 DAYS AND b.acquired_at >= a.acquired_at - INTERVAL 12 DAYS) SELECT key, reference, place::INTEGER AS place, round(age_days, 6) AS age_days FROM p WHERE place <= 3",
