@@ -156,13 +156,62 @@ def optical_gaps(spark, sf):
     return g.where("n >= 30")
 
 
-QUERIES = {f.__name__: f for f in (attached_changes, landslide_events, new_landslide_sites, lake_decisions, missing_glacier_sites, renewed_exposures, upserted_cells, appended_events, cell_anomaly_sites, cell_site_pairs, velocity_fields, site_velocities, optical_gaps)}
+def ensured_areas(spark, sf):
+    """Areas of interest from their configuration: new ones are created, known ones take its name and box and keep the day on
+    which they came."""
+    n = views.table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    config = n.select(k.alias("aoi"), F.concat("n_name", F.when(k % 3 == 0, F.lit(" new")).otherwise("")).alias("name"), (84.0 + k / 10.0).alias("x0"), F.lit("2024-01-30").alias("created"))
+    known = n.where("n_nationkey % 4 <> 0").select(k.alias("aoi"), F.col("n_name").alias("name"), (84.0 + k / 10.0).alias("x0"), F.lit("2023-01-01").alias("created"))
+    return tables.upsert(known, config, ["aoi"], keep=["created"]).select("aoi", "name", F.round("x0", 3).alias("x0"), "created")
+
+
+def synced_assets(spark, sf):
+    """Scanned and curated assets inside the routing box of their area (its exposure box, else its own), by external id, the
+    later source wins; names of 200 characters at most, and the source before the colon."""
+    k = F.col("asset_id")
+    a = views.assets(spark, sf).select(F.concat(F.lit("osm:node/"), k).alias("external_id"), F.repeat("name", F.when(k % 50 == 0, 20).otherwise(1)).alias("name"), "kind", "lon", "lat", "aoi", F.lit(0).alias("_o"))
+    curated = views.assets(spark, sf).where("asset_id % 5 = 0").select(F.when(k % 2 == 0, F.concat(F.lit("osm:node/"), k)).otherwise(F.concat(F.lit("own:"), k)).alias("external_id"), F.concat(F.lit("Curated "), k).alias("name"), "kind", "lon", "lat", "aoi", F.lit(1).alias("_o"))
+    n = F.col("n_nationkey")
+    boxes = views.table(spark, sf, "nation").select(n.alias("aoi"), F.coalesce(F.when(n % 2 == 0, F.lit(85.1)), F.lit(85.4)).alias("x0"), F.coalesce(F.when(n % 2 == 0, F.lit(85.95)), F.lit(85.6)).alias("x1"))
+    rows = a.unionByName(curated).join(boxes, "aoi").where(F.col("lon").between(F.col("x0"), F.col("x1")))
+    out = tables.latest(rows, ["external_id"], F.col("_o").desc())
+    return out.select("external_id", F.substring("name", 1, 200).alias("name"), "kind", F.split_part("external_id", F.lit(":"), F.lit(1)).alias("source"))
+
+
+def imported_roster(spark, sf):
+    """A roster by name: entries whose channel has no address are refused, others are created or updated, and who is missing
+    is deactivated; how many of each."""
+    c = views.table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    known = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("address"))
+    roster = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("name"), F.when(k % 7 != 0, F.concat("c_mktsegment", F.when(k % 4 == 0, F.lit("x")).otherwise(""))).alias("address"))
+    fine = roster.where(F.coalesce("address", F.lit("")) != "")
+    status = tables.changed(known, fine, ["name"], ["address"])
+    refused = roster.join(fine.select("name"), "name", "left_anti").select("name", F.lit("refused").alias("status"))
+    return status.withColumn("status", F.when(F.col("status") == "missing", "deactivated").otherwise(F.col("status"))).unionByName(refused).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def pruned_files(spark, sf):
+    """What a retention of 120 days for cached files and 400 for fields would remove: how many, and megabytes."""
+    c = views.cell_velocities(spark, sf).select("pair_end", F.when(F.col("cell") % 3 == 0, "cache").otherwise("velocity").alias("kind"), (F.col("n") * 1e5).alias("bytes"))
+    age = stats.age_days(F.col("pair_end"), as_of("2000-06-01 00:00:00"))
+    old = c.where(age > F.when(F.col("kind") == "cache", 120).otherwise(400))
+    return old.groupBy("kind").agg(F.count("*").alias("files"), F.round(F.sum("bytes") / 1e6, 3).alias("mb"))
+
+
+QUERIES = {f.__name__: f for f in (ensured_areas, synced_assets, imported_roster, pruned_files, attached_changes, landslide_events, new_landslide_sites, lake_decisions, missing_glacier_sites, renewed_exposures, upserted_cells, appended_events, cell_anomaly_sites, cell_site_pairs, velocity_fields, site_velocities, optical_gaps)}
 _GATE = "area >= {a} AND confidence >= {c} AND NOT disturbed AND NOT snow_like AND relief >= {r}"
 _MATCH = f"""ev AS (SELECT * FROM ch WHERE {_GATE.format(a=250000, c=0.75, r=300)}), ls AS (SELECT * FROM site WHERE kind = 'landslide'),
  pr AS (SELECT e.id, s.site_id, (least(e.lon + 0.007::DOUBLE, s.lon + 0.01::DOUBLE) - greatest(e.lon - 0.007::DOUBLE, s.lon - 0.01::DOUBLE)) * (least(e.lat + 0.007::DOUBLE, s.lat + 0.01::DOUBLE) - greatest(e.lat - 0.007::DOUBLE, s.lat - 0.01::DOUBLE)) AS area FROM ev e JOIN ls s ON abs(e.lon - s.lon) < 0.017 AND abs(e.lat - s.lat) < 0.017),
  mt AS (SELECT id, arg_min(site_id, (-round(area, 9), site_id)) AS site_id FROM pr WHERE area > 0 GROUP BY 1), le AS (SELECT ev.id, mt.site_id, lon, lat FROM ev LEFT JOIN mt USING (id))"""
 _SEASONAL = SEASONAL_SQL[: SEASONAL_SQL.rindex("SELECT cell")]
 ORACLES = {
+    "ensured_areas": "SELECT n_nationkey AS aoi, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' new' ELSE '' END AS name, round(84 + n_nationkey / 10::DOUBLE, 3) AS x0, CASE WHEN n_nationkey % 4 <> 0 THEN '2023-01-01' ELSE '2024-01-30' END AS created FROM nation",
+    "synced_assets": f"""WITH {views.ASSETS}, u AS (SELECT 'osm:node/' || asset_id AS external_id, repeat(name, CASE WHEN asset_id % 50 = 0 THEN 20 ELSE 1 END) AS name, kind, lon, aoi, 0 AS o FROM asset UNION ALL SELECT CASE WHEN asset_id % 2 = 0 THEN 'osm:node/' ELSE 'own:' END || asset_id, 'Curated ' || asset_id, kind, lon, aoi, 1 FROM asset WHERE asset_id % 5 = 0),
+ b AS (SELECT * FROM u WHERE CASE WHEN aoi % 2 = 0 THEN lon BETWEEN 85.1 AND 85.95 ELSE lon BETWEEN 85.4 AND 85.6 END) SELECT external_id, arg_max(name, o)[1:200] AS name, arg_max(kind, o) AS kind, split_part(external_id, ':', 1) AS source FROM b GROUP BY external_id""",
+    "imported_roster": "WITH k AS (SELECT c_name AS name, c_mktsegment AS a FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT c_name AS name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment || CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE '' END END AS a FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT * FROM r WHERE a IS NOT NULL) SELECT CASE WHEN k.name IS NULL THEN 'created' WHEN f.name IS NULL THEN 'deactivated' WHEN k.a = f.a THEN 'unchanged' ELSE 'updated' END AS status, count(*) AS n FROM k FULL JOIN f ON k.name = f.name GROUP BY 1 UNION ALL SELECT 'refused', count(*) FROM r WHERE a IS NULL",
+    "pruned_files": f"WITH {views.CELLS}, c AS (SELECT CASE WHEN cell % 3 = 0 THEN 'cache' ELSE 'velocity' END AS kind, n * 1e5::DOUBLE AS b, date_diff('microsecond', pair_end, TIMESTAMP '2000-06-01') / 86400e6::DOUBLE AS age FROM cellv) SELECT kind, count(*) AS files, round(sum(b) / 1e6, 3) AS mb FROM c WHERE age > CASE WHEN kind = 'cache' THEN 120 ELSE 400 END GROUP BY 1",
     "attached_changes": f"WITH {CHANGES} SELECT site_id, scene_key || '#ev' || id AS scene_key, strftime(\"at\", '%Y-%m-%d') AS day, round(area, 2) AS v, round(confidence, 3) AS quality FROM ch JOIN site s ON {_KM.format(a='ch', b='s')} < 1.5 WHERE {_GATE.format(a=100000, c=0.7, r=0)}",
     "landslide_events": f"WITH {CHANGES}, {_MATCH} SELECT id, site_id FROM le",
     "new_landslide_sites": f"""WITH {CHANGES}, {_MATCH}, {views.ASSETS}, nw AS (SELECT * FROM le WHERE site_id IS NULL), nr AS (SELECT n.id, arg_min(a.name, (round({_KM.format(a='n', b='a')}, 9), asset_id)) AS place FROM nw n JOIN asset a ON a.kind = 'town' AND {_KM.format(a='n', b='a')} < 3 GROUP BY 1)

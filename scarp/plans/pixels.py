@@ -56,10 +56,10 @@ def slopes(spark, sf):
 
 
 def change_of_scenes(spark, sf):
-    """Each scene against the one before, by pixel, and the bands that change together."""
-    px = views.pixels(spark, sf)
+    """Each scene against the one before, both without speckle, by pixel, and the bands that change together."""
+    px = views.pixels(spark, sf).select("scene", "row", "col", "v")
     pre = px.withColumn("scene", F.col("scene") + 1)
-    change = raster.log_ratio(pre, px, ["scene"]).withColumnRenamed("change", "v").withColumn("z", F.col("row") * 100.0)
+    change = raster.log_ratio(pre, px, ["scene"], 2).withColumnRenamed("change", "v").withColumn("z", F.col("row") * 100.0)
     out = raster.seasonal_bands(change, ["scene"], "z", 200.0, 0.1, 0.35, 10)
     return out.groupBy("scene", "band").agg(F.count("*").alias("n"), F.sum(F.col("seasonal").cast("int")).alias("flagged"), F.round(F.avg("v"), 6).alias("mean"))
 
@@ -77,12 +77,17 @@ def otsu_thresholds(spark, sf):
 
 
 def corrected_offsets(spark, sf):
-    out = raster.stable_ground(views.pixels(spark, sf), ["scene"], F.col("row") < 5)
-    return out.select("scene", "row", "col", *six("corrected", "nmad"))
+    """Offsets in both directions, each less that of stable ground."""
+    px = views.pixels(spark, sf)
+    out = raster.stable_ground(px, ["scene"], F.col("row") < 5).withColumnsRenamed({"corrected": "dx", "nmad": "nmad_x"})
+    both = raster.stable_ground(out.withColumn("v", F.col("v") * 0.5 + F.col("col") / 10), ["scene"], F.col("row") < 5).withColumnsRenamed({"corrected": "dy", "nmad": "nmad_y"})
+    return both.select("scene", "row", "col", *six("dx", "nmad_x", "dy", "nmad_y"))
 
 
 def cell_speeds(spark, sf):
-    out = raster.cell_medians(views.pixels(spark, sf), ["scene"], 4, 0.1)
+    """Of watched nodes in the tile's core, by cell."""
+    nodes = views.pixels(spark, sf).where((F.col("row") > 0) & (F.col("col") != 3))
+    out = raster.cell_medians(nodes, ["scene"], 4, 0.1)
     return out.select("scene", "cell_row", "cell_col", "n", *six("v", "se"))
 
 
@@ -94,6 +99,7 @@ def flow_receivers(spark, sf):
 def flow_paths(spark, sf):
     scenes = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("tile"), F.col("embedding").cast("array<double>").alias("z"))
     starts = scenes.select(F.col("tile").alias("start_id"), "tile", F.lit(3).alias("row"), (F.col("tile") % 6 + 1).cast("int").alias("col"))
+    starts = routing.snapped_starts(views.pixels(spark, sf).select(F.col("scene").alias("tile"), "row", "col", "v"), ["tile"], starts, 1)
     out = routing.paths(scenes, starts, 8, 8, 30.0, 1.0)
     return out.select("start_id", "step", "row", "col", F.round("along_km", 6).alias("along_km"))
 
@@ -114,11 +120,12 @@ ORACLES = {
     "slopes": f"""WITH {views.PIXELS}, n AS (SELECT *, lag(v) OVER r AS r0, lead(v) OVER r AS r1, lag(v) OVER c AS c0, lead(v) OVER c AS c1 FROM px WINDOW r AS (PARTITION BY scene, col ORDER BY row), c AS (PARTITION BY scene, row ORDER BY col)),
  g AS (SELECT *, CASE WHEN r0 IS NULL THEN r1 - v WHEN r1 IS NULL THEN v - r0 ELSE (r1 - r0) / 2 END AS y, CASE WHEN c0 IS NULL THEN c1 - v WHEN c1 IS NULL THEN v - c0 ELSE (c1 - c0) / 2 END AS x FROM n)
  SELECT scene, row, col, round(degrees(atan(sqrt(x * x + y * y))), 5) AS slope, round((degrees(atan2(-x, y)) + 360) % 360, 4) AS aspect FROM g""",
-    "change_of_scenes": f"""WITH {views.PIXELS}, c AS (SELECT b.scene, b.row, b.v - a.v AS v, floor(b.row * 100 / 200.0)::INTEGER AS band FROM px a JOIN px b ON a.scene + 1 = b.scene AND a.row = b.row AND a.col = b.col),
+    "change_of_scenes": f"""WITH {views.PIXELS}, l AS (SELECT *, pow(10, v / 10) AS x FROM px), f AS (SELECT a.scene, a.row, a.col, any_value(a.x) AS x, avg(b.x) AS m, var_pop(b.x) AS s FROM l a JOIN l b ON a.scene = b.scene AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY 1, 2, 3), w AS (SELECT *, avg(s) OVER (PARTITION BY scene) AS t FROM f), fl AS (SELECT scene, row, col, 10 * log10(m + s / (s + t) * (x - m)) AS v FROM w),
+ c AS (SELECT b.scene, b.row, b.v - a.v AS v, floor(b.row * 100 / 200.0)::INTEGER AS band FROM fl a JOIN fl b ON a.scene + 1 = b.scene AND a.row = b.row AND a.col = b.col),
  e AS (SELECT scene, band, count(*) AS n, avg(CASE WHEN v > 0.1 THEN 1.0 ELSE 0 END) AS up, avg(CASE WHEN v < -0.1 THEN 1.0 ELSE 0 END) AS down FROM c GROUP BY 1, 2)
  SELECT scene, band, count(*) AS n, sum(CASE WHEN e.n >= 10 AND ((v > 0.1 AND up > 0.35) OR (v < -0.1 AND down > 0.35)) THEN 1 ELSE 0 END)::BIGINT AS flagged, round(avg(v), 6) AS mean FROM c JOIN e USING (scene, band) GROUP BY 1, 2""",
-    "corrected_offsets": f"WITH {views.PIXELS}, m AS (SELECT scene, median(v) AS m FROM px WHERE row < 5 GROUP BY 1), s AS (SELECT scene, 1.4826::DOUBLE * median(abs(v - m)) AS nmad FROM px JOIN m USING (scene) WHERE row < 5 GROUP BY 1) SELECT scene, row, col, round(v - m, 6) AS corrected, round(nmad, 6) AS nmad FROM px JOIN m USING (scene) JOIN s USING (scene)",
-    "cell_speeds": f"WITH {views.PIXELS} SELECT scene, (row // 4)::INTEGER AS cell_row, (col // 4)::INTEGER AS cell_col, count(v) AS n, round(median(v), 6) AS v, round(1.2533::DOUBLE * 0.1::DOUBLE / sqrt(greatest(1, count(v) / 16)), 6) AS se FROM px GROUP BY 1, 2, 3",
+    "corrected_offsets": f"WITH {views.PIXELS}, p AS (SELECT scene, row, col, v, v * 0.5::DOUBLE + col / 10::DOUBLE AS w FROM px), m AS (SELECT scene, median(v) AS m, median(w) AS mw FROM p WHERE row < 5 GROUP BY 1), s AS (SELECT scene, 1.4826::DOUBLE * median(abs(v - m)) AS nx, 1.4826::DOUBLE * median(abs(w - mw)) AS ny FROM p JOIN m USING (scene) WHERE row < 5 GROUP BY 1) SELECT scene, row, col, round(v - m, 6) AS dx, round(nx, 6) AS nmad_x, round(w - mw, 6) AS dy, round(ny, 6) AS nmad_y FROM p JOIN m USING (scene) JOIN s USING (scene)",
+    "cell_speeds": f"WITH {views.PIXELS} SELECT scene, (row // 4)::INTEGER AS cell_row, (col // 4)::INTEGER AS cell_col, count(v) AS n, round(median(v), 6) AS v, round(1.2533::DOUBLE * 0.1::DOUBLE / sqrt(greatest(1, count(v) / 16)), 6) AS se FROM px WHERE row > 0 AND col <> 3 GROUP BY 1, 2, 3 HAVING count(v) >= 8",
     "flow_receivers": f"""WITH {views.PIXELS}, d AS (SELECT a.scene, a.row, a.col, b.row AS to_row, b.col AS to_col, (a.v - b.v) / (10 * CASE WHEN a.row <> b.row AND a.col <> b.col THEN 1.4142135::DOUBLE ELSE 1 END) AS dr FROM px a JOIN px b ON a.scene = b.scene AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col)),
  m AS (SELECT scene, row, col, arg_max(to_row, dr) AS to_row, arg_max(to_col, dr) AS to_col, max(dr) AS dr FROM d WHERE dr > 0 GROUP BY 1, 2, 3) SELECT scene, row, col, to_row, to_col, round(dr, 8) AS drop FROM px LEFT JOIN m USING (scene, row, col)""",
     "bright_regions": f"""WITH RECURSIVE {views.PIXELS}, b AS (SELECT scene, row, col, row::BIGINT * 1048576 + col AS id FROM px WHERE v > 0.08), r(scene, id, row, col, label) AS (SELECT scene, id, row, col, id FROM b UNION SELECT b.scene, b.id, b.row, b.col, r.label FROM r JOIN b ON b.scene = r.scene AND abs(b.row - r.row) <= 1 AND abs(b.col - r.col) <= 1 AND r.label < b.id),

@@ -80,6 +80,13 @@ def surface_masks(spark, sf):
     return out.groupBy("scene").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("water", "snow", "debris", "other")], F.round(F.avg((F.col("kind") != "none").cast("double")), 6).alias("valid"), F.round(F.avg("veg"), 6).alias("ndvi"))
 
 
+def surface_probabilities(spark, sf):
+    """How sure the rules are of water and of snow at each pixel."""
+    g, nir, swir = (F.col("v") + 3) / 10, (3 - F.col("v")) / 30, (3 - F.col("v")) / 25
+    water = spectral.water_probability(g, nir, swir, g, F.col("row") * 4.0, F.col("col") == 2)
+    return views.pixels(spark, sf).select("scene", "row", "col", F.round(water, 6).alias("water"), F.round(spectral.snow_probability(g, nir, swir), 6).alias("snow"))
+
+
 def _nodes(spark, sf):
     """Offsets on a lattice from a scene and the next: what correlates badly is not valid."""
     px = views.pixels(spark, sf)
@@ -203,7 +210,7 @@ def thinned_paths(spark, sf):
     return out.select("id", F.size("points").alias("points"))
 
 
-QUERIES = {f.__name__: f for f in (cast_shadows, terrain_shadows, hillshades, highpassed, static_layers, dry_land, clear_scenes, false_colours, surface_masks, velocity_summaries, lattice_watch, spread_points, los_speeds, ingested_products, region_outlines, site_pixels, lowest_of_sites, tiles_of_areas, grid_positions, cell_polygons, thinned_paths)}
+QUERIES = {f.__name__: f for f in (cast_shadows, terrain_shadows, hillshades, highpassed, static_layers, dry_land, clear_scenes, false_colours, surface_masks, surface_probabilities, velocity_summaries, lattice_watch, spread_points, los_speeds, ingested_products, region_outlines, site_pixels, lowest_of_sites, tiles_of_areas, grid_positions, cell_polygons, thinned_paths)}
 
 
 def shadow_sql(name: str, src: str, res: float, reach: int) -> str:
@@ -271,6 +278,9 @@ ORACLES = {
  w AS (SELECT *, slope < 18 AND (ndwi > CASE WHEN dark THEN 0.45 ELSE 0.25 END AND mndwi > 0.1 AND nir < 0.2 OR nir < 0.04 AND swir < 0.05 AND g < 0.1 AND NOT dark OR scl = 6 AND nir < 0.08 AND mndwi > 0) AS water FROM i),
  k AS (SELECT scene, (nir - g) / (nir + g) AS veg, CASE WHEN scl IN (0, 1, 8, 9, 10) OR scl = 3 AND NOT water THEN 'none' WHEN water THEN 'water' WHEN mndwi > 0.4 AND nir > 0.15 THEN 'snow' WHEN row > 5 THEN 'debris' ELSE 'other' END AS kind FROM w)
  SELECT scene, count(CASE WHEN kind = 'water' THEN 1 END) AS water, count(CASE WHEN kind = 'snow' THEN 1 END) AS snow, count(CASE WHEN kind = 'debris' THEN 1 END) AS debris, count(CASE WHEN kind = 'other' THEN 1 END) AS other, round(avg(CASE WHEN kind <> 'none' THEN 1.0::DOUBLE ELSE 0 END), 6) AS valid, round(avg(veg), 6) AS ndvi FROM k GROUP BY 1""",
+    "surface_probabilities": f"""WITH {views.PIXELS}, b AS (SELECT scene, row, col, (v + 3) / 10 AS g, (3 - v) / 30 AS nir, (3 - v) / 25 AS swir, row * 4 AS slope, col = 2 AS dark FROM px), i AS (SELECT *, (g - nir) / (g + nir) AS w, (g - swir) / (g + swir) AS m FROM b),
+ p AS (SELECT *, 1 / (1 + exp(-(w - CASE WHEN dark THEN 0.45 ELSE 0.25 END) / 0.05)) / (1 + exp(-(m - 0.1) / 0.05)) / (1 + exp(-(0.2 - nir) / 0.03)) AS po, CASE WHEN dark THEN 0 ELSE 1 / (1 + exp(-(0.04 - nir) / 0.008)) / (1 + exp(-(0.05 - swir) / 0.01)) / (1 + exp(-(0.1 - g) / 0.02)) END AS pd FROM i)
+ SELECT scene, row, col, round(greatest(po, pd) / (1 + exp(-(18 - slope) / 3)), 6) AS water, round(1 / (1 + exp(-(m - 0.4) / 0.05)) / (1 + exp(-(nir - 0.15) / 0.03)), 6) AS snow FROM p""",
     "velocity_summaries": f"""WITH {NODES}, x AS (SELECT scene, (row // 4)::INTEGER AS region, corr, sqrt(dx * dx + dy * dy) * 10 / 12 AS v, (dx * sin(radians(aspect)) + dy * cos(radians(aspect))) * 10 / 12 AS d FROM nd),
  g AS (SELECT scene, region, count(v) AS n, count(v) / count(*) AS coverage, median(d) AS down_median, avg(d) AS down_mean, quantile_cont(d, 0.9) AS down_p90, median(v) AS median, quantile_cont(v, 0.9) AS p90, max(v) AS most, avg(CASE WHEN v IS NOT NULL THEN corr END) AS corr FROM x GROUP BY 1, 2)
  SELECT scene, region, n, round(coverage, 6) AS coverage, {", ".join(f"round(CASE WHEN n >= 3 THEN {c} END, 6) AS {c}" for c in ("down_median", "down_mean", "down_p90", "median", "p90", "most", "corr"))}, round(CASE WHEN n >= 3 THEN 0.1::DOUBLE * 10 / 12 / sqrt(greatest(1, n / 16)) END, 6) AS se FROM g""",
