@@ -294,7 +294,11 @@ def exposure_score(exposed: DataFrame, keys: list[str], weights: dict[str, float
 def assessed(obs: DataFrame, times: DataFrame, sites: DataFrame, exposure: DataFrame, w: Windows) -> DataFrame:
     """Every (site_id, as_of) of ``times`` scored in one plan: features by kind as of then, gated indicators, hazard, and the
     site's exposure (0 if it has none)."""
+    from ..sources.shared import saved
+
     keys = ["site_id", "as_of"]
-    long = site_features(as_of_rows(obs, times, ["site_id"], w.reach), times, sites, w)
+    # Several groups of features read the same rows, so they are joined once.
+    rows = saved(as_of_rows(obs, times, ["site_id"], w.reach))
+    long = saved(site_features(rows, times, sites, w))
     context = long.groupBy(*keys).agg(F.max("confidence").alias("confidence")).join(exposure.select("site_id", "exposure"), "site_id", "left").withColumn("exposure", F.coalesce("exposure", F.lit(0.0)))
     return assess(scores(long.drop("confidence"), model_table(obs.sparkSession), keys), context, keys)
