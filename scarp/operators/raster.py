@@ -194,8 +194,9 @@ def region_summary(nodes: DataFrame, keys: list[str], noise: float) -> DataFrame
     return g.select(*keys, "n", *[F.when(~few, F.col(c)).alias(c) for c in ("median", "mean", "p90")], F.when(~few, noise / F.sqrt(F.greatest(F.lit(1.0), F.col("n") / 16))).alias("se"))
 
 
-def peak_offset(reference: np.ndarray, secondary: np.ndarray) -> tuple[float, float, float]:
-    """Shift of a chip by cross-correlation of windowed, standardised chips, to a fraction of a pixel, and the peak."""
+def peak_offset(reference: np.ndarray, secondary: np.ndarray) -> tuple[float, float, float, float]:
+    """Shift of a chip by cross-correlation of windowed, standardised chips, to a fraction of a pixel, the peak, and how far
+    it stands above the rest."""
     window = np.outer(np.hanning(reference.shape[0]), np.hanning(reference.shape[1]))
 
     def standard(x):
@@ -212,15 +213,26 @@ def peak_offset(reference: np.ndarray, secondary: np.ndarray) -> tuple[float, fl
         part = float(np.clip(0.5 * (low - high) / curve, -0.5, 0.5)) if curve else 0.0
         out.append((at if at <= n // 2 else at - n) + part)
     energy = np.sqrt((standard(reference) ** 2).sum() * (standard(secondary) ** 2).sum())
-    return out[0], out[1], float(c.max() / energy) if energy else 0.0
+    return out[0], out[1], float(c.max() / energy) if energy else 0.0, float(c.max() / max(np.abs(c).mean(), 1e-12))
 
 
 def offsets(pairs: DataFrame, size: int) -> DataFrame:
-    """(pair, dr, dc, corr) of chips given as flat arrays ``ref`` and ``sec`` of size * size values, on Arrow batches."""
+    """(pair, dr, dc, corr, snr) of chips given as flat arrays ``ref`` and ``sec`` of size * size values, on Arrow batches."""
 
     def run(batches):
         for batch in batches:
             rows = [peak_offset(np.array(a, float).reshape(size, size), np.array(b, float).reshape(size, size)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in rows], pa.float64()) for k in range(3)]], ["pair", "dr", "dc", "corr"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in rows], pa.float64()) for k in range(4)]], ["pair", "dr", "dc", "corr", "snr"])
 
-    return pairs.select("pair", "ref", "sec").mapInArrow(run, "pair long, dr double, dc double, corr double")
+    return pairs.select("pair", "ref", "sec").mapInArrow(run, "pair long, dr double, dc double, corr double, snr double")
+
+
+def tracked(nodes: DataFrame, keys: list[str], chip: int, min_corr: float = 0.1, min_snr: float = 4.0, most_px: float = 1.0) -> DataFrame:
+    """Nodes of a lattice (dr, dc, corr, snr) that hold: a clear peak, a shift within a quarter of the chip, and no more than
+    ``most_px`` from the median of the nodes around it that hold so far. With dx and dy, north up."""
+    fine = (F.col("corr") >= min_corr) & (F.col("snr") >= min_snr) & (F.abs("dr") <= chip / 4) & (F.abs("dc") <= chip / 4)
+    held = nodes.where(fine)
+    for c in ("dr", "dc"):
+        held = median_filter(held.withColumn("v", F.col(c)), keys).withColumnRenamed("median", f"_{c}").drop("v")
+    near = (F.abs(F.col("dr") - F.col("_dr")) <= most_px) & (F.abs(F.col("dc") - F.col("_dc")) <= most_px)
+    return held.where(near).withColumn("dx", F.col("dc")).withColumn("dy", -F.col("dr")).drop("_dr", "_dc", "dr", "dc")

@@ -102,11 +102,11 @@ def slc_scenes(spark, sf):
 
 
 def glacier_areas(spark, sf):
-    """Areas of triangles around the sites."""
+    """Areas of triangles around the sites; outlines that aren't closed are none."""
     s = views.sites(spark, sf)
     d = F.col("site_id") % 9 / 100.0
     point = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
-    ring = F.array(point(F.col("lon"), F.col("lat")), point(F.col("lon") + d, F.col("lat")), point(F.col("lon"), F.col("lat") + d), point(F.col("lon"), F.col("lat")))
+    ring = F.array(point(F.col("lon"), F.col("lat")), point(F.col("lon") + d, F.col("lat")), point(F.col("lon"), F.col("lat") + d), point(F.col("lon") + F.when(F.col("site_id") % 5 == 0, d / 2).otherwise(0.0), F.col("lat")))
     return s.select("site_id", F.round(catalogue.ring_area_km2(ring, F.col("lat")), 5).alias("km2")).where("km2 >= 0.1")
 
 
@@ -141,7 +141,7 @@ ORACLES = {
     "elevation_hrefs": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'd' || o_orderkey ELSE 't' || o_orderkey END AS href FROM orders",
     "named_bands": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'red,nir' ELSE 'red,swir16' END AS bands FROM orders".replace("'red,nir'", "'nir,red'"),
     "slc_scenes": f"WITH {views.ACQ} SELECT key, orbit, key % 8 AS frame, row_number() OVER (PARTITION BY orbit, key % 8 ORDER BY acquired_at, key)::INTEGER AS place FROM acq WHERE sensor = 'S1' AND acquired_at BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-09-01'",
-    "glacier_areas": f"WITH {views.SITES}, a AS (SELECT site_id, round(pow((site_id % 9)::DOUBLE / 100, 2) / 2 * 111.32::DOUBLE * 111.32::DOUBLE * cos(radians(lat)), 5) AS km2 FROM site) SELECT * FROM a WHERE km2 >= 0.1",
+    "glacier_areas": f"WITH {views.SITES}, a AS (SELECT site_id, round(pow((site_id % 9)::DOUBLE / 100, 2) / 2 * 111.32::DOUBLE * 111.32::DOUBLE * cos(radians(lat)), 5) AS km2 FROM site WHERE site_id % 5 <> 0 OR site_id % 9 = 0) SELECT * FROM a WHERE km2 >= 0.1",
     "scene_mosaic": f"""WITH {views.PIXELS}, f AS (SELECT label, row, col, arg_min(v, scene) AS v FROM px WHERE v > 0.3 GROUP BY 1, 2, 3), w AS (SELECT DISTINCT label, row, col FROM px),
  n AS (SELECT w.label, w.row, w.col, arg_min(f.v, (pow(w.row - f.row, 2) + pow(w.col - f.col, 2), f.v)) AS v FROM w JOIN f ON w.label = f.label AND abs(w.row - f.row) <= 2 AND abs(w.col - f.col) <= 2 GROUP BY 1, 2, 3)
  SELECT w.label, w.row, w.col, round(coalesce(f.v, n.v), 6) AS v FROM w LEFT JOIN f USING (label, row, col) LEFT JOIN n USING (label, row, col)""",

@@ -111,8 +111,16 @@ def chip_offsets(spark, sf):
     return raster.offsets(e.withColumn("sec", place), 8).select("pair", *six("dr", "dc", "corr"))
 
 
-QUERIES = {f.__name__: f for f in (band_indices, surface_classes, scene_medians, median_filtered, lee_filtered, slopes, change_of_scenes, bright_regions, otsu_thresholds, corrected_offsets, cell_speeds, flow_receivers, flow_paths, chip_offsets)}
+def tracked_nodes(spark, sf):
+    """Offsets of a lattice's nodes that hold against peaks, shifts and their neighbours."""
+    px = views.pixels(spark, sf)
+    nodes = px.select("scene", "row", "col", (F.col("v") * 8).alias("dr"), (F.col("v") * 4 + F.col("row") / 4).alias("dc"), F.abs(F.col("v") * 3).alias("corr"), (F.col("col") + 2.0).alias("snr"))
+    return raster.tracked(nodes, ["scene"], 8, 0.1, 4.0, 1.0).select("scene", "row", "col", *six("dx", "dy"))
+
+
+QUERIES = {f.__name__: f for f in (tracked_nodes, band_indices, surface_classes, scene_medians, median_filtered, lee_filtered, slopes, change_of_scenes, bright_regions, otsu_thresholds, corrected_offsets, cell_speeds, flow_receivers, flow_paths, chip_offsets)}
 ORACLES = {
+    "tracked_nodes": f"WITH {views.PIXELS}, n AS (SELECT scene, row, col, v * 8 AS dr, v * 4 + row / 4::DOUBLE AS dc FROM px WHERE abs(v * 3) >= 0.1 AND col + 2 >= 4 AND abs(v * 8) <= 2 AND abs(v * 4 + row / 4::DOUBLE) <= 2), m AS (SELECT a.scene, a.row, a.col, any_value(a.dr) AS dr, any_value(a.dc) AS dc, median(b.dr) AS mr, median(b.dc) AS mc FROM n a JOIN n b ON a.scene = b.scene AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3) SELECT scene, row, col, round(dc, 6) AS dx, round(-dr, 6) AS dy FROM m WHERE abs(dr - mr) <= 1 AND abs(dc - mc) <= 1",
     "band_indices": f"WITH {BANDS} SELECT scene, row, col, round((v - w) / (v + w), 6) AS ndwi, round((v + w) / 2, 6) AS bright, round(v / w, 6) AS turbidity, round(1 / (1 + exp(-(v - 3) / 0.5::DOUBLE)), 6) AS p, round(10 * log10(v), 6) AS db FROM b",
     "scene_medians": f"WITH {RAW} SELECT scene, count(v) AS n, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, round(0.1::DOUBLE / sqrt(greatest(1, count(v) / 16)), 6) AS se FROM raw GROUP BY 1",
     "median_filtered": f"WITH {views.PIXELS} SELECT a.scene, a.row, a.col, round(median(b.v), 6) AS median FROM px a JOIN px b ON a.scene = b.scene AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3",

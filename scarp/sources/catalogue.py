@@ -121,11 +121,11 @@ def map_features(elements: DataFrame) -> DataFrame:
 
 
 def ring_area_km2(ring: Column, lat: Column) -> Column:
-    """Area of a closed ring of (lon, lat) points by the shoelace sum; null with fewer than four points."""
+    """Area of a ring of (lon, lat) points by the shoelace sum; null if it has fewer than four points or isn't closed."""
     n = F.size(ring)
     cross = F.transform(F.slice(ring, F.lit(1), n - 1), lambda p, i: p["lon"] * F.get(ring, i + 1)["lat"] - F.get(ring, i + 1)["lon"] * p["lat"])
     area = F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2 * 111.32**2 * F.cos(F.radians(lat))
-    return F.when(n >= 4, area)
+    return F.when((n >= 4) & (F.get(ring, F.lit(0)) == F.get(ring, n - 1)), area)
 
 
 def first_valid(px: DataFrame, keys: list[str], order: str) -> DataFrame:

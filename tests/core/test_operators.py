@@ -163,8 +163,8 @@ def test_offsets_find_a_shift():
     image = rng.normal(size=(64, 64))
     for _ in range(3):
         image = (image + np.roll(image, 1, 0) + np.roll(image, 1, 1)) / 3
-    dr, dc, corr = raster.peak_offset(image, np.roll(image, (3, -2), (0, 1)))
-    assert abs(dr - 3) < 0.3 and abs(dc + 2) < 0.3 and corr > 0.5
+    dr, dc, corr, snr = raster.peak_offset(image, np.roll(image, (3, -2), (0, 1)))
+    assert abs(dr - 3) < 0.3 and abs(dc + 2) < 0.3 and corr > 0.5 and snr > 5
 
 
 def test_tiles_cover_each_pixel_once(spark):
