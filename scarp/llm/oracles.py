@@ -27,3 +27,19 @@ JACCARD = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(
 TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
  SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10"""
+
+#: The unsigned crc32 of a decimal id, bit by bit: a table of all bytes, then the id's digits.
+CRC32 = """crc_table AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM documents, crc_table)"""
+
+RUNS = rf"""WITH {CRC32}, o AS (SELECT d.doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n FROM documents d JOIN crc USING (doc_id)),
+ d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < g % n THEN w[i + 1] ELSE w[g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM o),
+ p AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+ m AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+ r AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+ u AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.doc_id = r.doc_id AND b.q < r.q AND b.s <= r.s AND b.s + b.l >= r.s + r.l)),
+ s AS (SELECT doc_id, count(*) AS n_runs, string_agg(s::VARCHAR || ',' || l::VARCHAR || ',' || q::VARCHAR || chr(10), '' ORDER BY s, q) AS txt FROM u GROUP BY 1),
+ f AS (SELECT doc_id, s, l, q FROM u WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.doc_id = u.doc_id AND (b.l * u.q > u.l * b.q OR b.l * u.q = u.l * b.q AND (b.s < u.s OR b.s = u.s AND b.q < u.q)))),
+ c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS txt FROM p WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = p.doc_id AND p.i >= u.s + u.q AND p.i < u.s + u.l) GROUP BY 1)
+ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, f.s::BIGINT AS start, f.l::BIGINT AS length, f.q::BIGINT AS period, (1000 * f.l // f.q)::BIGINT AS exponent_milli, sha256(coalesce(s.txt, '')) AS runs_sha256, sha256(coalesce(c.txt, '')) AS collapsed_sha256
+ FROM d LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)"""
