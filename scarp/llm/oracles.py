@@ -43,3 +43,11 @@ RUNS = rf"""WITH {CRC32}, o AS (SELECT d.doc_id, h, h // 10 AS g, regexp_extract
  c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS txt FROM p WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = p.doc_id AND p.i >= u.s + u.q AND p.i < u.s + u.l) GROUP BY 1)
  SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, f.s::BIGINT AS start, f.l::BIGINT AS length, f.q::BIGINT AS period, (1000 * f.l // f.q)::BIGINT AS exponent_milli, sha256(coalesce(s.txt, '')) AS runs_sha256, sha256(coalesce(c.txt, '')) AS collapsed_sha256
  FROM d LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+HARD_NEGATIVES = """WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+ n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, oracles, pieces, pii, quality, runs, secrets, toxicity, vectors, webtext
+from . import hardneg, jaccard, language, mixing, oracles, pieces, pii, quality, runs, secrets, toxicity, vectors, webtext
 from .common import table
 
 
@@ -53,6 +53,11 @@ def op10_personal_data(spark, sf_dir):
     return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mined(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
 def op13_periodic_runs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", runs.repeating(F.col("doc_id"), F.col("text")).alias("text"))
     return runs.digests(runs.periodic(docs))
@@ -70,11 +75,13 @@ QUERIES = {
     "op8_voronoi_topk": op8_voronoi_topk,
     "op9_main_text": op9_main_text,
     "op10_personal_data": op10_personal_data,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op6_quality_rules": oracles.QUALITY,
     "op7_jaccard_join": oracles.JACCARD,
     "op8_voronoi_topk": oracles.TOP_K,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
     "op13_periodic_runs": oracles.RUNS,
 }
