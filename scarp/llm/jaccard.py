@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, saved, slices, small
+from .common import narrow, saved, shared_dir, slices, small
 from .graph import components
 
 WORDS = 5
@@ -62,7 +62,8 @@ class Shingles:
     sums over the whole part; the power of the word's start is divided out, as it is odd and has an inverse.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, words: int = WORDS) -> None:
+        self.least = words
         rng = np.random.default_rng(20240611)
         self.table = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.grow(PART)
@@ -108,16 +109,16 @@ class Shingles:
         return [self.shingles(words[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def shingles(self, words: np.ndarray) -> np.ndarray:
-        n = len(words)
-        if n < WORDS:
+        n, least = len(words), self.least
+        if n < least:
             h = np.full(min(n, 1), n, np.uint64)
             for k in range(n):
                 h = h * MULTIPLIER + words[k]
             return mixed(h)
-        h = words[: n - WORDS + 1].copy()
-        for k in range(1, WORDS):
+        h = words[: n - least + 1].copy()
+        for k in range(1, least):
             h *= MULTIPLIER
-            h += words[k : n - WORDS + 1 + k]
+            h += words[k : n - least + 1 + k]
         return np.unique(mixed(h))
 
 
@@ -169,39 +170,44 @@ def lists(values: list, kind=pa.int64()) -> pa.ListArray:
 SKETCH = "doc_id long, n long, d1 long, d2 long, bands array<long>, bits array<long>, coarse array<long>, shingle long, sets long"
 
 
-def sketch(batches):
-    """A row for each document, and rows (shingle, sets) of shingles that many sets of a block hold."""
-    hashes, seen, held, size = Shingles(), set(), [], 0
-
-    def frequent():
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        found, n = found[n >= BLOCK_SETS], n[n >= BLOCK_SETS]
-        none = [pa.nulls(len(found), t) for t in (*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3)]
-        return pa.RecordBatch.from_arrays([*none, pa.array(found.view(np.int64)), pa.array(n)], names)
-
-    names = ["doc_id", "n", "d1", "d2", "bands", "bits", "coarse", "shingle", "sets"]
-    for batch in slices(batches):
-        ids = batch.column(0)
-        n, d1, d2, bands, bits, coarse = [], [], [], [], [], []
-        for h in hashes.of(batch.column(1).to_pylist()):
-            n.append(len(h))
-            digest = xxhash.xxh3_128_digest(h.tobytes())
-            d1.append(int.from_bytes(digest[:8], "little", signed=True))
-            d2.append(int.from_bytes(digest[8:], "little", signed=True))
-            bands.append(band_keys(h) if len(h) else [])
-            bits.append(bitmap(h))
-            coarse.append(bitmap(h, COARSE_BITS))
-            if len(h) and digest not in seen:
-                seen.add(digest)
-                held.append(h)
-                size += len(h)
-                if size >= BLOCK_SHINGLES:
-                    yield frequent()
-                    held, size, seen = [], 0, set()
-        rest = [pa.nulls(len(n), pa.int64())] * 2
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(bands), lists(bits), lists(coarse), *rest], names)
-    if held:
-        yield frequent()
+def sketch(words: int = WORDS, keys=band_keys):
+    """A row for each document, and rows (shingle, sets) of shingles that many sets of a block hold. ``keys`` makes of a set
+    the numbers that stand in its ``bands``."""
+
+    def run(batches):
+        hashes, seen, held, size = Shingles(words), set(), [], 0
+
+        def frequent():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            found, n = found[n >= BLOCK_SETS], n[n >= BLOCK_SETS]
+            none = [pa.nulls(len(found), t) for t in (*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3)]
+            return pa.RecordBatch.from_arrays([*none, pa.array(found.view(np.int64)), pa.array(n)], names)
+
+        names = ["doc_id", "n", "d1", "d2", "bands", "bits", "coarse", "shingle", "sets"]
+        for batch in slices(batches):
+            ids = batch.column(0)
+            n, d1, d2, bands, bits, coarse = [], [], [], [], [], []
+            for h in hashes.of(batch.column(1).to_pylist()):
+                n.append(len(h))
+                digest = xxhash.xxh3_128_digest(h.tobytes())
+                d1.append(int.from_bytes(digest[:8], "little", signed=True))
+                d2.append(int.from_bytes(digest[8:], "little", signed=True))
+                bands.append(keys(h) if len(h) else [])
+                bits.append(bitmap(h))
+                coarse.append(bitmap(h, COARSE_BITS))
+                if len(h) and digest not in seen:
+                    seen.add(digest)
+                    held.append(h)
+                    size += len(h)
+                    if size >= BLOCK_SHINGLES:
+                        yield frequent()
+                        held, size, seen = [], 0, set()
+            rest = [pa.nulls(len(n), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(bands), lists(bits), lists(coarse), *rest], names)
+        if held:
+            yield frequent()
+
+    return run
 
 
 def overlap_bound(a: str, b: str) -> Column:
@@ -226,27 +232,30 @@ def linkable(shared: Column, a: str, b: str, percent: int) -> Column:
     return (100 + percent) * shared >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def as_sets(batches):
+def as_sets(words: int):
     """A row for each place in which a document is wanted."""
-    hashes = Shingles()
 
     def packed(rows):
         columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.binary())], ["centre", "part", "member", "node", "own"])
 
-    for batch in slices(batches):
-        rows, size = [], 0
-        nodes, texts, wanted = (c.to_pylist() for c in batch.columns)
-        for node, own, places in zip(nodes, hashes.of(texts), wanted):
-            own = own.tobytes()
-            for x in places:
-                rows.append((x["centre"], x["part"], x["member"], node, own))
-                size += len(own)
-                if size > 4_000_000:
-                    yield packed(rows)
-                    rows, size = [], 0
-        if rows:
-            yield packed(rows)
+    def run(batches):
+        hashes = Shingles(words)
+        for batch in slices(batches):
+            rows, size = [], 0
+            nodes, texts, wanted = (c.to_pylist() for c in batch.columns)
+            for node, own, places in zip(nodes, hashes.of(texts), wanted):
+                own = own.tobytes()
+                for x in places:
+                    rows.append((x["centre"], x["part"], x["member"], node, own))
+                    size += len(own)
+                    if size > 4_000_000:
+                        yield packed(rows)
+                        rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    return run
 
 
 def intersecting(percent: int):
@@ -275,10 +284,18 @@ def intersecting(percent: int):
 
 class Texts:
     """The documents, to be joined with lists of ids. A short list goes to where the texts are, and they don't move. For
-    the first longer one the texts are laid out by id in a bucketed table, so from then on only the lists move."""
+    the first longer one the texts are laid out by id in a bucketed table, so from then on only the lists move. That table
+    lies in the shared folder and is gone at the end of the ``with`` statement."""
+
+    def __init__(self, docs: DataFrame, most_ids: int = MAX_WANTED, words: int = WORDS) -> None:
+        self.docs, self.most, self.words, self.table = docs, most_ids, words, ""
+
+    def __enter__(self) -> "Texts":
+        return self
 
-    def __init__(self, docs: DataFrame, most_ids: int = MAX_WANTED) -> None:
-        self.docs, self.most, self.table = docs, most_ids, ""
+    def __exit__(self, *error) -> None:
+        if self.table:
+            self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def of(self, wanted: DataFrame, places: int) -> DataFrame:
         """(node, text, places) of ``wanted`` (node, places), which holds that many places in all."""
@@ -289,13 +306,9 @@ class Texts:
             self.table = f"scarp_{uuid.uuid4().hex}"
             buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.docs.rdd.getNumPartitions())
             by_id = self.docs.where(F.col("doc_id").isNotNull()).repartition(buckets, "doc_id")
-            by_id.write.bucketBy(buckets, "doc_id").saveAsTable(self.table)
+            by_id.write.bucketBy(buckets, "doc_id").option("path", f"{shared_dir(spark)}/{self.table}").saveAsTable(self.table)
         return spark.table(self.table).join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
 
-    def drop(self) -> None:
-        if self.table:
-            self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
-
 
 def exact_links(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """The pairs (a, b) of representatives whose sets are similar enough.
@@ -311,7 +324,7 @@ def exact_links(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
     places = wanted.agg(F.sum(F.size("places"))).first()[0]
     if not places:
         return pairs.select("a", "b")
-    sets = texts.of(wanted, places).select("node", "text", "places").mapInArrow(as_sets, "centre long, part long, member long, node long, own binary")
+    sets = texts.of(wanted, places).select("node", "text", "places").mapInArrow(as_sets(texts.words), "centre long, part long, member long, node long, own binary")
     sets = sets.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
     return saved(sets.mapInArrow(intersecting(percent), "a long, b long"))  # as wide as the sets are
 
@@ -322,8 +335,8 @@ def with_bits(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return saved(narrow(pairs.join(x, "a").join(y, "b").where(linkable(overlap_bound("a", "b"), "a", "b", percent)).select("a", "b")))
 
 
-def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int) -> DataFrame:
-    """Links (a, b) found in the buckets of the bands.
+def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int, links: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) found in the buckets of the bands, besides ``links`` that are known.
 
     A node's hub score is the summed size of its buckets: of near copies of one text, the text itself shares more buckets
     with the others than any two of these share. In each round a bucket's centre is the best hub of its largest component
@@ -335,7 +348,7 @@ def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int) -> D
     hubs = saved(narrow(held.groupBy("node").agg(F.sum("k").alias("hub"))))
     held = saved(held.join(hubs, "node").select("node", "band", "hub"))
     facts = classes.select("node", "n", "bits")
-    links, tried = None, None
+    tried = None
     for _ in range(rounds):
         own = held.withColumn("comp", F.col("node")).withColumn("size", F.lit(1).cast("long"))
         if links is not None:
@@ -359,12 +372,12 @@ def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int) -> D
     return links
 
 
-def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, words: int = WORDS) -> DataFrame:
     """(doc_id, prefix): the first shingles of each set, rare ones first."""
     known, counts = frequent
 
     def run(batches):
-        hashes = Shingles()
+        hashes = Shingles(words)
         for batch in slices(batches):
             out = []
             for h in hashes.of(batch.column(1).to_pylist()):
@@ -408,7 +421,7 @@ def live_links(classes: DataFrame, named: DataFrame, texts: Texts, frequent: tup
     """All links (a, b) between different components of ``named``."""
     facts = classes.select("node", "n", "bits", "coarse").join(named, "node", "left").select("node", "n", "bits", "coarse", F.coalesce("label", "node").alias("comp"))
     facts = saved(facts)
-    first = prefixes(texts.docs, frequent, percent)
+    first = prefixes(texts.docs, frequent, percent, texts.words)
     first = saved(first.join(facts.select("node", "n", "comp"), F.col("doc_id") == F.col("node")).select("node", "n", "comp", "prefix"))
     tokens = first.select("node", "comp", F.explode("prefix").alias("shingle"))
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "node") for f in (F.min, F.max)]
@@ -427,31 +440,40 @@ def live_links(classes: DataFrame, named: DataFrame, texts: Texts, frequent: tup
     return exact_links(pairs, texts, percent)
 
 
+class Corpus:
+    """The documents of a table (doc_id, text), sketched once: their rows, the classes of equal sets, and the shingles that
+    are known to be frequent."""
+
+    def __init__(self, table: DataFrame, words: int = WORDS, keys=band_keys) -> None:
+        self.docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        sketches = saved(self.docs.mapInArrow(sketch(words, keys), SKETCH))
+        self.rows = sketches.where(F.col("n").isNotNull())
+        sums = sketches.where(F.col("n").isNull()).groupBy("shingle").agg(F.sum("sets").alias("k")).orderBy(F.desc("k"), "shingle").limit(MAX_FREQUENT).toPandas()
+        known = sums["shingle"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        self.frequent = known[order], sums["k"].to_numpy(np.int64)[order]
+        some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        # Equal sets have equal sketches.
+        classes = self.rows.where(some).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bits", "coarse")])
+        self.classes = saved(classes)
+
+    def joined(self, links: DataFrame, texts: Texts, percent: int) -> DataFrame:
+        """One row per document: doc_id, n_shingles, component_id, by ``links`` and all others between their components."""
+        named = components(links)
+        more = live_links(self.classes, named, texts, self.frequent, percent)
+        final = components(named.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+        of_class = self.classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "node").join(final, "node", "left").select("_d1", "_d2", F.coalesce("label", "node").alias("component"))
+        of_class = saved(of_class.groupBy("_d1", "_d2").agg(F.min("component").alias("component")))
+        out = self.rows.select("doc_id", "n", "d1", "d2").join(of_class, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & F.col("doc_id").isNotNull(), "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def linked(table: DataFrame, percent: int = 75, rounds: int = 2, most_ids: int = MAX_WANTED) -> DataFrame:
     """One row per row of ``table`` (doc_id, text): doc_id, n_shingles, component_id. ``most_ids`` is how many places of
     documents are sent to all tasks at once; it changes the plan only."""
-    docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = saved(docs.mapInArrow(sketch, SKETCH))
-    rows = sketches.where(F.col("n").isNotNull())
-    sums = sketches.where(F.col("n").isNull()).groupBy("shingle").agg(F.sum("sets").alias("k")).orderBy(F.desc("k"), "shingle").limit(MAX_FREQUENT).toPandas()
-    known = sums["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    frequent = known[order], sums["k"].to_numpy(np.int64)[order]
-    some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    # Equal sets have equal sketches.
-    classes = rows.where(some).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bits", "coarse")])
-    classes = saved(classes)
-    texts = Texts(docs, most_ids)
-    stars = star_links(classes, texts, percent, rounds)
-    named = components(stars)
-    more = live_links(classes, named, texts, frequent, percent)
-    edges = named.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
-    final = components(edges)
-    texts.drop()
-    of_class = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "node").join(final, "node", "left").select("_d1", "_d2", F.coalesce("label", "node").alias("component"))
-    of_class = saved(of_class.groupBy("_d1", "_d2").agg(F.min("component").alias("component")))
-    out = rows.select("doc_id", "n", "d1", "d2").join(of_class, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    corpus = Corpus(table)
+    with Texts(corpus.docs, most_ids) as texts:
+        return corpus.joined(star_links(corpus.classes, texts, percent, rounds), texts, percent)
 
 
 def representatives(table: DataFrame, percent: int = 75) -> DataFrame:

@@ -17,12 +17,21 @@ QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source AS host
  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
  SELECT *, NOT base_failed AND n_words - n_removed >= 10 AND n_words - n_removed >= 0.4::DOUBLE * n_words AS kept FROM b"""
 
-JACCARD = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
- sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+#: Links of word shingles, and their components; the names after @ are filled in.
+LINKED = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+ sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < @WORDS THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + @WORDS - 1], ' ') END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - @WORDS + 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
- link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)), both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+ link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= @PERCENT * (x.n + y.n - i)), both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
  reach(id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, b FROM reach r JOIN both_ ON a = r.node)
- SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(node) AS component_id FROM reach GROUP BY 1) c ON c.id = d.doc_id"""
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id@KEPT FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(node) AS component_id FROM reach GROUP BY 1) c ON c.id = d.doc_id"""
+
+
+def _linked(words: int, percent: int, kept: str = "") -> str:
+    return LINKED.replace("@WORDS", str(words)).replace("@PERCENT", str(percent)).replace("@KEPT", kept)
+
+
+JACCARD = _linked(5, 75)
+FOREST = _linked(2, 80, ", d.doc_id = c.component_id AS kept")
 
 TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)

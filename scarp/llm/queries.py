@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import hardneg, jaccard, language, mixing, oracles, pieces, pii, quality, runs, secrets, toxicity, vectors, webtext
+from . import forest, hardneg, jaccard, language, mixing, oracles, pieces, pii, quality, runs, secrets, toxicity, vectors, webtext
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hardneg.mined(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
 
 
+def op12_lsh_forest(spark, sf_dir):
+    return forest.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", runs.repeating(F.col("doc_id"), F.col("text")).alias("text"))
     return runs.digests(runs.periodic(docs))
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_personal_data": op10_personal_data,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lsh_forest": op12_lsh_forest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
@@ -83,5 +88,6 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": oracles.JACCARD,
     "op8_voronoi_topk": oracles.TOP_K,
     "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_lsh_forest": oracles.FOREST,
     "op13_periodic_runs": oracles.RUNS,
 }
