@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small
+from .common import held_out, slices, small
 
 GRAMS = 1 << 15
 #: Rows learned from in each language, about: a share of its rows, chosen by the hash of the id.
@@ -55,7 +55,7 @@ def learn(docs: DataFrame, rows_per_language: int) -> tuple[list[str], np.ndarra
 
     def count(batches):
         letters, sums = Letters(), {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (g := letters.grams(text)) is not None:
                     sums[lang] = sums.get(lang, 0) + np.bincount(g, minlength=GRAMS)
@@ -103,7 +103,7 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, penalt
 
     def predict(batches):
         letters = Letters()
-        for batch in batches:
+        for batch in slices(batches):
             pred, score, parts = [], [], []
             for text in batch.column(1).to_pylist():
                 g = letters.grams(text) if text and names else None

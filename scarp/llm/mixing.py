@@ -182,16 +182,17 @@ def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     have any names: they stand in one struct meanwhile.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    times = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(
-        F.sort_array(F.collect_list((F.col("taken") / F.col("size")).cast("int")), asc=False).alias("times")
-    )
-    times = saved(times)
+    often = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words"), (F.col("taken") / F.col("size")).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    # How many of the rows are taken three times, twice, once: a few numbers, however many rows there are.
+    times = saved(often.groupBy("id", "words").agg(F.sort_array(F.collect_list(F.struct("k", "n")), asc=False).alias("times")))
     side = small(times, times.count())
     rows = docs.select(F.struct(*docs.columns).alias("row"), size.alias("own"))
     joined = rows.join(side, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("words")))
-    if times.where(F.size("times") > 1).limit(1).count():
+    if times.where((F.size("times") > 1) | (F.get("times", F.lit(0))["n"] > 1)).limit(1).count():
         place = F.row_number().over(Window.partitionBy("id", "words").orderBy("id"))
-        joined = joined.withColumn("k", F.get("times", place - 1)).where("k > 0")
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).alias("k"))
+        step = lambda s, t: F.struct((s["seen"] + t["n"]).alias("seen"), F.when((s["seen"] < F.col("place")) & (F.col("place") <= s["seen"] + t["n"]), t["k"]).otherwise(s["k"]).alias("k"))
+        joined = joined.withColumn("place", place).withColumn("k", F.aggregate("times", start, step)["k"]).where("k > 0")
     else:
-        joined = joined.withColumn("k", F.get("times", F.lit(0)))
+        joined = joined.withColumn("k", F.get("times", F.lit(0))["k"])
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("k")))).select("row.*")

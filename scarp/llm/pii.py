@@ -10,7 +10,7 @@ support further patterns. Rounds go on until no pattern changes. Instances that
 spans of kind ``context``, unless they overlap a base span.
 
 Spans come from two native calls on one pattern: the pieces between matches and the matches; their lengths summed up
-give the places, in code points. The regular expressions have no loops over groups, so no text can exhaust the stack:
+give the places, in code points. The regular expressions have no loops over groups but possessive ones, so no text can exhaust the stack:
 a joint inside a number or a host name is first replaced by a private-use character of the same length.
 
 Nulls, ties, repeats: null text counts as empty; a null id is kept as it is; equal starts are ordered by kind as listed;
@@ -30,16 +30,17 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]+{DOT}[A-Za-z0-9{DOT}-]+
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9][0-9{JOINT}]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Strings that look like identifiers: up to eight letters, then a digit, at least five characters in all after them.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,8}[0-9][A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++){0,8}"
+#: Strings that look like identifiers: letters or none, a digit, and what follows; of five characters at least. A possessive
+#: loop over a group is no recursion.
+CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++)*+"
 CANDIDATE_CHARS = 5
 OCTET = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 KINDS = ("email", "ip", "card", "phone")
 #: The two words before an instance, in reversed text.
 BEFORE = r"^[\x20\x09-\x0D\"'(=:]*+([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)"
 BLOCK = 64
-#: More rounds than any graph has needed.
-ROUNDS = 20
+#: More rounds than any graph has needed; a graph that needs more is an error.
+ROUNDS = 50
 
 
 def let(value: Column, body) -> Column:
@@ -171,6 +172,8 @@ def contextual(marks: DataFrame, support: int, least: float, rounds: int = ROUND
         one = edges.join(small(good, now[0]), "pattern").groupBy("instance", "against").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("q"))
         one = saved(one.select(F.col("instance").alias("_instance"), F.when(F.col("seed"), 1.0).when(F.col("against"), 0.0).otherwise(F.col("q")).alias("q")))
         sure = edges.join(small(one, one.count()), F.col("instance") == F.col("_instance"), "left").select(*edges.columns, F.coalesce("q", F.col("seed").cast("double")).alias("p"))
+    else:
+        raise RuntimeError(f"patterns did not settle in {rounds} rounds")
     new = saved(sure.where(~F.col("seed") & (F.col("p") >= least)).select(F.col("instance").alias("_instance")).distinct())
     fine = small(good.select(F.col("pattern").alias("_pattern")), good.count())
     return (

@@ -19,7 +19,6 @@ Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 import zlib
@@ -63,7 +62,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-@functools.cache
 def value_pattern(least: int) -> re.Pattern:
     """A run of the characters of a string. An ``=`` between two runs parts a name from its value; at the end it is padding."""
     return re.compile(rf"(?<!{PART})(?={PART[:-1]}=]{{{least}}}){PART}++(?:=++(?!{PART}))?")
@@ -77,9 +75,10 @@ def irregular(value: str) -> bool:
     return value.lower() != value != value.upper() and sum(map(len, found)) <= SHORT_WORD * len(found)
 
 
-def strings(text: str, least: int) -> list[tuple[int, int]]:
-    """Places of irregular strings of at least ``least`` characters: each runs as far as it can either way, up to an ``=``."""
-    return [m.span() for m in value_pattern(least).finditer(text) if m.end() - m.start() >= least and irregular(m[0])]
+def strings(text: str, least: int, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """Places of irregular strings of at least ``least`` characters, by their ``value_pattern``: each runs as far as it can
+    either way, up to an ``=``."""
+    return [m.span() for m in pattern.finditer(text) if m.end() - m.start() >= least and irregular(m[0])]
 
 
 def named(value: str) -> bool:
@@ -97,11 +96,13 @@ def contexts(docs: DataFrame, least: int) -> DataFrame:
     sensitive contexts that don't read as names. ``whole`` is a hash of the string, of which 256 characters are kept, and
     ``context`` a hash of what stands before it."""
 
+    pattern = value_pattern(least)
+
     def emit(batches):
         for batch in slices(batches):
             out = {}
             for text in batch.column(0).to_pylist():
-                for a, b in strings(text, least) if text else ():
+                for a, b in strings(text, least, pattern) if text else ():
                     value = text[a:b]
                     if named(value) or not sensitive(text, a):
                         whole = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big", signed=True)
@@ -127,10 +128,10 @@ def identifiers(docs: DataFrame, least: int, min_contexts: int, dictionary_bytes
     return body + words
 
 
-def novel_spans(text: str, base: list, compressor, least: int, min_bytes: float) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, base: list, compressor, least: int, min_bytes: float, pattern: re.Pattern | None = None) -> list[tuple[int, int, int]]:
     found = []
     starts, ends = [s for s, _, _ in base], [*accumulate((e for _, _, e in base), max)]
-    for a, b in strings(text, least):
+    for a, b in strings(text, least, pattern or value_pattern(least)):
         before = bisect_right(starts, a)
         if before and ends[before - 1] >= b or not sensitive(text, a):
             continue
@@ -153,10 +154,11 @@ def scan(docs: DataFrame, least: int = 16, min_bytes: float = 0.5, min_contexts:
     columns of ``docs`` are returned instead, each span in ``text`` replaced by ``mask``.
     """
     dictionary = identifiers(docs, least, min_contexts, dictionary_bytes, min_share)
+    pattern = value_pattern(least)  # closed over: what a cached function holds does not travel to executors
 
     def spans_of(text: str, compressor) -> tuple[list, list]:
         base = base_spans(text)
-        return base, novel_spans(text, base, compressor, least, min_bytes)
+        return base, novel_spans(text, base, compressor, least, min_bytes, pattern)
 
     def primed():
         return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
