@@ -11,8 +11,11 @@ its own ``DEPTH`` minima: all classes sorted by that part of their signature.
    crowd. Members of a region are compared with one centre only, the one that shares most regions with the others, in a few
    rounds. Thousands of copies with one signature, which no depth can part, are so joined without looking at their pairs.
 3. All candidates are bounded by sizes and bitmaps first, and confirmed on full sets.
-4. A forest is a filter by chance. What it may have missed is found by the exact join of ``jaccard``: a shingle of the
-   prefix that classes of two components hold leads to a comparison, so no link between components is lost.
+4. A forest is a filter by chance. What it may have missed is found by an exact join. In an order of all shingles, rare
+   before frequent, two sets with enough overlap have ``COMMON`` shingles of their prefixes in common, if these are longer
+   by as many less one. So a pair of classes in different components that meets in so many lists of shingles is confirmed
+   on full sets, others can't be linked. The lists of shingles that are known to be in over ``HOT`` sets go through the tiles
+   of ``jaccard`` instead, where one meeting is enough. No link between components is lost.
 
 Rows of equal signature are dealt apart by a hash of their id, so one group of copies doesn't fill a task.
 
@@ -29,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import narrow, saved
-from .jaccard import MAX_WANTED, MULTIPLIER, Corpus, Texts, exact_links, mixed, star_links, with_bits
+from .jaccard import MAX_WANTED, MULTIPLIER, Corpus, Texts, exact_links, live_pairs, mixed, prefixes, star_links, with_bits, with_components
 
 WORDS = 2
 TREES, DEPTH, LEAST_DEPTH = 8, 8, 2
 #: Rows of a region, where the tree is deep enough for it; rows that a task looks at together.
 REGION, BLOCK_ROWS = 16, 1 << 18
 EDGES = np.arange(TREES * DEPTH, dtype=np.uint64) << np.uint64(64 - (TREES * DEPTH - 1).bit_length())
+#: Shingles that a pair's prefixes must have in common, and sets in which a shingle is hot.
+COMMON, HOT = 3, 256
+PLACES = 1 << 31
 TOKENS = "node long, band long, neighbour long"
 
 
@@ -118,6 +124,70 @@ def candidates(classes: DataFrame) -> DataFrame:
     return rows.select("tree", *[f"s{k}" for k in range(wide)], "node").mapInArrow(forest, TOKENS)
 
 
+def least_common(percent: int) -> int:
+    """``COMMON``, or less where the smallest sets that may link with a different one can't have so much in common."""
+    smallest = -(-percent // (100 - percent))
+    return max(1, min(COMMON, -(-percent * smallest // 100)))
+
+
+def meetings(percent: int):
+    """From rows (shingle, node, comp, n and place), sorted by shingle: a row (a, b) for each pair of different components in
+    each list, unless sizes and places rule it out. Lists are worked on in whole; a batch may end within one."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate([x, y]) for x, y in zip(rest, columns)]
+            last = np.searchsorted(columns[0], columns[0][-1]) if len(columns[0]) else 0
+            rest = [c[last:] for c in columns]
+            yield paired(*[c[:last] for c in columns])
+        if rest is not None:
+            yield paired(*rest)
+
+    def paired(shingle, node, comp, packed):
+        n, place = packed // PLACES, packed % PLACES
+        a, b = [], []
+        at = np.arange(len(shingle))
+        if len(shingle):  # lists of one component have no pairs
+            starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+            mixed_up = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+            at = at[np.repeat(mixed_up, np.diff(np.append(starts, len(shingle))))]
+        step = 1
+        while True:
+            at = at[at + step < len(shingle)]
+            at = at[shingle[at] == shingle[at + step]]
+            if not len(at):
+                break
+            other = at + step
+            x, y, i, j = n[at], n[other], place[at], place[other]
+            most = np.minimum(i, j) + np.minimum(x - i, y - j)
+            fine = (comp[at] != comp[other]) & ((100 + percent) * most >= percent * (x + y))
+            a.append(node[at[fine]])
+            b.append(node[other[fine]])
+            step += 1
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def counted_links(corpus: Corpus, named: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """All links (a, b) between different components of ``named``."""
+    facts = with_components(corpus.classes, named)
+    common = least_common(percent)
+    first = prefixes(texts.docs, corpus.frequent, percent, texts.words, common, HOT)
+    first = saved(first.join(facts.select("node", "n", "comp"), F.col("doc_id") == F.col("node")).where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("node", "n", "comp", "prefix", "cold"))
+    lists = first.select("node", "n", "comp", F.posexplode(F.slice("prefix", F.lit(1), F.col("cold"))).alias("place", "shingle"))
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = lists.select("shingle", "node", "comp", (F.col("n") * PLACES + F.col("place")).alias("packed")).repartition(parts, "shingle").sortWithinPartitions("shingle")
+    met = lists.mapInArrow(meetings(percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= common).select("a", "b")
+    hot = first.where(F.col("cold") < F.size("prefix")).select("node", "n", "comp", F.slice("prefix", F.col("cold") + 1, F.size("prefix") - F.col("cold")).alias("prefix"))
+    pairs = saved(met.union(live_pairs(saved(hot), facts, percent)).distinct())
+    return exact_links(with_bits(pairs, facts, percent), texts, percent)
+
+
 def linked(table: DataFrame, words: int = WORDS, percent: int = 80, rounds: int = 2, most_ids: int = MAX_WANTED) -> DataFrame:
     """One row per row of ``table`` (doc_id, text): doc_id, n_shingles, component_id, kept (the id is its component's).
     ``most_ids`` is how many places of documents are sent to all tasks at once; it changes the plan only."""
@@ -130,5 +200,5 @@ def linked(table: DataFrame, words: int = WORDS, percent: int = 80, rounds: int
     with Texts(corpus.docs, most_ids, words) as texts:
         sure = exact_links(with_bits(near, facts, percent), texts, percent)
         stars = star_links(crowded, texts, percent, rounds, sure)
-        joined = corpus.joined(stars, texts, percent)
+        joined = corpus.joined(stars, texts, percent, counted_links)
         return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -372,24 +372,30 @@ def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int, link
     return links
 
 
-def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, words: int = WORDS) -> DataFrame:
-    """(doc_id, prefix): the first shingles of each set, rare ones first."""
+def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, words: int = WORDS, common: int = 1, hot: int = 1 << 62) -> DataFrame:
+    """(doc_id, prefix, cold): the first shingles of each set, rare ones first, so many that two sets with enough overlap have
+    ``common`` of them in common; and how many of these are not known to be in more than ``hot`` sets, which come first."""
     known, counts = frequent
 
     def run(batches):
         hashes = Shingles(words)
         for batch in slices(batches):
-            out = []
+            out, cold = [], []
             for h in hashes.of(batch.column(1).to_pylist()):
+                most = len(h) - -(-percent * len(h) // 100) + common
+                few = 0
                 if len(h) and len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     n = np.where(known[at] == h, counts[at], 0)
                     if n.any():
-                        h = h[np.argsort(n, kind="stable")]
-                out.append(h[: len(h) - -(-percent * len(h) // 100) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(out)], ["doc_id", "prefix"])
+                        order = np.argsort(n, kind="stable")
+                        h = h[order]
+                        few = int((n[order[:most]] > hot).sum())
+                out.append(h[:most].view(np.int64))
+                cold.append(len(out[-1]) - few)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(out), pa.array(cold, pa.int32())], ["doc_id", "prefix", "cold"])
 
-    return docs.mapInArrow(run, "doc_id long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, prefix array<long>, cold int")
 
 
 def tile_pairs(few: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
@@ -417,12 +423,21 @@ def tile_pairs(few: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
     return x.join(y, key).where(fits).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
 
 
-def live_links(classes: DataFrame, named: DataFrame, texts: Texts, frequent: tuple, percent: int) -> DataFrame:
+def with_components(classes: DataFrame, named: DataFrame) -> DataFrame:
+    return saved(classes.select("node", "n", "bits", "coarse").join(named, "node", "left").select("node", "n", "bits", "coarse", F.coalesce("label", "node").alias("comp")))
+
+
+def live_links(corpus: "Corpus", named: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """All links (a, b) between different components of ``named``."""
-    facts = classes.select("node", "n", "bits", "coarse").join(named, "node", "left").select("node", "n", "bits", "coarse", F.coalesce("label", "node").alias("comp"))
-    facts = saved(facts)
-    first = prefixes(texts.docs, frequent, percent, texts.words)
+    facts = with_components(corpus.classes, named)
+    first = prefixes(texts.docs, corpus.frequent, percent, texts.words)
     first = saved(first.join(facts.select("node", "n", "comp"), F.col("doc_id") == F.col("node")).select("node", "n", "comp", "prefix"))
+    return exact_links(with_bits(live_pairs(first, facts, percent), facts, percent), texts, percent)
+
+
+def live_pairs(first: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes and that no bound rules out. ``first`` has
+    node, n, comp, prefix."""
     tokens = first.select("node", "comp", F.explode("prefix").alias("shingle"))
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "node") for f in (F.min, F.max)]
     live = saved(tokens.groupBy("shingle").agg(F.count("*").alias("k"), *ends).where("min_comp <> max_comp").select(F.col("shingle").alias("_shingle"), "k", F.col("min_node").alias("a"), F.col("max_node").alias("b")))
@@ -435,9 +450,7 @@ def live_links(classes: DataFrame, named: DataFrame, texts: Texts, frequent: tup
     listed = listed.join(facts.select("node", "coarse"), "node")
     listed = listed.join(most, "shingle").withColumn("main", F.col("comp") == F.col("main"))
     few = listed.where("not main").withColumn("tile", F.explode(F.array(*[F.col("tile") + d for d in (-1, 0, 1)])))
-    pairs = tile_pairs(few, listed, percent)
-    pairs = with_bits(two.union(pairs).distinct(), facts, percent)
-    return exact_links(pairs, texts, percent)
+    return two.union(tile_pairs(few, listed, percent)).distinct()
 
 
 class Corpus:
@@ -457,10 +470,11 @@ class Corpus:
         classes = self.rows.where(some).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bits", "coarse")])
         self.classes = saved(classes)
 
-    def joined(self, links: DataFrame, texts: Texts, percent: int) -> DataFrame:
-        """One row per document: doc_id, n_shingles, component_id, by ``links`` and all others between their components."""
+    def joined(self, links: DataFrame, texts: Texts, percent: int, complete=live_links) -> DataFrame:
+        """One row per document: doc_id, n_shingles, component_id, by ``links`` and all others between their components,
+        which ``complete`` finds."""
         named = components(links)
-        more = live_links(self.classes, named, texts, self.frequent, percent)
+        more = complete(self, named, texts, percent)
         final = components(named.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
         of_class = self.classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "node").join(final, "node", "left").select("_d1", "_d2", F.coalesce("label", "node").alias("component"))
         of_class = saved(of_class.groupBy("_d1", "_d2").agg(F.min("component").alias("component")))
