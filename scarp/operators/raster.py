@@ -1,5 +1,5 @@
-"""Rasters as pixel rows (scene, row, col, v): neighbourhoods are joins on shifted places or windows along rows and
-columns, regions are groups. Dense kernels without a relational form run on Arrow batches, a tile at a time."""
+"""Rasters as pixel rows (scene, row, col, v): neighbourhoods are kernels over dense tiles with a halo (``tiles``), regions are
+groups. Kernels without a relational form run on Arrow batches, a tile at a time."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tiles
 from .stats import MAD_SCALE
 
 
@@ -17,20 +18,15 @@ def shifted(px: DataFrame, keys: list[str], reach: int, value: str = "v") -> Dat
     return px.select(*keys, "row", "col", F.col(value).alias("_n"), moves.alias("m")).select(*keys, (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col"), F.col("m.dr"), F.col("m.dc"), "_n")
 
 
-def focal(px: DataFrame, keys: list[str], reach: int, **aggregates: Column) -> DataFrame:
-    """Aggregates of the neighbourhood (column _n) at each pixel that exists; places outside have no value."""
-    around = shifted(px, keys, reach).groupBy(*keys, "row", "col").agg(*[c.alias(k) for k, c in aggregates.items()])
-    return px.join(around, [*keys, "row", "col"])
-
-
 def median_filter(px: DataFrame, keys: list[str], reach: int = 1) -> DataFrame:
-    return focal(px, keys, reach, median=F.median("_n"))
+    """``median`` of the window around each pixel, of the values that exist there."""
+    return tiles.over_tiles(px, keys, ["v"], tiles.local_median("v", reach), {"median": "double"}, reach)
 
 
 def lee_filter(px: DataFrame, keys: list[str], reach: int = 2) -> DataFrame:
     """Speckle filter of decibels in the linear domain: the local mean, and what is left weighted by local variance."""
     linear = px.withColumn("v", F.pow(F.lit(10.0), F.col("v") / 10))
-    local = focal(linear, keys, reach, mean=F.avg("_n"), var=F.var_pop("_n"))
+    local = tiles.over_tiles(linear, keys, ["v"], tiles.local_moments("v", reach), {"mean": "double", "var": "double"}, reach)
     whole = local.groupBy(*keys).agg(F.avg("var").alias("_all"))
     w = F.try_divide(F.col("var"), F.col("var") + F.col("_all"))
     return local.join(whole, keys).withColumn("filtered", 10 * F.log10(F.col("mean") + F.coalesce(w, F.lit(0.0)) * (F.col("v") - F.col("mean")))).drop("_all", "v")

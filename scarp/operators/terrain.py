@@ -9,20 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, spectral
-from . import raster
+from . import raster, tiles
 from .stats import MAD_SCALE
 
 
 def cast_shadow(px: DataFrame, keys: list[str], resolution: float, azimuth: float, elevation: float, reach_m: float = 6000.0) -> DataFrame:
-    """``shadow``: whether terrain towards the sun (degrees) rises above its rays within ``reach_m``. Each pixel asks the
-    pixels on its ray, a bounded number, by a join on their places."""
-    rise = math.tan(math.radians(max(elevation, 1.0))) * resolution
-    steps = [(k, -round(k * math.cos(math.radians(azimuth))), round(k * math.sin(math.radians(azimuth)))) for k in range(1, int(reach_m / resolution) + 1)]
-    ray = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, r, c in steps]))
-    # The pixel on the ray tells those that it may shade.
-    seen = px.select(*keys, "row", "col", F.col("v").alias("_z"), ray.alias("s")).select(*keys, (F.col("row") - F.col("s.r")).alias("row"), (F.col("col") - F.col("s.c")).alias("col"), (F.col("_z") - F.col("s.k") * rise).alias("_ray"))
-    high = seen.groupBy(*keys, "row", "col").agg(F.max("_ray").alias("_ray"))
-    return px.join(high, [*keys, "row", "col"], "left").withColumn("shadow", F.coalesce(F.col("_ray") > F.col("v"), F.lit(False))).drop("_ray")
+    """``shadow``: whether terrain towards the sun (degrees) rises above its rays within ``reach_m``. A tile's halo reaches only
+    towards the sun."""
+    steps = tiles.ray_steps(resolution, azimuth, elevation, reach_m)
+    return tiles.over_tiles(px, keys, ["v"], tiles.shaded("v", steps), {"shadow": "boolean"}, tiles.halo_of(steps))
 
 
 def upsampled(coarse: DataFrame, fine: DataFrame, keys: list[str], factor: int, columns: list[str]) -> DataFrame:
@@ -42,27 +37,25 @@ def terrain_shadow(px: DataFrame, keys: list[str], resolution: float, azimuth: f
 
 
 def highpass(px: DataFrame, keys: list[str], sigma: float) -> DataFrame:
-    """``high``: the value less its Gaussian surroundings; missing values count as the mean around them and become 0."""
+    """``high``: the value less its Gaussian surroundings; missing values count as the key's mean and become 0."""
     reach = int(3 * sigma + 0.5)
-    filled = px.withColumn("_f", F.coalesce("v", F.avg("v").over(Window.partitionBy(*keys)), F.lit(0.0)))
-    w = F.exp(-(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) / (2.0 * sigma * sigma))
-    low = raster.shifted(filled, keys, reach, "_f").groupBy(*keys, "row", "col").agg((F.sum(w * F.col("_n")) / F.sum(w)).alias("_low"))
-    return filled.join(low, [*keys, "row", "col"]).withColumn("high", F.when(F.col("v").isNull(), 0.0).otherwise(F.col("v") - F.col("_low"))).drop("_f", "_low")
+    filled = px.join(px.groupBy(*keys).agg(F.avg("v").alias("_mean")), keys).withColumn("_f", F.coalesce("v", "_mean", F.lit(0.0))).drop("_mean")
+    low = tiles.over_tiles(filled, keys, ["_f"], tiles.gaussian("_f", sigma, reach), {"low": "double"}, reach)
+    return low.withColumn("high", F.when(F.col("v").isNull(), 0.0).otherwise(F.col("v") - F.col("low"))).drop("_f", "low")
 
 
 def tile_static(px: DataFrame, keys: list[str], resolution: float, min_z: float = 3300.0, far_m: float = 300.0, check: int = 48) -> DataFrame:
     """Static layers (z as v, glacier at each pixel): slope, aspect smoothed over neighbours, watch (high, and ice or steep),
-    stable ground (far from ice, not watched, of middling slope) and its checkerboard sample."""
-    slopes = raster.slope_aspect(px, keys, resolution)
-    turn = lambda f: F.avg(f(F.radians("_n")))
-    smooth = raster.focal(slopes.select(*keys, "row", "col", F.col("aspect").alias("v")), keys, 1, _s=turn(F.sin), _c=turn(F.cos)).select(*keys, "row", "col", F.pmod(F.degrees(F.atan2("_s", "_c")) + 360, F.lit(360.0)).alias("aspect"))
+    stable ground (far from ice, not watched, of middling slope) and its checkerboard sample. One kernel makes all that looks
+    beyond a pixel."""
     reach = int(far_m / resolution)
-    ice = raster.shifted(px.where("glacier").withColumn("_g", F.lit(1)), keys, reach, "_g").where(F.hypot("dr", "dc") * resolution <= far_m).select(*keys, "row", "col").distinct().withColumn("_near", F.lit(True))
-    out = slopes.drop("aspect").join(smooth, [*keys, "row", "col"]).join(ice, [*keys, "row", "col"], "left")
+    kernel = tiles.static_layers("v", "_ice", resolution, reach, far_m)
+    rows = px.withColumn("_ice", F.col("glacier").cast("double"))
+    out = tiles.over_tiles(rows, keys, ["v", "_ice"], kernel, {"slope": "double", "aspect": "double", "near_ice": "boolean"}, max(reach, 2))
     watch = (F.col("v") >= min_z) & (F.col("glacier") | (F.col("slope") >= 20))
-    stable = F.col("_near").isNull() & ~watch & (F.col("slope") > 3) & (F.col("slope") < 30)
+    stable = ~F.col("near_ice") & ~watch & (F.col("slope") > 3) & (F.col("slope") < 30)
     sampled = (F.floor(F.col("row") / check) + F.floor(F.col("col") / check)) % 2 == 0
-    return out.withColumn("watch", watch).withColumn("stable", stable).withColumn("sample", stable & sampled).drop("_near")
+    return out.withColumn("watch", watch).withColumn("stable", stable).withColumn("sample", stable & sampled).drop("near_ice", "_ice")
 
 
 def was_dry(lakes: DataFrame, composite: DataFrame, keys: list[str], min_seen: float = 0.7, min_dry: float = 0.7) -> DataFrame:
