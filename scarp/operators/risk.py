@@ -1,7 +1,7 @@
 """Features by site and time, and the risk model: noisy-OR of ramped indicators, gated, combined with exposure.
 
-Feature functions take observations with a column ``age`` (days before the time of assessment) and key columns, so one plan
-scores a site at one time (``aged``) or all sites at all times (``as_of_rows``). They give one row a key.
+Feature functions take observations with a column ``age`` (days before the time of assessment) and key columns, and give one
+row a key; ``sweep`` has the same features of all sites at all times.
 """
 
 from __future__ import annotations
@@ -52,16 +52,6 @@ def aged(obs: DataFrame, as_of: Column) -> DataFrame:
     return obs.withColumn("age", age_days(F.col("observed_at"), as_of)).where(F.col("age") >= 0)
 
 
-def as_of_rows(obs: DataFrame, times: DataFrame, keys: list[str], reach_days: float) -> DataFrame:
-    """``obs`` once for each of their site's ``times`` (keys, as_of) that sees them, with their ages. Slots of time as long
-    as the reach are part of the join's key, so a time meets two slots, not a site's whole history."""
-    width = reach_days * 86400e6
-    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width)).cast("long")
-    a = times.withColumn("_slot", F.explode(F.array(slot("as_of"), slot("as_of") - 1)))
-    pairs = a.join(obs.withColumn("_slot", slot("observed_at")), [*keys, "_slot"]).drop("_slot")
-    return pairs.withColumn("age", age_days(F.col("observed_at"), F.col("as_of"))).where(F.col("age").between(0, reach_days))
-
-
 def trustworthy(sensor: Column, area: Column, reference: Column) -> Column:
     return (sensor != "S1") | F.coalesce(reference, F.lit(0.0)).eqNullSafe(F.lit(0.0)) | (area >= RADAR_SHARE * reference)
 
@@ -180,40 +170,6 @@ def landslide_features(rows: DataFrame, keys: list[str], w: Windows) -> DataFram
 LAKES, ICE, SLIDES = ("glacial_lake", "barrier_lake"), ("glacier", "slope"), ("landslide",)
 
 
-def site_features(rows: DataFrame, times: DataFrame, sites: DataFrame, w: Windows) -> DataFrame:
-    """Features of all (site_id, as_of) of ``times`` by the kind of their site: long rows (site_id, as_of, site_kind, feature,
-    x), and ``confidence`` on each. ``rows`` come from ``as_of_rows``; ``sites``: site_id, site_kind, and what is known of
-    the site itself (slope, walls, glacier_m, area; null if unknown). Lakes without a good area have nothing but that."""
-    keys = ["site_id", "as_of"]
-    known = times.join(sites.select("site_id", "site_kind", F.col("slope").alias("own_slope"), "walls", F.col("glacier_m").alias("own_glacier_m"), F.col("area").alias("own_area")), "site_id")
-    rows = rows.join(sites.select("site_id", "site_kind", "slope"), "site_id")
-    of = lambda kinds: rows.where(F.col("site_kind").isin(*kinds))
-    km2 = lambda c: F.col(c) / 1e6
-
-    changes = event_features(rows, keys, w).select(*keys, F.col("area_sum").alias("changed"))
-    cracks = fracture_features(rows, keys, w)
-    lake = lake_features(of(LAKES), keys, w).join(changes, keys, "left").join(cracks, keys, "left")
-    lake = known.where(F.col("site_kind").isin(*LAKES)).join(lake, keys, "left")
-    lake_x = {
-        "steep_walls_deg": F.col("walls"), "glacier_contact_m": F.coalesce("glacier_m", "own_glacier_m"), "barrier_lake": F.when(F.col("site_kind") == "barrier_lake", 1.0), "lake_growth_recent_pct": F.col("growth_pct"),
-        "lake_growth_annual_pct": F.col("annual_growth_pct"), "lake_area_km2": F.when(F.col("confidence").isNull(), F.nullif(F.col("own_area"), F.lit(0.0))).otherwise(F.col("area")) / 1e6, "turbidity_rise": F.col("turbidity_rise"),
-        "sar_change_km2": F.when(F.col("confidence").isNotNull(), km2("changed")), "new_fractures_m": F.when(F.col("confidence").isNotNull(), F.col("new_length")),
-    }
-    ice = ice_features(of(ICE), keys, w).join(line_of_sight_features(of(ICE), keys, w).drop("z"), keys, "full")
-    ice = known.where(F.col("site_kind").isin(*ICE)).join(ice, keys, "left").join(changes, keys, "left").join(cracks, keys, "left")
-    ice_x = {
-        "source_slope_deg": F.col("own_slope"), "velocity_m_day": F.col("speed"), "velocity_steep_m_day": F.col("steep_speed"), "velocity_z": F.col("z"), "velocity_ratio": F.col("ratio"), "velocity_trend": F.col("trend"),
-        "insar_mm_month": F.col("mm_per_month"), "insar_ratio": F.col("los_ratio"), "sar_change_km2": km2("changed"), "new_fractures_m": F.col("new_length"),
-    }
-    slide = known.where(F.col("site_kind").isin(*SLIDES)).join(landslide_features(of(SLIDES), keys, w).withColumnRenamed("area", "slid"), keys, "left")
-
-    def long(df: DataFrame, features: dict[str, Column], default: float) -> DataFrame:
-        each = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), c.cast("double").alias("x")) for k, c in features.items()]))
-        return df.select(*keys, "site_kind", F.coalesce("confidence", F.lit(default)).alias("confidence"), each.alias("f")).select(*keys, "site_kind", "confidence", "f.*")
-
-    return long(lake, lake_x, 0.1).union(long(ice, ice_x, 0.15)).union(long(slide, {"landslide_area_km2": km2("slid")}, 0.3))
-
-
 def ramp(x: Column, x0: Column, x1: Column) -> Column:
     """0 at x0, 1 at x1, linear between, either way round; a step where both are equal."""
     step = F.when(x >= x0, 1.0).otherwise(0.0)
@@ -295,10 +251,9 @@ def assessed(obs: DataFrame, times: DataFrame, sites: DataFrame, exposure: DataF
     """Every (site_id, as_of) of ``times`` scored in one plan: features by kind as of then, gated indicators, hazard, and the
     site's exposure (0 if it has none)."""
     from ..sources.shared import saved
+    from .sweep import site_features
 
     keys = ["site_id", "as_of"]
-    # Several groups of features read the same rows, so they are joined once.
-    rows = saved(as_of_rows(obs, times, ["site_id"], w.reach))
-    long = saved(site_features(rows, times, sites, w))
+    long = saved(site_features(obs, times, sites, w))
     context = long.groupBy(*keys).agg(F.max("confidence").alias("confidence")).join(exposure.select("site_id", "exposure"), "site_id", "left").withColumn("exposure", F.coalesce("exposure", F.lit(0.0)))
     return assess(scores(long.drop("confidence"), model_table(obs.sparkSession), keys), context, keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alerts, joins, risk
+from ..operators import alerts, joins, risk, sweep
 from ..sources import views
 from .lifecycle import fold_sql
 from .relations import PATHS_SQL, flow_paths_of_areas
@@ -45,8 +45,7 @@ def reassess_all(spark, sf):
 
 def site_indicators(spark, sf):
     """Features by site and time, as the model sees them: the number, least, mean and largest value of each."""
-    rows = risk.as_of_rows(views.monitored(spark, sf), _times(spark, sf), ["site_id"], MONTH.reach)
-    long = risk.site_features(rows, _times(spark, sf), views.site_facts(spark, sf), MONTH).where("x is not null")
+    long = sweep.site_features(views.monitored(spark, sf), _times(spark, sf), views.site_facts(spark, sf), MONTH).where("x is not null")
     return long.groupBy("site_kind", "feature").agg(F.count("*").alias("n"), F.round(F.min("x"), 5).alias("least"), F.round(F.avg("x"), 5).alias("mean"), F.round(F.max("x"), 5).alias("most"))
 
 
@@ -67,7 +66,7 @@ EXPOSURE_SQL = f"""{PATHS_SQL}, {views.FACTS}, wt(kind, wt) AS (VALUES {_WEIGHTS
  exps AS (SELECT *, 1 - exp(-weighted / 12) AS exposure FROM expo)"""
 _MODEL = ", ".join(f"('{f}', {a}::DOUBLE, {b}::DOUBLE, {w}::DOUBLE, {str(d).lower()}, {repr(g) if g else 'NULL'}, {fl}::DOUBLE, '{kind}')" for f, a, b, w, d, g, fl, kinds in risk.MODEL for kind in kinds)
 FEATURES_SQL = f"""{views.MONITORED}, tm AS (SELECT DISTINCT site_id, observed_at AS as_of FROM obs WHERE site_id IN (SELECT site_id FROM site)),
- ar AS (SELECT tm.as_of, mon.*, fact.site_kind, fact.slope, date_diff('microsecond', observed_at, tm.as_of) / 86400e6::DOUBLE AS age FROM tm JOIN mon USING (site_id) JOIN fact USING (site_id) WHERE observed_at <= tm.as_of AND date_diff('microsecond', observed_at, tm.as_of) <= {MONTH.reach} * 86400e6::DOUBLE),
+ ar AS MATERIALIZED (SELECT tm.as_of, mon.*, fact.site_kind, fact.slope, date_diff('microsecond', observed_at, tm.as_of) / 86400e6::DOUBLE AS age FROM tm JOIN mon USING (site_id) JOIN fact USING (site_id) WHERE observed_at <= tm.as_of AND date_diff('microsecond', observed_at, tm.as_of) <= {MONTH.reach} * 86400e6::DOUBLE),
  arl AS (SELECT * FROM ar WHERE site_kind IN ('glacial_lake', 'barrier_lake')), ari AS (SELECT * FROM ar WHERE site_kind IN ('glacier', 'slope')),
  {lake_sql("arl", _K)}, {event_sql("ar", _K, "sar_change", "chg")}, {fracture_sql("ar", _K)}, {ice_sql("ari", _K)}, {insar_sql("ari", _K)},
  slid AS (SELECT {_K}, max(v) AS slid, least(0.8::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * least(count(*), 2) + CASE WHEN max(quality) >= 0.8 THEN 0.1::DOUBLE ELSE 0 END) AS confidence FROM ar WHERE site_kind = 'landslide' AND kind = 'sar_change' AND age <= {MONTH.event} GROUP BY {_K}),
