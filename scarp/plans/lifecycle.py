@@ -119,17 +119,18 @@ def run_health(spark, sf):
 QUERIES = {f.__name__: f for f in (reassessed, reassess_sites, alert_decisions, site_timelines, warnings_feed, site_features, pending_deliveries, dispatched_deliveries, matched_recipients, status_moves, event_evaluation, run_health)}
 _ASSESSED = f"{views.OBS}, a AS (SELECT event_id AS assessment_id, site_id, epoch_us(observed_at) AS \"at\", greatest(0, least(1, (avg(v) OVER (PARTITION BY site_id ORDER BY event_id ROWS 4 PRECEDING) - 20) / 60)) AS s FROM obs), asd AS (SELECT assessment_id, site_id, \"at\", round(s, 6) AS score, CASE WHEN s >= 0.6 THEN 'high' WHEN s >= 0.35 THEN 'medium' ELSE 'low' END AS level FROM a)"
 #: The fold as a recursion over each site's rows: the live alert of a row decides, and what it decides becomes the next.
-def fold_sql(rows: str, automatic: str = "'high'") -> str:
-    """CTEs ending in ``decided``, from rows (assessment_id, site_id, at, score, level, dynamic, needs_confirmation)."""
+def fold_sql(rows: str, automatic: str = "'high'", latency: int = 0) -> str:
+    """CTEs ending in ``decided``, from rows (assessment_id, site_id, at, score, level, dynamic, needs_confirmation); decisions
+    are made ``latency`` microseconds after the rows' times."""
     return f"""seq AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY "at", assessment_id) AS n, CASE level WHEN 'high' THEN 2 WHEN 'medium' THEN 1 WHEN 'low' THEN 0 ELSE -1 END AS rk FROM {rows}),
  st AS (SELECT site_id, 0::BIGINT AS n, NULL::BIGINT AS pid, NULL::BIGINT AS pat, NULL::VARCHAR AS plevel, NULL::VARCHAR AS pkind, NULL::VARCHAR AS pstatus, NULL::DOUBLE AS pscore, NULL::BIGINT AS pexp, NULL::BIGINT AS assessment_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS previous_level, NULL::BIGINT AS superseded, NULL::VARCHAR AS status, NULL::VARCHAR AS level FROM (SELECT DISTINCT site_id FROM seq)
  UNION ALL SELECT site_id, n, CASE WHEN k IS NULL THEN pid ELSE aid END, CASE WHEN k IS NULL THEN pat ELSE "at" END, CASE WHEN k IS NULL THEN plevel ELSE lv END, CASE WHEN k IS NULL THEN pkind ELSE k END, CASE WHEN k IS NULL THEN pstatus ELSE s END, CASE WHEN k IS NULL THEN pscore ELSE score END,
  CASE WHEN k IS NULL THEN pexp ELSE "at" + 3600000000 * CASE lv WHEN 'high' THEN 72 WHEN 'medium' THEN 168 ELSE 48 END END, CASE WHEN k IS NOT NULL THEN aid END, k, CASE WHEN k IS NOT NULL THEN plevel END, CASE WHEN k IS NOT NULL THEN pid END, CASE WHEN k IS NOT NULL THEN s END, CASE WHEN k IS NOT NULL THEN lv END FROM
  (SELECT *, CASE WHEN k <> 'all_clear' AND lv IN ({automatic}) AND NOT nc THEN 'dispatched' ELSE 'pending_review' END AS s FROM
  (SELECT *, CASE WHEN rk < 1 AND pid IS NOT NULL AND pkind <> 'all_clear' AND pstatus = 'dispatched' THEN 'all_clear' WHEN rk < 1 OR dynamic < 0.15 THEN NULL WHEN pid IS NULL OR pkind = 'all_clear' OR prk < rk THEN 'alert' WHEN prk > rk THEN 'update'
- WHEN "at" - pat >= 3600000000 * CASE lv WHEN 'high' THEN 24 ELSE 72 END AND score >= pscore + 0.1::DOUBLE THEN 'update' END AS k FROM
+ WHEN "at" + {latency} - pat >= 3600000000 * CASE lv WHEN 'high' THEN 24 ELSE 72 END AND score >= pscore + 0.1::DOUBLE THEN 'update' END AS k FROM
  (SELECT q.site_id, q.n, q.assessment_id AS aid, q."at", q.score, q.level AS lv, q.rk, q.dynamic, q.needs_confirmation AS nc, CASE WHEN ok THEN pid END AS pid, pat, CASE WHEN ok THEN plevel END AS plevel, pkind, pstatus, pscore, pexp, CASE plevel WHEN 'high' THEN 2 WHEN 'medium' THEN 1 WHEN 'low' THEN 0 ELSE -1 END AS prk
- FROM (SELECT st.*, seq.assessment_id AS a2, coalesce(st.plevel = 'high' OR st.pexp >= seq."at", false) AS ok FROM st JOIN seq ON seq.site_id = st.site_id AND seq.n = st.n + 1) o JOIN seq q ON q.assessment_id = o.a2)))),
+ FROM (SELECT st.*, seq.assessment_id AS a2, coalesce(st.plevel = 'high' OR st.pexp >= seq."at" + {latency}, false) AS ok FROM st JOIN seq ON seq.site_id = st.site_id AND seq.n = st.n + 1) o JOIN seq q ON q.assessment_id = o.a2)))),
  decided AS (SELECT * FROM st WHERE kind IS NOT NULL)"""
 
 

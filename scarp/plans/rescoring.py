@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alerts, joins, risk, sweep
+from ..operators import joins, replay, risk, sweep
 from ..sources import views
 from .lifecycle import fold_sql
 from .relations import PATHS_SQL, flow_paths_of_areas
@@ -49,11 +49,27 @@ def site_indicators(spark, sf):
     return long.groupBy("site_kind", "feature").agg(F.count("*").alias("n"), F.round(F.min("x"), 5).alias("least"), F.round(F.avg("x"), 5).alias("mean"), F.round(F.max("x"), 5).alias("most"))
 
 
+def scenes_of(spark, sf):
+    """Scenes of areas, at the times at which their sites were observed: most were processed, some skipped, some failed."""
+    obs = views.observations(spark, sf).join(views.sites(spark, sf).select("site_id", "aoi"), "site_id")
+    k = F.col("event_id")
+    return obs.select("aoi", F.col("observed_at").alias("acquired_at"), "sensor", F.when(k % 7 == 0, "failed").when(k % 5 == 0, "skipped").otherwise("processed").alias("status"))
+
+
+def replay_assessments(spark, sf):
+    exposure = risk.exposure_score(site_exposure(spark, sf), ["site_id"])
+    sites = views.site_facts(spark, sf)
+    out = replay.reassessed(views.monitored(spark, sf), scenes_of(spark, sf), sites, exposure, MONTH)
+    return out.withColumns({"score": F.round("score", 4), "dynamic": F.round("dynamic", 4), "assessment_id": F.col("at")})
+
+
+def replay_alerts(assessments):
+    return replay.undispatched(assessments)
+
+
 def reassessed_alerts(spark, sf):
-    """The alerts that the assessments lead to, site by site in order of time."""
-    rows = _assessed(spark, sf).select("site_id", _micros(), F.round("score", 4).alias("score"), "level", F.round("dynamic", 4).alias("dynamic"), "needs_confirmation")
-    rows = rows.withColumn("assessment_id", F.col("at"))
-    return alerts.fold(rows).select("site_id", "at", "level", "kind", "previous_level", "superseded", "status")
+    """The alerts that a replay of the processed scenes leads to, decided six hours after each and never sent."""
+    return replay_alerts(replay_assessments(spark, sf)).select("site_id", "at", "available", "level", "kind", "previous_level", "superseded", "status")
 
 
 QUERIES = {f.__name__: f for f in (exposure_scores, reassess_all, site_indicators, reassessed_alerts)}
@@ -85,9 +101,13 @@ RESCORED_SQL = f"""{EXPOSURE_SQL}, {FEATURES_SQL}, md(feature, x0, x1, weight, d
  ctx AS (SELECT f.site_id, f.as_of, f.confidence, coalesce(e.exposure, 0) AS exposure, coalesce(hazard, 0) AS hazard, coalesce(dynamic, 0) AS dynamic, coalesce(reasons, '') AS reasons FROM fw f LEFT JOIN exps e USING (site_id) LEFT JOIN hz USING ({_K})),
  rs0 AS (SELECT *, hazard * (0.4::DOUBLE + 0.6::DOUBLE * exposure) AS score FROM ctx),
  rs AS (SELECT *, epoch_us(as_of) AS "at", score >= 0.6 AND confidence < 0.3 AND dynamic >= 0.15 AS needs_confirmation, dynamic >= 0.15 AS alertable, CASE WHEN score >= 0.6 AND NOT (dynamic < 0.15 OR confidence < 0.3) THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS level FROM rs0)"""
+LATENCY = 6 * 3600_000_000
+REPLAY_SQL = f"""scn AS (SELECT aoi, observed_at, sensor, CASE WHEN event_id % 7 = 0 THEN 'failed' WHEN event_id % 5 = 0 THEN 'skipped' ELSE 'processed' END AS status FROM obs JOIN site USING (site_id)),
+ src AS (SELECT rs."at" AS assessment_id, rs.site_id, rs."at", round(score, 4) AS score, rs.level, round(dynamic, 4) AS dynamic, needs_confirmation FROM rs JOIN site s USING (site_id) WHERE EXISTS (SELECT 1 FROM scn WHERE scn.aoi = s.aoi AND scn.observed_at = rs.as_of AND status = 'processed')),
+ {fold_sql('src', "''", LATENCY).replace('q.assessment_id = o.a2', 'q.assessment_id = o.a2 AND q.site_id = o.site_id')}"""
 ORACLES = {
     "exposure_scores": f"WITH {EXPOSURE_SQL} SELECT site_id, {r6('exposure, weighted')}, assets FROM exps",
     "reassess_all": f"WITH {RESCORED_SQL} SELECT site_id, \"at\", round(hazard, 4) AS hazard, round(dynamic, 4) AS dynamic, round(score, 4) AS score, round(exposure, 4) AS exposure, round(confidence, 6) AS confidence, level, needs_confirmation, alertable, reasons FROM rs",
     "site_indicators": f"WITH {EXPOSURE_SQL}, {FEATURES_SQL} SELECT site_kind, feature, count(*) AS n, round(min(x), 5) AS least, round(avg(x), 5) AS mean, round(max(x), 5) AS most FROM feat WHERE x IS NOT NULL GROUP BY 1, 2",
-    "reassessed_alerts": f"WITH RECURSIVE {RESCORED_SQL}, src AS (SELECT \"at\" AS assessment_id, site_id, \"at\", round(score, 4) AS score, level, round(dynamic, 4) AS dynamic, needs_confirmation FROM rs), {fold_sql('src').replace('q.assessment_id = o.a2', 'q.assessment_id = o.a2 AND q.site_id = o.site_id')} SELECT site_id, assessment_id AS \"at\", level, kind, previous_level, superseded, status FROM decided",
+    "reassessed_alerts": f"WITH RECURSIVE {RESCORED_SQL}, {REPLAY_SQL} SELECT site_id, assessment_id AS \"at\", assessment_id + {LATENCY} AS available, level, kind, previous_level, superseded, status FROM decided",
 }

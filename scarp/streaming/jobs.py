@@ -48,12 +48,13 @@ def alert_stream(assessments: DataFrame, automatic: tuple[str, ...] = ("high",))
 
     def fold(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         own = Site(dict(zip(fields, held.get)) if held.exists else None)
-        rows = pd.concat(list(frames)).sort_values(["at", "assessment_id"])
-        out = [new for row in rows.to_dict("records") if (new := own.see(row, automatic))]
+        rows = sorted((row for frame in frames if len(frame) for row in frame.to_dict("records")), key=lambda r: (r["at"], r["assessment_id"]))
+        out = [new for row in rows if (new := own.see(row, automatic))]
         if own.prev:
             held.update(tuple(own.prev[f] for f in fields))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in DECIDED.split(", ")])
-        yield frame.astype({"superseded": "Int64", "assessment_id": "int64", "site_id": "int64", "at": "int64", "expires": "int64"})
+        if out:
+            kinds = {n: {"long": "Int64", "string": "object"}[t] for n, t in (x.split() for x in DECIDED.split(", "))}
+            yield pd.DataFrame({n: pd.array([row[n] for row in out], dtype=t) if t == "Int64" else [row[n] for row in out] for n, t in kinds.items()})
 
     return assessments.groupBy("site_id").applyInPandasWithState(fold, DECIDED, state, "append", "NoTimeout")
 
