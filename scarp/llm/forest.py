@@ -8,13 +8,15 @@ its own ``DEPTH`` minima: all classes sorted by that part of their signature.
    common: that is the class with the longest common prefix on that side.
 2. Regions. Rows of an order that share a prefix are a region. Where a region holds more than ``REGION`` rows the tree goes
    deeper, so each row gets the least depth at which its region is small: shallow where documents are few, deep where they
-   crowd. Members of a region are compared with one centre only, the one that shares most regions with the others, in a few
-   rounds. Thousands of copies with one signature, which no depth can part, are so joined without looking at their pairs.
+   crowd. A row is also in its region of ``SHALLOW`` depth, however large, where thousands of near copies of one text meet the
+   text itself. Members of a region are compared with one centre only, the one that shares most regions with the others, in
+   a few rounds, so the pairs of a large region are not looked at.
 3. All candidates are bounded by sizes and bitmaps first, and confirmed on full sets.
 4. A forest is a filter by chance. What it may have missed is found by an exact join. In an order of all shingles, rare
-   before frequent, two sets with enough overlap have ``COMMON`` shingles of their prefixes in common, if these are longer
-   by as many less one. So a pair of classes in different components that meets in so many lists of shingles is confirmed
-   on full sets, others can't be linked. The lists of shingles that are known to be in over ``HOT`` sets go through the tiles
+   before frequent, two sets with enough overlap have shingles of their prefixes in common: ``COMMON`` for the most different
+   sizes, as prefixes are longer by as many less one, and by what a prefix is too long for the overlap that is due more for
+   sizes closer to each other. So a pair of classes in different components that meets in so many lists of shingles is
+   confirmed on full sets, others can't be linked. The lists of shingles that are known to be in over ``HOT`` sets go through the tiles
    of ``jaccard`` instead, where one meeting is enough. No link between components is lost.
 
 Rows of equal signature are dealt apart by a hash of their id, so one group of copies doesn't fill a task.
@@ -35,14 +37,16 @@ from .common import narrow, saved
 from .jaccard import MAX_WANTED, MULTIPLIER, Corpus, Texts, exact_links, live_pairs, mixed, prefixes, star_links, with_bits, with_components
 
 WORDS = 2
-TREES, DEPTH, LEAST_DEPTH = 8, 8, 2
+TREES, DEPTH, LEAST_DEPTH, SHALLOW = 8, 8, 2, 4
 #: Rows of a region, where the tree is deep enough for it; rows that a task looks at together.
 REGION, BLOCK_ROWS = 16, 1 << 18
 EDGES = np.arange(TREES * DEPTH, dtype=np.uint64) << np.uint64(64 - (TREES * DEPTH - 1).bit_length())
 #: Shingles that a pair's prefixes must have in common, and sets in which a shingle is hot.
 COMMON, HOT = 3, 256
 PLACES = 1 << 31
-TOKENS = "node long, band long, neighbour long"
+#: Bits of the bitmap that each row of a hot list carries: near copies of one text are many, and close to the bound.
+COARSE_BITS = 1024
+TOKENS = "node long, band long, shallow long, neighbour long"
 
 
 def signature(h: np.ndarray) -> np.ndarray:
@@ -71,7 +75,7 @@ def depths(common: np.ndarray, most: int = REGION, least: int = LEAST_DEPTH, dee
 
 
 def forest(batches):
-    """From sorted (tree, four numbers, node): each row's region, and its neighbour."""
+    """From sorted (tree, four numbers, node): each row's two regions, and its neighbour."""
     last = None
     for batch in merged(batches):
         tree, *packed, node = (c.to_numpy() for c in batch.columns)
@@ -92,9 +96,12 @@ def forest(batches):
         for d in range(DEPTH):
             prefix[:, d + 1] = mixed(prefix[:, d] * MULTIPLIER + values[:, d])
         band = prefix[np.arange(len(node)), depth].view(np.int64)
+        met = common >= SHALLOW
+        met |= np.append(met[1:], len(met) > 0)  # the last may go on in the next block
+        shallow = prefix[:, SHALLOW].view(np.int64)
         near = common >= LEAST_DEPTH
-        keep = (depth > 0) | near
-        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(band[keep], mask=depth[keep] == 0), pa.array(before[keep], mask=~near[keep])], ["node", "band", "neighbour"])
+        keep = (depth > 0) | near | met
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(band[keep], mask=depth[keep] == 0), pa.array(shallow[keep], mask=~met[keep]), pa.array(before[keep], mask=~near[keep])], ["node", "band", "shallow", "neighbour"])
 
 
 def merged(batches):
@@ -111,8 +118,8 @@ def merged(batches):
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(node, band, neighbour): for each class and tree the number of its region and its neighbour in order, either may be
-    null. ``classes`` has node, and the packed signature in ``bands``."""
+    """(node, band, shallow, neighbour): for each class and tree the numbers of its regions and its neighbour in order, all may
+    be null. ``classes`` has node, and the packed signature in ``bands``."""
     wide = DEPTH // 2
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = classes.select("node", "bands", trees.alias("tree"))
@@ -130,9 +137,17 @@ def least_common(percent: int) -> int:
     return max(1, min(COMMON, -(-percent * smallest // 100)))
 
 
-def meetings(percent: int):
-    """From rows (shingle, node, comp, n and place), sorted by shingle: a row (a, b) for each pair of different components in
-    each list, unless sizes and places rule it out. Lists are worked on in whole; a batch may end within one."""
+def due(x: np.ndarray, y: np.ndarray, percent: int, common: int) -> np.ndarray:
+    """How many shingles the prefixes of linked sets of these sizes have in common. Of the overlap that is due, a set has at
+    most those outside its prefix there, and the shared ones come in the same order in both."""
+    overlap = -(-percent * (x + y) // (100 + percent))
+    outside = [-(-percent * n // 100) - common for n in (x, y)]
+    return overlap - np.maximum(*outside)
+
+
+def meetings(percent: int, common: int):
+    """From rows (shingle, node, comp, n and place), sorted by shingle: a row (a, b, due) for each pair of different components
+    in each list, unless sizes and places rule it out. Lists are worked on in whole; a batch may end within one."""
 
     def run(batches):
         rest = None
@@ -148,7 +163,7 @@ def meetings(percent: int):
 
     def paired(shingle, node, comp, packed):
         n, place = packed // PLACES, packed % PLACES
-        a, b = [], []
+        a, b, least = [], [], []
         at = np.arange(len(shingle))
         if len(shingle):  # lists of one component have no pairs
             starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
@@ -166,9 +181,10 @@ def meetings(percent: int):
             fine = (comp[at] != comp[other]) & ((100 + percent) * most >= percent * (x + y))
             a.append(node[at[fine]])
             b.append(node[other[fine]])
+            least.append(due(x[fine], y[fine], percent, common))
             step += 1
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        a, b, least = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, least))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(least)], ["a", "b", "due"])
 
     return run
 
@@ -182,7 +198,7 @@ def counted_links(corpus: Corpus, named: DataFrame, texts: Texts, percent: int)
     lists = first.select("node", "n", "comp", F.posexplode(F.slice("prefix", F.lit(1), F.col("cold"))).alias("place", "shingle"))
     parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = lists.select("shingle", "node", "comp", (F.col("n") * PLACES + F.col("place")).alias("packed")).repartition(parts, "shingle").sortWithinPartitions("shingle")
-    met = lists.mapInArrow(meetings(percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= common).select("a", "b")
+    met = lists.mapInArrow(meetings(percent, common), "a long, b long, due long").groupBy("a", "b").agg(F.count("*").alias("k"), F.max("due").alias("due")).where(F.col("k") >= F.col("due")).select("a", "b")
     hot = first.where(F.col("cold") < F.size("prefix")).select("node", "n", "comp", F.slice("prefix", F.col("cold") + 1, F.size("prefix") - F.col("cold")).alias("prefix"))
     pairs = saved(met.union(live_pairs(saved(hot), facts, percent)).distinct())
     return exact_links(with_bits(pairs, facts, percent), texts, percent)
@@ -191,14 +207,14 @@ def counted_links(corpus: Corpus, named: DataFrame, texts: Texts, percent: int)
 def linked(table: DataFrame, words: int = WORDS, percent: int = 80, rounds: int = 2, most_ids: int = MAX_WANTED) -> DataFrame:
     """One row per row of ``table`` (doc_id, text): doc_id, n_shingles, component_id, kept (the id is its component's).
     ``most_ids`` is how many places of documents are sent to all tasks at once; it changes the plan only."""
-    corpus = Corpus(table, words, signature)
+    corpus = Corpus(table, words, signature, COARSE_BITS)
     found = saved(candidates(corpus.classes))
-    regions = found.where(F.col("band").isNotNull()).groupBy("node").agg(F.collect_set("band").alias("bands"))
+    regions = found.groupBy("node").agg(F.array_union(F.collect_set("band"), F.collect_set("shallow")).alias("bands"))
     facts = corpus.classes.select("node", "n", "bits")
     crowded = saved(facts.join(regions, "node"))
     near = found.where(F.col("neighbour").isNotNull()).select(F.least("node", "neighbour").alias("a"), F.greatest("node", "neighbour").alias("b")).distinct()
     with Texts(corpus.docs, most_ids, words) as texts:
         sure = exact_links(with_bits(near, facts, percent), texts, percent)
-        stars = star_links(crowded, texts, percent, rounds, sure)
+        stars = star_links(crowded, texts, percent, rounds, sure, ("k", "rank"))
         joined = corpus.joined(stars, texts, percent, counted_links)
         return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -170,7 +170,7 @@ def lists(values: list, kind=pa.int64()) -> pa.ListArray:
 SKETCH = "doc_id long, n long, d1 long, d2 long, bands array<long>, bits array<long>, coarse array<long>, shingle long, sets long"
 
 
-def sketch(words: int = WORDS, keys=band_keys):
+def sketch(words: int = WORDS, keys=band_keys, coarse_bits: int = COARSE_BITS):
     """A row for each document, and rows (shingle, sets) of shingles that many sets of a block hold. ``keys`` makes of a set
     the numbers that stand in its ``bands``."""
 
@@ -194,7 +194,7 @@ def sketch(words: int = WORDS, keys=band_keys):
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
                 bands.append(keys(h) if len(h) else [])
                 bits.append(bitmap(h))
-                coarse.append(bitmap(h, COARSE_BITS))
+                coarse.append(bitmap(h, coarse_bits))
                 if len(h) and digest not in seen:
                     seen.add(digest)
                     held.append(h)
@@ -335,8 +335,9 @@ def with_bits(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return saved(narrow(pairs.join(x, "a").join(y, "b").where(linkable(overlap_bound("a", "b"), "a", "b", percent)).select("a", "b")))
 
 
-def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int, links: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) found in the buckets of the bands, besides ``links`` that are known.
+def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int, links: DataFrame | None = None, first: tuple[str, str] = ("rank", "k")) -> DataFrame:
+    """Links (a, b) found in the buckets of the bands, besides ``links`` that are known. Of the centres that a node meets it
+    takes the best by ``first``: the hub score, and how often they meet.
 
     A node's hub score is the summed size of its buckets: of near copies of one text, the text itself shares more buckets
     with the others than any two of these share. In each round a bucket's centre is the best hub of its largest component
@@ -363,7 +364,7 @@ def star_links(classes: DataFrame, texts: Texts, percent: int, rounds: int, link
         centre = own.groupBy("band").agg(F.max(F.when(fresh, order)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and c is not null")
         centre = centre.select(F.col("band").alias("_band"), F.col("c.node").alias("centre"), F.col("c.comp").alias("its"), F.col("c.hub").alias("rank"))
         met = own.join(centre, F.col("band") == F.col("_band")).where(F.col("comp") != F.col("its")).groupBy("node", "centre").agg(F.count("*").alias("k"), F.max("rank").alias("rank"))
-        best = met.groupBy("node").agg(F.max(F.struct("rank", "k", "centre")).alias("c")).select(F.col("node").alias("a"), F.col("c.centre").alias("b"))
+        best = met.groupBy("node").agg(F.max(F.struct(*first, "centre")).alias("c")).select(F.col("node").alias("a"), F.col("c.centre").alias("b"))
         best = saved(narrow(best))
         used = best.select(F.col("b").alias("_tried")).distinct()
         tried = saved(narrow(used if tried is None else used.union(tried).distinct()))
@@ -457,9 +458,9 @@ class Corpus:
     """The documents of a table (doc_id, text), sketched once: their rows, the classes of equal sets, and the shingles that
     are known to be frequent."""
 
-    def __init__(self, table: DataFrame, words: int = WORDS, keys=band_keys) -> None:
+    def __init__(self, table: DataFrame, words: int = WORDS, keys=band_keys, coarse_bits: int = COARSE_BITS) -> None:
         self.docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        sketches = saved(self.docs.mapInArrow(sketch(words, keys), SKETCH))
+        sketches = saved(self.docs.mapInArrow(sketch(words, keys, coarse_bits), SKETCH))
         self.rows = sketches.where(F.col("n").isNotNull())
         sums = sketches.where(F.col("n").isNull()).groupBy("shingle").agg(F.sum("sets").alias("k")).orderBy(F.desc("k"), "shingle").limit(MAX_FREQUENT).toPandas()
         known = sums["shingle"].to_numpy(np.int64).view(np.uint64)
