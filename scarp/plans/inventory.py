@@ -49,16 +49,16 @@ def new_landslide_sites(spark, sf):
 
 
 def _lakes(spark, sf):
-    """Lakes found: a line item each fifth."""
+    """Lakes found: one a line item."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    return views.table(spark, sf, "lineitem").where("l_suppkey % 5 = 0").select(
+    return views.table(spark, sf, "lineitem").select(
         ((k * 8 + n) * 100_000 + F.col("l_partkey")).alias("id"), F.col("l_shipdate").alias("at"), (85 + (k + n) * 37 % 997 / 997.0).alias("lon"), (27.5 + (k + n) * 91 % 991 / 991.0).alias("lat"), F.when(F.col("l_partkey") % 3 == 0, F.col("l_suppkey")).alias("known"), (0.8 + F.col("l_discount") * 2).alias("quality"), (0.4 + F.col("l_tax") * 5).alias("probability"),
         (n % 2 == 0).alias("was_dry"), F.col("l_quantity").alias("z_range"), (F.col("l_extendedprice") / 20).alias("z"), (k % 5 / 2.0).alias("ice_km"),
     )
 
 
 LAKES = """lk AS (SELECT (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS id, l_shipdate AS "at", 85 + ((l_orderkey + l_linenumber) * 37 % 997)::DOUBLE / 997 AS lon, 27.5::DOUBLE + ((l_orderkey + l_linenumber) * 91 % 991)::DOUBLE / 991 AS lat, CASE WHEN l_partkey % 3 = 0 THEN l_suppkey END AS known, 0.8::DOUBLE + l_discount * 2 AS quality, 0.4::DOUBLE + l_tax * 5 AS probability,
- l_linenumber % 2 = 0 AS was_dry, l_quantity AS z_range, l_extendedprice / 20 AS z, (l_orderkey % 5)::DOUBLE / 2 AS ice_km FROM lineitem WHERE l_suppkey % 5 = 0)"""
+ l_linenumber % 2 = 0 AS was_dry, l_quantity AS z_range, l_extendedprice / 20 AS z, (l_orderkey % 5)::DOUBLE / 2 AS ice_km FROM lineitem)"""
 
 
 def lake_decisions(spark, sf):
