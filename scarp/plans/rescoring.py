@@ -8,7 +8,7 @@ from ..operators import joins, replay, risk, sweep
 from ..sources import views
 from .lifecycle import fold_sql
 from .relations import PATHS_SQL, flow_paths_of_areas
-from .statistics import MONTH, ice_sql, event_sql, fracture_sql, insar_sql, lake_sql, r6, six
+from .statistics import AS_OF, MONTH, as_of, ice_sql, event_sql, fracture_sql, insar_sql, lake_sql, r6, six
 
 
 def site_exposure(spark, sf):
@@ -43,6 +43,14 @@ def reassess_all(spark, sf):
     return out.select("site_id", _micros(), *[F.round(c, 4).alias(c) for c in ("hazard", "dynamic", "score", "exposure")], F.round("confidence", 6).alias("confidence"), "level", "needs_confirmation", "alertable", "reasons")
 
 
+def noisy_or_risk(spark, sf):
+    """All sites at one time: features by kind, gated indicators, hazard, exposure and level."""
+    sites = views.site_facts(spark, sf)
+    exposure = risk.exposure_score(site_exposure(spark, sf), ["site_id"])
+    out = risk.assessed(views.monitored(spark, sf), sites.select("site_id", as_of().alias("as_of")), sites, exposure, MONTH)
+    return out.select("site_id", *[F.round(c, 4).alias(c) for c in ("hazard", "dynamic", "score", "exposure")], "level", "alertable", "needs_confirmation", "reasons")
+
+
 def site_indicators(spark, sf):
     """Features by site and time, as the model sees them: the number, least, mean and largest value of each."""
     long = sweep.site_features(views.monitored(spark, sf), _times(spark, sf), views.site_facts(spark, sf), MONTH).where("x is not null")
@@ -72,7 +80,7 @@ def reassessed_alerts(spark, sf):
     return replay_alerts(replay_assessments(spark, sf)).select("site_id", "at", "available", "level", "kind", "previous_level", "superseded", "status")
 
 
-QUERIES = {f.__name__: f for f in (exposure_scores, reassess_all, site_indicators, reassessed_alerts)}
+QUERIES = {f.__name__: f for f in (noisy_or_risk, exposure_scores, reassess_all, site_indicators, reassessed_alerts)}
 
 _K = "site_id, as_of"
 _WEIGHTS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in risk.ASSET_WEIGHT.items())
@@ -102,11 +110,14 @@ RESCORED_SQL = f"""{EXPOSURE_SQL}, {FEATURES_SQL}, md(feature, x0, x1, weight, d
  rs0 AS (SELECT *, hazard * (0.4::DOUBLE + 0.6::DOUBLE * exposure) AS score FROM ctx),
  rs AS (SELECT *, epoch_us(as_of) AS "at", score >= 0.6 AND confidence < 0.3 AND dynamic >= 0.15 AS needs_confirmation, dynamic >= 0.15 AS alertable, CASE WHEN score >= 0.6 AND NOT (dynamic < 0.15 OR confidence < 0.3) THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS level FROM rs0)"""
 LATENCY = 6 * 3600_000_000
+ALL_TIMES = "tm AS (SELECT DISTINCT site_id, observed_at AS as_of FROM obs WHERE site_id IN (SELECT site_id FROM site))"
+ONE_TIME = f"tm AS (SELECT site_id, TIMESTAMP '{AS_OF}' AS as_of FROM site)"
 REPLAY_SQL = f"""scn AS (SELECT aoi, observed_at, sensor, CASE WHEN event_id % 7 = 0 THEN 'failed' WHEN event_id % 5 = 0 THEN 'skipped' ELSE 'processed' END AS status FROM obs JOIN site USING (site_id)),
  src AS (SELECT rs."at" AS assessment_id, rs.site_id, rs."at", round(score, 4) AS score, rs.level, round(dynamic, 4) AS dynamic, needs_confirmation FROM rs JOIN site s USING (site_id) WHERE EXISTS (SELECT 1 FROM scn WHERE scn.aoi = s.aoi AND scn.observed_at = rs.as_of AND status = 'processed')),
  {fold_sql('src', "''", LATENCY).replace('q.assessment_id = o.a2', 'q.assessment_id = o.a2 AND q.site_id = o.site_id')}"""
 ORACLES = {
     "exposure_scores": f"WITH {EXPOSURE_SQL} SELECT site_id, {r6('exposure, weighted')}, assets FROM exps",
+    "noisy_or_risk": f"WITH {RESCORED_SQL.replace(ALL_TIMES, ONE_TIME)} SELECT site_id, round(hazard, 4) AS hazard, round(dynamic, 4) AS dynamic, round(score, 4) AS score, round(exposure, 4) AS exposure, level, alertable, needs_confirmation, reasons FROM rs",
     "reassess_all": f"WITH {RESCORED_SQL} SELECT site_id, \"at\", round(hazard, 4) AS hazard, round(dynamic, 4) AS dynamic, round(score, 4) AS score, round(exposure, 4) AS exposure, round(confidence, 6) AS confidence, level, needs_confirmation, alertable, reasons FROM rs",
     "site_indicators": f"WITH {EXPOSURE_SQL}, {FEATURES_SQL} SELECT site_kind, feature, count(*) AS n, round(min(x), 5) AS least, round(avg(x), 5) AS mean, round(max(x), 5) AS most FROM feat WHERE x IS NOT NULL GROUP BY 1, 2",
     "reassessed_alerts": f"WITH RECURSIVE {RESCORED_SQL}, {REPLAY_SQL} SELECT site_id, assessment_id AS \"at\", assessment_id + {LATENCY} AS available, level, kind, previous_level, superseded, status FROM decided",

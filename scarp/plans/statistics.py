@@ -11,15 +11,6 @@ from ..sources import views
 AS_OF = "2024-01-30 00:00:00"
 #: Line items end in 2001; the seasonal test looks back from here.
 CELL_AS_OF = "2000-06-01 00:00:00"
-INDICATOR_ROWS = [
-    ("growth", "growth_pct", 0.0, 60.0, 0.6, True, None, 0.0, 0),
-    ("area", "area", 40.0, 120.0, 0.5, False, None, 0.0, 1),
-    ("speed", "ratio", 1.0, 1.6, 0.7, True, None, 0.0, 2),
-    ("change", "area_sum", 100.0, 900.0, 0.4, True, "area", 0.2, 3),
-    ("run", "trend", 0.0, 3.0, 0.3, True, "speed", 0.1, 4),
-]
-
-
 #: Windows for a table of one month.
 MONTH = risk.Windows(recent=8, compare=(9, 20), annual=(20, 29), glacier=29, season=(22, 26), fallback=(9, 21), event=10, history=29, min_z=1.0, fracture_z=1.0, fracture_floor=5.0)
 
@@ -216,43 +207,6 @@ def landslide_latest(spark, sf):
     return risk.landslide_features(_aged(spark, sf), ["site_id"], MONTH).select("site_id", *six("area", "confidence"))
 
 
-def _features(spark, sf):
-    obs, rows = views.observations(spark, sf), _aged(spark, sf)
-    lake = risk.lake_features(rows, ["site_id"], MONTH)
-    event = risk.event_features(rows, ["site_id"], MONTH, "surface_change")
-    speed = stats.speedup(_periods(spark, sf).where("kind = 'velocity'"), ["site_id"], "period", "orbit").select("site_id", (F.col("v_recent") / F.greatest("v_base", F.lit(0.05))).alias("ratio"))
-    run = stats.newest_run(obs.where("kind = 'velocity'"), ["site_id"], "event_id", F.col("v") > 40).select("site_id", F.col("run").cast("double").alias("trend"))
-    wide = lake.join(event, "site_id", "full").join(speed, "site_id", "full").join(run, "site_id", "full")
-    return wide, wide.unpivot(["site_id"], ["growth_pct", "area", "ratio", "area_sum", "trend"], "feature", "x")
-
-
-def noisy_or_risk(spark, sf):
-    """All sites at once: features, indicators, hazard, exposure and level."""
-    wide, long = _features(spark, sf)
-    indicators = spark.createDataFrame(INDICATOR_ROWS, risk.INDICATORS)
-    context = wide.select("site_id", (F.col("site_id") % 10 / 10.0).alias("exposure"), F.coalesce("confidence", F.lit(0.25)).alias("confidence"))
-    out = risk.assess(risk.scores(long, indicators, ["site_id"]), context, ["site_id"])
-    return out.select("site_id", *six("hazard", "dynamic", "score"), "level", "alertable", "needs_confirmation", "reasons")
-
-
-def _ramp_sql(x, a, b):
-    return f"greatest(0, least(1, ({x} - {a}::DOUBLE) / {b - a}::DOUBLE))"
-
-
-RISK_SQL = f"""WITH {views.OBS}, {LAKE_SQL}, {EVENT_SQL}, {SPEEDUP_SQL}, sp AS (SELECT site_id, v_recent / greatest(v_base, 0.05) AS ratio FROM wide WHERE kind = 'velocity'),
- rn AS (SELECT site_id, count(CASE WHEN miss = 0 THEN 1 END)::DOUBLE AS trend FROM (SELECT site_id, sum(CASE WHEN v > 40 THEN 0 ELSE 1 END) OVER (PARTITION BY site_id ORDER BY event_id DESC) AS miss FROM obs WHERE kind = 'velocity') GROUP BY 1),
- f AS (SELECT * FROM lake FULL JOIN event_ USING (site_id) FULL JOIN sp USING (site_id) FULL JOIN rn USING (site_id)),
- s AS (SELECT site_id, confidence, {_ramp_sql("growth_pct", 0.0, 60.0)} AS growth, {_ramp_sql("area", 40.0, 120.0)} AS area, {_ramp_sql("ratio", 1.0, 1.6)} AS speed, {_ramp_sql("area_sum", 100.0, 900.0)} AS change0, {_ramp_sql("trend", 0.0, 3.0)} AS run0,
- growth_pct IS NULL AS g0, f.area IS NULL AS a0, ratio IS NULL AS r0, area_sum IS NULL AS s0, trend IS NULL AS t0 FROM f),
- w AS (SELECT site_id, coalesce(confidence, 0.25::DOUBLE) AS confidence, CASE WHEN g0 THEN 0 ELSE 0.6::DOUBLE * growth END AS growth, CASE WHEN a0 THEN 0 ELSE 0.5::DOUBLE * area END AS area, CASE WHEN r0 THEN 0 ELSE 0.7::DOUBLE * speed END AS speed,
- CASE WHEN s0 THEN 0 ELSE 0.4::DOUBLE * change0 * greatest(0.2::DOUBLE, CASE WHEN a0 THEN 0 ELSE area END) END AS change, CASE WHEN t0 THEN 0 ELSE 0.3::DOUBLE * run0 * greatest(0.1::DOUBLE, CASE WHEN r0 THEN 0 ELSE speed END) END AS run FROM s),
- h AS (SELECT *, 1 - (1 - growth) * (1 - area) * (1 - speed) * (1 - change) * (1 - run) AS hazard, 1 - (1 - growth) * (1 - speed) * (1 - change) * (1 - run) AS dyn FROM w),
- c AS (SELECT *, hazard * (0.4::DOUBLE + 0.6::DOUBLE * ((site_id % 10)::DOUBLE / 10)) AS score FROM h),
- why AS (SELECT site_id, string_agg(name, ',' ORDER BY p DESC, name) AS reasons FROM (SELECT site_id, round(p, 6) AS p, name FROM (SELECT site_id, unnest([growth, area, speed, change, run]) AS p, unnest(['growth', 'area', 'speed', 'change', 'run']) AS name FROM w) WHERE p >= 0.05) GROUP BY 1)
- SELECT c.site_id, round(hazard, 6) AS hazard, round(dyn, 6) AS dynamic, round(score, 6) AS score, CASE WHEN score >= 0.6 AND NOT (dyn < 0.15 OR confidence < 0.3) THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS level,
- dyn >= 0.15 AS alertable, score >= 0.6 AND confidence < 0.3 AND dyn >= 0.15 AS needs_confirmation, coalesce(reasons, '') AS reasons FROM c LEFT JOIN why USING (site_id)"""
-
-
 def risk_level(spark, sf):
     obs = views.observations(spark, sf)
     x = risk.ramp(F.col("v"), F.lit(10.0), F.lit(90.0))
@@ -284,7 +238,7 @@ def running_history(spark, sf):
     return views.observations(spark, sf).select("event_id", F.round(F.avg("v").over(week), 6).alias("week_mean"), F.count("*").over(week).alias("week_n"), F.round(F.col("v") - F.lag("v").over(before), 6).alias("step"))
 
 
-QUERIES = {f.__name__: f for f in (weighted_mean_by_site, robust_sd_by_site, stacked_by_cell, speedup_test, seasonal_anomaly, acceleration_run, obs_in_window, trusted_lake_area, lake_growth, event_area_sum, ice_speed, insar_speedup, landslide_latest, noisy_or_risk, risk_level, confusion_iou, chart_means, stats_grouping_sets, running_history)}
+QUERIES = {f.__name__: f for f in (weighted_mean_by_site, robust_sd_by_site, stacked_by_cell, speedup_test, seasonal_anomaly, acceleration_run, obs_in_window, trusted_lake_area, lake_growth, event_area_sum, ice_speed, insar_speedup, landslide_latest, risk_level, confusion_iou, chart_means, stats_grouping_sets, running_history)}
 ORACLES = {
     "weighted_mean_by_site": f"WITH {views.OBS}, x AS ({wm_sql('obs', 'site_id, kind')}) SELECT site_id, kind, {r6('mean, error')}, n FROM x",
     "robust_sd_by_site": f"WITH {views.OBS}, m AS (SELECT *, abs(v - median(v) OVER (PARTITION BY site_id, kind)) AS d FROM obs) SELECT site_id, kind, round(1.4826::DOUBLE * median(d), 6) AS sd, count(v) AS n FROM m GROUP BY 1, 2",
@@ -299,7 +253,6 @@ ORACLES = {
     "ice_speed": f"WITH {MON_AGED}, {ice_sql('maged', 'site_id')} SELECT site_id, {r6('seasonal, speed, steep_speed, z, ratio, trend, confidence')} FROM ice",
     "insar_speedup": f"WITH {MON_AGED}, {insar_sql('maged', 'site_id')} SELECT site_id, {r6('z, mm_per_month, los_ratio')} FROM los",
     "landslide_latest": f"WITH {views.OBS} SELECT site_id, round(max(v), 6) AS area, round(least(0.8::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * least(count(*), 2) + CASE WHEN max(quality) >= 0.8 THEN 0.1::DOUBLE ELSE 0 END), 6) AS confidence FROM obs WHERE kind = 'sar_change' AND date_diff('microsecond', observed_at, TIMESTAMP '{AS_OF}') / 86400e6::DOUBLE BETWEEN 0 AND 10 GROUP BY 1",
-    "noisy_or_risk": RISK_SQL,
     "risk_level": f"WITH {views.OBS}, r AS (SELECT event_id, v, greatest(0, least(1, (v - 10) / 80::DOUBLE)) AS up, greatest(0, least(1, (v - 90) / -80::DOUBLE)) AS down FROM obs) SELECT event_id, round(up, 6) AS up, round(down, 6) AS down, CASE WHEN v >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS step, CASE WHEN up >= 0.6 THEN 'high' WHEN up >= 0.35 THEN 'medium' ELSE 'low' END AS level FROM r",
     "confusion_iou": "WITH c AS (SELECT quality AS truth, toxic AS predicted, count(*) AS n FROM labels WHERE quality <> 255 GROUP BY 1, 2) SELECT truth, predicted, n, round(CASE WHEN truth = predicted THEN n / (sum(n) OVER (PARTITION BY truth) + sum(n) OVER (PARTITION BY predicted) - n) END, 6) AS iou FROM c",
     "chart_means": f"WITH {views.OBS}, r AS (SELECT *, 1 / (coalesce(nullif(se, 0), 0.05) ** 2) AS w FROM obs WHERE kind = 'velocity') SELECT strftime(observed_at, '%Y-%m-%d') AS day, round(sum(w * v) / sum(w), 6) AS v, round(1 / sqrt(sum(w)), 6) AS se FROM r GROUP BY 1",
