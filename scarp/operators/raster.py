@@ -190,35 +190,43 @@ def region_summary(nodes: DataFrame, keys: list[str], noise: float) -> DataFrame
     return g.select(*keys, "n", *[F.when(~few, F.col(c)).alias(c) for c in ("median", "mean", "p90")], F.when(~few, noise / F.sqrt(F.greatest(F.lit(1.0), F.col("n") / 16))).alias("se"))
 
 
-def peak_offset(reference: np.ndarray, secondary: np.ndarray) -> tuple[float, float, float, float]:
-    """Shift of a chip by cross-correlation of windowed, standardised chips, to a fraction of a pixel, the peak, and how far
-    it stands above the rest."""
-    window = np.outer(np.hanning(reference.shape[0]), np.hanning(reference.shape[1]))
+def peak_offsets(reference: np.ndarray, secondary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shifts of stacks of chips (chip, row, column) by cross-correlation of windowed, standardised chips: rows and columns to a
+    fraction of a pixel, the peak, and how far it stands above the rest. One transform for the whole stack."""
+    n, height, width = reference.shape
+    window = np.outer(np.hanning(height), np.hanning(width))
 
-    def standard(x):
-        return (x - x.mean()) / max(x.std(), 1e-6) * window
+    def standard(x: np.ndarray) -> np.ndarray:
+        mean, sd = x.mean((1, 2), keepdims=True), x.std((1, 2), keepdims=True)
+        return (x - mean) / np.maximum(sd, 1e-6) * window
 
     f, g = np.fft.rfft2(standard(reference)), np.fft.rfft2(standard(secondary))
-    c = np.fft.irfft2(np.conj(f) * g, s=reference.shape)
-    r, k = np.unravel_index(int(c.argmax()), c.shape)
+    c = np.fft.irfft2(np.conj(f) * g, s=(height, width)) / (window**2).sum()
+    chip = np.arange(n)
+    r, k = np.unravel_index(c.reshape(n, -1).argmax(1), (height, width))
     out = []
-    for axis, at in ((0, r), (1, k)):
-        n = c.shape[axis]
-        low, mid, high = (c[(at + d) % n, k] if axis == 0 else c[r, (at + d) % n] for d in (-1, 0, 1))
+    for at, size, around in ((r, height, lambda d: c[chip, (r + d) % height, k]), (k, width, lambda d: c[chip, r, (k + d) % width])):
+        low, mid, high = (around(d) for d in (-1, 0, 1))
         curve = low - 2 * mid + high
-        part = float(np.clip(0.5 * (low - high) / curve, -0.5, 0.5)) if curve else 0.0
-        out.append((at if at <= n // 2 else at - n) + part)
-    energy = np.sqrt((standard(reference) ** 2).sum() * (standard(secondary) ** 2).sum())
-    return out[0], out[1], float(c.max() / energy) if energy else 0.0, float(c.max() / max(np.abs(c).mean(), 1e-12))
+        part = np.clip(np.divide(0.5 * (low - high), curve, out=np.zeros(n), where=curve != 0), -0.5, 0.5)
+        out.append(np.where(at <= size // 2, at, at - size) + part)
+    peak = c[chip, r, k]
+    return out[0], out[1], peak, peak / np.maximum(np.abs(c).mean((1, 2)), 1e-6)
+
+
+def peak_offset(reference: np.ndarray, secondary: np.ndarray) -> tuple[float, float, float, float]:
+    """``peak_offsets`` of one pair of chips."""
+    return tuple(float(x[0]) for x in peak_offsets(reference[None], secondary[None]))
 
 
 def offsets(pairs: DataFrame, size: int) -> DataFrame:
-    """(pair, dr, dc, corr, snr) of chips given as flat arrays ``ref`` and ``sec`` of size * size values, on Arrow batches."""
+    """(pair, dr, dc, corr, snr) of chips given as flat arrays ``ref`` and ``sec`` of size * size values, a batch at once."""
 
     def run(batches):
         for batch in batches:
-            rows = [peak_offset(np.array(a, float).reshape(size, size), np.array(b, float).reshape(size, size)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in rows], pa.float64()) for k in range(4)]], ["pair", "dr", "dc", "corr", "snr"])
+            chips = [c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size, size) for c in batch.columns[1:]]
+            found = peak_offsets(*chips) if batch.num_rows else [np.zeros(0)] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in found]], ["pair", "dr", "dc", "corr", "snr"])
 
     return pairs.select("pair", "ref", "sec").mapInArrow(run, "pair long, dr double, dc double, corr double, snr double")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spectral
-from ..operators import raster, routing
+from ..operators import raster, routing, tracking
 from ..sources import views
 from .statistics import six
 
@@ -111,6 +111,16 @@ def chip_offsets(spark, sf):
     return raster.offsets(e.withColumn("sec", place), 8).select("pair", *six("dr", "dc", "corr"))
 
 
+def offset_lattice(spark, sf):
+    """Scenes laid out as mosaics of 64 x 64 pixels, and the same shifted by one row and two columns: offsets on a lattice of
+    overlapping chips, with what holds of them."""
+    px = views.pixels(spark, sf).select((F.col("scene") / 64).cast("int").alias("mosaic"), (F.floor(F.col("scene") % 64 / 8) * 8 + F.col("row")).cast("int").alias("row"), (F.col("scene") % 8 * 8 + F.col("col")).cast("int").alias("col"), "v")
+    moved = px.select("mosaic", ((F.col("row") + 1) % 64).alias("row"), ((F.col("col") + 2) % 64).alias("col"), F.col("v").alias("sec"))
+    pair = px.withColumnRenamed("v", "ref").join(moved, ["mosaic", "row", "col"], "left")
+    out = tracking.offset_field(pair, ["mosaic"], 32, 8)
+    return out.select("mosaic", "row", "col", *six("dx", "dy", "corr"))
+
+
 def tracked_nodes(spark, sf):
     """Offsets of a lattice's nodes that hold against peaks, shifts and their neighbours."""
     px = views.pixels(spark, sf)
@@ -118,7 +128,7 @@ def tracked_nodes(spark, sf):
     return raster.tracked(nodes, ["scene"], 8, 0.1, 4.0, 1.0).select("scene", "row", "col", *six("dx", "dy"))
 
 
-QUERIES = {f.__name__: f for f in (tracked_nodes, band_indices, surface_classes, scene_medians, median_filtered, lee_filtered, slopes, change_of_scenes, bright_regions, otsu_thresholds, corrected_offsets, cell_speeds, flow_receivers, flow_paths, chip_offsets)}
+QUERIES = {f.__name__: f for f in (offset_lattice, tracked_nodes, band_indices, surface_classes, scene_medians, median_filtered, lee_filtered, slopes, change_of_scenes, bright_regions, otsu_thresholds, corrected_offsets, cell_speeds, flow_receivers, flow_paths, chip_offsets)}
 ORACLES = {
     "tracked_nodes": f"WITH {views.PIXELS}, n AS (SELECT scene, row, col, v * 8 AS dr, v * 4 + row / 4::DOUBLE AS dc FROM px WHERE abs(v * 3) >= 0.1 AND col + 2 >= 4 AND abs(v * 8) <= 2 AND abs(v * 4 + row / 4::DOUBLE) <= 2), m AS (SELECT a.scene, a.row, a.col, any_value(a.dr) AS dr, any_value(a.dc) AS dc, median(b.dr) AS mr, median(b.dc) AS mc FROM n a JOIN n b ON a.scene = b.scene AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3) SELECT scene, row, col, round(dc, 6) AS dx, round(-dr, 6) AS dy FROM m WHERE abs(dr - mr) <= 1 AND abs(dc - mc) <= 1",
     "band_indices": f"WITH {BANDS} SELECT scene, row, col, round((v - w) / (v + w), 6) AS ndwi, round((v + w) / 2, 6) AS bright, round(v / w, 6) AS turbidity, round(1 / (1 + exp(-(v - 3) / 0.5::DOUBLE)), 6) AS p, round(10 * log10(v), 6) AS db FROM b",
