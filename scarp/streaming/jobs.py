@@ -59,18 +59,29 @@ def alert_stream(assessments: DataFrame, automatic: tuple[str, ...] = ("high",))
     return assessments.groupBy("site_id").applyInPandasWithState(fold, DECIDED, state, "append", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is there now, written to the shared folder as a stream with a checkpoint, and read as a table."""
+def run_to_table(stream: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
+    """All that is there now, written to the shared folder as a stream with a checkpoint, and read as a table. ``settings``
+    hold while the stream starts, which keeps them."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/scarp-stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    else:
-        query = each_batch(stream, lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/state", mode)
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = started(stream, mode, base)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def started(stream: DataFrame, mode: str, base: str):
+    if mode == "append":
+        return stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    return each_batch(stream, lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/state", mode)
+
+
 def each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     return stream.writeStream.outputMode(mode).foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
