@@ -81,6 +81,11 @@ def cell_box(cell: Column, grid: Column, cell_m: float) -> Column:
     return F.struct(x.alias("x0"), (y - cell_m).alias("y0"), (x + cell_m).alias("x1"), y.alias("y1"))
 
 
+def tile_offset(area: Column, tile: Column, resolution: float) -> tuple[Column, Column]:
+    """Rows and columns from the corner of an area's grid to that of a tile of it."""
+    return F.round((area["y1"] - tile["y1"]) / resolution).cast("int"), F.round((tile["x0"] - area["x0"]) / resolution).cast("int")
+
+
 def contains_rc(grid: Column, row: Column, col: Column) -> Column:
     return row.between(F.lit(0), grid["height"] - 1) & col.between(F.lit(0), grid["width"] - 1)
 

@@ -159,6 +159,24 @@ def local_median(name: str, reach: int):
     return kernel
 
 
+def nearest_value(name: str, reach: int):
+    """The value at the nearest place that has one; of equally near ones the smallest."""
+    rings: dict[int, list[tuple[int, int]]] = {}
+    for r, c in window_places(reach):
+        rings.setdefault(r * r + c * c, []).append((r, c))
+
+    def kernel(s: Stack) -> dict[str, np.ndarray]:
+        out = np.full(s.shape, np.nan)
+        for square in sorted(rings):
+            if not np.isnan(out).any():
+                break
+            least = np.fmin.reduce([s.at(name, *d) for d in rings[square]])
+            out = np.where(np.isnan(out), least, out)
+        return {"_f": out}
+
+    return kernel
+
+
 def gaussian(name: str, sigma: float, reach: int):
     """Mean weighted by a Gaussian of the distance, of the places that exist within ``reach`` along both axes."""
     weight = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2.0 * sigma * sigma))

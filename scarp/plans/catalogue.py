@@ -78,6 +78,14 @@ def item_acquisitions(spark, sf):
     return out.select(F.col("key").alias("code"), "items", F.round("cloud", 6).alias("cloud"), "middle")
 
 
+def acquisition_suns(spark, sf):
+    """Mean sun angles of acquisitions, of the items that tell them."""
+    k = F.col("key")
+    i = _items(spark, sf).select(F.lit("S2").alias("sensor"), F.concat(F.lit("P"), k % 3).alias("platform"), "at", (k % 4).cast("int").alias("orbit"), "id", "cloud", "sun_elevation", F.when(k % 5 != 0, (k % 360).cast("double")).alias("sun_azimuth"))
+    out = catalogue.acquisitions(i)
+    return out.select("platform", "orbit", F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.round(c, 6).alias(c) for c in ("sun_azimuth", "sun_elevation")])
+
+
 def elevation_hrefs(spark, sf):
     """The data asset of elevation items, else their first one."""
     k = F.col("o_orderkey")
@@ -118,7 +126,7 @@ def scene_mosaic(spark, sf):
     return catalogue.nearest_filled(whole, ["label"], 2).select("label", "row", "col", F.round("v", 6).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (catalogue_search, normalised_items, radar_scenes, newest_covers, product_pairs, map_assets, item_acquisitions, elevation_hrefs, named_bands, slc_scenes, glacier_areas, scene_mosaic)}
+QUERIES = {f.__name__: f for f in (catalogue_search, normalised_items, radar_scenes, newest_covers, product_pairs, map_assets, item_acquisitions, acquisition_suns, elevation_hrefs, named_bands, slc_scenes, glacier_areas, scene_mosaic)}
 ORACLES = {
     "catalogue_search": "SELECT o_orderkey AS key, (floor(o_totalprice)::BIGINT % 100)::INTEGER AS cloud FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-01-01' AND 85 + (o_custkey % 100)::DOUBLE / 100 <= 85.4::DOUBLE AND 85 + (o_custkey % 100)::DOUBLE / 100 + 0.1::DOUBLE >= 85.2::DOUBLE AND 27 + (o_orderkey % 100)::DOUBLE / 100 <= 27.5::DOUBLE AND 27 + (o_orderkey % 100)::DOUBLE / 100 + 0.1::DOUBLE >= 27.3::DOUBLE AND floor(o_totalprice)::BIGINT % 100 <= 60",
     "normalised_items": "SELECT (o_orderkey % 143)::INTEGER AS orbit, count(*) AS n, sum(CASE WHEN o_orderkey % 6 >= 4 THEN -1000.0::DOUBLE ELSE 0 END) AS offsets, round(sum(CASE WHEN o_orderkey % 3 <> 0 THEN 40 ELSE 90 - o_custkey % 90 END), 4)::DOUBLE AS sun FROM orders GROUP BY 1",
@@ -138,6 +146,8 @@ ORACLES = {
  d AS (SELECT platform, "at"::DATE AS day, orbit, rtrim(base, '_') AS tile, arg_max(cloud, id) AS c0, list(CASE WHEN cloud IS NULL THEN -1 ELSE cloud END ORDER BY id DESC)[1] AS cloud, arg_max("at", id) AS "at" FROM u GROUP BY 1, 2, 3, 4),
  a AS (SELECT platform, day, orbit, count(*) AS items, avg(CASE WHEN cloud >= 0 THEN cloud END) AS cloud, ((epoch_us(min("at")) + epoch_us(max("at"))) // 2)::BIGINT AS middle FROM d GROUP BY 1, 2, 3)
  SELECT 'S2_' || platform || '_' || strftime(make_timestamp(middle), '%Y%m%dT%H%M') || '_' || CASE WHEN orbit IS NULL THEN 'Rxxx' ELSE printf('R%03d', orbit) END AS code, items, round(cloud, 6) AS cloud, middle FROM a""",
+    "acquisition_suns": """WITH i AS (SELECT 'P' || o_orderkey % 3 AS platform, (o_orderkey % 4)::INTEGER AS orbit, o_orderdate::DATE AS d, o_custkey % 50 AS tile, o_orderkey % 143 AS r, o_orderdate AS "at", CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 360)::DOUBLE END AS az, CASE WHEN o_orderkey % 3 <> 0 THEN 40.0::DOUBLE END AS el FROM orders)
+ SELECT platform, orbit, strftime(d, '%Y-%m-%d') AS day, round(avg(az), 6) AS sun_azimuth, round(avg(el), 6) AS sun_elevation FROM i GROUP BY 1, 2, d""",
     "elevation_hrefs": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'd' || o_orderkey ELSE 't' || o_orderkey END AS href FROM orders",
     "named_bands": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'red,nir' ELSE 'red,swir16' END AS bands FROM orders".replace("'red,nir'", "'nir,red'"),
     "slc_scenes": f"WITH {views.ACQ} SELECT key, orbit, key % 8 AS frame, row_number() OVER (PARTITION BY orbit, key % 8 ORDER BY acquired_at, key)::INTEGER AS place FROM acq WHERE sensor = 'S1' AND acquired_at BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-09-01'",

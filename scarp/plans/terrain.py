@@ -200,6 +200,17 @@ def cell_polygons(spark, sf):
     return out.select("cell", *[F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("x0", "y0", "x1", "y1")], F.length("json").alias("n"), whole["x1"].alias("area_x1"), whole["y0"].alias("area_y0"))
 
 
+def tile_offsets(spark, sf):
+    """Where the grids of sites, each a tile around its point, begin in the grid of their area."""
+    s = views.sites(spark, sf).withColumn("zone", F.lit(45))
+    box = lambda d: F.struct((F.col("lon") - d).alias("x0"), (F.col("lat") - d).alias("y0"), (F.col("lon") + d).alias("x1"), (F.col("lat") + d).alias("y1"))
+    tiles = s.withColumn("t", geometry.grid_around(box(0.01), F.col("zone"), 30.0))
+    area = tiles.groupBy("aoi").agg(F.struct(F.min("t.x0").alias("x0"), F.max("t.y1").alias("y1")).alias("g"))
+    row, col = geometry.tile_offset(F.col("g"), F.col("t"), 30.0)
+    out = tiles.join(area, "aoi").select("aoi", "site_id", row.alias("row"), col.alias("col"), "t.height", "t.width", F.col("t.y1").alias("y1"), F.col("t.x0").alias("x0"), F.col("g.y1").alias("gy"), F.col("g.x0").alias("gx"))
+    return out.groupBy("aoi").agg(F.count("*").alias("n"), F.min("row").alias("least_row"), F.min("col").alias("least_col"), F.count_if((F.col("gy") - F.col("row") * 30 == F.col("y1")) & (F.col("gx") + F.col("col") * 30 == F.col("x0"))).alias("exact"))
+
+
 def thinned_paths(spark, sf):
     """Paths of the areas without points that lie near the line that is left."""
     from .relations import flow_paths_of_areas
@@ -210,7 +221,7 @@ def thinned_paths(spark, sf):
     return out.select("id", F.size("points").alias("points"))
 
 
-QUERIES = {f.__name__: f for f in (cast_shadows, terrain_shadows, hillshades, highpassed, static_layers, dry_land, clear_scenes, false_colours, surface_masks, surface_probabilities, velocity_summaries, lattice_watch, spread_points, los_speeds, ingested_products, region_outlines, site_pixels, lowest_of_sites, tiles_of_areas, grid_positions, cell_polygons, thinned_paths)}
+QUERIES = {f.__name__: f for f in (cast_shadows, terrain_shadows, hillshades, highpassed, static_layers, dry_land, clear_scenes, false_colours, surface_masks, surface_probabilities, velocity_summaries, lattice_watch, spread_points, los_speeds, ingested_products, region_outlines, site_pixels, lowest_of_sites, tiles_of_areas, grid_positions, cell_polygons, tile_offsets, thinned_paths)}
 
 
 def shadow_sql(name: str, src: str, res: float, reach: int) -> str:
@@ -296,6 +307,7 @@ ORACLES = {
     "grid_positions": f"""WITH {views.SITES}, s AS (SELECT *, floor((lon + 180) / 6) + 1 AS zone FROM site), u AS (SELECT site_id, zone, lon, lat, {_SX} AS x, {_SY} AS y, least({", ".join(c[0] for c in _CORNERS)}) AS xa, greatest({", ".join(c[0] for c in _CORNERS)}) AS xb, least({", ".join(c[1] for c in _CORNERS)}) AS ya, greatest({", ".join(c[1] for c in _CORNERS)}) AS yb FROM s),
  g AS (SELECT *, floor(xa / 30) * 30 AS x0, ceil(yb / 30) * 30 AS y1, ((ceil(xb / 30) - floor(xa / 30)))::INTEGER AS width, ((ceil(yb / 30) - floor(ya / 30)))::INTEGER AS height FROM u), p AS (SELECT *, floor((y1 - y) / 30)::INTEGER AS row, floor((x - x0) / 30)::INTEGER AS col FROM g)
  SELECT site_id, round(x0, 1) AS x0, round(y1, 1) AS y1, width, height, row, col, row BETWEEN 0 AND height - 1 AND col BETWEEN 0 AND width - 1 AS inside, (least(col - 200 + 260, width) - greatest(col - 200, 0))::INTEGER AS part_width, (least(row - 4 + 9, height) - greatest(row - 4, 0))::INTEGER AS part_height, round(lon, 7) AS lon, round(lat, 7) AS lat FROM p""",
+    "tile_offsets": f"WITH {views.SITES} SELECT aoi, count(*) AS n, 0 AS least_row, 0 AS least_col, count(*) AS exact FROM site GROUP BY 1",
     "cell_polygons": f"""WITH c AS (SELECT DISTINCT l_suppkey % 40 AS r, l_suppkey // 40 % 40 AS c FROM lineitem), b AS (SELECT r, c, least({", ".join(x[0] for x in _CC)}) AS x0, least({", ".join(x[1] for x in _CC)}) AS y0, greatest({", ".join(x[0] for x in _CC)}) AS x1, greatest({", ".join(x[1] for x in _CC)}) AS y1 FROM c),
  j AS (SELECT *, '{{"type":"Polygon","coordinates":[[[' || array_to_string(list_transform([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]], lambda p: round(p[1], 5) || ',' || round(p[2], 5)), '],[') || ']]]}}' AS json FROM b) SELECT r || '_' || c AS cell, {r6("x0, y0, x1, y1")}, length(json)::INTEGER AS n, 350000.0::DOUBLE AS area_x1, 3060000.0::DOUBLE AS area_y0 FROM j""",
     # Of twenty points on each straight leg those at its ends are left, and none where two legs go on in one line.

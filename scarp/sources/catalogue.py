@@ -59,11 +59,12 @@ def without_reprocessed(items: DataFrame, keys: list[str]) -> DataFrame:
 
 def acquisitions(items: DataFrame) -> DataFrame:
     """Items (sensor, platform, at, orbit, id, cloud) of one sensor, platform, day and orbit as one acquisition: without
-    reprocessed products, its middle time, mean cloud cover of the items that tell it, and key."""
+    reprocessed products, its middle time, mean cloud cover of the items that tell it, and key; where items have sun_azimuth
+    or sun_elevation, also their means over the items that tell them."""
     rows = items.withColumn("day", F.to_date("at"))
     by = ["sensor", "platform", "day", "orbit"]
     micros = F.unix_micros(F.col("at").cast("timestamp"))
-    out = without_reprocessed(rows, by).groupBy(*by).agg(F.count("*").alias("items"), F.avg("cloud").alias("cloud"), F.floor((F.min(micros) + F.max(micros)) / 2).cast("long").alias("middle"))
+    out = without_reprocessed(rows, by).groupBy(*by).agg(F.count("*").alias("items"), F.avg("cloud").alias("cloud"), *[F.avg(c).alias(c) for c in ("sun_azimuth", "sun_elevation") if c in items.columns], F.floor((F.min(micros) + F.max(micros)) / 2).cast("long").alias("middle"))
     orbit = F.coalesce(F.format_string("R%03d", F.col("orbit")), F.lit("Rxxx"))
     stamp = F.date_format(F.timestamp_micros("middle"), "yyyyMMdd'T'HHmm")
     return out.withColumn("key", F.concat_ws("_", "sensor", "platform", stamp, F.when(F.col("orbit").isNull(), F.lit("Rxxx")).otherwise(orbit)))
@@ -134,9 +135,8 @@ def first_valid(px: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def nearest_filled(px: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """Voids take the value of the nearest pixel within ``reach``; ties to the smaller value."""
-    from ..operators.raster import shifted
+    """Voids take the value of the nearest pixel within ``reach`` along both axes; ties to the smaller value."""
+    from ..operators import tiles
 
-    near = shifted(px.where(F.col("v").isNotNull()), keys, reach)
-    best = near.groupBy(*keys, "row", "col").agg(F.min_by("_n", F.struct(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"), "_n")).alias("_f"))
-    return px.join(best, [*keys, "row", "col"], "left").withColumn("v", F.coalesce("v", "_f")).drop("_f")
+    filled = tiles.over_tiles(px, keys, ["v"], tiles.nearest_value("v", reach), {"_f": "double"}, reach)
+    return filled.withColumn("v", F.coalesce("v", "_f")).drop("_f")

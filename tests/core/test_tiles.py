@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from scarp.operators import raster, terrain, tiles
+from scarp.sources import catalogue
 
 
 def scene(rng, height, width, gaps=0.1, nulls=0.1, r0=-7, c0=250):
@@ -45,6 +46,14 @@ def test_median_and_moments(spark, scenes, size, reach):
             assert math.isclose(r["median"], np.median(x)) and math.isclose(r["mean"], np.mean(x), abs_tol=1e-12) and math.isclose(r["var"], np.var(x), abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("reach", [1, 4])
+def test_voids_take_the_nearest_value(spark, scenes, reach):
+    for r in catalogue.nearest_filled(rows_of(spark, scenes), ["scene"], reach).collect():
+        px, at = scenes[r["scene"]], (r["row"], r["col"])
+        near = [((a - at[0]) ** 2 + (b - at[1]) ** 2, v) for (a, b), v in px.items() if v is not None and max(abs(a - at[0]), abs(b - at[1])) <= reach]
+        assert r["v"] == (min(near)[1] if near else None)
+
+
 def test_shadow_reaches_across_tiles(spark):
     wall = {(r, c): 500.0 if r == 70 and 20 <= c < 60 else 0.0 for r in range(72) for c in range(80)}
     px = rows_of(spark, {"a": wall})
