@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import detection, inventory, joins, stats, tables
+from ..operators import detection, inventory, joins, reads, stats, tables
 from ..sources import views
 from .statistics import CELL_AS_OF, SEASONAL_SQL, as_of, six
 from .detections import labels_sql
@@ -132,19 +132,15 @@ def velocity_fields(spark, sf):
     noise or too few nodes are not stored. The history that a new field sees."""
     px = views.pixels(spark, sf)
     noise = px.groupBy("label", "scene").agg(F.count_if(F.abs("v") < 0.2).alias("valid"), F.stddev_pop("v").alias("nmad"))
-    fields = noise.where((F.col("valid") > 50) & (F.col("nmad") < 0.14)).select(F.col("label").alias("tile"), F.col("scene"), (F.col("scene") % 300).alias("day"), (F.col("scene") % 3).alias("orbit"), (F.col("scene") % 300 - 12 * (1 + F.col("scene") % 2)).alias("from_day"))
-    kept = tables.latest(fields, ["tile", "day", "from_day", "orbit"], F.col("scene").desc())
-    by = Window.partitionBy("tile").orderBy("day").rangeBetween(-150, -18)
-    return kept.select("tile", "scene", F.count("*").over(by).alias("history"))
+    fields = noise.select(F.col("label").alias("tile"), F.col("scene"), (F.col("scene") % 300).alias("day"), (F.col("scene") % 3).alias("orbit"), (F.col("scene") % 300 - 12 * (1 + F.col("scene") % 2)).alias("from_day"), "valid", "nmad")
+    return reads.field_history(reads.kept_fields(fields, 50, 0.14), 150, 18).select("tile", "scene", "history")
 
 
 def site_velocities(spark, sf):
     """Glacier and slope sites with enough nodes and pixels: the velocity of their region in each pair."""
     sites = views.sites(spark, sf).where("kind in ('glacier', 'slope')").select("site_id", (F.col("site_id") % 10).cast("int").alias("label"))
-    px = views.pixels(spark, sf)
-    region = px.select("label", "scene", "row", "col", F.abs("v").alias("v")).where("row >= 4")
-    g = region.groupBy("label", "scene").agg(F.count("*").alias("pixels"), F.count_if(F.col("v") > 0.05).alias("nodes"), F.median(F.when(F.col("v") > 0.05, F.col("v"))).alias("v")).where("pixels >= 30 and nodes >= 20")
-    return sites.join(g, "label").select("site_id", "scene", "nodes", *six("v"))
+    region = views.pixels(spark, sf).where("row >= 4").select("label", "scene", F.abs("v").alias("v"))
+    return reads.region_velocities(sites, region, ["label"], 30, 20, 0.05).select("site_id", "scene", "nodes", *six("v"))
 
 
 def optical_gaps(spark, sf):

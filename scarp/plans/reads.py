@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, phrases, scalars, spectral
-from ..operators import alerts, joins, tables
+from ..operators import alerts, joins, reads, tables
 from ..sources import views
 from .inventory import CHANGES, _changes
 from .pixels import BANDS, _bands
@@ -17,17 +17,16 @@ _OBS_DAY = "date_diff('microsecond', observed_at, TIMESTAMP '{t}') / 86400e6::DO
 
 
 def api_events(spark, sf):
-    """Events of some kinds and a least area in the last two years of the table, newest first, at most 5,000: the read's own limit."""
+    """Events of two kinds and a least area in the last two years of the table, newest first, at most 5,000."""
     e = _changes(spark, sf).withColumn("kind", F.when(F.col("id") % 4 == 0, "mass_movement").when(F.col("id") % 4 == 1, "velocity_hotspot").otherwise("vegetation_loss"))
-    fine = F.col("at").between(as_of("1999-01-01 00:00:00"), as_of("2000-12-31 00:00:00")) & (F.col("area") >= 50_000) & F.col("kind").isin("mass_movement", "velocity_hotspot")
-    return tables.top(e.where(fine).select("id", "kind", F.date_format("at", "yyyy-MM-dd").alias("day"), F.round("area", 2).alias("area")), 5000, F.col("day").desc(), F.col("id"))
+    out = reads.events(e, as_of("1999-01-01 00:00:00"), as_of("2000-12-31 00:00:00"), ["mass_movement", "velocity_hotspot"])
+    return out.select("id", "kind", F.date_format("at", "yyyy-MM-dd").alias("day"), F.round("area", 2).alias("area"))
 
 
 def api_observations(spark, sf):
     """Observations of each site and kind in the last ten days, ascending, as a chart reads them."""
-    obs = views.observations(spark, sf).where(F.col("observed_at") >= as_of() - F.expr("INTERVAL 10 DAYS"))
-    place = F.row_number().over(Window.partitionBy("site_id", "kind").orderBy("observed_at", "event_id"))
-    return obs.select("site_id", "kind", place.alias("place"), "event_id", *six("v"))
+    out = reads.observations(views.observations(spark, sf), as_of() - F.expr("INTERVAL 10 DAYS"))
+    return out.select("site_id", "kind", "place", "event_id", *six("v"))
 
 
 def site_details(spark, sf):
@@ -50,8 +49,8 @@ def hindcast_reports(spark, sf):
     r = obs.groupBy("site_id").agg(F.count("*").alias("n"), F.round(F.max("v"), 5).alias("top"), F.sort_array(F.collect_list(F.when(F.col("v") > 80, F.col("event_id")))).alias("ids"))
     body = F.to_json(F.struct(F.col("site_id").alias("name"), F.struct("n", "top").alias("summary"), F.transform("ids", lambda i: F.struct(i.alias("id"))).alias("alerts")))
     text = F.when(F.col("site_id") % 7 == 0, F.substring(body, 1, 25)).otherwise(body)
-    parsed = r.select(F.from_json(text, "name long, summary struct<n:long,top:double>, alerts array<struct<id:long>>, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
-    return parsed.where("j._bad is null").select(F.col("j.name").alias("site_id"), "j.summary.n", "j.summary.top", F.size("j.alerts").alias("alerts"))
+    parsed = reads.readable_reports(r.select(text.alias("text")), "name long, summary struct<n:long,top:double>, alerts array<struct<id:long>>")
+    return parsed.select(F.col("name").alias("site_id"), "summary.n", "summary.top", F.size("alerts").alias("alerts"))
 
 
 def saved_reports(spark, sf):
@@ -137,28 +136,25 @@ def merged_baselines(spark, sf):
     obs = views.observations(spark, sf).select("event_id", "site_id", "kind", "observed_at", "v")
     stored = obs.where("kind <> 'insar_los' and event_id % 3 <> 0")
     earlier = obs.where("kind = 'velocity'").withColumn("observed_at", F.col("observed_at") - F.expr("INTERVAL 365 DAYS")).withColumn("event_id", -F.col("event_id") - 1)
-    late = obs.where("kind = 'insar_los'")
-    both = stored.unionByName(earlier).unionByName(late).unionByName(obs.where("event_id % 3 = 1 and kind <> 'insar_los'"))
-    rows = tables.latest(both, ["event_id"], F.col("observed_at"))
+    rows = reads.merged_baselines(stored, earlier, obs.where("kind = 'insar_los'"), obs.where("event_id % 3 = 1 and kind <> 'insar_los'"), keys=["event_id"], at="observed_at")
     return rows.groupBy("site_id", "kind").agg(F.count("*").alias("n"), F.date_format(F.min("observed_at"), "yyyy-MM-dd").alias("first"))
 
 
 def outlet_points(spark, sf):
     """Where a flood would start: the lowest point that a site's attributes name, else the site itself; and its area's box."""
-    k = F.col("site_id")
-    attrs = F.when(k % 3 == 0, F.to_json(F.struct(F.array((F.col("lon") + 0.01).alias("x"), F.col("lat") - 0.01).alias("lowest_point")))).otherwise(F.lit("{}"))
-    point = F.from_json(attrs, "lowest_point array<double>")["lowest_point"]
+    attrs = F.when(F.col("site_id") % 3 == 0, F.to_json(F.struct(F.array((F.col("lon") + 0.01).alias("x"), F.col("lat") - 0.01).alias("lowest_point")))).otherwise(F.lit("{}"))
     box = F.coalesce(F.when(F.col("aoi") % 4 == 0, F.lit(84.0)), F.lit(85.0))
-    return views.sites(spark, sf).select("site_id", F.round(F.coalesce(point[0], "lon"), 6).alias("lon"), F.round(F.coalesce(point[1], "lat"), 6).alias("lat"), box.alias("west"))
+    out = reads.outlets(views.sites(spark, sf).withColumn("attrs", attrs))
+    return out.select("site_id", *six("lon", "lat"), box.alias("west"))
 
 
 def curated_features(spark, sf):
-    """Features of a collection's text, and the points of those that have a name."""
+    """Features of collections' texts, a text for each thousand of an area, and the points of those that have a name."""
     a = views.assets(spark, sf)
     f = F.struct(F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 3), F.round("lat", 3)).alias("coordinates")).alias("geometry"), F.struct(F.when(F.col("asset_id") % 4 != 0, F.col("name")).alias("name"), "kind").alias("properties"))
-    text = a.groupBy("aoi").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(f).alias("features"))).alias("t"))
-    parsed = text.select("aoi", F.explode(F.from_json("t", "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<name:string,kind:string>>>")["features"]).alias("f"))
-    return parsed.where("f.properties.name is not null").groupBy("aoi", F.col("f.properties.kind").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("f.geometry.coordinates")[0]), 4).alias("lon"))
+    text = a.groupBy("aoi", F.floor(F.col("asset_id") / 1000)).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(f).alias("features"))).alias("text"))
+    out = reads.collected_features(text.select("aoi", "text"))
+    return out.groupBy("aoi", "kind").agg(F.count("*").alias("n"), F.round(F.sum("lon"), 4).alias("lon"))
 
 
 QUERIES = {f.__name__: f for f in (api_events, api_observations, site_details, hindcast_reports, saved_reports, alert_records, subscriber_records, parsed_times, top_movements, todo_list, redispatched_alerts, near_events, submitted_pairs, replayed, merged_baselines, outlet_points, curated_features)}
