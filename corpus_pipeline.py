@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. All stages but the last return the columns of ``documents``; ``doc_id`` stays through all of them, though
 the mix may hold a document more than once.
+
+Nulls, repeats, empty tables: null and empty texts have too few words, so the quality rules reject them; a null id is never a
+near duplicate, so its row stays; rows that share an id stay or go together in the Jaccard stage and are drawn one by one in
+the mix; a null source is one source, last in order; an empty table gives an empty result of the same columns. Other columns
+of ``documents``, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
