@@ -104,23 +104,24 @@ def lakes(px: DataFrame, keys: list[str], pixel_m2: float, min_area: float, max_
     """Water regions (water, valid, z, slope, and core, ice_m at each pixel): area, centre, elevation and its range,
     elongation, quality, which falls with invalid pixels in the region and in a ring of ``ring`` pixels, the steepest slope
     within ``wall`` pixels, and the distance to ice. Regions whose centre is outside the core belong to another tile; those
-    farther than ``max_ice`` are left out."""
+    farther than ``max_ice`` are left out. Pixels outgrow what the planner expects of exploded scenes, so no side is collected
+    for a broadcast: all joins are merges of shuffled sides."""
     labelled = raster.regions(px.where("water").select(*keys, "row", "col"), keys)
     shaped = raster.region_shapes(labelled, keys).withColumn("area", F.col("pixels") * pixel_m2).withColumn("elongation", F.col("major") / F.greatest("minor", F.lit(1.0)))
-    height = labelled.join(px, [*keys, "row", "col"]).groupBy(*keys, "label").agg(F.median("z").alias("z"), (F.percentile("z", F.lit(0.9)) - F.percentile("z", F.lit(0.1))).alias("z_range"), F.min("ice_m").alias("ice_m"))
+    height = labelled.join(px.hint("merge"), [*keys, "row", "col"]).groupBy(*keys, "label").agg(F.median("z").alias("z"), (F.percentile("z", F.lit(0.9)) - F.percentile("z", F.lit(0.1))).alias("z_range"), F.min("ice_m").alias("ice_m"))
 
     def around(reach: int) -> DataFrame:
         near = raster.shifted(labelled, [*keys, "label"], reach, "label").select(*keys, "label", "row", "col").distinct()
-        return near.join(px.select(*keys, "row", "col", "valid", "slope"), [*keys, "row", "col"]).groupBy(*keys, "label")
+        return near.join(px.select(*keys, "row", "col", "slope").hint("merge"), [*keys, "row", "col"]).groupBy(*keys, "label")
 
     grown = labelled.select(*keys, "label", "row", "col")
     for _ in range(ring):
         grown = dilated(grown, [*keys, "label"])
-    seen = grown.join(px.select(*keys, "row", "col", "valid"), [*keys, "row", "col"]).groupBy(*keys, "label").agg((1 - F.avg((~F.col("valid")).cast("double"))).alias("quality"))
+    seen = grown.join(px.select(*keys, "row", "col", "valid").hint("merge"), [*keys, "row", "col"]).groupBy(*keys, "label").agg((1 - F.avg((~F.col("valid")).cast("double"))).alias("quality"))
     steep = around(wall).agg(F.max("slope").alias("wall_slope"))
     centre = px.where("core").select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"))
-    out = shaped.join(height, [*keys, "label"]).join(seen, [*keys, "label"]).join(steep, [*keys, "label"])
-    out = out.withColumn("_r", F.floor(F.col("row") + 0.5).cast("int")).withColumn("_c", F.floor(F.col("col") + 0.5).cast("int")).join(centre, [*keys, "_r", "_c"], "left_semi").drop("_r", "_c")
+    out = shaped.join(height.hint("merge"), [*keys, "label"]).join(seen.hint("merge"), [*keys, "label"]).join(steep.hint("merge"), [*keys, "label"])
+    out = out.withColumn("_r", F.floor(F.col("row") + 0.5).cast("int")).withColumn("_c", F.floor(F.col("col") + 0.5).cast("int")).join(centre.hint("merge"), [*keys, "_r", "_c"], "left_semi").drop("_r", "_c")
     fine = (F.col("area") >= min_area) & ((F.col("elongation") <= max_elongation) | (F.col("area") >= 50 * min_area))
     return out.where(fine if max_ice is None else fine & (F.col("ice_m") <= max_ice))
 

@@ -125,7 +125,8 @@ def regions(px: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
     own = saved(rows.repartition("_block").sortWithinPartitions("_block", "row", "col").mapInArrow(blocks_labelled, f"{kinds}, label long"))
     rim = lambda c: (F.col(c) % BLOCK == 0) | (F.col(c) % BLOCK == BLOCK - 1)
     border = own.where(rim("row") | rim("col"))
-    near = shifted(border, keys, 1, "label").where("dr <> 0 or dc <> 0").join(border, [*keys, "row", "col"]).where(F.col("_n") != F.col("label"))
+    over = lambda c, d: F.floor(F.col(c) / size) != F.floor((F.col(c) - F.col(d)) / size)
+    near = shifted(border, keys, 1, "label").where(over("row", "dr") | over("col", "dc")).join(border.hint("merge"), [*keys, "row", "col"]).where(F.col("_n") != F.col("label"))
     edges = saved(near.select(*keys, F.col("label").alias("a"), F.col("_n").alias("b")).distinct())
     if edges.isEmpty():
         return own
