@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import place_name
-from .joins import best_match, close_pairs, events_before, nearest
+from .joins import BOX, best_match, close_pairs, events_before, nearest
 from .stats import weighted_mean
 from .tables import latest, numbered
 
@@ -37,7 +37,7 @@ def moved_near(lakes: DataFrame, events: DataFrame, days: float, degrees: float,
     both = box(lakes.select("id", "at", "lon", "lat").withColumn("who", F.lit("lake")), 0.0).unionByName(box(sure.select("id", "at", "lon", "lat").withColumn("who", F.lit("event")), degrees))
     both = both.withColumn("id", F.when(F.col("who") == "lake", F.col("id")).otherwise(-1 - F.col("id")))
     pairs = events_before(both, max(0.05, 2 * degrees), days, (), (F.col("l_who") == "lake") & (F.col("r_who") == "event"))
-    return lakes.join(pairs.select(F.col("l_id").alias("id")), "id", "left_semi")
+    return lakes.join(pairs.select(F.col("l_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def lake_decisions(lakes: DataFrame, near: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def created(new: DataFrame, places: DataFrame, existing: DataFrame, max_km: floa
 def matched_or_new(events: DataFrame, sites: DataFrame, pad: float, bucket: float) -> DataFrame:
     """Each event (id, box) with the site whose box shares the most with it, or null: a new site is due."""
     wide = events.select("id", (F.col("x0") - pad).alias("x0"), (F.col("y0") - pad).alias("y0"), (F.col("x1") + pad).alias("x1"), (F.col("y1") + pad).alias("y1"))
-    return events.join(best_match(wide, sites, bucket, "id", "site_id").select("id", F.col("match").alias("site_id")), "id", "left")
+    return events.join(best_match(wide, sites.select("site_id", *BOX), bucket, "id", "site_id").select("id", F.col("match").alias("site_id")), "id", "left")
 
 
 def cell_site_observations(members: DataFrame, rows: DataFrame) -> DataFrame:
