@@ -4,7 +4,8 @@ A shape (id, rings) has closed rings of (lon, lat) structs: its outline, further
 number of edges crosses the line to its right. A cover names the cells that a shape touches: those that an edge passes are
 border cells, the others lie inside as a whole. Points meet shapes by an equi-join on cells; only points in border cells
 are tested, with the edges of their row of cells, by the same arithmetic as a test against all edges. Work follows the
-number of edges and cells; nothing compares all points with all shapes.
+number of edges and cells; nothing compares all points with all shapes. Cells outgrow what the planner expects of shapes, so
+joins with them are merges, never broadcasts.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def cover(shapes: DataFrame, size: float) -> DataFrame:
     spans = rows.select("id", "by", F.explode(F.transform(F.sequence(F.lit(0), (F.size("x") / 2).cast("int") - 1), lambda i: F.struct(F.get("x", 2 * i).alias("a"), F.get("x", 2 * i + 1).alias("b")))).alias("s"))
     first, last = F.ceil(F.col("s.a") / size - 0.5), F.floor(F.col("s.b") / size - 0.5)
     inner = spans.where(first <= last).select("id", F.explode(F.sequence(first, last)).alias("bx"), "by").distinct()
-    inner = inner.join(border, ["id", "bx", "by"], "left_anti")
+    inner = inner.join(border.hint("merge"), ["id", "bx", "by"], "left_anti")
     return border.withColumn("border", F.lit(True)).unionByName(inner.withColumn("border", F.lit(False)))
 
 
@@ -76,12 +77,12 @@ def inside(points: DataFrame, shapes: DataFrame, size: float, keys: tuple[str, .
     """``points`` (lon, lat, ...) with the ``id`` of each shape that they lie in. ``keys`` are columns of both sides that must be
     equal; shapes with several parts or holes are one row. Places that are null lie nowhere."""
     sides = edges(shapes)
-    cells = cover(shapes, size).join(row_sides(sides, size), ["id", "by"], "left")
+    cells = cover(shapes, size).join(row_sides(sides, size).hint("merge"), ["id", "by"], "left")
     cells = cells.select("id", "bx", "by", "border", F.when(F.col("border"), F.col("sides")).alias("sides"))
     if keys:
         cells = cells.join(shapes.select("id", *keys), "id")
     placed = points.withColumn("bx", bucket(F.col("lon"), size)).withColumn("by", bucket(F.col("lat"), size))
-    met = placed.join(cells, ["bx", "by", *keys])
+    met = placed.join(cells.hint("merge"), ["bx", "by", *keys])
     return met.where(~F.col("border") | crossed(F.col("sides"), F.col("lon"), F.col("lat"))).drop("bx", "by", "border", "sides")
 
 
@@ -103,9 +104,9 @@ def shared_cells(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
         own = cover(shapes, size)
         sides = row_sides(edges(shapes), size)
         x, y = (F.col("bx") + 0.5) * size, (F.col("by") + 0.5) * size
-        return own.join(sides, ["id", "by"], "left").where(~F.col("border") | crossed(F.col("sides"), x, y)).select(F.col("id").alias(name), "bx", "by")
+        return own.join(sides.hint("merge"), ["id", "by"], "left").where(~F.col("border") | crossed(F.col("sides"), x, y)).select(F.col("id").alias(name), "bx", "by")
 
-    return middles(left, "l_id").join(middles(right, "r_id"), ["bx", "by"]).groupBy("l_id", "r_id").agg(F.count("*").alias("cells"))
+    return middles(left, "l_id").join(middles(right, "r_id").hint("merge"), ["bx", "by"]).groupBy("l_id", "r_id").agg(F.count("*").alias("cells"))
 
 
 def best_shared(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
