@@ -77,11 +77,13 @@ def missing_glacier_sites(spark, sf):
 
 def renewed_exposures(spark, sf):
     """Exposures of some sites computed anew in place of the old ones; sites that were never computed are named."""
-    near = joins.close_pairs(views.sites(spark, sf).select("site_id", "lon", "lat"), views.assets(spark, sf).select("asset_id", "lon", "lat"), 3.0)
-    rows = near.select(F.col("l_site_id").alias("site_id"), F.col("r_asset_id").alias("asset_id"), F.round("km", 3).alias("km"))
+    at = joins.classes(views.assets(spark, sf), "asset_id", ["lon", "lat"])
+    near = joins.close_pairs(views.sites(spark, sf).select("lon", "lat").distinct(), at, 3.0)
+    places = near.select(F.col("l_lon").alias("lon"), F.col("l_lat").alias("lat"), F.col("r_n").alias("assets"), F.round("km", 3).alias("km"))
+    rows = views.sites(spark, sf).select("site_id", "lon", "lat").join(places, ["lon", "lat"]).select("site_id", "assets", "km")
     old, new = rows.where("site_id % 4 <> 0 and km < 2"), rows.where("site_id % 3 = 0")
-    todo = views.sites(spark, sf).join(old.select("site_id"), "site_id", "left_anti").select("site_id", F.lit(True).alias("todo"))
-    g = inventory.replaced(old, new, "site_id").groupBy("site_id").agg(F.count("*").alias("n"), F.max("km").alias("far"))
+    todo = views.sites(spark, sf).join(old.select("site_id").distinct(), "site_id", "left_anti").select("site_id", F.lit(True).alias("todo"))
+    g = inventory.replaced(old, new, "site_id").groupBy("site_id").agg(F.sum("assets").alias("n"), F.max("km").alias("far"))
     return g.join(todo, "site_id", "left").select("site_id", "n", "far", F.coalesce("todo", F.lit(False)).alias("todo"))
 
 

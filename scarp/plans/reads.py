@@ -36,8 +36,8 @@ def site_details(spark, sf):
     obs = views.observations(spark, sf)
     last = obs.groupBy("site_id").agg(F.max_by(F.struct("event_id", F.round("v", 6).alias("v")), F.struct("observed_at", "event_id")).alias("last"))
     newest = tables.top_by(obs.where("v > 60"), ["site_id"], 10, F.col("observed_at").desc(), F.col("event_id").desc()).groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("place", "event_id"))).alias("a"))
-    near = joins.close_pairs(s.select("site_id", "lon", "lat"), views.assets(spark, sf).select("asset_id", "lon", "lat"), 5.0).select(F.col("l_site_id").alias("site_id"), F.col("r_asset_id").alias("asset_id"), F.round("km", 6).alias("km"))
-    few = tables.top_by(near, ["site_id"], 3, F.col("km"), F.col("asset_id")).groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("place", "asset_id"))).alias("x"))
+    near = joins.nearest_few(s, views.assets(spark, sf), 5.0, 3, "site_id", "asset_id")
+    few = near.groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("place", "asset_id"))).alias("x"))
     ids = lambda c, f: F.array_join(F.transform(c, lambda r: r[f].cast("string")), ",")
     out = s.join(last, "site_id", "left").join(newest, "site_id", "left").join(few, "site_id", "left")
     return out.select("code", "kind", "level", F.col("last.event_id").alias("event_id"), F.col("last.v").alias("v"), F.coalesce(ids("a", "event_id"), F.lit("")).alias("alerts"), F.coalesce(ids("x", "asset_id"), F.lit("")).alias("assets"))
