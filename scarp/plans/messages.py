@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases as P
 from ..functions import scalars as S
-from ..operators import alerts, joins
+from ..operators import alerts, joins, tables
 from ..sources import views
 
 URL = "https://example.org/map"
+#: A number that no fact of any sheet holds.
+NO_FACT = "98765432109876"
 _CODES = tuple(P.REASON)
 _VALUES = {c: (0.37, 12.3, 21.7, 151.0, 37.2, 0.26, 1.0, 2.71, 0.83, 3.0, 433.0, 0.314, 31.6, 0.159, 3.49, 61.2)[k] for k, c in enumerate(_CODES)}
 
@@ -26,12 +28,20 @@ def _sheets(spark, sf):
     value = F.create_map(*[F.lit(x) for p in _VALUES.items() for x in p])
     rows = s.select("site_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("j")).withColumn("code", F.get(F.array(*[F.lit(c) for c in _CODES]), ((F.col("site_id") + F.col("j") * 5) % 16).cast("int")))
     rows = rows.select("site_id", "code", value[F.col("code")].alias("value"), ((F.col("site_id") * 7 + F.col("j") * 31) % 100 / 100.0 + 0.001).alias("contribution"))
-    near = joins.close_pairs(s.select("site_id", "aoi", "lon", "lat"), views.assets(spark, sf), 20.0, ("aoi",))
-    exposed = near.select(F.col("l_site_id").alias("site_id"), F.col("r_kind").alias("kind"), F.when(F.col("r_asset_id") % 7 != 0, F.col("r_name")).otherwise("").alias("name_en"), F.when(F.col("r_asset_id") % 3 == 0, F.lit("गाउँ")).otherwise("").alias("name_ne"), (F.round("km", 4) * 1000 / 8 / 60).alias("minutes"), F.round("km", 4).alias("km"))
+    n = F.col("asset_id")
+    named = views.assets(spark, sf).select("kind", "aoi", "lon", "lat", F.when(n % 7 != 0, F.col("name")).otherwise("").alias("name_en"), F.when(n % 3 == 0, F.lit("गाउँ")).otherwise("").alias("name_ne")).where("name_en <> '' or name_ne <> ''")
+    # Of one kind at one place only the first names can be among a site's first places, and sites at one place share theirs.
+    few = tables.top_by(named, ["kind", "aoi", "lon", "lat"], alerts.MOST_PLACES, F.col("name_en"), F.col("name_ne")).drop("place")
+    near = joins.close_pairs(s.select("aoi", "lon", "lat").distinct(), few, 20.0, ("aoi",))
+    near = near.select(F.col("l_aoi").alias("aoi"), F.col("l_lon").alias("lon"), F.col("l_lat").alias("lat"), F.col("r_kind").alias("kind"), F.col("r_name_en").alias("name_en"), F.col("r_name_ne").alias("name_ne"), (F.round("km", 4) * 1000 / 8 / 60).alias("minutes"), F.round("km", 4).alias("km"))
+    first = tables.top_by(near, ["aoi", "lon", "lat"], alerts.MOST_PLACES, *alerts.order_of_places()).drop("place")
+    exposed = s.select("site_id", "aoi", "lon", "lat").join(first, ["aoi", "lon", "lat"]).drop("aoi", "lon", "lat")
     told = alerts.reasons(rows, ["site_id"])
     empty = F.array().cast("array<struct<code:string,text_en:string,text_ne:string>>")
     out = alerts.fact_sheets(a.join(told, "site_id", "left"), exposed)
-    return out.withColumn("reasons", F.coalesce("reasons", empty)).withColumn("places", F.coalesce("places", F.array().cast(alerts.PLACES)))
+    out = out.withColumn("reasons", F.coalesce("reasons", empty)).withColumn("places", F.coalesce("places", F.array().cast(alerts.PLACES)))
+    # Sheets are few and small, their texts are the work: they are spread over all cores, not by size.
+    return out.repartition(4 * spark.sparkContext.defaultParallelism, "site_id")
 
 
 def alert_messages(spark, sf):
@@ -50,8 +60,8 @@ def message_issues(spark, sf):
     """The validator on the sheets' own texts, some of which are spoilt in one way each."""
     k = F.col("site_id")
     spoilt = {
-        "title_en": F.when(k % 10 == 1, F.lit("")).when(k % 10 == 2, F.concat("title_en", F.lit(" 987"))).otherwise(F.col("title_en")),
-        "body_en": F.when(k % 10 == 3, F.replace("body_en", F.lit("1155"), F.lit("1"))).when(k % 10 == 4, F.concat("body_en", F.lit(" It is safe to stay. https://elsewhere.example/x"))).otherwise(F.col("body_en")),
+        "title_en": F.when(k % 10 == 1, F.lit("")).when(k % 10 == 2, F.concat("title_en", F.lit(f" {NO_FACT}"))).otherwise(F.col("title_en")),
+        "body_en": F.when(k % 10 == 3, F.replace("body_en", *[F.lit(P.FOOTER["en"].replace("{hotline}", h)) for h in ("1155", "1")])).when(k % 10 == 4, F.concat("body_en", F.lit(" It is safe to stay. https://elsewhere.example/x"))).otherwise(F.col("body_en")),
         "body_ne": F.when(k % 10 == 5, F.col("body_en")).otherwise(F.col("body_ne")),
         "sms_ne": F.when(k % 10 == 6, F.lit("केही छैन")).otherwise(F.col("sms_ne")),
         "title_ne": F.when(k % 10 == 6, F.lit("केही छैन")).otherwise(F.col("title_ne")),
