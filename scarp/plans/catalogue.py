@@ -143,11 +143,12 @@ ORACLES = {
  SELECT external_id, arg_min(kind, k) AS kind, round(arg_min(lon, k), 4) AS lon, round(arg_min(lat, k), 4) AS lat, arg_min(name, k) AS name, arg_min(name_ne, k) AS name_ne FROM fe WHERE kind IS NOT NULL AND lon IS NOT NULL GROUP BY 1""",
     "item_acquisitions": """WITH i AS (SELECT o_orderkey AS key, 'S2' || substr('ABC', (o_orderkey % 3)::INTEGER + 1, 1) AS platform, o_orderdate AS "at", CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 4 END AS orbit, 'S2A_T' || o_custkey % 50 || printf('_R%03d_', o_orderkey % 143) AS base, strftime(o_orderdate, '%Y%m%dT%H%M%S') AS tail, CASE WHEN o_orderkey % 6 <> 0 THEN (floor(o_totalprice)::BIGINT % 100)::DOUBLE END AS cloud FROM orders),
  u AS (SELECT key, platform, "at", orbit, base || tail AS id, base, cloud FROM i UNION ALL SELECT key, platform, "at", orbit, base || tail[:9] || '120000', base, 50.0 FROM i WHERE key % 3 = 0),
- d AS (SELECT platform, "at"::DATE AS day, orbit, rtrim(base, '_') AS tile, arg_max(cloud, id) AS c0, list(CASE WHEN cloud IS NULL THEN -1 ELSE cloud END ORDER BY id DESC)[1] AS cloud, arg_max("at", id) AS "at" FROM u GROUP BY 1, 2, 3, 4),
+ d AS (SELECT platform, "at"::DATE AS day, orbit, rtrim(base, '_') AS tile, arg_max(coalesce(cloud, -1), (id, "at", coalesce(cloud, -1))) AS cloud, arg_max("at", (id, "at", coalesce(cloud, -1))) AS "at" FROM u GROUP BY 1, 2, 3, 4),
  a AS (SELECT platform, day, orbit, count(*) AS items, avg(CASE WHEN cloud >= 0 THEN cloud END) AS cloud, ((epoch_us(min("at")) + epoch_us(max("at"))) // 2)::BIGINT AS middle FROM d GROUP BY 1, 2, 3)
  SELECT 'S2_' || platform || '_' || strftime(make_timestamp(middle), '%Y%m%dT%H%M') || '_' || CASE WHEN orbit IS NULL THEN 'Rxxx' ELSE printf('R%03d', orbit) END AS code, items, round(cloud, 6) AS cloud, middle FROM a""",
-    "acquisition_suns": """WITH i AS (SELECT 'P' || o_orderkey % 3 AS platform, (o_orderkey % 4)::INTEGER AS orbit, o_orderdate::DATE AS d, o_custkey % 50 AS tile, o_orderkey % 143 AS r, o_orderdate AS "at", CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 360)::DOUBLE END AS az, CASE WHEN o_orderkey % 3 <> 0 THEN 40.0::DOUBLE END AS el FROM orders)
- SELECT platform, orbit, strftime(d, '%Y-%m-%d') AS day, round(avg(az), 6) AS sun_azimuth, round(avg(el), 6) AS sun_elevation FROM i GROUP BY 1, 2, d""",
+    "acquisition_suns": """WITH i AS (SELECT 'P' || o_orderkey % 3 AS platform, (o_orderkey % 4)::INTEGER AS orbit, o_orderdate::DATE AS d, o_custkey % 50 AS tile, o_orderkey % 143 AS r, o_orderdate AS "at", CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 360)::DOUBLE END AS az, CASE WHEN o_orderkey % 3 <> 0 THEN 40.0::DOUBLE END AS el, strftime(o_orderdate, '%H%M%S') AS t, floor(o_totalprice)::BIGINT % 100 AS cloud FROM orders),
+ k AS (SELECT *, row_number() OVER (PARTITION BY platform, orbit, d, tile, r ORDER BY t DESC, "at" DESC, cloud DESC, coalesce(el, -1) DESC, coalesce(az, -1) DESC) AS n FROM i)
+ SELECT platform, orbit, strftime(d, '%Y-%m-%d') AS day, round(avg(az), 6) AS sun_azimuth, round(avg(el), 6) AS sun_elevation FROM k WHERE n = 1 GROUP BY 1, 2, d""",
     "elevation_hrefs": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'd' || o_orderkey ELSE 't' || o_orderkey END AS href FROM orders",
     "named_bands": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'red,nir' ELSE 'red,swir16' END AS bands FROM orders".replace("'red,nir'", "'nir,red'"),
     "slc_scenes": f"WITH {views.ACQ} SELECT key, orbit, key % 8 AS frame, row_number() OVER (PARTITION BY orbit, key % 8 ORDER BY acquired_at, key)::INTEGER AS place FROM acq WHERE sensor = 'S1' AND acquired_at BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-09-01'",

@@ -52,9 +52,10 @@ def normalised(items: DataFrame) -> DataFrame:
 
 
 def without_reprocessed(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Of products of one key that differ only in the time that ends their id, the last; all columns."""
+    """Of products of one key that differ only in the time that ends their id, the last; all columns. Of equal ids the row
+    whose other columns are largest, in their order (nulls are smallest)."""
     tile = F.regexp_replace("id", r"_\d{8}T\d{6}$", "").alias("_tile")
-    return items.groupBy(*keys, tile).agg(F.max_by(F.struct(*items.columns), "id").alias("r")).select("r.*")
+    return items.groupBy(*keys, tile).agg(F.max_by(F.struct(*items.columns), F.struct("id", *[c for c, t in items.dtypes if not t.startswith("map")])).alias("r")).select("r.*")
 
 
 def acquisitions(items: DataFrame) -> DataFrame:
