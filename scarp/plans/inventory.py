@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detection, inventory, joins, reads, stats, tables
 from ..sources import views
-from .statistics import CELL_AS_OF, SEASONAL_SQL, as_of, six
+from .statistics import CELL_AS_OF, SEASONAL_SQL, as_of, settled_sql, six
 from .detections import labels_sql
 
 
@@ -105,7 +105,7 @@ def _anomalies(spark, sf):
     """Cells on a lattice with their anomaly; weak ones count here, as the table's speeds are drawn at random."""
     out = stats.anomaly(views.cell_velocities(spark, sf), ["cell"], as_of(CELL_AS_OF), recent_days=40, half_season=30, fallback=(60, 300))
     out = out.where(stats.significant(z=-0.5, ratio=0.5, orbits=1))
-    return out.select((F.col("cell") % 1).alias("aoi"), F.floor(F.col("cell") / 10).cast("int").alias("row"), (F.col("cell") % 10).cast("int").alias("col"), "cell", F.round("z", 6).alias("z"), F.round("ratio", 6).alias("ratio"))
+    return out.select((F.col("cell") % 1).alias("aoi"), F.floor(F.col("cell") / 10).cast("int").alias("row"), (F.col("cell") % 10).cast("int").alias("col"), "cell", stats.settled(F.col("z")).alias("z"), stats.settled(F.col("ratio")).alias("ratio"))
 
 
 def cell_anomaly_sites(spark, sf):
@@ -220,7 +220,7 @@ ORACLES = {
     "renewed_exposures": f"WITH {views.SITES}, {views.ASSETS}, r AS (SELECT site_id, asset_id, round({_KM.format(a='s', b='a')}, 3) AS km FROM site s JOIN asset a ON {_KM.format(a='s', b='a')} < 3), o AS (SELECT * FROM r WHERE site_id % 4 <> 0 AND km < 2), n AS (SELECT * FROM r WHERE site_id % 3 = 0), b AS (SELECT * FROM o WHERE site_id NOT IN (SELECT site_id FROM n) UNION ALL SELECT * FROM n) SELECT site_id, count(*) AS n, max(km) AS far, site_id NOT IN (SELECT site_id FROM o) AS todo FROM b GROUP BY 1",
     "upserted_cells": f"WITH {views.CELLS} SELECT cell, count(*) AS n, round(sum(CASE WHEN n > 40 THEN v + 1 ELSE v END), 5) AS v FROM (SELECT cell, pair_key, max(v) AS v, max(n) AS n FROM cellv GROUP BY 1, 2) GROUP BY 1",
     "appended_events": f"WITH {CHANGES} SELECT scene_key, count(*) AS n, round(sum(round(area, 2)), 1) AS area FROM ch WHERE id % 3 <> 0 OR id % 2 = 0 GROUP BY 1",
-    "cell_anomaly_sites": f"""{_SEASONAL.replace('WITH ', 'WITH RECURSIVE ' + views.SITES + ', ', 1)}, hot AS (SELECT 0 AS scene, (cell // 10)::INTEGER AS row, (cell % 10)::INTEGER AS col, cell, round(z, 6) AS z, round(ratio, 6) AS ratio FROM done WHERE z >= -0.5 AND v_recent >= 0.05 AND ratio >= 0.5 AND orbits >= 1),
+    "cell_anomaly_sites": f"""{_SEASONAL.replace('WITH ', 'WITH RECURSIVE ' + views.SITES + ', ', 1)}, hot AS (SELECT 0 AS scene, (cell // 10)::INTEGER AS row, (cell % 10)::INTEGER AS col, cell, {settled_sql("z, ratio")} FROM done WHERE round(z, 9) >= -0.5 AND round(v_recent, 9) >= 0.05 AND round(ratio, 9) >= 0.5 AND orbits >= 1),
  fr AS (SELECT * FROM hot WHERE cell NOT IN (SELECT site_id FROM site WHERE kind = 'slope' AND level = 'high')), {labels_sql("fr")}, j AS (SELECT label AS cluster, fr.*, 15::DOUBLE + cell % 25 AS slope, 3000::DOUBLE + cell * 13 % 700 AS height FROM l JOIN fr USING (scene, row, col))
  SELECT cluster, count(*) AS cells, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, round(avg(slope), 6) AS slope, min(height) AS low, max(height) AS high, median(height) AS middle, arg_max(cell, (z, -cell)) AS best_cell, max(z) AS z, arg_max(ratio, (z, -cell)) AS ratio FROM j GROUP BY 1""",
     "cell_site_pairs": f"""WITH {views.CELLS}, r AS (SELECT cell // 5 AS site_id, strftime(pair_end, '%Y%m%d') AS pair_key, v, greatest(se, 0.001) AS s, n FROM cellv WHERE pair_end BETWEEN TIMESTAMP '{CELL_AS_OF}' - INTERVAL 400 DAYS AND TIMESTAMP '{CELL_AS_OF}'), m AS (SELECT *, abs(v - median(v) OVER (PARTITION BY site_id, pair_key)) <= 99 * s + 1e-9 AS keep FROM r),
