@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, phrases, scalars, spectral
-from ..operators import alerts, joins, reads, tables
+from ..operators import alerts, joins, reads, stats, tables
 from ..sources import views
 from .inventory import CHANGES, _changes
 from .pixels import BANDS, _bands
@@ -55,7 +55,7 @@ def hindcast_reports(spark, sf):
 
 def saved_reports(spark, sf):
     """Reports of sites as compact text, all numbers rounded to five places."""
-    r5 = lambda c: F.round(c, 5)
+    r5 = lambda c: stats.settled(F.col(c) if isinstance(c, str) else c, 5)
     g = views.observations(spark, sf).groupBy("site_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.sort_array(F.collect_list(F.when(F.col("v") > 95, F.col("v")))).alias("top"))
     return g.select("site_id", F.to_json(F.struct("n", r5("mean").alias("mean"), F.transform("top", r5).alias("top"))).alias("report"))
 
@@ -167,7 +167,7 @@ ORACLES = {
  n AS (SELECT site_id, asset_id, row_number() OVER (PARTITION BY site_id ORDER BY round({_KMS.format(a='s', b='t')}, 6), asset_id) AS k FROM site s JOIN asset t ON {_KMS.format(a='s', b='t')} < 5), x AS (SELECT site_id, string_agg(asset_id, ',' ORDER BY k) AS assets FROM n WHERE k <= 3 GROUP BY 1)
  SELECT code, kind, level, event_id, v, coalesce(alerts, '') AS alerts, coalesce(assets, '') AS assets FROM site LEFT JOIN l USING (site_id) LEFT JOIN a USING (site_id) LEFT JOIN x USING (site_id)""",
     "hindcast_reports": f"WITH {views.OBS} SELECT site_id, count(*) AS n, round(max(v), 5) AS top, count(CASE WHEN v > 80 THEN 1 END)::INTEGER AS alerts FROM obs WHERE site_id % 7 <> 0 GROUP BY 1",
-    "saved_reports": f"WITH {views.OBS}, g AS (SELECT site_id, count(*) AS n, round(avg(v), 5) AS mean, string_agg(CASE WHEN v > 95 THEN round(v, 5) END, ',' ORDER BY v) AS top FROM obs GROUP BY 1) SELECT site_id, '{{\"n\":' || n || ',\"mean\":' || mean || ',\"top\":[' || coalesce(top, '') || ']}}' AS report FROM g",
+    "saved_reports": f"WITH {views.OBS}, g AS (SELECT site_id, count(*) AS n, floor(avg(v) * 100000 + 0.5001::DOUBLE) / 100000 AS mean, string_agg(CASE WHEN v > 95 THEN floor(v * 100000 + 0.5001::DOUBLE) / 100000 END, ',' ORDER BY v) AS top FROM obs GROUP BY 1) SELECT site_id, '{{\"n\":' || n || ',\"mean\":' || mean || ',\"top\":[' || coalesce(top, '') || ']}}' AS report FROM g",
     "alert_records": f"WITH {views.ACQ}, {views.SITES}, a AS (SELECT key AS uid, orbit + 1 + key % 90 AS site_id, CASE WHEN status = 'pending' THEN 'pending_review' ELSE 'dispatched' END AS status, acquired_at FROM acq), r AS (SELECT uid, code, status, kind, acquired_at, row_number() OVER (PARTITION BY code, status ORDER BY acquired_at DESC, uid DESC)::INTEGER AS place FROM a JOIN site USING (site_id)) SELECT uid, code, status, place, CASE kind WHEN 'glacial_lake' THEN 'glacial lake outburst flood (GLOF)' WHEN 'glacier' THEN 'ice avalanche and debris flood' WHEN 'barrier_lake' THEN 'flood from a breaching landslide dam' WHEN 'landslide' THEN 'landslide and debris flow' ELSE 'flood' END AS hazard, strftime(acquired_at, '%Y-%m-%dT%H:%M:%SZ') AS issued FROM r WHERE place <= 200",
     "subscriber_records": f"WITH {views.SUBS}, s AS (SELECT *, 'n' || sub_id // 2 AS name, row_number() OVER (PARTITION BY sub_id // 2 ORDER BY sub_id DESC) AS k FROM sub WHERE sub_id % 4 = 0 OR sub_id % 6 <> 0) SELECT name, sub_id, language, min_level, active, sub_id % 4 <> 0 AS bounded FROM s WHERE k = 1",
     "parsed_times": f"WITH {views.ACQ} SELECT key, epoch_us(date_trunc('second', acquired_at)) AS micros FROM acq",
