@@ -235,7 +235,7 @@ def thinned_lines(lines: DataFrame, tolerance: float) -> DataFrame:
                 x, y = points[k]["x"], points[k]["y"]
                 t = 0.0 if length == 0 else max(0.0, min(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / length**2))
                 d = math.hypot(x - x0 - t * (x1 - x0), y - y0 - t * (y1 - y0))
-                if d > far:
+                if d > far + (0.0 if at is None else tolerance / 1000):  # of equally far points the first, a corner
                     far, at = d, k
             if at is not None:
                 keep.add(at)

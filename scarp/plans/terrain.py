@@ -311,5 +311,6 @@ ORACLES = {
     "cell_polygons": f"""WITH c AS (SELECT DISTINCT l_suppkey % 40 AS r, l_suppkey // 40 % 40 AS c FROM lineitem), b AS (SELECT r, c, least({", ".join(x[0] for x in _CC)}) AS x0, least({", ".join(x[1] for x in _CC)}) AS y0, greatest({", ".join(x[0] for x in _CC)}) AS x1, greatest({", ".join(x[1] for x in _CC)}) AS y1 FROM c),
  j AS (SELECT *, '{{"type":"Polygon","coordinates":[[[' || array_to_string(list_transform([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]], lambda p: round(p[1], 5) || ',' || round(p[2], 5)), '],[') || ']]]}}' AS json FROM b) SELECT r || '_' || c AS cell, {r6("x0, y0, x1, y1")}, length(json)::INTEGER AS n, 350000.0::DOUBLE AS area_x1, 3060000.0::DOUBLE AS area_y0 FROM j""",
     # Of twenty points on each straight leg those at its ends are left, and none where two legs go on in one line.
-    "thinned_paths": f"WITH {views.SITES}, t AS (SELECT aoi, lag(lon) OVER w AS x0, lead(lon) OVER w AS x1, (lon - lag(lon) OVER w) * (lead(lat) OVER w - lat) - (lat - lag(lat) OVER w) * (lead(lon) OVER w - lon) AS turn FROM site WINDOW w AS (PARTITION BY aoi ORDER BY site_id)) SELECT aoi AS id, (2 + count(CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL AND abs(turn) > 1e-9 THEN 1 END))::INTEGER AS points FROM t GROUP BY 1 HAVING count(*) > 1",
+    # A point stays if the path turns there, or goes back on itself; stops at one place are one point.
+    "thinned_paths": f"WITH {views.SITES}, p AS (SELECT aoi, site_id, lon, lat, lag(lon) OVER w IS NULL OR lag(lon) OVER w <> lon OR lag(lat) OVER w <> lat AS moved, count(*) OVER (PARTITION BY aoi) AS n FROM site WINDOW w AS (PARTITION BY aoi ORDER BY site_id)), t AS (SELECT aoi, n, lag(lon) OVER w AS x0, lead(lon) OVER w AS x1, (lon - lag(lon) OVER w) * (lead(lat) OVER w - lat) - (lat - lag(lat) OVER w) * (lead(lon) OVER w - lon) AS turn, (lon - lag(lon) OVER w) * (lead(lon) OVER w - lon) + (lat - lag(lat) OVER w) * (lead(lat) OVER w - lat) < 0 AS back FROM p WHERE moved WINDOW w AS (PARTITION BY aoi ORDER BY site_id)) SELECT aoi AS id, (2 + count(CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL AND (abs(turn) > 1e-9 OR back) THEN 1 END))::INTEGER AS points FROM t GROUP BY 1 HAVING max(n) > 1",
 }
