@@ -58,7 +58,8 @@ def stream_alerts(spark, sf):
 
 
 def stream_expiries(spark, sf):
-    """Alerts that ended by themselves, when and at which level, as timers by event time tell them."""
+    """Alerts that ended by themselves, when and at which level: the watermark, as a timer by event time tells, or a later row of
+    their site has passed their expiry."""
     rows = _assessed(jobs.observations(spark, f"{sf}/events*.parquet", "1 hour"), "ts")
     out = jobs.run_to_table(lifecycle.alert_life(rows), settings=lifecycle.ROCKS)
     return out.where("kind = 'expired'").select("assessment_id", "site_id", "level", "expires")
@@ -72,7 +73,7 @@ ORACLES = {
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), c AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), n AS (SELECT user_id, k, count(*) AS n FROM c GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY 1",
     "stream_first": "SELECT event_id, event_type FROM events",
     "stream_alerts": f"{_DECIDED} SELECT assessment_id, site_id, level, kind, previous_level, superseded, status FROM decided",
-    "stream_expiries": f"""{_DECIDED}, e AS (SELECT assessment_id, site_id, level, pexp AS expires, lead(pat) OVER (PARTITION BY site_id ORDER BY n) AS next, (SELECT max(epoch_us(ts)) - 3600000000 FROM events) AS seen FROM decided)
- SELECT assessment_id, site_id, level, expires FROM e WHERE level <> 'high' AND (next > expires OR next IS NULL AND expires < seen)""",
+    "stream_expiries": f"""{_DECIDED}, e AS (SELECT assessment_id, site_id, level, pexp AS expires, lead(pat) OVER (PARTITION BY site_id ORDER BY n) AS next, (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events) AS seen FROM decided), l AS (SELECT site_id, max("at") AS newest FROM src GROUP BY 1)
+ SELECT assessment_id, site_id, level, expires FROM e JOIN l USING (site_id) WHERE level <> 'high' AND (next > expires OR next IS NULL AND (expires < seen OR expires < newest))""",
     "stream_latest": "SELECT user_id, event_type, max(event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1, 2",
 }
