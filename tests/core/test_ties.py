@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 
 import duckdb
 from pyspark.sql import functions as F
 from scarp.functions import phrases as P
-from scarp.operators import alerts, stats
+from scarp.operators import alerts, risk, stats
 from scarp.plans import messages, terrain
 from scarp.sources import catalogue
 
@@ -42,3 +43,14 @@ def test_the_hotline_is_a_number_of_its_own(spark):
     empty = {"reasons": F.array().cast("array<struct<code:string,text_en:string,text_ne:string>>"), "places": F.array().cast(alerts.PLACES)}
     got = text.withColumns(columns | empty).select(alerts.issues(facts).alias("i")).collect()
     assert ["hotline_en" in r.i for r in got] == [False, True] and messages.NO_FACT.isdigit()
+
+
+def test_a_value_at_its_bound_is_not_above_it(spark):
+    """Equal errors make the base 0.2 and the bound of a fast row 0.2 + 2 * 0.1, in whatever order the base is added."""
+    for order in itertools.permutations([0.11, 0.18, 0.31]):
+        rows = [(1, 10.0 + k, v) for k, v in enumerate(order)] + [(1, 1.0, 0.4), (1, 2.0, 0.4), (1, 3.0, 0.8)]
+        df = spark.createDataFrame(rows, "site_id long, age double, v double").repartition(1)
+        df = df.withColumns({"kind": F.lit("velocity"), "se": F.lit(0.1), "coverage": F.lit(1.0), "n_points": F.lit(9), "slope": F.lit(30.0), "observed_at": F.timestamp_seconds(-F.col("age") * 86400)})
+        w = risk.Windows(recent=8, season=(22, 26), fallback=(9, 21), min_z=0.5)
+        out = risk.ice_features(df, ["site_id"], w).first()
+        assert out.ratio > 1 and out.trend == 0
