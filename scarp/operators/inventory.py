@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import place_name
-from .joins import BOX, best_match, close_pairs, events_before, nearest
+from .joins import BOX, best_match, close_pairs, first_before, nearest
 from .stats import weighted_mean
 from .tables import latest, numbered
 
@@ -30,20 +30,28 @@ def attached_changes(events: DataFrame, sites: DataFrame, max_km: float) -> Data
     return pairs.select(F.col("r_site_id").alias("site_id"), F.lit("sar_change").alias("kind"), F.concat(F.col("l_scene_key"), F.lit("#ev"), F.col("l_id")).alias("scene_key"), F.col("l_at").alias("observed_at"), F.col("l_area").alias("v"), F.round("l_confidence", 3).alias("quality"))
 
 
+#: What tells lakes that were found apart: ids repeat.
+LAKE = ("id", "at", "lon", "lat")
+
+
 def moved_near(lakes: DataFrame, events: DataFrame, days: float, degrees: float, min_confidence: float) -> DataFrame:
     """Lakes (id, at, lon, lat) near which a confirmed mass movement was seen in the ``days`` before."""
     box = lambda df, pad: df.select("*", (F.col("lon") - pad).alias("x0"), (F.col("lat") - pad).alias("y0"), (F.col("lon") + pad).alias("x1"), (F.col("lat") + pad).alias("y1"))
     sure = events.where((F.col("confidence") >= min_confidence) & F.col("confirmed"))
-    both = box(lakes.select("id", "at", "lon", "lat").withColumn("who", F.lit("lake")), 0.0).unionByName(box(sure.select("id", "at", "lon", "lat").withColumn("who", F.lit("event")), degrees))
-    both = both.withColumn("id", F.when(F.col("who") == "lake", F.col("id")).otherwise(-1 - F.col("id")))
-    pairs = events_before(both, max(0.05, 2 * degrees), days, (), (F.col("l_who") == "lake") & (F.col("r_who") == "event"))
-    return lakes.join(pairs.select(F.col("l_id").alias("id")).distinct(), "id", "left_semi")
+    near = first_before(box(lakes.select(F.struct(*LAKE).alias("id"), "at", "lon", "lat"), 0.0), box(sure.select("id", "at", "lon", "lat"), degrees), max(0.05, 2 * degrees), days, (), least=False)
+    return lakes.join(near.select("id.*"), [*LAKE], "left_semi")
+
+
+def undecided() -> Column:
+    """Lakes whose decision depends on whether a mass movement was seen near them."""
+    return F.coalesce(F.col("known").isNull() & (F.col("quality") >= 0.9) & (F.col("probability") >= 0.5) & F.col("was_dry"), F.lit(False))
 
 
 def lake_decisions(lakes: DataFrame, near: DataFrame) -> DataFrame:
     """What becomes of a lake that was found (known: the site it matches, quality, probability, was_dry, glacial, z_range):
     observed at a known site (its outline renewed if very sure), a new barrier or glacial lake, or nothing."""
-    out = lakes.join(near.select("id", F.lit(True).alias("_moved")).distinct(), "id", "left")
+    asks = lakes.where(undecided()).join(near.select(*LAKE, F.lit(True).alias("_moved")).distinct(), [*LAKE], "left")
+    out = asks.unionByName(lakes.where(~undecided()).withColumn("_moved", F.lit(False)))
     barrier = F.col("was_dry") & F.coalesce("_moved", F.lit(False))
     seen = (F.col("quality") >= 0.9) & (F.col("probability") >= 0.5)
     flat = F.col("z_range") <= 15

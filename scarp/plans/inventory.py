@@ -64,7 +64,7 @@ LAKES = """lk AS (SELECT (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS
 def lake_decisions(spark, sf):
     """What becomes of each lake that was found; barrier lakes are new water on dry ground near a confirmed mass movement."""
     lakes = _lakes(spark, sf).withColumn("glacial", inventory.glacial(F.col("z"), F.col("ice_km"), 2500.0))
-    near = inventory.moved_near(lakes, _changes(spark, sf).where("area >= 100000"), 45, 0.03, 0.6)
+    near = inventory.moved_near(lakes.where(inventory.undecided()), _changes(spark, sf).where("area >= 100000"), 45, 0.03, 0.6)
     return inventory.lake_decisions(lakes, near).groupBy("action").agg(F.count("*").alias("n"), F.max("id").alias("last"))
 
 
