@@ -89,9 +89,11 @@ def renewed_exposures(spark, sf):
 
 def upserted_cells(spark, sf):
     """Velocities of cells written by cell and pair: a second delivery replaces what it repeats."""
-    c = views.cell_velocities(spark, sf).groupBy("cell", "pair_key").agg(F.max("v").alias("v"), F.max("n").alias("n"))
+    keys, cells = ["cell", "pair_key"], views.cell_velocities(spark, sf)
+    n = cells.count()
+    c = tables.dealt(cells, n, keys).groupBy(*keys).agg(F.max("v").alias("v"), F.max("n").alias("n"))
     second = c.where("n > 40").withColumn("v", F.col("v") + 1)
-    return tables.upsert(c.where("n < 45"), second, ["cell", "pair_key"]).groupBy("cell").agg(F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("v"))
+    return tables.upsert(c.where("n < 45"), second, keys, rows=2 * n).groupBy("cell").agg(F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("v"))
 
 
 def appended_events(spark, sf):

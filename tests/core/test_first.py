@@ -7,7 +7,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from scarp.operators import inventory, joins
+from scarp.operators import inventory, joins, tables
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,10 @@ def test_lakes_of_one_id_are_told_apart(spark):
     lakes = lakes.withColumns(facts)
     out = inventory.lake_decisions(lakes, inventory.moved_near(lakes, moves, 45, 0.03, 0.6))
     assert {(r.at.day, r.action) for r in out.collect()} == {(20, "barrier_lake"), (2, "none")}
+
+
+def test_tasks_of_an_upsert_follow_its_rows(spark):
+    old, new = spark.range(10).selectExpr("id", "1 AS v"), spark.range(5, 15).selectExpr("id", "2 AS v")
+    few, many = (tables.upsert(old, new, ["id"], rows=n) for n in (20, 40 * tables.ROWS_A_TASK))
+    assert many.rdd.getNumPartitions() == 41 > few.rdd.getNumPartitions() == 1
+    assert {tuple(r) for r in many.collect()} == {tuple(r) for r in few.collect()} == {(k, 1 if k < 5 else 2) for k in range(15)}
