@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +50,29 @@ def test_rows_scored_in_place(spark, tables):
         assert (own.level, own.needs_confirmation, own.alertable, own.reasons) == (r.level, r.needs_confirmation, r.alertable, r.reasons)
         assert [own[c] for c in ("hazard", "dynamic", "score", "exposure", "confidence")] == pytest.approx([r[c] for c in ("hazard", "dynamic", "score", "exposure", "confidence")])
     assert len({r.level for r in want}) == 3 and len({r.reasons for r in want}) > 5
+
+
+def test_generated_methods_are_compiled(spark, tables):
+    """The JVM interprets methods of more than 8,000 bytes."""
+    exposure = spark.createDataFrame([(1, 0.9)], "site_id long, exposure double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = risk.assessed(*tables, exposure, risk.Windows())._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert len(sizes) > 2 and max(sizes) < 8000, sizes
+
+
+def test_ages_at_their_bounds(spark):
+    """Both ends of an age are included, to the microsecond, and rows that are all too young are none."""
+    now = START + dt.timedelta(days=100)
+    micro = dt.timedelta(microseconds=1)
+    at = [now, now - dt.timedelta(days=16), now - dt.timedelta(days=16) - micro, now - dt.timedelta(days=30), now - dt.timedelta(days=30) + micro]
+    rows = [(k, 3, "velocity", "S1", t, float(k), 0.1, 0.9, None, 500.0, 0.1, 0.9, 9) for k, t in enumerate(at)]
+    w = risk.Windows()
+    seen = sweep.histories(spark.createDataFrame(rows, OBS), spark.createDataFrame([(3, now)], "site_id long, as_of timestamp_ntz"), ["site_id"], w)
+    ages = {"recent": (0, w.recent), "old": w.fallback, "season": w.season, "all": (0, w.reach)}
+    got = seen.select(*[F.array_sort(F.transform(sweep.aged("speeds", *x), lambda r: r["v"])).alias(k) for k, x in ages.items()]).first()
+    assert (got.recent, got.old, got.season, got.all) == ([0.0, 1.0], [3.0], [], [0.0, 1.0, 2.0, 3.0, 4.0])
